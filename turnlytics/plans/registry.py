@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core
+from . import analysis, core
 
-MODULES = [core]
+MODULES = [core, analysis]
 
 
 def queries() -> dict:
