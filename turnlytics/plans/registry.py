@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, core
+from . import analysis, core, labelling, weekly
 
-MODULES = [core, analysis]
+MODULES = [core, analysis, weekly, labelling]
 
 
 def queries() -> dict:
