@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, core, labelling, weekly
+from . import analysis, core, labelling, logs, weekly
 
-MODULES = [core, analysis, weekly, labelling]
+MODULES = [core, analysis, weekly, labelling, logs]
 
 
 def queries() -> dict:
