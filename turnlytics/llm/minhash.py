@@ -5,11 +5,11 @@ greatest hash, so n values cost n / 2 hash evaluations.  Bands of ``rows`` value
 permutations) are bucket keys.  With the defaults (120 values in 24 bands of 5) two documents at similarity 0.85 share no
 bucket with a probability under 1e-6.
 
-Documents with equal sets form a class; only its smallest id goes on.  In each bucket, one member is compared with all
-others on the full sets.  Then components are computed, compared members leave their buckets, and buckets that still
-hold members of different components go another round, with the least member of the smallest component as the next one
-to be compared; from the fifth round on, one member per component.  When every bucket holds one component, no candidate
-pair of a bucket is left that could join two components, although within a large group of copies only few pairs were compared.
+Documents with equal sets form a class; only its smallest id goes on.  In each bucket, the member that meets most others in
+all its buckets is compared with the rest on the full sets, so a group of copies costs one comparison per member.  The
+links make parts.  Buckets that hold several parts get a second step: members outside the bucket's largest part are compared with
+all members, in blocks inside tasks, unless what they can share at most rules a link out.  So every pair of a bucket that could join
+two components is decided on the full sets, and no step emits all pairs of a group.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; texts with fewer words than
 a shingle have one shingle, the whole sequence.  Rows with a null id are linked with nothing and their component is null.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, Scratch, as_long, hash_runs, hash_words, list_array, mix, text_buffer, text_chunks, word_spans
+from .common import LOWER, NON_SPACE, Scratch, as_long, batch_rows, hash_runs, hash_words, list_array, mix, text_buffer, text_chunks, word_spans
 from .components import connected_components
 
 _rng = np.random.default_rng(77)
@@ -124,35 +124,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    members = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = scratch.table(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1"), "buckets")
-    alive = scratch.table(members.join(shared.select("bucket"), "bucket"), "members")
-    needed = scratch.table(alive.select("id").distinct(), "needed")
-    texts = docs.join(needed, docs["doc_id"] == needed["id"]).select("doc_id", "text")
+    members = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = scratch.table(members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "buckets")
+    members = scratch.table(members.join(shared, "bucket"), "members")
+    # the member that meets most others is likely the text that the others were made from
+    met = scratch.table(members.groupBy("id").agg(F.sum("crowd").alias("met")), "met")
+    centers = members.select("bucket", "id").join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.col("id").alias("center"))).alias("x"))
+    centers = scratch.table(centers.select("bucket", "x.center"), "centers")
+    texts = docs.join(met.select("id"), docs["doc_id"] == met["id"]).select("doc_id", "text")
     sets = scratch.table(full_sets(texts, shingle).dropDuplicates(["id"]), "sets")
-    links, centers, done = None, shared.select("bucket", "center"), 0
-    components = None
-    while True:
-        pairs = alive.join(centers, "bucket").where("id <> center")
-        if components is not None:
-            pairs = pairs.where("part <> center_part")
-        pairs = scratch.table(pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "pairs")
-        found = scratch.table(linked(pairs, sets, percent), "links")
-        links = found if links is None else scratch.table(links.unionAll(found), "all-links")
-        done += 1
-        components = connected_components(links, scratch)
-        used = centers.select("bucket", F.col("center").alias("id"))
-        rest = alive.select("bucket", "id").join(used, ["bucket", "id"], "left_anti")
-        named = scratch.table(components.select(F.col("node").alias("id"), F.col("component_id").alias("part")), "parts")
-        rest = scratch.table(rest.join(named, "id", "left").select("bucket", "id", F.coalesce("part", "id").alias("part")), "rest")
-        mixed = scratch.table(rest.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket"), "mixed")
-        if mixed.isEmpty():
-            return components
-        alive = scratch.table(rest.join(mixed, "bucket"), "members")
-        parts = alive.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min("id").alias("center"))
-        if done < 5:
-            parts = parts.groupBy("bucket").agg(F.min(F.struct("n", "center", "part")).alias("x")).select("bucket", "x.center", "x.part")
-        centers = scratch.table(parts.select("bucket", "center", F.col("part").alias("center_part")), "centers")
+    pairs = members.select("bucket", "id").join(centers, "bucket").where("id <> center")
+    pairs = scratch.table(pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "pairs")
+    links = scratch.table(linked(pairs, sets, percent), "links")
+    parts = connected_components(links, scratch).select(F.col("node").alias("id"), F.col("component_id").alias("part"))
+    members = scratch.table(members.select("bucket", "id", "n").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parted")
+    more = outlier_links(members, sets, percent, scratch)
+    if more.isEmpty():
+        return parts.select(F.col("id").alias("node"), F.col("part").alias("component_id"))
+    return connected_components(links.unionAll(more), scratch)
+
+
+def outlier_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, rows: int = 50_000, columns: int = 200_000) -> DataFrame:
+    """Links between different parts of a bucket; members: bucket, id, n (set size), part.
+
+    Of each bucket's largest part no two members need comparing, so outliers (all other members) meet all members.  A shingle
+    that no other member of such buckets has is in no intersection, which bounds what a document can share; outliers
+    that this keeps below the threshold for every size in their bucket fall away.  The rest is compared in cells inside tasks, which
+    return at most one link per outlier and part.  A cell holds outliers with about ``rows`` shingles and members with about ``columns``.
+    """
+    sized = members.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+    largest = sized.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+    largest = scratch.table(largest.select("bucket", F.col("x.part").alias("main")), "mixed")
+    if largest.isEmpty():
+        return members.sparkSession.createDataFrame([], "a long, b long")
+    members = scratch.table(members.join(largest, "bucket"), "mixed-members")
+    ids = scratch.table(members.select("id").distinct(), "mixed-ids")
+    items = sets.join(ids, "id").select("id", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    alone = scratch.table(alone, "alone")
+    # both sizes together are at most this times what the two share
+    most = F.lit((100.0 + percent) / percent)
+    members = members.join(alone, "id", "left").withColumn("can_share", F.col("n") - F.coalesce("alone", F.lit(0)))
+    members = scratch.table(members.withColumn("reach", most * F.col("can_share") - F.col("n")).select("bucket", "id", "n", "part", "can_share", "reach", (F.col("part") != F.col("main")).alias("outlier")), "reaches")
+    limits = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("reach").alias("farthest"), F.sum("n").alias("crowd"))
+    outliers = members.where("outlier").join(scratch.table(limits, "limits"), "bucket").where("reach >= least AND n <= farthest")
+    outliers = scratch.table(outliers.select("bucket", "id", "n", "part", "can_share", "crowd"), "outliers")
+    crowds = scratch.table(outliers.groupBy("bucket").agg(F.sum("n").alias("few"), F.max("crowd").alias("crowd")), "crowds")
+    place = lambda count, size: F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col(count) / size))
+    every = lambda count, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(count) / size) - 1))
+    kept = ["bucket", "id", "part", "can_share"]
+    left = outliers.drop("crowd").join(crowds, "bucket").select(*kept, F.lit(True).alias("outlier"), place("few", rows).alias("row"), every("crowd", columns).alias("col"))
+    right = members.join(crowds, "bucket").select(*kept, F.lit(False).alias("outlier"), place("crowd", columns).alias("col"), every("few", rows).alias("row"))
+    cells = scratch.table(left.unionByName(right), "cells")
+    whole = cells.join(sets, "id").repartition("bucket", "row", "col").sortWithinPartitions("bucket", "row", "col", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in (b for b in batches if b.num_rows):
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "row", "col")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if held and [held[-1].column(c)[0].as_py() for c in ("bucket", "row", "col")] != keys[0].tolist():
+                yield _compare_cell(held, percent)
+                held = []
+            for a, z in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                held.append(batch.slice(a, z - a))
+                if z < batch.num_rows:
+                    yield _compare_cell(held, percent)
+                    held = []
+        if held:
+            yield _compare_cell(held, percent)
+
+    with batch_rows(members.sparkSession, 200):
+        return scratch.table(whole.mapInArrow(compare, "a long, b long"), "more-links")
+
+
+def _compare_cell(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """One link of each outlier to each other part in which it has any."""
+    t = pa.Table.from_batches(batches).combine_chunks()
+    ids, part, can, outlier = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "part", "can_share", "outlier"))
+    lists = t.column("items").combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    items, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    more = times[code] > 1
+    owner, code = owner[more], (np.cumsum(times > 1) - 1)[code[more]]
+    width = int((times > 1).sum())
+    x, y = np.flatnonzero(outlier), np.flatnonzero(~outlier)
+    a, b = [], []
+    share = np.minimum(can[x][:, None], can[y][None, :])
+    open_pairs = (part[x][:, None] != part[y][None, :]) & (100 * share >= percent * (sizes[x][:, None] + sizes[y][None, :] - share))
+    x, y = x[open_pairs.any(axis=1)], y[open_pairs.any(axis=0)]
+    step = max(1, (1 << 22) // max(width, 1))
+    for at in range(0, len(x), step):
+        some = _indicators(x[at : at + step], owner, code, width, len(ids))
+        for to in range(0, len(y), step):
+            rows, columns = x[at : at + step], y[to : to + step]
+            common = np.rint(some @ _indicators(columns, owner, code, width, len(ids)).T).astype(np.int64)
+            union = sizes[rows][:, None] + sizes[columns][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (part[rows][:, None] != part[columns][None, :]))
+            _, one = np.unique(np.stack([i, part[columns[j]]]), axis=1, return_index=True)
+            a.append(ids[rows[i[one]]])
+            b.append(ids[columns[j[one]]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (a, b)], ["a", "b"])
+
+
+def _indicators(rows: np.ndarray, owner: np.ndarray, code: np.ndarray, width: int, n: int) -> np.ndarray:
+    line = np.full(n, -1)
+    line[rows] = np.arange(len(rows))
+    mine = line[owner] >= 0
+    out = np.zeros((len(rows), width), np.float32)
+    out[line[owner[mine]], code[mine]] = 1
+    return out
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
