@@ -99,12 +99,12 @@ def nested_roll_up(raw: DataFrame) -> DataFrame:
         for c in usage:  # the field of an array of structs is an array
             usage[c] = F.when(F.size(used) > 0, F.aggregate(used[c], none, lambda a, b: a + F.coalesce(b, none)))
     rows = raw.where(F.size("conversation") > 0).withColumns({"users": users, "replies": replies})
-    repeated = F.exists(F.sequence(F.lit(2), F.size("users")), lambda i: R.is_repeat(text(F.element_at("users", i - 1)), text(F.element_at("users", i))))
-    first, last = F.element_at("users", 1), F.element_at("replies", -1)
+    repeated = F.exists(F.sequence(F.lit(2), F.size("users")), lambda i: R.is_repeat(text(F.try_element_at("users", i - 1)), text(F.try_element_at("users", i))))
+    first, last = F.try_element_at("users", F.lit(1)), F.try_element_at("replies", F.lit(-1))
     length = lambda x: F.coalesce(F.length(x["content"]), F.lit(0))
     day = F.to_date("timestamp")
     return rows.select(
-        F.element_at(m, 1)["turn_identifier"].alias("conv_id"), "model", F.col("timestamp").alias("ts"), day.alias("date"), R.monday(F.col("timestamp")).alias("week"), "country", "state", "language",
+        F.try_element_at(m, F.lit(1))["turn_identifier"].alias("conv_id"), "model", F.col("timestamp").alias("ts"), day.alias("date"), R.monday(F.col("timestamp")).alias("week"), "country", "state", "language",
         F.col("turn").cast("int").alias("n_turns"),
         R.pseudo_user(F.col("hashed_ip"), F.col("header.user-agent"), F.col("header.accept-language")).alias("pseudo_user"), "redacted",
         F.exists("users", lambda x: R.is_blank(x["content"])).alias("has_empty_user_input"), *(e.alias(c) for c, e in usage.items()),
@@ -118,5 +118,5 @@ def nested_roll_up(raw: DataFrame) -> DataFrame:
 
 def nested_messages(raw: DataFrame, responder: Column | None = None) -> DataFrame:
     """Message rows of raw shard rows, numbered from 1."""
-    rows = raw.select(F.element_at("conversation", 1)["turn_identifier"].alias("conv_id"), "model", "shard", F.posexplode("conversation").alias("pos", "m"))
+    rows = raw.select(F.try_element_at("conversation", F.lit(1))["turn_identifier"].alias("conv_id"), "model", "shard", F.posexplode("conversation").alias("pos", "m"))
     return rows.select("conv_id", (F.col("pos") + 1).alias("idx"), F.col("m.role").alias("role"), F.col("m.content").alias("content"), (responder if responder is not None else F.lit(None).cast("string")).alias("responder"), "model", "shard", F.col("m.language").alias("language"), F.col("m.redacted").alias("redacted"))
