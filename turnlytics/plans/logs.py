@@ -12,12 +12,13 @@ from turnlytics.functions import rules as R
 from turnlytics.operators import checks as C
 from turnlytics.operators import decide as D
 from turnlytics.operators import metrics as M
+from turnlytics.operators import publish as P
 from turnlytics.operators import turns as T
 from turnlytics.sources import chats, shards
 from turnlytics.sources.files import shared_folder
 from turnlytics.streaming import ingest
 
-from .core import MIN_CELL, N, RATES, Chat, _chat_sql, chat_query
+from .core import FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, chat_query
 
 START_NANOS = 1_709_510_400_000_000_000  # 2024-03-04
 
@@ -138,6 +139,20 @@ def streamed_weeks(x: Chat) -> DataFrame:
     return spark.table(name)
 
 
+def published(x: Chat) -> DataFrame:
+    path = shared_folder(x.spark, "published")
+    P.write_metrics({n: t for n, t in metric_tables(x).items() if n.startswith(("friction", "intent"))}, path)
+    return P.published_size(x.spark, path)
+
+
+def weekly_change(x: Chat) -> DataFrame:
+    """Conversations per week against the week before."""
+    rows = x.conversations.groupBy("week").agg(M.count_rows().alias("n"))
+    change, direction = P.percent_change(F.col("n"), F.col("before"))
+    rows = rows.withColumn("before", F.lag("n").over(Window.orderBy("week")))  # a row per week
+    return rows.select("week", "n", change.alias("percent"), direction.alias("direction"))
+
+
 def story(x: Chat) -> DataFrame:
     """Headline numbers, re-derived from aggregates."""
     weekly, friction = M.intensity_weekly(x.conversations), M.friction_weekly(x.conversations)
@@ -169,6 +184,10 @@ QUERIES = {
     "declared_checks": chat_query(declared_checks),
     "story_numbers": chat_query(story),
     "ad_hoc_sql": chat_query(ad_hoc),
+    "published_tables": chat_query(published),
+    "responder_split": chat_query(lambda x: P.responder_split(M.friction_by_responder(x.turns, x.conversations, MIN_CELL), M.volume_daily_model(x.conversations))),
+    "weekly_change": chat_query(weekly_change),
+    "nested_json_access": chat_query(lambda x: x.table("events").select("event_id", F.get_json_object("props", "$").alias("whole"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))),
     "incremental_ingest": chat_query(ingested),
     "events_stream_weekly": chat_query(streamed_weeks),
 }
@@ -203,6 +222,11 @@ UNION ALL SELECT 'models', count(DISTINCT model_family)::DOUBLE, count(DISTINCT
  LEFT JOIN (SELECT week, pseudo_user FROM c GROUP BY 1, 2) y ON y.pseudo_user = x.pseudo_user AND y.week = x.week + 7 JOIN (SELECT week, count(*) AS n FROM c GROUP BY 1) z ON z.week = x.week GROUP BY 1)) a,
  (SELECT {RATES} FROM c WHERE NOT has_empty_user_input) b"""),
     "ad_hoc_sql": _chat_sql("SELECT model_family AS model, count(*) FILTER (corr)::BIGINT AS corrections, count(*) FILTER (refused)::BIGINT AS refusals FROM (SELECT conv_id, " + "regexp_matches(content, '{c}') AS corr, regexp_matches(content, '{r}') AS refused FROM messages) JOIN c USING (conv_id) GROUP BY 1"),
+    "published_tables": "SELECT t AS table_name, 1::BIGINT AS files, true AS within_budget FROM (SELECT unnest(['friction_by_intent_model', 'friction_by_intent_model_era', 'friction_by_responder', 'friction_weekly', 'intent_by_model', 'intent_weekly', 'intent_weekly_model']) AS t)",
+    "responder_split": _chat_sql(f"""SELECT count(*)::BIGINT AS responders, count(*) FILTER (responder NOT IN (SELECT model_family FROM c))::BIGINT AS no_models, count(*) FILTER (responder NOT IN (SELECT model_family FROM c)) > 0 AS show_split
+FROM (SELECT {FAMILY.format(x="attributed_to")} AS responder FROM turns JOIN c USING (conv_id) WHERE NOT has_empty_user_input AND role <> 'user' GROUP BY 1 HAVING count(*) >= {MIN_CELL})"""),
+    "weekly_change": _chat_sql("SELECT week, n, percent, CASE WHEN percent > 0 THEN 'up' WHEN percent < 0 THEN 'down' WHEN percent = 0 THEN 'flat' END AS direction FROM (SELECT week, n, round(100 * (n::DOUBLE / lag(n) OVER (ORDER BY week) - 1), 1) AS percent FROM (SELECT week, count(*)::BIGINT AS n FROM c GROUP BY 1))"),
+    "nested_json_access": "SELECT event_id, json_extract_string(props, '$') AS whole, len(json_keys(props))::BIGINT AS n_keys FROM events",
     "incremental_ingest": _chat_sql(f"SELECT week, {N}, sum(n_turns)::BIGINT AS turns FROM c GROUP BY week"),
     "events_stream_weekly": "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY 1, 2",
 }
