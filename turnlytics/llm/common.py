@@ -27,8 +27,9 @@ _WORD_BASE = int(_rng.integers(1, 2**62, dtype=np.uint64)) * 2 + 1
 class Scratch:
     """Tables in the folder that the cluster shares (``spark.checkpoint.dir``), to cut lineage.
 
-    Every table is written once and read again, so a lost executor costs at most the tasks of one step.  Where the
-    setting is absent (tests on one machine), a temporary folder serves.
+    Every table is written once and read again, so a lost executor costs at most the tasks of one step.  Tables that only
+    later steps need are kept in an ``inner`` scratch and deleted after them; those that a returned DataFrame reads stay, like
+    Spark's own checkpoints.  Where the setting is absent (tests on one machine), a temporary folder serves.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -45,6 +46,17 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextmanager
+    def inner(self, name: str) -> Iterator[Scratch]:
+        """A scratch for tables that nothing needs once the block ends; they are deleted then."""
+        part = Scratch.__new__(Scratch)
+        part.spark, part.root, part._count = self.spark, self.path(name), 0
+        try:
+            yield part
+        finally:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(part.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+
 
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:

@@ -70,16 +70,17 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("embedding"))
-    classes = scratch.table(valid_vectors(rows).withColumn("dim", F.size("embedding")), "classes")
-    found = scratch.table(compare(spark, classes, scratch, threshold, recall, sample_rows, block), "found")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    links = scratch.table(found.where("n = 0").select("a", "b").distinct(), "links")
-    components = connected_components(links, scratch).withColumnRenamed("node", "id")
-    classes = classes.join(counts, "id", "left").join(components, "id", "left")
-    n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
-    classes = scratch.table(classes.select("label", "vector_key", n_links.alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "results")
+    with scratch.inner("steps") as inner:
+        classes = inner.table(valid_vectors(rows).withColumn("dim", F.size("embedding")), "classes")
+        found = inner.table(compare(spark, classes, inner, threshold, recall, sample_rows, block), "found")
+        counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        links = inner.table(found.where("n = 0").select("a", "b").distinct(), "links")
+        components = connected_components(links, inner).withColumnRenamed("node", "id")
+        classes = classes.join(counts, "id", "left").join(components, "id", "left")
+        n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+        results = scratch.table(classes.select("label", "vector_key", n_links.alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "results")
     named = rows.select("vec_id", "label", F.md5(F.col("embedding").cast("string").cast("binary")).alias("vector_key")).distinct()
-    named = named.alias("r").join(classes.alias("c"), (F.col("r.label") == F.col("c.label")) & (F.col("r.vector_key") == F.col("c.vector_key")) & F.col("vec_id").isNotNull(), "left")
+    named = named.alias("r").join(results.alias("c"), (F.col("r.label") == F.col("c.label")) & (F.col("r.vector_key") == F.col("c.vector_key")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 

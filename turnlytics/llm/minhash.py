@@ -114,10 +114,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     sketched = scratch.table(sketch(narrow, shingle, bands, rows), "sketches")
     named = sketched.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.table(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    components = link_classes(narrow, classes, shingle, percent, scratch)
-    whole = classes.select("d1", "d2", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
-    whole = scratch.table(whole.select("d1", "d2", F.coalesce("component_id", "id").alias("component_id")), "class-components")
+    with scratch.inner("links") as inner:
+        classes = inner.table(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+        components = link_classes(narrow, classes, shingle, percent, inner)
+        whole = classes.select("d1", "d2", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
+        whole = scratch.table(whole.select("d1", "d2", F.coalesce("component_id", "id").alias("component_id")), "class-components")
     result = sketched.select("doc_id", "n_shingles", "d1", "d2").join(whole, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

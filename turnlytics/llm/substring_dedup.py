@@ -121,16 +121,18 @@ def duplicate_passages(docs: DataFrame, window: int = 50, gram: int = 12, id_col
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     sketches = scratch.table(_sketch(narrow, window, gram), "sketches")
     long_ones = sketches.where(f"doc_id is not null and n_words >= {window}")
-    repeated = scratch.table(long_ones.groupBy("digest").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("digest", "source"), "repeated")
-    copies = scratch.table(long_ones.select("doc_id", "digest", "n_words").join(repeated, "digest").where("doc_id > source").select("doc_id", "n_words", "source").dropDuplicates(["doc_id"]), "copies")
-    anchors = scratch.table(long_ones.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
-    common = scratch.table(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "common-anchors")
-    wanted = anchors.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    texts = scratch.table(narrow.join(wanted, "doc_id"), "texts")
-    windows = scratch.table(_list_windows(texts, window, gram), "windows")
-    shared = scratch.table(windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("window", "source"), "shared-windows")
-    hits = windows.join(shared, "window").where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("start", "source")).alias("hits"))
-    cut = _cut(texts.select("doc_id", "text").join(hits, "doc_id"), window).dropDuplicates(["doc_id"])
-    whole = F.array(F.struct(F.lit(0).alias("first_word"), F.col("n_words").cast("int").alias("words"), F.col("source")))
-    gone = copies.select("doc_id", F.col("n_words").alias("n_removed"), whole.alias("factors"), F.lit("").alias("kept_text"))
-    return sketches.select("doc_id", "n_words", "digest"), scratch.table(cut.unionByName(gone), "changed")
+    with scratch.inner("steps") as inner:
+        repeated = inner.table(long_ones.groupBy("digest").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("digest", "source"), "repeated")
+        copies = inner.table(long_ones.select("doc_id", "digest", "n_words").join(repeated, "digest").where("doc_id > source").select("doc_id", "n_words", "source").dropDuplicates(["doc_id"]), "copies")
+        anchors = inner.table(long_ones.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
+        common = inner.table(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "common-anchors")
+        wanted = anchors.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+        texts = inner.table(narrow.join(wanted, "doc_id"), "texts")
+        windows = inner.table(_list_windows(texts, window, gram), "windows")
+        shared = inner.table(windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("window", "source"), "shared-windows")
+        hits = windows.join(shared, "window").where("doc_id > source").groupBy("doc_id").agg(F.collect_set(F.struct("start", "source")).alias("hits"))
+        cut = _cut(texts.select("doc_id", "text").join(hits, "doc_id"), window).dropDuplicates(["doc_id"])
+        whole = F.array(F.struct(F.lit(0).alias("first_word"), F.col("n_words").cast("int").alias("words"), F.col("source")))
+        gone = copies.select("doc_id", F.col("n_words").alias("n_removed"), whole.alias("factors"), F.lit("").alias("kept_text"))
+        changed = scratch.table(cut.unionByName(gone), "changed")
+    return sketches.select("doc_id", "n_words", "digest"), changed

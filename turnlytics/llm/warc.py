@@ -121,12 +121,6 @@ def write_archives(pages: DataFrame, scratch: Scratch, id_column: str = "page_id
     spark = pages.sparkSession
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
     digest = [F.sha1(F.encode("payload", "UTF-8")).alias("sha1"), F.xxhash64("payload").alias("other"), F.octet_length("payload").alias("size")]
-    digests = scratch.table(rows.where("page_id is not null").select("page_id", *digest), "digests")
-    shared = scratch.table(
-        digests.groupBy("sha1", "other", "size").agg(F.max("page_id").alias("response"), F.min("page_id").alias("least")).where("least < response").drop("least"), "shared"
-    )
-    revisits = scratch.table(digests.join(shared, ["sha1", "other", "size"]).where("page_id < response").select("page_id", "response").distinct(), "revisits")
-    marked = rows.join(revisits, "page_id", "left")
     folder = scratch.path("bundles")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +146,14 @@ def write_archives(pages: DataFrame, scratch: Scratch, id_column: str = "page_id
         if writer is not None:
             writer.close()
 
-    return scratch.table(marked.select("page_id", "url", "payload", "response").mapInArrow(write, INDEX_SCHEMA), "index")
+    with scratch.inner("steps") as inner:
+        digests = inner.table(rows.where("page_id is not null").select("page_id", *digest), "digests")
+        shared = inner.table(
+            digests.groupBy("sha1", "other", "size").agg(F.max("page_id").alias("response"), F.min("page_id").alias("least")).where("least < response").drop("least"), "shared"
+        )
+        revisits = inner.table(digests.join(shared, ["sha1", "other", "size"]).where("page_id < response").select("page_id", "response").distinct(), "revisits")
+        marked = rows.join(revisits, "page_id", "left")
+        return scratch.table(marked.select("page_id", "url", "payload", "response").mapInArrow(write, INDEX_SCHEMA), "index")
 
 
 def record_name(page_id: int | None) -> str:
