@@ -47,7 +47,7 @@ def test_times_and_roles(spark):
     seconds = ["1709510400", "1709510400000", "1709510400000000", "1709510400000000000", "2024-03-04T00:00:00Z", "never", None]
     got = evaluate(spark, seconds, lambda x: R.any_timestamp(x).cast("string"))
     assert got == ["2024-03-04 00:00:00"] * 5 + [None, None]
-    assert evaluate(spark, ["Human", "AI", "developer", "function", "someone", None], R.role_name) == ["user", "assistant", "system", "tool", None, None]
+    assert evaluate(spark, ["Human", "AI", "Customer", "function", "someone", "", None], R.role_name) == ["user", "assistant", "user", "function", "someone", None, None]
     assert evaluate(spark, [" yes ", "1", "no", None], R.truthy) == [True, True, False, False]
     assert evaluate(spark, ["", "  \n", "x", None], R.is_blank) == [True, True, False, True]
 

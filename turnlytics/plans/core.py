@@ -112,7 +112,7 @@ def sql_prefix(*steps: str) -> str:
 _correction = R.opening_pattern(R.CORRECTION_OPENINGS, r"(?:[^\p{L}\p{N}_]|$)", "(?i)").replace("'", "''")
 _refusal = R.opening_pattern(R.REFUSAL_OPENINGS, r"(?:[^\p{L}\p{N}_]|$)", "(?i)").replace("'", "''")
 _words = lambda x: rf"list_distinct(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w)))"
-FAMILY = r"regexp_replace(regexp_replace({x}, '-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|preview)$', ''), '-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|preview)$', '')"
+FAMILY = r"regexp_replace({x}, '(-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|preview)){{1,2}}$', '')"
 SIMILARITY = "CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))) ELSE 0 END"
 
 TURNS_SQL = f"""seen_turns AS (
@@ -140,8 +140,8 @@ CONV_SQL = f"""rolled AS (
   CASE WHEN NOT has_empty_user_input THEN label END AS intent
  FROM rolled r JOIN attributes a USING (conv_id))"""
 
-RATES = "avg(repeated_request::INT) AS repeat_rate, avg(one_and_done::INT) AS one_and_done_rate, avg(correction_followup::INT) AS correction_rate, avg(assistant_refusal::INT) AS refusal_rate"
-QUALITY = "round(avg(redacted::INT) + 0.0, 6) AS redacted_rate, round(avg(has_empty_user_input::INT) + 0.0, 6) AS empty_input_rate, round(avg((prompt_tokens IS NOT NULL)::INT) + 0.0, 6) AS token_usage_coverage"
+RATES = ", ".join(f"count_if({flag}) / count(*) AS {name}" for name, flag in M.PROXIES.items())
+QUALITY = ", ".join(f"round(count_if({flag}) / count(*), 6) AS {name}" for name, flag in (("redacted_rate", "redacted"), ("empty_input_rate", "has_empty_user_input"), ("token_usage_coverage", "prompt_tokens IS NOT NULL")))
 N = "count(*)::BIGINT AS conversations"
 ERAS_SQL = "eras(era, era_start, era_end) AS (VALUES " + ", ".join(f"('{e}', DATE '{a}', DATE '{z}')" for e, a, z in chat.ERAS) + ")"
 
@@ -153,20 +153,24 @@ FROM (SELECT week, {key} AS {key}, count(*) AS n{u} FROM c GROUP BY 1, 2) GROUP
 
 
 def intensity_sql(table: str, keys: str, period: str = "week", days: int = 7) -> tuple[str, str]:
-    """The steps and the final SELECT of the intensity metrics, by ranking and self joins."""
+    """The steps and the final SELECT of the intensity metrics: lists of users' counts per cell, and each user's next period."""
     cell = f"{period}{keys}"
-    by = [k.strip() for k in cell.split(",")]
-    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in by[1:]) or "true"
-    steps = f"""pu AS (SELECT {cell}, pseudo_user, count(*) AS convs FROM {table} GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY convs DESC) AS rk, count(*) OVER (PARTITION BY {cell}) AS users FROM pu),
-back AS (SELECT {", ".join(f"x.{k}" for k in by)}, count(y.pseudo_user)::DOUBLE / count(*) AS rate FROM pu x LEFT JOIN pu y ON x.pseudo_user = y.pseudo_user AND y.{period} = x.{period} + {days} AND {same("x", "y")} GROUP BY ALL),
-cells AS (SELECT {cell}, count(*)::BIGINT AS pseudo_users, sum(convs)::BIGINT AS conversations, quantile_cont(convs, 0.5) AS convs_per_user_p50, quantile_cont(convs, 0.9) AS convs_per_user_p90,
- sum(CASE WHEN rk <= greatest(1, ceil(users * 0.10)) THEN convs ELSE 0 END)::DOUBLE / sum(convs) AS top10_share FROM ranked GROUP BY ALL)"""
-    final = f"""SELECT w.*, n.{period} IS NOT NULL AS next_week_present, CASE WHEN n.{period} IS NOT NULL THEN b.rate END AS return_rate
-FROM cells w JOIN back b ON w.{period} = b.{period} AND {same("w", "b")} LEFT JOIN cells n ON n.{period} = w.{period} + {days} AND {same("w", "n")}"""
+    others = [k.strip() for k in keys.split(",") if k.strip()]
+    part = f"PARTITION BY {', '.join(others)}" if others else ""
+    steps = f"""activity AS (SELECT {cell}, pseudo_user, count(*) AS convs FROM {table} GROUP BY ALL),
+followed AS (SELECT *, lead({period}) OVER (PARTITION BY {", ".join([*others, "pseudo_user"])} ORDER BY {period}) AS then_active FROM activity),
+lists AS (SELECT {cell}, list_reverse_sort(list(convs)) AS v, count_if(coalesce(then_active = {period} + {days}, false)) AS came_back FROM followed GROUP BY ALL),
+placed AS (SELECT *, lead({period}) OVER ({part} ORDER BY {period}) IS NOT DISTINCT FROM {period} + {days} AS next_week_present FROM lists)"""
+    final = f"""SELECT {cell}, len(v)::BIGINT AS pseudo_users, list_sum(v)::BIGINT AS conversations, list_aggregate(v, 'quantile_cont', 0.5) AS convs_per_user_p50, list_aggregate(v, 'quantile_cont', 0.9) AS convs_per_user_p90,
+ list_sum(v[1:greatest(1, ceil(len(v) / 10))::INTEGER]) / list_sum(v) AS top10_share, next_week_present, CASE WHEN next_week_present THEN came_back / len(v) END AS return_rate FROM placed"""
     return steps, final
 
 
+def persistence_sql(table: str) -> str:
+    quarter = "make_date(year(week), 3 * quarter(week) - 2, 1)"
+    return f"SELECT q AS quarter, count(*)::BIGINT AS pseudo_users, sum(n) / count(*) AS avg_weeks_active, count_if(n > 1) / count(*) AS share_multi_week FROM (SELECT {quarter} AS q, len(list_distinct(list(week))) AS n FROM {table} GROUP BY {quarter}, pseudo_user) GROUP BY q"
+
+
 def _chat_sql(final: str, *steps: str) -> str:
     return f"{sql_prefix(*steps)}\n{final}"
 
@@ -188,7 +192,7 @@ ORACLE_SQL = {
     "volume_weekly_language": _chat_sql(residual_sql("language", False)),
     "intensity_weekly": _chat_sql(_if, _i),
     "intensity_weekly_model": _chat_sql(f"SELECT * EXCLUDE (mf), mf AS model FROM ({_mf}) WHERE pseudo_users >= {MIN_CELL}", _m),
-    "persistence_quarterly": _chat_sql("SELECT quarter, count(*)::BIGINT AS pseudo_users, avg(w) AS avg_weeks_active, avg((w > 1)::INT) AS share_multi_week FROM (SELECT date_trunc('quarter', week)::DATE AS quarter, pseudo_user, count(DISTINCT week) AS w FROM c GROUP BY 1, 2) GROUP BY quarter"),
+    "persistence_quarterly": _chat_sql(persistence_sql("c")),
     "depth_by_model": _chat_sql(f"SELECT {_MODEL}, CASE WHEN n_turns <= 2 THEN n_turns::VARCHAR WHEN n_turns <= 5 THEN '3-5' WHEN n_turns <= 10 THEN '6-10' ELSE '11+' END AS depth_bucket, {N}, median(n_turns) AS median_turns FROM c GROUP BY 1, 2"),
     "intent_weekly": _chat_sql(f"SELECT week, intent, {N} FROM c WHERE intent IS NOT NULL GROUP BY ALL"),
     "intent_weekly_model": _chat_sql(f"SELECT week, {_MODEL}, intent, {N} FROM c WHERE intent IS NOT NULL {_HAVING}"),
@@ -198,9 +202,9 @@ ORACLE_SQL = {
     "friction_weekly_model": _chat_sql(f"SELECT week, {_MODEL}, {N}, {RATES} FROM c WHERE NOT has_empty_user_input {_HAVING}"),
     "friction_by_intent_model": _chat_sql(f"SELECT intent, {_MODEL}, {N}, {RATES} FROM c WHERE intent IS NOT NULL {_HAVING}"),
     "friction_by_intent_model_era": _chat_sql(f"SELECT era, era_start, era_end, intent, {_MODEL}, {N}, {RATES} FROM c JOIN eras ON date >= era_start AND date <= era_end WHERE intent IS NOT NULL {_HAVING}", ERAS_SQL),
-    "friction_by_responder": _chat_sql(f"""SELECT {FAMILY.format(x="coalesce(attributed_to, c.model)")} AS responder, count(*) FILTER (role = 'assistant')::BIGINT AS assistant_turns, count(*) FILTER (is_correction)::BIGINT AS corrections, count(*) FILTER (repeats_prev_user)::BIGINT AS repeats,
- count(*) FILTER (is_correction) / count(*) FILTER (role = 'assistant') AS correction_rate, count(*) FILTER (repeats_prev_user) / count(*) FILTER (role = 'assistant') AS repeat_rate
-FROM turns t JOIN c USING (conv_id) WHERE NOT has_empty_user_input AND NOT (role = 'user' AND idx = 1) GROUP BY 1 HAVING assistant_turns >= {MIN_CELL}"""),
+    "friction_by_responder": _chat_sql(f"""SELECT responder, n AS assistant_turns, corrections, repeats, corrections / n AS correction_rate, repeats / n AS repeat_rate FROM (
+ SELECT {FAMILY.format(x="attributed_to")} AS responder, count_if(role <> 'user')::BIGINT AS n, count_if(is_correction)::BIGINT AS corrections, count_if(repeats_prev_user)::BIGINT AS repeats
+ FROM turns WHERE attributed_to IS NOT NULL AND conv_id IN (SELECT conv_id FROM c WHERE NOT has_empty_user_input) GROUP BY 1) WHERE n >= {MIN_CELL}"""),
     "friction_all_and_models": _chat_sql(f"SELECT week, NULL::VARCHAR AS model, {N}, {RATES} FROM c WHERE NOT has_empty_user_input GROUP BY week UNION ALL SELECT week, {_MODEL}, {N}, {RATES} FROM c WHERE NOT has_empty_user_input {_HAVING}"),
     "data_quality_weekly": _chat_sql(f"SELECT week, {N}, {QUALITY} FROM c GROUP BY week"),
     "data_quality_weekly_model": _chat_sql(f"SELECT week, {_MODEL}, {N}, {QUALITY} FROM c {_HAVING}"),

@@ -212,9 +212,8 @@ ORACLE_SQL = {
     "intent_coverage": _chat_sql("SELECT 'partial' AS coverage, count(DISTINCT shard)::BIGINT AS shards, (count(DISTINCT shard) FILTER (intent IS NOT NULL AND shard <> 'shard-3'))::BIGINT AS labelled_shards FROM c"),
     "shard_subset": _chat_sql(f"SELECT shard, {N} FROM c WHERE shard IN ('shard-0', 'shard-1', 'shard-3') GROUP BY shard"),
     "unfinished_shards": _chat_sql(f"SELECT shard, {N} FROM c WHERE shard NOT IN ('shard-0', 'shard-2') GROUP BY shard"),
-    "legacy_turns": _chat_sql(f"""SELECT model_family AS responder, count(*) FILTER (role = 'assistant')::BIGINT AS assistant_turns, count(*) FILTER (is_correction)::BIGINT AS corrections, count(*) FILTER (repeats_prev_user)::BIGINT AS repeats,
- count(*) FILTER (is_correction) / count(*) FILTER (role = 'assistant') AS correction_rate, count(*) FILTER (repeats_prev_user) / count(*) FILTER (role = 'assistant') AS repeat_rate
-FROM turns t JOIN c USING (conv_id) WHERE NOT has_empty_user_input AND NOT (role = 'user' AND idx = 1) GROUP BY 1 HAVING assistant_turns >= {MIN_CELL}"""),
+    "legacy_turns": _chat_sql(f"""SELECT responder, n AS assistant_turns, corrections, repeats, corrections / n AS correction_rate, repeats / n AS repeat_rate FROM (
+ SELECT model_family AS responder, count_if(role <> 'user')::BIGINT AS n, count_if(is_correction)::BIGINT AS corrections, count_if(repeats_prev_user)::BIGINT AS repeats FROM turns JOIN c USING (conv_id) WHERE NOT has_empty_user_input GROUP BY 1) WHERE n >= {MIN_CELL}"""),
     "declared_checks": _chat_sql("""SELECT 'no negative lengths' AS label, count(*) FILTER (first_user_len < 0)::DOUBLE AS got, count(*) FILTER (first_user_len < 0) = 0 AS ok FROM c
 UNION ALL SELECT 'models', count(DISTINCT model_family)::DOUBLE, count(DISTINCT model_family) = 5 FROM c UNION ALL SELECT 'wrong on purpose', count(*) FILTER (n_turns = 0)::DOUBLE, count(*) FILTER (n_turns = 0) = 1 FROM c"""),
     "story_numbers": _chat_sql(f"""SELECT a.*, b.* FROM (SELECT sum(n)::BIGINT AS conversations, max(u)::BIGINT AS peak_users, avg(r) AS mean_return FROM (

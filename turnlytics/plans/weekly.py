@@ -9,7 +9,7 @@ from turnlytics.functions import rules as R
 from turnlytics.operators import metrics as M
 from turnlytics.operators import series as S
 
-from .core import FAMILY, MIN_CELL, N, Chat, _chat_sql, chat_query, intensity_sql
+from .core import FAMILY, MIN_CELL, N, Chat, _chat_sql, chat_query, intensity_sql, persistence_sql
 
 RECENT = 6  # the fixture has 18 active weeks
 BREAK = "2024-05-06"
@@ -104,10 +104,6 @@ def concentration_sql(table: str) -> str:
 FROM (SELECT convs, row_number() OVER (ORDER BY convs DESC) AS rk, count(*) OVER () AS users FROM (SELECT pseudo_user, count(*) AS convs FROM {table} GROUP BY 1))"""
 
 
-def persistence_sql(table: str) -> str:
-    return f"SELECT quarter, count(*)::BIGINT AS pseudo_users, avg(w) AS avg_weeks_active, avg((w > 1)::INT) AS share_multi_week FROM (SELECT date_trunc('quarter', week)::DATE AS quarter, pseudo_user, count(DISTINCT week) AS w FROM {table} GROUP BY 1, 2) GROUP BY quarter"
-
-
 _i, _if = intensity_sql("c", "")
 _e, _ef = intensity_sql("e", "")
 _et, _etf = intensity_sql("(SELECT *, model_family AS mf FROM e)", ", mf")

@@ -10,23 +10,36 @@ from pyspark.sql import types as T
 
 from turnlytics.functions import rules as R
 
-# Names under which logs keep the same thing.
-MESSAGE_KEYS = ["messages", "turns", "conversation", "chat", "history", "dialog", "chat_messages"]
-ID_KEYS = ["conversation_id", "conv_id", "id", "uuid", "session_id", "thread_id"]
-USER_KEYS = ["user_id", "user", "customer_id", "account", "pseudo_user"]
-TIME_KEYS = ["timestamp", "created_at", "create_time", "ts", "time", "date"]
-MODEL_KEYS = ["model", "model_name", "model_slug", "default_model_slug"]
-VERSION_KEYS = ["prompt_version", "version", "release", "experiment"]
-ROLE_KEYS, CONTENT_KEYS, RESPONDER_KEYS = ["role", "sender", "author", "from"], ["content", "text", "message", "value"], ["responder", "agent", "name"]
-
-
-def first_present(columns: Sequence[str], present: Sequence[str], of: Column | None = None) -> Column:
-    """The first non-empty value among the names that are there."""
-    found = [F.nullif((of[c] if of is not None else F.col(c)).cast("string"), F.lit("")) for c in columns if c in present]
+# Names under which logs keep the same thing, the first one that is there and not empty counts.
+MESSAGE_KEYS = ["conversation", "messages", "turns", "chat", "dialog", "history", "chat_messages"]
+ID_KEYS = ["conversation_id", "conv_id", "conversationId", "thread_id", "threadId", "session_id", "sessionId", "id", "conversation_hash", "chat_id"]
+USER_KEYS = ["user_id", "userId", "user", "pseudo_user", "customer_id", "account_id", "enduser_id", "visitor_id", "hashed_ip", "distinct_id"]
+TIME_KEYS = ["timestamp", "created_at", "createdAt", "time", "date", "ts", "start_time", "started_at"]
+MODEL_KEYS = ["model", "model_name", "llm", "engine"]
+VERSION_KEYS = ["prompt_version", "app_version", "release", "version", "deployment", "build"]
+RESPONDER_KEYS = ["responder", "agent", "agent_name", "assistant_name", "name", "model"]
+ROLE_KEYS = ["role", "author", "from", "speaker", "sender", "type"]
+CONTENT_KEYS = ["content", "text", "message", "value", "body"]
+
+
+def _text(value: Column, kind: T.DataType) -> Column:
+    """A field as text: parts of a list are joined by line breaks, of objects the text, content or role counts."""
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda p: F.coalesce(_text(p, kind.elementType), F.lit(""))), "\n")
+    if isinstance(kind, T.StructType):
+        found = [_text(value[f.name], f.dataType) for name in ("text", "content", "role") for f in kind.fields if f.name == name]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+    return value.cast("string")
+
+
+def first_present(names: Sequence[str], fields: T.StructType, of: Column | None = None) -> Column:
+    """The first non-empty value among the names that are there, as text."""
+    kinds = {f.name: f.dataType for f in fields.fields}
+    found = [F.nullif(_text(of[c] if of is not None else F.col(c), kinds[c]), F.lit("")) for c in names if c in kinds]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def message_struct(x: Column, fields: Sequence[str]) -> Column:
+def message_struct(x: Column, fields: T.StructType) -> Column:
     return F.struct(R.role_name(first_present(ROLE_KEYS, fields, x)).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields, x), F.lit("")).alias("content"), first_present(RESPONDER_KEYS, fields, x).alias("responder"))
 
 
@@ -35,13 +48,20 @@ def keep_spoken(messages: Column) -> Column:
 
 
 def chat_objects(rows: DataFrame) -> DataFrame:
-    """One object per conversation; which names it uses shows from its columns."""
-    key = next(k for k in MESSAGE_KEYS if k in rows.columns)
-    fields = rows.schema[key].dataType.elementType.fieldNames()
-    pick = lambda keys: first_present(keys, rows.columns)
-    return rows.select(
-        pick(ID_KEYS).alias("id"), pick(USER_KEYS).alias("user"), R.any_timestamp(pick(TIME_KEYS)).cast("timestamp_ntz").alias("ts"), pick(MODEL_KEYS).alias("model"), pick(VERSION_KEYS).alias("version"),
-        keep_spoken(F.transform(key, lambda x: message_struct(x, fields))).alias("messages"),
+    """One object per conversation; which names it uses shows from its columns.
+
+    User, version and time may stand in the first message instead; without a model, the first reply's responder is the model.
+    """
+    key = next(k for k in MESSAGE_KEYS if isinstance(getattr(rows.schema[k], "dataType", None) if k in rows.columns else None, T.ArrayType))
+    fields = rows.schema[key].dataType.elementType
+    first = F.try_element_at(F.col(key), F.lit(1))
+    pick = lambda names: first_present(names, rows.schema)
+    of_first = lambda names: first_present(names, fields, first)
+    plain = rows.withColumn("__m", keep_spoken(F.transform(key, lambda x: message_struct(x, fields))))
+    replier = F.try_element_at(F.filter("__m", lambda x: (x["role"] == "assistant") & x["responder"].isNotNull()), F.lit(1))["responder"]
+    return plain.select(
+        pick(ID_KEYS).alias("id"), F.coalesce(pick(USER_KEYS), of_first(USER_KEYS)).alias("user"), R.any_timestamp(F.coalesce(pick(TIME_KEYS), of_first(TIME_KEYS))).cast("timestamp_ntz").alias("ts"),
+        F.coalesce(pick(MODEL_KEYS), replier).alias("model"), F.coalesce(pick(VERSION_KEYS), of_first(VERSION_KEYS)).alias("version"), F.col("__m").alias("messages"),
     )
 
 
@@ -52,7 +72,7 @@ def read_chat_objects(spark: SparkSession, path: str) -> DataFrame:
 def turn_rows(rows: DataFrame, order: Sequence[str] = ("turn", "idx", "index", "position")) -> DataFrame:
     """One row per message; messages of a conversation are put in order by the first order column that is there."""
     at = next(c for c in order if c in rows.columns)
-    ident, fields = first_present(ID_KEYS, rows.columns), rows.columns
+    ident, fields = first_present(ID_KEYS, rows.schema), rows.schema
     m = F.struct(F.col(at).cast("long").alias("at"), R.role_name(first_present(ROLE_KEYS, fields)).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields), F.lit("")).alias("content"), first_present(RESPONDER_KEYS, fields).alias("responder"))
     grouped = rows.select(ident.alias("id"), m.alias("m"), first_present(USER_KEYS, fields).alias("user"), first_present(MODEL_KEYS, fields).alias("model")).groupBy("id")
     out = grouped.agg(F.max("user").alias("user"), F.max("model").alias("model"), F.array_sort(F.collect_list("m")).alias("m"))
@@ -129,9 +149,9 @@ def export_threads(rows: DataFrame, most_steps: int = 4096) -> DataFrame:
 
 def sender_exports(rows: DataFrame) -> DataFrame:
     """Exports of one person's chats, with senders instead of roles: the user is "you", model and responders are unknown."""
-    fields = rows.schema["chat_messages"].dataType.elementType.fieldNames()
+    fields = rows.schema["chat_messages"].dataType.elementType
     plain = F.transform("chat_messages", lambda x: F.struct(R.role_name(x["sender"]).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields, x), F.lit("")).alias("content"), F.lit(None).cast("string").alias("responder")))
-    return rows.select(first_present(ID_KEYS, rows.columns).alias("id"), F.lit("you").alias("user"), R.any_timestamp(first_present(TIME_KEYS, rows.columns)).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("version"), keep_spoken(plain).alias("messages"))
+    return rows.select(first_present([*ID_KEYS, "uuid"], rows.schema).alias("id"), F.lit("you").alias("user"), R.any_timestamp(first_present(TIME_KEYS, rows.schema)).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("version"), keep_spoken(plain).alias("messages"))
 
 
 def detect_format(schema: T.StructType) -> str:
