@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 20  # text handled by one round of vector operations; a longer document is a round of its own
+CHUNK_BYTES = 1 << 18  # text handled by one round of vector operations; a longer document is a round of its own
+BATCH_ROWS = 1000
 SPACES = b" \t\n\x0b\x0c\r"
 
 _rng = np.random.default_rng(20240607)
@@ -58,6 +59,13 @@ class Scratch:
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of texts have at most so many rows from now on; a lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While this holds, Arrow batches have at most so many rows; for steps whose rows hold large arrays."""
@@ -144,7 +152,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * CHUNK_BYTES:  # one very long text; not kept
+        if size > 8 * CHUNK_BYTES:  # one very long text; not kept
             return made[0], made[1]
         got = _powers[base] = (made[0], made[1])
     return got[0][:n], got[1][:n]

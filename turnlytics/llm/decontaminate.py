@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, hash_runs, hash_words, text_buffer, text_chunks, word_spans
+from .common import byte_class, hash_runs, hash_words, small_batches, text_buffer, text_chunks, word_spans
 from .license_scan import NOT_WORD
 
 IS_WORD = byte_class(but=NOT_WORD)
@@ -138,6 +138,7 @@ def verify(words: np.ndarray, item: np.ndarray, starts: set[int], errors: int, l
 
 
 def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_column).alias("item_id"), F.col(text_column).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, as_long, mix, powers, text_buffer, text_chunks
+from .common import _BYTE_CODES, as_long, mix, powers, small_batches, text_buffer, text_chunks
 
 UNDETERMINED = "und"
 _GRAM_BASE = 0x9E3779B97F4A7C15
@@ -89,6 +89,7 @@ def _grams(texts: pa.Array, sizes: Sequence[int]) -> tuple[list[np.ndarray], lis
 
 def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int = 2000, min_share: float = 1e-5, min_ratio: float = 0.25, max_languages: int = 256, slots: int = 1 << 20, hashes: int = 3) -> Filter:
     """Learn from (doc_id, text, lang)."""
+    small_batches(training.sparkSession)
     known = training.where("text is not null and lang is not null")
     counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
     languages = [x for x, _ in counts]
@@ -102,7 +103,7 @@ def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for b in text_chunks(batch, "text"):
+            for b in text_chunks(batch, "text", 1 << 20):
                 found, firsts = _grams(b.column("text"), sizes)
                 owner = b.column("number").to_numpy()
                 for hashes_here, first in zip(found, firsts, strict=True):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, hash_words, text_buffer, text_chunks, word_spans
+from .common import LOWER, byte_class, hash_words, small_batches, text_buffer, text_chunks, word_spans
 
 NOT_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 IS_WORD = byte_class(but=NOT_WORD)
@@ -89,6 +89,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     score is the largest share of a template's weight found in place: 1 for an exact phrase, 0 without any licence word.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     index = Index(phrases, notices)
     size = len(index.words)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, Scratch, as_long, batch_rows, hash_runs, hash_words, list_array, mix, text_buffer, text_chunks, word_spans
+from .common import LOWER, NON_SPACE, Scratch, as_long, batch_rows, hash_runs, hash_words, list_array, mix, small_batches, text_buffer, text_chunks, word_spans
 from .components import connected_components
 
 _rng = np.random.default_rng(77)
@@ -110,6 +110,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.  Linked: 100 * intersection >= percent * union."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "minhash")
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     sketched = scratch.table(sketch(narrow, shingle, bands, rows), "sketches")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Scratch, as_long, hash_runs, hash_words, list_array, sliding_min, text_buffer, text_chunks, within, word_spans
+from .common import NON_SPACE, Scratch, as_long, hash_runs, hash_words, list_array, sliding_min, small_batches, text_buffer, text_chunks, within, word_spans
 
 FACTORS = "array<struct<first_word:int,words:int,source:long>>"
 
@@ -117,6 +117,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
 def duplicate_passages(docs: DataFrame, window: int = 50, gram: int = 12, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables.  All documents: doc_id, n_words, digest (SHA-256 of the words joined by one space).  The changed ones:
     doc_id, n_removed, factors (first word, words, reference document), kept_text (kept words joined by one space)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "passages")
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     sketches = scratch.table(_sketch(narrow, window, gram), "sketches")

@@ -26,11 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, text_buffer, text_chunks
+from .common import hash_words, small_batches, text_buffer, text_chunks
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 2_000_000
+TABLE_CHUNK = 1 << 20  # the table of words is rebuilt once a chunk
 
 
 @dataclass
@@ -166,6 +167,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
     The driver reads the vocabulary file; what it sends to the tasks has the size of the vocabulary.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
@@ -174,7 +176,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
             _tables.clear()
             _tables[vocabulary_path] = WordTable(sent.value)
         for batch in batches:
-            for b in text_chunks(batch, "text"):
+            for b in text_chunks(batch, "text", TABLE_CHUNK):
                 counts, scores = count_texts(_tables[vocabulary_path], b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(scores)], ["doc_id", "n_tokens", "score"])
 
