@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +22,13 @@ def character_terms(rows: DataFrame, ident: str, text: str, low: int = 2, high:
 
     A word shorter than n gives itself once, with its spaces, and no longer n-grams.
     """
-    words = rows.select(ident, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\S+)"), 1)).alias("w")).select(ident, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    parts = F.array().cast("array<string>")
-    for n in range(low, high + 1):
-        some = F.expr(f"transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n}))")
-        parts = F.concat(parts, F.when(F.length("w") >= n, some).otherwise(F.array().cast("array<string>")))
-    return words.select(ident, F.explode(parts).alias("term"))
+    return rows.select(ident, F.explode(F.expr(character_grams(text, low, high))).alias("term"))
+
+
+def character_grams(text: str, low: int = 2, high: int = 4) -> str:
+    """SQL for the array of these n-grams of a column."""
+    grams = ", ".join(f"CASE WHEN length(w) >= {n} THEN transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})) ELSE CAST(array() AS array<string>) END" for n in range(low, high + 1))
+    return rf"flatten(transform(regexp_extract_all(lower({text}), '(\\S+)', 1), x -> flatten(transform(array(concat(' ', x, ' ')), w -> concat({grams})))))"
 
 
 def tfidf(terms: DataFrame, ident: str, least_documents: int = 2) -> DataFrame:
@@ -41,12 +42,13 @@ def tfidf(terms: DataFrame, ident: str, least_documents: int = 2) -> DataFrame:
     return rows.select(ident, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(ident)))).alias("weight"))
 
 
-def pipeline(n_rows: int, c: float = 4.0, features: int = 1 << 16, rounds: int = 60) -> Pipeline:
+def pipeline(n_rows: int, c: float = 4.0, word_features: int = 300_000, character_features: int = 400_000, rounds: int = 60) -> Pipeline:
     """Words and pairs, and characters, each with inverse document frequencies and unit length; multinomial regression."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    blocks, steps = [], [words, pairs]
-    for name in ("words", "pairs"):
+    terms = SQLTransformer(statement=f"SELECT *, concat(words, pairs) AS word, {character_grams('text')} AS char FROM __THIS__")
+    blocks, steps = [], [words, pairs, terms]
+    for name, features in (("word", word_features), ("char", character_features)):
         steps += [CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=features, minDF=2), IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_unit")]
         blocks.append(f"{name}_unit")
     steps += [VectorAssembler(inputCols=blocks, outputCol="features"), StringIndexer(inputCol="label", outputCol="label_index", handleInvalid="skip")]
