@@ -37,7 +37,7 @@ TRUTHS = {"is_repeat": "CASE WHEN repeated_request THEN {h:concat('g', conv_id):
 
 
 def raters(x: Chat) -> tuple[DataFrame, DataFrame]:
-    rows = x.labelled.where("intent IS NOT NULL AND conv_id % 10 = 0")
+    rows = x.labelled.where("intent IS NOT NULL")
     return rows.select("conv_id", "intent"), rows.select("conv_id", hashed(RATER_B).alias("intent"))
 
 
@@ -56,7 +56,7 @@ def truths(x: Chat) -> tuple[DataFrame, DataFrame]:
 
 
 def survey(x: Chat) -> tuple[DataFrame, DataFrame]:
-    rows = x.conversations.where("conv_id % 1000 < 5")
+    rows = x.conversations
     results = rows.select((F.col("conv_id") / 1000).cast("long").alias("participant"), (F.col("conv_id") % 1000).alias("question"), (F.lit(30.0) + hashed("{h:concat('y', conv_id):120}")).alias("seconds"), (hashed("{h:concat('b', conv_id):10}") < 9).alias("correct"), (hashed("{h:concat('f', conv_id):10}") < 8).alias("caveat"))
     votes = rows.select((F.col("conv_id") / 1000).cast("long").alias("respondent"), F.concat(F.lit("F"), F.col("conv_id") % 1000).alias("finding_id"), (hashed("{h:concat('w', conv_id % 1000):10}") + hashed("{h:concat('x', conv_id):4}") >= 5).alias("would_act"))
     return results, votes
