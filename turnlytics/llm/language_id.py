@@ -11,6 +11,9 @@ bytes.  Fitting takes at most about ``per_language`` texts for each language, ch
 ``max_languages`` languages, the most frequent; a language has at most 1 / min_share n-grams, which bounds what the driver
 gathers and sends.  Prediction reads every whole text and uses nothing but the text.
 
+Rejecting asks for a share of known n-grams: half of what nearly all training texts of the language have, with a margin for
+short texts.  Texts of a handful of n-grams pass with any evidence.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0.  A text none of whose n-grams are known gets
 the most frequent training language with score 0.  Ties go to the language that is more frequent, then first by name.
 Without training rows, every text is ``und``.  Repeated rows give repeated results.
@@ -37,13 +40,17 @@ CLEAN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 @dataclass
 class Filter:
-    """Slots of the bit-sliced filter; with more than 64 languages a slot has several words."""
+    """Slots of the bit-sliced filter; with more than 64 languages a slot has several words.
+
+    A floor is the share of known n-grams that a text of the language has at least.
+    """
 
     languages: list[str]
     sizes: Sequence[int]
     hashes: int
     slots: np.ndarray
     false_positives: np.ndarray
+    floors: np.ndarray | None = None
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         found = None
@@ -87,14 +94,14 @@ def _grams(texts: pa.Array, sizes: Sequence[int]) -> tuple[list[np.ndarray], lis
     return hashes, firsts
 
 
-def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int = 2000, min_share: float = 1e-5, min_ratio: float = 0.25, max_languages: int = 256, slots: int = 1 << 20, hashes: int = 3) -> Filter:
-    """Learn from (doc_id, text, lang)."""
+def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int = 2000, min_share: float = 1e-5, min_ratio: float = 0.25, max_languages: int = 256, slots: int = 1 << 20, hashes: int = 3, floors: bool = True) -> Filter:
+    """Learn from (doc_id, text, lang).  ``floors`` are needed to reject texts, not to identify them."""
     small_batches(training.sparkSession)
     known = training.where("text is not null and lang is not null")
     counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
     languages = [x for x, _ in counts]
     if not languages:
-        return Filter([], sizes, hashes, np.zeros(slots, np.uint8), np.zeros(0))
+        return Filter([], sizes, hashes, np.zeros(slots, np.uint8), np.zeros(0), np.zeros(0))
     steps = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(y) for x, n in counts for y in (x, min(steps, steps * per_language // n))]), F.col("lang"))
     number = F.element_at(F.create_map(*[F.lit(y) for i, x in enumerate(languages) for y in (x, i)]), F.col("lang"))
@@ -141,7 +148,27 @@ def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int =
         for i in range(len(languages)):
             table[at[owners[numbers == i]], i // 64] |= kind(1 << (i % 64))
     filled = np.array([np.count_nonzero(table[:, i // 64] & kind(1 << (i % 64))) / slots for i in range(len(languages))])
-    return Filter(languages, sizes, hashes, table[:, 0].copy() if width == 1 else table, filled**hashes)
+    model = Filter(languages, sizes, hashes, table[:, 0].copy() if width == 1 else table, filled**hashes)
+    if floors:
+        model.floors = learn_floors(sample, model)
+    return model
+
+
+def learn_floors(sample: DataFrame, model: Filter) -> np.ndarray:
+    """Per language, half of what all but one in a hundred of its training texts (number, text) have as share of known n-grams."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_chunks(batch, "text"):
+                counts, total = evidence(sent.value, b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("number"), pa.array(counts.max(axis=1) / np.maximum(total, 1))], ["number", "share"])
+
+    low = sample.where(has_letter(F.col("text"))).mapInArrow(shares, "number int, share double").groupBy("number").agg(F.percentile_approx("share", 0.01).alias("low"))
+    floors = np.zeros(len(model.languages))
+    for r in low.collect():  # a row per language
+        floors[r["number"]] = r["low"] / 2
+    return floors
 
 
 def evidence(model: Filter, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +197,16 @@ def predict_batch(model: Filter, texts: pa.Array, lettered: np.ndarray) -> tuple
     return [model.languages[i] if ok else UNDETERMINED for i, ok in zip(best, lettered, strict=True)], np.clip(np.where(lettered, score, 0.0), 0.0, 1.0)
 
 
+def known(model: Filter, texts: pa.Array) -> np.ndarray:
+    """Has a text as many known n-grams of its best language as the floor asks, less three standard deviations?"""
+    if not model.languages:
+        return np.zeros(len(texts), bool)
+    counts, total = evidence(model, texts)
+    floor = model.floors[counts.argmax(axis=1)]
+    most = counts.max(axis=1)
+    return (most > 0) & (most >= total * floor - 3 * np.sqrt(total * floor * (1 - floor)))
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -190,7 +227,9 @@ def identify(docs: DataFrame, model: Filter, id_column: str = "doc_id", text_col
 
 
 def reject_unidentified(docs: DataFrame, model: Filter, text_column: str = "text") -> DataFrame:
-    """The documents, all columns unchanged, whose language is found: those with a letter and some evidence."""
+    """The documents, all columns unchanged, whose language is found: those with a letter and enough n-grams of a learned language."""
+    if model.floors is None:
+        raise ValueError("the filter was fitted without floors")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names, flag = docs.columns, "__lettered"
     while flag in names:
@@ -199,8 +238,7 @@ def reject_unidentified(docs: DataFrame, model: Filter, text_column: str = "text
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_chunks(batch, text_column):
-                languages, score = predict_batch(sent.value, b.column(text_column), b.column(flag).to_numpy(zero_copy_only=False))
-                good = np.array([x != UNDETERMINED for x in languages], bool) & (score > 0)
+                good = b.column(flag).to_numpy(zero_copy_only=False) & known(sent.value, b.column(text_column))
                 yield b.filter(pa.array(good)).select(names)
 
     return docs.withColumn(flag, has_letter(F.col(text_column))).mapInArrow(keep, docs.schema)

@@ -65,7 +65,7 @@ def held_out(docs: DataFrame) -> DataFrame:
 
 def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(held_out(docs).where(~F.col("held_out")).select("doc_id", "text", "lang"))
+    model = language_id.fit(held_out(docs).where(~F.col("held_out")).select("doc_id", "text", "lang"), floors=False)
     return held_out(language_id.identify(docs, model)).select("doc_id", "held_out", "lang_pred", "score")
 
 
