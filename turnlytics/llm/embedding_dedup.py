@@ -6,7 +6,9 @@ substrings, one per table of the multi-index.  Vectors of one label that agree i
 compared by their original vectors in double precision.  A pair that meets in several tables counts in the first one only.
 
 The substring length follows the logarithm of the largest label, and the number of tables follows from it: a pair at the
-threshold is to meet with probability ``recall``, taking the angle's share of differing bits.  Buckets are cut into blocks of
+threshold is to meet with probability ``recall``.  A first plan takes the angle's share of differing bits; then sample vectors
+and partners at the threshold are encoded, and tables are added (past ``MOST_TABLES``, substrings shortened) until enough
+pairs meet, as centring widens angles where vectors share a mean.  Buckets are cut into blocks of
 ``block`` vectors, and a task compares one pair of blocks at a time; it returns a count per vector and links that span what
 is connected, never all pairs.  Equal vectors are one class with a multiplicity.
 
@@ -29,6 +31,8 @@ from .common import Scratch
 from .components import connected_components
 
 SAMPLE_ROWS = 20_000
+PROBES = 8_000
+MOST_TABLES = 128
 
 
 def fit_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +61,47 @@ def plan_tables(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     return length, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, length: int, tables: int) -> np.ndarray:
+    """Bits of unit vectors: vector, table, place in the substring."""
+    bits = min(x.shape[1], 64)
+    per = max(1, bits // length)
+    return ((x - mean) @ projection >= 0).reshape(len(x), -1, bits)[:, :, : per * length].reshape(len(x), -1, length)[:, :tables]
+
+
+def partners(x: np.ndarray, threshold: float, seed: int = 11) -> np.ndarray:
+    """For each unit vector, another one in a random direction at the threshold."""
+    u = np.random.default_rng(seed).standard_normal(x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    norm = np.linalg.norm(u, axis=1, keepdims=True)
+    u = np.divide(u, norm, out=np.zeros_like(u), where=norm > 1e-12)
+    return threshold * x + math.sqrt(1 - threshold**2) * u
+
+
+def fit_tables(sample: np.ndarray, rows: int, threshold: float, recall: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Substring length, number of tables, mean and projection with which pairs at the threshold meet as often as asked."""
+    bits = min(sample.shape[1], 64)
+    length, tables = plan_tables(rows, threshold, recall)
+    length = min(length, bits)
+    probes = np.tile(sample, (-(-1000 // len(sample)), 1))[:PROBES]
+    others = partners(probes, threshold)
+    fitted = 0
+    while True:
+        if (need := -(-tables // max(1, bits // length))) > fitted:
+            (mean, whole), fitted = fit_rotations(sample, need), need
+        projection = whole[:, : need * bits]
+        met = np.zeros(len(probes), bool)
+        for at in range(0, len(probes), 500):
+            x, y = (codes(v[at : at + 500], mean, projection, length, tables) for v in (probes, others))
+            met[at : at + 500] = (x == y).all(axis=2).any(axis=1)
+        missed = 1 - met.mean()
+        if missed <= (1 - recall) + 2 * math.sqrt(recall * (1 - recall) / len(probes)) or length == 1:  # within what chance explains
+            return length, tables, mean, projection
+        if tables < MOST_TABLES:
+            tables = min(MOST_TABLES, math.ceil(1.4 * tables))
+        else:
+            length = max(1, length - 2)
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """Of (vec_id, label, embedding): rows that can link, one for each (label, embedding), with multiplicity."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -98,7 +143,6 @@ def compare(spark: SparkSession, classes: DataFrame, scratch: Scratch, threshold
 
 
 def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall, sample_rows, block) -> DataFrame:
-    length, tables = plan_tables(largest, threshold, recall)
     steps = 1 << 30
     share = min(steps, steps * sample_rows // total)
     sample = np.array([r[0] for r in classes.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < share).select("embedding").collect()], float).reshape(-1, dim)
@@ -106,12 +150,8 @@ def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall
         sample = np.array([classes.first()["embedding"]], float)
     sample = sample / np.abs(sample).max(axis=1, keepdims=True)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    per = max(1, min(dim, 64) // length)
-    if min(dim, 64) < length:
-        length = min(dim, 64)
-    mean, projection = fit_rotations(sample, -(-tables // per))
+    length, tables, mean, projection = fit_tables(sample, largest, threshold, recall)
     sent = spark.sparkContext.broadcast((mean, projection))
-    bits = min(dim, 64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection = sent.value
@@ -121,7 +161,7 @@ def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall
                 x = b.column("embedding").flatten().to_numpy().reshape(-1, dim)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                code = ((x - mean) @ projection >= 0).reshape(len(x), -1, bits)[:, :, : per * length].reshape(len(x), -1, length)[:, :tables]
+                code = codes(x, mean, projection, length, tables)
                 keys = (code @ (1 << np.arange(length))).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), b.column("label"), b.column("copies"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().astype(np.int64)), tables).cast(pa.list_(pa.int64()))],
