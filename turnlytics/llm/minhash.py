@@ -164,12 +164,11 @@ def outlier_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     items = sets.join(ids, "id").select("id", F.explode("items").alias("item"))
     alone = items.groupBy("item").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
     alone = scratch.table(alone, "alone")
-    # both sizes together are at most this times what the two share
-    most = F.lit((100.0 + percent) / percent)
+    # percent times both sizes together is at most 100 + percent times what the two share; in whole numbers, as ties count
     members = members.join(alone, "id", "left").withColumn("can_share", F.col("n") - F.coalesce("alone", F.lit(0)))
-    members = scratch.table(members.withColumn("reach", most * F.col("can_share") - F.col("n")).select("bucket", "id", "n", "part", "can_share", "reach", (F.col("part") != F.col("main")).alias("outlier")), "reaches")
+    members = scratch.table(members.withColumn("reach", (100 + percent) * F.col("can_share") - percent * F.col("n")).select("bucket", "id", "n", "part", "can_share", "reach", (F.col("part") != F.col("main")).alias("outlier")), "reaches")
     limits = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("reach").alias("farthest"), F.sum("n").alias("crowd"))
-    outliers = members.where("outlier").join(scratch.table(limits, "limits"), "bucket").where("reach >= least AND n <= farthest")
+    outliers = members.where("outlier").join(scratch.table(limits, "limits"), "bucket").where(f"reach >= {percent} * least AND {percent} * n <= farthest")
     outliers = scratch.table(outliers.select("bucket", "id", "n", "part", "can_share", "crowd"), "outliers")
     crowds = scratch.table(outliers.groupBy("bucket").agg(F.sum("n").alias("few"), F.max("crowd").alias("crowd")), "crowds")
     place = lambda count, size: F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col(count) / size))
