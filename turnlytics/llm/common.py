@@ -79,9 +79,11 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the setting is absent."""
+    """The folder that driver and executors share; a temporary one only where the setting is absent on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -125,12 +127,15 @@ LOWER[65:91] += 32
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of the words, and for each text the index of its first word (n + 1 entries)."""
-    edge = np.zeros(len(data) + 1, bool)
+    return spans(is_word[data], np.zeros(len(data) + 1, bool), offsets)
+
+
+def spans(inside: np.ndarray, edge: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, given which bytes belong to words and before which bytes a word ends in any case."""
     edge[offsets] = True
-    inside = is_word[data]
-    before = np.empty(len(data), bool)
-    after = np.empty(len(data), bool)
-    if len(data):
+    before = np.empty(len(inside), bool)
+    after = np.empty(len(inside), bool)
+    if len(inside):
         before[0] = after[-1] = False
         before[1:] = inside[:-1]
         after[:-1] = inside[1:]
