@@ -12,11 +12,14 @@ each source's rows in each range, and numbers rows within a range.  A source wit
 ranges, so no task holds a whole source.
 
 Defined results: a null text has size 0; documents of size 0 take 0.  A null source is a source of its own, the last one.
-Sources whose documents are all empty have target 0.  Rows equal in source, size and id may swap their copies.
+Sources whose documents are all empty have target 0.  Rows are placed one by one, also those with a null or repeated id; rows
+equal in source, size, id and text are alike, and which of them is drawn makes no difference.  An empty table gives no rows.
+A text may have any length.  Other columns, whatever their names, play no part; ``draw_copies`` passes them through.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,26 +61,45 @@ def random_offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 5), 16, 10).cast("double") / OFFSET_STEPS
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), total: float = 1.0, most: float = 3.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target (its source's), copies, taken (words)."""
+def _drawn(docs: DataFrame, weights: Sequence[float], total: float, most: float, seed: int, id_column: str, text_column: str, source_column: str, carried: Sequence[str]) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, and a struct ``row`` of the carried columns."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"))
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last()]
-    sized = scratch.table(sized, "sizes")
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(None).cast("string")
+    text = F.col(text_column)
+    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"), row.alias("row"))
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("tie")]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = scratch.table(sized.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("source", "range").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
-    counts = scratch.table(counts, "counts")
-    targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
-    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0)))
-    counts = counts.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "range", "before", "source_size", "target")
-    counts = scratch.table(counts, "positions")
-    rows = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("source", "range").orderBy("size", F.col("doc_id").asc_nulls_last())))
+    with scratch.inner("steps") as inner:
+        sized = inner.table(sized, "sizes")
+        ranged = scratch.table(sized.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "ranges")
+        counts = inner.table(ranged.groupBy("source", "range").agg(F.count("*").alias("rows"), F.sum("size").alias("words")), "counts")
+        targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
+        along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0)))
+        counts = counts.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "range", "before", "source_size", "target")
+        counts = scratch.table(counts, "positions")
+    rows = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("source", "range").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")))
     rows = rows.alias("r").join(counts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.range") == F.col("c.range")))
-    rows = rows.select("doc_id", "r.source", "size", "source_size", "target", (F.col("before") + F.col("rank")).cast("double").alias("place"))
+    rows = rows.select("doc_id", "r.source", "size", "source_size", "target", "row", (F.col("before") + F.col("rank")).cast("double").alias("place"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = random_offset(F.col("source"), seed)
     copies = F.floor(F.col("place") * each + start) - F.floor((F.col("place") - 1) * each + start)
-    rows = rows.withColumn("copies", F.least(copies, F.lit(int(most))))
+    # a share of at most ``most`` crosses no more than its ceiling of whole numbers; the bound guards the last digit only
+    return rows.withColumn("copies", F.least(copies, F.lit(math.ceil(most)).cast("long")))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), total: float = 1.0, most: float = 3.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target (its source's), copies, taken (words)."""
+    rows = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column, ())
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def draw_copies(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), total: float = 1.0, most: float = 3.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", number: str = "copy") -> DataFrame:
+    """The mix itself: a row per copy, with all columns of the documents and the copy's number from 1.
+
+    Should the documents have a column of that name, underscores are added to the new one's.
+    """
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    rows = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column, docs.columns).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("drawn")).select("row.*", F.col("drawn").alias(number))
