@@ -7,16 +7,17 @@ set bits are counted per language, and each count is corrected for that language
 follows from the part of the slots that have its bit.  The largest corrected count decides.
 
 Texts are lower-cased; runs of ASCII non-letters count as one space, and a text starts and ends with one.  n-grams are of
-bytes.  Fitting takes at most about ``per_language`` texts for each language, chosen by a hash of the id, and at most
-``max_languages`` languages, the most frequent; a language has at most 1 / min_share n-grams, which bounds what the driver
-gathers and sends.  Prediction reads every whole text and uses nothing but the text.
+bytes.  Fitting takes every language, and at most about ``per_language`` texts for each, chosen by a hash of the id; a language
+has at most 1 / min_share n-grams, which bounds what the driver gathers and sends.  n-grams seen once are left out unless a
+language of fewer than ``few_texts`` texts holds them.  Prediction reads every whole text and uses nothing but the text.
 
 Rejecting asks for a share of known n-grams: half of what nearly all training texts of the language have, with a margin for
 short texts.  Texts of a handful of n-grams pass with any evidence.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.  A text none of whose n-grams are known gets
 the most frequent training language with score 0.  Ties go to the language that is more frequent, then first by name.
-Without training rows, every text is ``und``.  Repeated rows give repeated results.
+Without training rows, every text is ``und``.  Repeated rows give repeated results.  Empty tables give no rows.  Texts of any
+length are read whole.  Other columns, whatever their names, play no part; ``reject_unidentified`` passes them through.
 """
 
 from __future__ import annotations
@@ -94,18 +95,18 @@ def _grams(texts: pa.Array, sizes: Sequence[int]) -> tuple[list[np.ndarray], lis
     return hashes, firsts
 
 
-def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int = 2000, min_share: float = 1e-5, min_ratio: float = 0.25, max_languages: int = 256, slots: int = 1 << 20, hashes: int = 3, floors: bool = True) -> Filter:
+def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int = 2000, min_share: float = 1e-5, min_ratio: float = 0.25, few_texts: int = 200, slots: int = 1 << 20, hashes: int = 3, floors: bool = True) -> Filter:
     """Learn from (doc_id, text, lang).  ``floors`` are needed to reject texts, not to identify them."""
     small_batches(training.sparkSession)
     known = training.where("text is not null and lang is not null")
-    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]  # a row per language
     languages = [x for x, _ in counts]
     if not languages:
         return Filter([], sizes, hashes, np.zeros(slots, np.uint8), np.zeros(0), np.zeros(0))
     steps = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(y) for x, n in counts for y in (x, min(steps, steps * per_language // n))]), F.col("lang"))
     number = F.element_at(F.create_map(*[F.lit(y) for i, x in enumerate(languages) for y in (x, i)]), F.col("lang"))
-    sample = known.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select(number.alias("number"), "text")
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select(number.alias("number"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -127,7 +128,9 @@ def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), i), pa.int32()), pa.array(as_long(keys[part])), pa.array(n[part], pa.int64())], ["number", "gram", "n"])
 
     grams = sample.mapInArrow(count, "number int, gram long, n long").groupBy("gram", "number").agg(F.sum("n").alias("n"))
-    grams = grams.groupBy("gram").agg(F.collect_list(F.struct("number", "n")).alias("by"), F.sum("n").alias("n")).where("n > 1")  # a list has an entry per language
+    grams = grams.groupBy("gram").agg(F.collect_list(F.struct("number", "n")).alias("by"), F.sum("n").alias("n"))  # a list has an entry per language
+    rare = next((i for i, (_, n) in enumerate(counts) if n < few_texts), len(counts))  # languages are numbered from the most frequent on
+    grams = grams.where((F.col("n") > 1) | F.exists("by", lambda x: x["number"] >= rare))
     grams = grams.persist()
     try:
         totals = {r["number"]: r["n"] for r in grams.select(F.explode("by").alias("b")).groupBy("b.number").agg(F.sum("b.n").alias("n")).collect()}
