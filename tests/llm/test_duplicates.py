@@ -114,7 +114,7 @@ def windows_removed(rows, n):
 @pytest.mark.parametrize("window", [50, 20])
 def test_substring_dedup_equals_all_windows(documents, rows, window):
     every, changed = substring_dedup.duplicate_passages(documents, window=window, gram=8)
-    got = every.join(changed, "doc_id", "left").withColumn("sha", F.coalesce(F.sha2("kept_text", 256), "digest")).collect()
+    got = every.join(changed, ["doc_id", "text_key"], "left").withColumn("sha", F.coalesce(F.sha2("kept_text", 256), "digest")).collect()
     want = windows_removed(rows, window)
     assert len(got) == len(rows)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"] or 0, r["sha"]) for r in got} == want
@@ -126,10 +126,52 @@ def test_substring_dedup_equals_all_windows(documents, rows, window):
             assert " ".join(part) in " ".join(texts[f["source"]])
 
 
-def test_parse_makes_factors_and_keeps_boundaries():
-    assert substring_dedup.parse([0, 1, 2, 3], [5, 5, 5, 5], 10) == [{"first_word": 0, "words": 13, "source": 5}]
-    assert substring_dedup.parse([0, 1, 30], [5, 6, 5], 10) == [{"first_word": 0, "words": 10, "source": 5}, {"first_word": 1, "words": 10, "source": 6}, {"first_word": 30, "words": 10, "source": 5}]
-    assert substring_dedup.parse([], [], 10) == []
+def factors_of(words, references, window):
+    made = substring_dedup.parse([str(w).encode() for w in words], [(source, place, [str(w).encode() for w in part]) for source, place, part in references], window)
+    return [(f["first_word"], f["words"], f["source"], f["source_word"]) for f in made]
+
+
+def test_parse_is_greedy_and_checks_boundaries():
+    a = list(range(100, 140))
+    # one reference goes on past the start of another, smaller one: the longer match is the factor
+    assert factors_of([1, *a, 2], [(5, 0, a[:12]), (6, 7, a)], 10) == [(1, 40, 6, 7)]
+    # the second factor starts inside the first one: windows that straddle its end are looked up
+    assert factors_of([*a[:30], 9], [(5, 0, a[:20]), (6, 0, a[15:30])], 10) == [(0, 20, 5, 0), (15, 15, 6, 0)]
+    # between two references nothing of a window's length is shared
+    assert factors_of([*a[:10], 7, *a[10:20]], [(5, 0, a[:20])], 10) == [(0, 10, 5, 0), (11, 10, 5, 10)]
+    assert factors_of(a[:9], [(5, 0, a)], 10) == factors_of(a, [], 10) == factors_of([], [], 10) == []
+    # repetitions, and equal matches: the first place of the smallest reference
+    assert factors_of([3] * 25, [(5, 0, [3] * 12), (6, 0, [3] * 12)], 10) == [(0, 12, 5, 0), (3, 12, 5, 0), (6, 12, 5, 0), (9, 12, 5, 0), (12, 12, 5, 0), (15, 10, 5, 0)]
+
+
+def test_parse_covers_what_all_windows_cover():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, window = rng.randrange(0, 60), rng.randrange(2, 6)
+        words, references = [rng.randrange(3) for _ in range(n)], [(k, 0, [rng.randrange(3) for _ in range(rng.randrange(0, 25))]) for k in range(3)]
+        held = {tuple(r[i : i + window]) for _, _, r in references for i in range(len(r) - window + 1)}
+        want = {i + k for i in range(n - window + 1) if tuple(words[i : i + window]) in held for k in range(window)}
+        assert {i + k for i, size, _, _ in factors_of(words, references, window) for k in range(size)} == want
+
+
+def test_parse_compares_words_not_hashes(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "hash_words", lambda data, starts, ends: np.ones(len(starts), np.uint64))
+    assert factors_of([1, 2, 3, 4, 5], [(0, 0, [1, 2, 3, 9]), (1, 0, [7, 7, 7, 7])], 3) == [(0, 3, 0, 0)]
+
+
+def test_blocks_of_one_text_join():
+    words = [f"w{i}" for i in range(40)]
+    block = lambda k: {"source": 1, "number": k, "words": " ".join(words[k * 8 : k * 8 + 8 + 4])}
+    got = substring_dedup.joined_blocks([block(3), block(0), block(1)], 5, 8)
+    assert [(s, p, [w.decode() for w in part]) for s, p, part in got] == [(1, 0, words[:20]), (1, 24, words[24:36])]
+
+
+def test_substring_dedup_string_ids_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [("d1", a), ("d2", b + " " + a), ("d2", c), ("d3", c + " x"), ("d3", c + " x"), (None, a), ("d4", None), ("d5", "")]
+    _, changed = substring_dedup.duplicate_passages(spark.createDataFrame(rows, "doc_id string, text string"))
+    got = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in changed.collect())
+    assert got == [("d2", 80, b), ("d3", 80, "x")]
 
 
 def test_substring_dedup_empty_table(no_documents):

@@ -142,6 +142,23 @@ def test_targets_equal_refilling(spark):
         assert got == pytest.approx(target)
 
 
+def test_mixing_share_that_is_not_whole(spark):
+    rows = [(i, "w " * 10, "small" if i < 50 else "large") for i in range(1000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 1.0), most=2.5).where("source = 'small'").collect()
+    assert {r["target"] for r in got} == {1250.0} and abs(sum(r["taken"] for r in got) - 1250) <= 10 and {r["copies"] for r in got} == {2, 3}
+
+
+def test_mixing_draws_rows_not_ids(spark):
+    rows = [(None, f"t{i} w w", "a", i) for i in range(7)] + [(1, f"u{i}", None, i) for i in range(5)] + [(1, "u0", None, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").withColumns({c: F.lit(c) for c in ("copy", "row", "size", "tie", "drawn")})
+    got = mixing.draw_copies(frame)
+    assert got.columns == [*frame.columns, "copy_"]
+    counts = sorted(r["copies"] for r in mixing.mix_sources(frame).collect())
+    taken = got.groupBy(*frame.columns).agg(F.count("*").alias("times")).collect()
+    assert sum(r["times"] for r in taken) == sum(counts) and {r["copy"] for r in taken} == {"copy"}
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.draw_copies(frame.repartition(5)).collect()))
+
+
 def test_mixing_empty_and_textless(spark, no_documents):
     assert mixing.mix_sources(no_documents).count() == 0
     got = mixing.mix_sources(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()
@@ -177,7 +194,7 @@ def test_myers_equals_table():
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(8)
-    items = [(i, prose(rng, n)) for i, n in enumerate([3, 5, 9, 14, 30, 75])] + [(90, None), (91, ""), (92, "...")]
+    items = [(i, prose(rng, n)) for i, n in enumerate([3, 5, 9, 14, 30, 75, 1, 4])] + [(90, None), (91, ""), (92, "...")]
     docs = []
     for i, text in items:
         for edits in range(0, 12):
@@ -195,15 +212,33 @@ def test_leaks_equal_brute_force(spark):
     for d, text in docs:
         for i, item in items:
             w = words(item)
-            if len(w) >= 5:
+            if w:
                 distance = edit_distance(w, words(text), True)
-                if distance <= int(0.2 * len(w)):
+                if distance <= min(int(0.2 * len(w)), len(w) - 1):
                     want[d, i] = distance
     assert {k: r["distance"] for k, r in got.items()} == want
     for (d, i), r in got.items():  # the place that is returned has that distance
         assert edit_distance(words(dict(items)[i]), words(docs[d][1])[r["first_word"] : r["end_word"]], False) == r["distance"]
     clean = decontaminate.remove_leaks(frame, spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want} and clean.columns == frame.columns
+    size = {i: len(words(t)) for i, t in items}
+    gone = {d for d, i in want if size[i] >= 4 or 2 * size[i] >= len(words(docs[d][1]))}
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - gone and clean.columns == frame.columns
+
+
+def test_leaks_of_short_items_and_scripts_without_spaces(spark):
+    question = "下列哪一项是太阳系中体积最大的行星并且拥有明显的大红斑？"
+    items = [(1, "Paris"), (2, "Name the French capital"), (3, question), (4, "ประเทศไทยมีกี่จังหวัดในปัจจุบันนี้"), (5, "フランスの首都はどこですか"), (2, "Name the French capital")]
+    near = question.replace("最大", "很大").replace("明显", "显著")
+    texts = ["In paris today.", "please NAME the french capital now", "前言，" + question + "后记。", "前言" + near + "后记", "จริงๆ" + items[3][1] + "ครับ", "問：" + items[4][1] + "？", "太阳系", None, "", "Paris"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert got == [(0, 1, 0), (1, 2, 0), (1, 2, 0), (2, 3, 0), (3, 3, 3), (4, 4, 0), (5, 5, 0), (9, 1, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.remove_leaks(docs, bench).collect()) == [0, 6, 7, 8]  # one word of a longer text is no leak
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+    assert decontaminate.remove_leaks(docs, bench.limit(0)).count() == len(texts) and decontaminate.remove_leaks(docs.limit(0), bench).count() == 0
+    again = docs.unionAll(docs)
+    assert decontaminate.find_leaks(again, bench).count() == 2 * len(got)
 
 
 # Token counts
@@ -269,6 +304,56 @@ def test_language_id_odd_texts(spark, documents, no_documents):
     assert {r["lang_pred"] for r in language_id.identify(documents, language_id.fit(training.limit(0))).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)) for _ in range(300)]
+    rows = [(1000 * k + i, texts[k], f"l{k:03d}") for k in range(300) for i in range(2)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), floors=False)
+    assert len(model.languages) == 300
+    got = language_id.identify(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_language_id_equals_plain_sets(spark):
+    """The same votes, counted with a set of n-grams per language instead of the Bloom filters."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    training = queries.held_out(docs).where("NOT held_out").select("doc_id", "text", "lang")
+    model = language_id.fit(training, floors=False)
+    known = [(r["text"], r["lang"]) for r in training.where("text is not null and lang is not null").collect()]
+
+    def grams(text):  # byte n-grams of the lower-cased text, runs of ASCII non-letters as one space
+        b = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", text.lower().encode()).strip(b" ")
+        b = b" " + b + b" " if b else b" "
+        return [b[i : i + n] for n in model.sizes for i in range(len(b) - n + 1)]
+
+    tables = {x: {} for x in model.languages}
+    together = {}
+    for text, lang in known:
+        for g in grams(text):
+            tables[lang][g] = tables[lang].get(g, 0) + 1
+            together[g] = together.get(g, 0) + 1
+    for t in tables.values():
+        for g in [g for g in t if together[g] < 2]:
+            del t[g]
+    total = {x: sum(t.values()) for x, t in tables.items()}
+    share = {x: {g: n / total[x] for g, n in t.items()} for x, t in tables.items()}
+    sets = {x: {g for g, s in share[x].items() if s >= 1e-5 and s >= 0.25 * max(y.get(g, 0) for y in share.values())} for x in share}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    differs = 0
+    for r in docs.where("text is not null").select("doc_id", "text").collect():
+        if not re.search(r"[^\W\d_]", r["text"]):
+            continue
+        found = grams(r["text"])
+        votes = {x: sum(g in s for g in found) for x, s in sets.items()}
+        best = max(model.languages, key=lambda x: (votes[x], -model.languages.index(x)))
+        if got[r["doc_id"]]["lang_pred"] != best:
+            differs += 1
+            continue
+        if sum(votes.values()) >= 200:  # false positives are corrected on average, so only longer texts agree closely
+            assert abs(got[r["doc_id"]]["score"] - votes[best] / sum(votes.values())) < 0.05
+    assert differs <= 0.002 * len(got)
+
+
 def test_language_filter_returns_all_languages_of_a_gram(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("alpha beta", "x"), ("alpha gamma", "y")] * 20)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sizes=(5,))

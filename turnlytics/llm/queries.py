@@ -37,7 +37,7 @@ def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, changed = substring_dedup.duplicate_passages(table(spark, sf_dir, "documents"), window=50)
-    rows = every.join(changed.select("doc_id", "n_removed", F.sha2("kept_text", 256).alias("kept")), "doc_id", "left")
+    rows = every.join(changed.select("doc_id", "text_key", "n_removed", F.sha2("kept_text", 256).alias("kept")), ["doc_id", "text_key"], "left")
     return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "digest").alias("kept_sha256"))
 
 
