@@ -3,6 +3,16 @@
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns the documents it keeps, with the
 columns of ``documents``; the last one adds the number of the copy.  ``run`` writes each stage's result as Parquet in the
 cluster's shared folder and reads it again for the next one.
+
+Decisions fall on rows, not on ids.  Defined results:
+- A null or empty text has no language, so the first stage rejects it.
+- Of rows that are near-duplicates, the one with the smallest id stays (a null id counts as the largest); of rows equal in id, any one.
+  So exact repeats of a row leave one.  Rows with a null or repeated id are compared like all others.
+- Passages are removed where a row with a smaller id holds them; rows with a null id keep their texts and are no reference.  ``n_chars``
+  follows the text that is left.
+- The mixture draws rows one by one, whatever their ids; reruns agree.
+- Empty tables pass through as such.  Further columns pass through unchanged; a name that a stage needs for a column of its own gets
+  underscores added until it is free.
 """
 
 from __future__ import annotations
@@ -15,27 +25,39 @@ from turnlytics.llm.common import Scratch
 from turnlytics.llm.queries import held_out, table
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the filters learn from the labelled documents outside the held-out fold."""
-    model = language_id.fit(held_out(docs).where(~F.col("held_out")).select("doc_id", "text", "lang"))
-    return language_id.reject_unidentified(docs, model)
+    training = held_out(docs.select("doc_id", "text", "lang")).where(~F.col("held_out")).select("doc_id", "text", "lang")
+    return language_id.reject_unidentified(docs, language_id.fit(training))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8); rows without an id stay."""
-    groups = minhash.near_duplicates(docs)
-    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    number = _free("row_number", docs)
+    rows = Scratch(spark, "numbered").table(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, id_column=number).select(F.col("doc_id").alias("number"), "component_id")
+    members = groups.join(rows.select(F.col(number).alias("number"), "doc_id"), "number")
+    first = members.groupBy("component_id").agg(F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first")).where("size > 1")
+    kept = first.select("component_id", F.col("first.number").alias("kept"))
+    gone = members.join(kept, "component_id").where("number <> kept").select(F.col("number").alias(number))
+    return rows.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word passages that an earlier document holds; documents that lose all words go."""
     _, changed = substring_dedup.duplicate_passages(docs)
-    changed = changed.select("doc_id", F.col("kept_text").alias("__kept"))
-    text = F.coalesce("__kept", "text")
-    rows = docs.join(changed, "doc_id", "left").where(F.col("__kept").isNull() | (F.col("__kept") != ""))
-    rows = rows.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long")))
-    return rows.withColumn("text", text).select(docs.columns)
+    changed = changed.select("doc_id", "text_key", "kept_text").alias("c")
+    docs = docs.alias("d")
+    rows = docs.join(changed, (F.col("d.doc_id") == F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("c.text_key")), "left")
+    left = F.col("c.kept_text")
+    new = {"text": F.coalesce(left, "d.text"), "n_chars": F.when(left.isNull(), F.col("d.n_chars")).otherwise(F.length(left).cast("long"))}
+    return rows.where(left.isNull() | (left != "")).select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +67,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row per copy that is taken, numbered from 1."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*(docs[c] for c in docs.columns), "copies")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return mixing.draw_copies(docs)
 
 
 STAGES = [
