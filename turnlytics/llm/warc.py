@@ -10,7 +10,8 @@ Only digests, never payloads, are compared between rows.  Each task writes its b
 only bundles that the committed index names are read back, so retried or speculative tasks leave nothing wrong behind.
 
 Defined results: a null html is an empty payload.  Rows with a null page id are all responses, revisited by none.
-Repeated rows that share the largest id are all responses.  An empty table gives no bundle and no rows.
+Repeated rows that share the largest id are all responses.  An empty table gives no bundle and no rows.  A payload of any length is
+one record in one frame.  Page ids are whole numbers (cast to long).  Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -175,9 +176,15 @@ def _record(row: dict) -> tuple[str, bytes]:
     return name, make_record(headers, b"")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, read frame by frame; a response's digest and length are computed from its block."""
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"))
+def read_archives(index: DataFrame, part_frames: int = 256) -> DataFrame:
+    """Every record of the bundles that the index names, read frame by frame; a response's digest and length are computed from its block.
+
+    There are as many tasks as parts of ``part_frames`` frames, a bundle being one part at least.
+    """
+    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("frame") / part_frames))
+    # index rows are tiny and the frames they name are not, so the number of tasks follows the frames and is fixed: Spark
+    # does not merge partitions of a stated number
+    tasks = index.agg(F.count_distinct("bundle", F.floor(F.col("frame") / part_frames))).first()[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source, table = None, None, []
@@ -196,7 +203,7 @@ def read_archives(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    return frames.repartition("bundle").sortWithinPartitions("bundle", "frame").mapInArrow(read, "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return frames.repartition(max(tasks, 1), "bundle", "part").drop("part").sortWithinPartitions("bundle", "frame").mapInArrow(read, "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
 _READ = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
