@@ -1,16 +1,26 @@
-"""Token counts under a unigram vocabulary, without making tokens.
+"""Token counts without making tokens.
 
-An Aho-Corasick automaton enumerates all vocabulary matches of a text; dynamic programming carries, for each position, the
-best score and its piece count.  Ties follow the unigram tokenizers' rule: of equal scores, the path whose last piece starts
-first stays.  A character that is no piece by itself costs the lowest score less 10; with byte pieces it counts as its UTF-8
-bytes, else a run of such characters counts as one.  A text starts with the space symbol, and spaces become that symbol.
+An Aho-Corasick automaton enumerates all vocabulary matches of a text, and dynamic programming carries counts from position to
+position, by the tokenizer's own rule:
+
+- Unigram vocabularies (Viterbi): best score and its piece count.  Of equal scores, the path whose last piece starts first
+  stays.  A character that is no piece by itself costs the lowest score less 10.
+- Merge vocabularies (byte-pair encoding): a prefix has one encoding, so its count and last piece are carried.  A match follows
+  the last piece of the prefix before it if merging the two texts together (best score first, then leftmost) gives just
+  these two pieces; neighbours that all pass this test are the encoding of the whole.  The outcome for a pair of pieces is
+  kept.
+
+``n_tokens`` is the count by the rule of the vocabulary's own type, ``n_unigram`` and ``score`` are the Viterbi count and score of its
+pieces; for unigram vocabularies the two counts are one.  With byte pieces an unknown character counts as its UTF-8 bytes,
+else a run of such characters counts as one.  A text starts with the space symbol, and spaces become that symbol.
 
 No piece holds a space symbol after another character (checked when a vocabulary is loaded; without that, texts stay whole),
 so the best path of a text is that of its words, one after the other.  A task scores each distinct word of a chunk once and
 keeps a bounded table of word counts for later chunks.  Words are identified by 64-bit hashes.  Word scores are added per
 text, which equals the whole-text sum exactly for vocabularies with whole-number scores.
 
-Defined results: null and empty texts have 0 tokens and score 0.  Repeated rows give repeated results.
+Defined results: null and empty texts have 0 tokens and score 0.  Repeated rows give repeated results.  An empty table gives no rows.
+A text of any length is counted whole.  Other columns, whatever their names, play no part.  Ids may have any type.
 """
 
 from __future__ import annotations
@@ -36,21 +46,58 @@ TABLE_CHUNK = 1 << 20  # the table of words is rebuilt once a chunk
 
 @dataclass
 class Vocabulary:
+    """``merges``: whether tokens are made by merging (byte-pair encoding), not by the best sum of scores."""
+
     pieces: list[str]
     scores: list[float]
     byte_fallback: bool
+    merges: bool = False
 
     def __getstate__(self):
-        return (self.pieces, self.scores, self.byte_fallback)
+        return (self.pieces, self.scores, self.byte_fallback, self.merges)
 
     def __setstate__(self, state):
-        self.pieces, self.scores, self.byte_fallback = state
+        self.pieces, self.scores, self.byte_fallback, self.merges = state
+
+    @cached_property
+    def score_of(self) -> dict[str, float]:
+        return dict(zip(self.pieces, self.scores, strict=True))
+
+    @cached_property
+    def inner(self) -> frozenset[str]:
+        """Characters that stand in pieces but are none."""
+        return frozenset(c for p in self.pieces for c in p) - self.single
+
+    @cached_property
+    def pairs(self) -> dict[tuple[str, str], bool]:
+        return {}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text, by merging neighbours: the best score first, then the leftmost."""
+        parts, score = list(text), self.score_of
+        while True:
+            best, at = float("-inf"), -1
+            for k in range(len(parts) - 1):
+                if (s := score.get(parts[k] + parts[k + 1], float("-inf"))) > best:
+                    best, at = s, k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def follows(self, last: str, piece: str) -> bool:
+        """Do the two pieces stay apart, and whole, when their texts are merged?  An empty ``last`` asks for the piece alone."""
+        got = self.pairs.get((last, piece))
+        if got is None:
+            if len(self.pairs) >= CACHED_WORDS:
+                self.pairs.clear()
+            got = self.pairs[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        return got
 
     @cached_property
     def automaton(self):
         a = ahocorasick.Automaton()
         for piece, score in zip(self.pieces, self.scores, strict=True):
-            a.add_word(piece, (len(piece), score))
+            a.add_word(piece, (len(piece), score, piece))
         a.make_automaton()
         return a
 
@@ -77,39 +124,63 @@ class Vocabulary:
 def load_vocabulary(path: str) -> Vocabulary:
     """The normal pieces of a sentencepiece model file with their scores; control, byte and unknown pieces match nothing."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     normal = [i for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
     bytes_there = sum(model.is_byte(i) for i in ids) == 256
-    return Vocabulary([model.id_to_piece(i) for i in normal], [model.get_score(i) for i in normal], bytes_there)
+    kind = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec.model_type
+    return Vocabulary([model.id_to_piece(i) for i in normal], [model.get_score(i) for i in normal], bytes_there, kind == sentencepiece_model_pb2.TrainerSpec.BPE)
 
 
-def count_words(vocabulary: Vocabulary, words: list[str]) -> tuple[list[int], list[float]]:
-    """Piece count and score of each word, the space symbol being in place."""
-    counts, scores, plain = [0] * len(words), [0.0] * len(words), []
+def count_words(vocabulary: Vocabulary, words: list[str]) -> tuple[list[int], list[int], list[float]]:
+    """Token count, Viterbi count and Viterbi score of each word, the space symbol being in place."""
+    own, counts, scores, plain = [0] * len(words), [0] * len(words), [0.0] * len(words), []
     for k, w in enumerate(words):
         if vocabulary.single.issuperset(w):
             plain.append(k)
         else:
             counts[k], scores[k] = _with_unknown(vocabulary, w)
+            own[k] = _merged_with_unknown(vocabulary, w) if vocabulary.merges else counts[k]
     text = "\0".join([words[k] for k in plain]) + "\0"  # one scan for all words that have no unknown character
     best, pieces, length = [float("-inf")] * (len(text) + 1), [0] * (len(text) + 1), [0] * (len(text) + 1)
+    tokens: list = [None] * (len(text) + 1)
+    last = [""] * (len(text) + 1)
     at = 0
     for k in plain:
-        best[at] = 0.0
+        best[at], tokens[at] = 0.0, 0
         at += len(words[k]) + 1
-    for end, (n, score) in vocabulary.automaton.iter(text):
+    merges, follows = vocabulary.merges, vocabulary.follows
+    for end, (n, score, piece) in vocabulary.automaton.iter(text):
         stop = end + 1
         score += best[stop - n]
         if score > best[stop] or (score == best[stop] and n > length[stop]):
             best[stop], length[stop], pieces[stop] = score, n, pieces[stop - n] + 1
+        if merges and tokens[stop] is None and tokens[stop - n] is not None and follows(last[stop - n], piece):
+            tokens[stop], last[stop] = tokens[stop - n] + 1, piece
     at = 0
     for k in plain:
         at += len(words[k])
         counts[k], scores[k] = pieces[at], best[at]
+        own[k] = counts[k] if not merges else tokens[at] if tokens[at] is not None else len(vocabulary.merged(words[k]))
         at += 1
-    return counts, scores
+    return own, counts, scores
+
+
+def _merged_with_unknown(vocabulary: Vocabulary, word: str) -> int:
+    """Tokens of a word, some of whose characters are no pieces; those that stand in no piece part the word."""
+    cost = lambda part: 1 if part in vocabulary.score_of else len(part.encode()) if vocabulary.byte_fallback else 1
+    if vocabulary.inner.intersection(word):
+        return sum(map(cost, vocabulary.merged(word)))
+    parts, known = [""], []
+    for c in word:
+        if c in vocabulary.single:
+            parts[-1] += c
+        else:
+            parts.append("")
+            known.append(c)
+    return sum(map(cost, known)) + sum(count_words(vocabulary, [p for p in parts if p])[0])
 
 
 def _with_unknown(vocabulary: Vocabulary, word: str) -> tuple[int, float]:
@@ -118,7 +189,7 @@ def _with_unknown(vocabulary: Vocabulary, word: str) -> tuple[int, float]:
         ending.setdefault(end + 1, []).append(match)
     best, pieces, lost = [0.0], [0], [False]
     for stop, c in enumerate(word, 1):
-        found = max(((best[stop - n] + score, n) for n, score in ending.get(stop, ())), default=None)
+        found = max(((best[stop - n] + score, n) for n, score, _ in ending.get(stop, ())), default=None)
         if c not in vocabulary.single and (found is None or best[-1] + vocabulary.unknown > found[0]):
             extra = len(c.encode()) if vocabulary.byte_fallback else 0 if lost[-1] else 1
             best.append(best[-1] + vocabulary.unknown)
@@ -136,33 +207,32 @@ class WordTable:
 
     def __init__(self, vocabulary: Vocabulary, limit: int = CACHED_WORDS):
         self.vocabulary, self.limit = vocabulary, limit
-        self.keys, self.counts, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0)
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((3, 0))
 
-    def look_up(self, hashes: np.ndarray, first: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and scores of distinct, sorted hashes; ``text_of(i)`` is the word at place i of ``first``."""
+    def look_up(self, hashes: np.ndarray, first: np.ndarray, text_of) -> np.ndarray:
+        """Tokens, Viterbi counts and scores of distinct, sorted hashes; ``text_of(i)`` is the word at place i of ``first``."""
         slot = np.searchsorted(self.keys, hashes)
         known = np.zeros(len(hashes), bool)
         if len(self.keys):
             known = self.keys[np.minimum(slot, len(self.keys) - 1)] == hashes
-        counts, scores = np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
-        counts[known], scores[known] = self.counts[slot[known]], self.scores[slot[known]]
+        values = np.zeros((3, len(hashes)))
+        values[:, known] = self.values[:, slot[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            counts[new], scores[new] = count_words(self.vocabulary, [text_of(i) for i in first[new]])
+            values[:, new] = count_words(self.vocabulary, [text_of(i) for i in first[new]])
             if len(self.keys) + len(new) > self.limit:
                 self.__init__(self.vocabulary, self.limit)
                 slot = np.zeros(len(hashes), np.int64)
             self.keys = np.insert(self.keys, slot[new], hashes[new])
-            self.counts = np.insert(self.counts, slot[new], counts[new])
-            self.scores = np.insert(self.scores, slot[new], scores[new])
-        return counts, scores
+            self.values = np.insert(self.values, slot[new], values[:, new], axis=1)
+        return values
 
 
 _tables: dict[str, WordTable] = {}
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_tokens, score (of the best path).
+    """A row per document: doc_id, n_tokens, n_unigram, score (of the best path).
 
     The driver reads the vocabulary file; what it sends to the tasks has the size of the vocabulary.
     """
@@ -177,14 +247,14 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
             _tables[vocabulary_path] = WordTable(sent.value)
         for batch in batches:
             for b in text_chunks(batch, "text", TABLE_CHUNK):
-                counts, scores = count_texts(_tables[vocabulary_path], b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(scores)], ["doc_id", "n_tokens", "score"])
+                own, counts, scores = count_texts(_tables[vocabulary_path], b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.int64()), pa.array(counts, pa.int64()), pa.array(scores)], ["doc_id", "n_tokens", "n_unigram", "score"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(count, f"doc_id {kind}, n_tokens long, score double")
+    return narrow.mapInArrow(count, f"doc_id {kind}, n_tokens long, n_unigram long, score double")
 
 
-def count_texts(table: WordTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def count_texts(table: WordTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     vocabulary = table.vocabulary
     data, offsets = text_buffer(pc.replace_substring(texts, SPACE, " "))
     filled = np.flatnonzero(np.diff(offsets))
@@ -200,7 +270,7 @@ def count_texts(table: WordTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     ends = np.append(starts[1:], len(data))
     hashes, at, back = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
     raw = data.tobytes()
-    counts, scores = table.look_up(hashes, at, lambda i: raw[starts[i] : ends[i]].decode().replace(" ", SPACE))
-    counts, scores = np.append(np.zeros(1), np.cumsum(counts[back])), np.append(np.zeros(1), np.cumsum(scores[back]))
+    values = table.look_up(hashes, at, lambda i: raw[starts[i] : ends[i]].decode().replace(" ", SPACE))
     edge = np.searchsorted(starts, offsets)
-    return np.diff(counts[edge]).astype(np.int64), np.diff(scores[edge])
+    own, counts, scores = (np.diff(np.append(np.zeros(1), np.cumsum(v[back]))[edge]) for v in values)
+    return own.astype(np.int64), counts.astype(np.int64), scores
