@@ -1,3 +1,5 @@
+import math
+import os
 import random
 import re
 
@@ -6,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from turnlytics.llm import decontaminate, language_id, license_scan, mixing, queries, token_count, url_filter, warc
+from turnlytics.llm import decontaminate, language_id, license_scan, license_texts, mixing, queries, token_count, url_filter, warc
 from turnlytics.llm.common import Scratch
 
 from .conftest import prose
@@ -28,7 +30,9 @@ def pages(spark):
 def test_warc_round_trip(spark):
     rows, frame = pages(spark)
     index = warc.write_archives(frame, Scratch(spark, "t"), frame_bytes=2000, bundle_bytes=20_000)
-    got = warc.read_archives(index).withColumn("page_id", warc.page_number(F.col("record_id"))).collect()
+    records = warc.read_archives(index)
+    assert records.rdd.getNumPartitions() >= index.select("bundle").distinct().count()
+    got = records.withColumn("page_id", warc.page_number(F.col("record_id"))).collect()
     assert len(got) == len(rows) and index.select("bundle").distinct().count() > 1
     by = {r["page_id"]: r for r in got}
     text = {p: h or "" for p, _, h in rows}
@@ -252,11 +256,36 @@ def test_token_counts_equal_tokenizer(spark, documents, rows):
     # the unknown score follows from the lowest score, so byte pieces must not lower it
     t = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
     t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
-    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(documents, queries.VOCABULARY).collect()}
+    got = {r["doc_id"]: r["n_unigram"] for r in token_count.count_tokens(documents, queries.VOCABULARY).collect()}
     for d, text, _ in rows:
         assert got[d] == len(t.encode(text or "", add_special_tokens=False).ids), d
 
 
+def test_token_counts_equal_the_files_own_encoder(spark, documents, rows):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(documents, queries.VOCABULARY).collect()}
+    for d, text, _ in rows:
+        assert got[d] == len(model.encode(text or "")), d
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(given, queries.VOCABULARY).collect()}
+    texts = [(r["doc_id"], r["text"] or "") for r in given.select("doc_id", "text").collect()]
+    assert got == {d: len(x) for (d, _), x in zip(texts, model.encode([t for _, t in texts]), strict=True)}
+
+
+def test_token_counts_of_odd_strings_equal_the_files_own_encoder():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    rng = random.Random(12)
+    parts = ["aaaa", "tion", "the", " ", "  ", " " * 17, "\n", "\t", "日本", "ñandú", "İ", "😀", "1999", "...", "==", "sssss", "Re", "http://", "ing", "ingin", "กิ", "▁", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(3000)] + ["".join(rng.choice("abcdeinrst") for _ in range(40)) for _ in range(1000)]
+    own, _, _ = token_count.count_texts(token_count.WordTable(token_count.load_vocabulary(queries.VOCABULARY), limit=5000), pa.array(texts))
+    for text, n, ids in zip(texts, own, model.encode(texts), strict=True):
+        assert n == len(ids), repr(text)
+
+
 def small_vocabulary(byte_fallback):
     return token_count.Vocabulary(["▁", "a", "b", "ab", "ba", "▁a", "▁ab", "aba", "▁▁", "c", "bc", "abc"], [-3.0, -1.0, -1.0, -2.0, -2.0, -2.0, -3.0, -3.0, -4.0, -1.5, -2.5, -3.5], byte_fallback)
 
@@ -271,7 +300,8 @@ def test_token_count_ties_equal_tokenizer(byte_fallback):
     t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
     rng = random.Random(3)
     texts = ["".join(rng.choice("aaabbc  xé\n▁") for _ in range(rng.randrange(0, 25))) for _ in range(500)]
-    counts, _ = token_count.count_texts(token_count.WordTable(v, limit=50), pa.array(texts))
+    own, counts, _ = token_count.count_texts(token_count.WordTable(v, limit=50), pa.array(texts))
+    assert own.tolist() == counts.tolist()
     for text, n in zip(texts, counts):
         assert n == len(t.encode(text).ids), repr(text)
 
@@ -388,9 +418,72 @@ def test_license_notices_with_changed_words(spark):
     mit = license_scan.NOTICES[0][1].split()
     changed = list(mit)
     changed[-2] = "papers"
+    bsd = next(t for label, t, _ in license_scan.NOTICES if label == "bsd").split()
     texts = ["intro " + " ".join(mit), "x " + " ".join(changed).upper() + " y", " ".join(mit[:4]), "Licensed under CC BY-NC 4.0."]
+    texts += [" ".join([*mit[:9], "odd", *mit[9:]]), " ".join([*mit[:12], *mit[13:]]), " ".join([*bsd[:11], "any", *bsd[11:]]), "// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "SPDX License: MIT"]
     got = [r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == ["mit", "mit", "", "cc-by-nc"]
+    assert got == ["mit", "mit", "", "cc-by-nc", "mit", "mit", "bsd", "mit", "boost", "boost", ""]
+
+
+def in_order(template, weight, window):
+    best = [0.0] * (len(window) + 1)
+    for t in template:
+        last = list(best)
+        for j, w in enumerate(window, 1):
+            best[j] = max(last[j], best[j - 1], last[j - 1] + weight[t] if w == t else 0.0)
+    return best[-1]
+
+
+def test_license_notices_equal_brute_force(spark):
+    """Every place of every text against every template, word by word."""
+    rng = random.Random(21)
+    notices = [x for x in license_scan.NOTICES if len(x[1].split()) < 60]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(0, 3)):
+            w = rng.choice(notices)[1].split()
+            for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+                k, op = rng.randrange(len(w) + 1), rng.randrange(3)
+                w[k : k + (op != 0)] = [] if op == 1 else [rng.choice(["software", "the", "zebra", "license"])]
+            parts += [prose(rng, rng.randrange(5)), " ".join(w)]
+        texts.append(" ".join(parts))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices).collect()}
+    split = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t) for t in texts]
+    vocabulary = {w for _, t, keys in notices for w in t.split()}
+    weight = {w: 1 + math.log((1 + len(texts)) / (1 + sum(w in s for s in map(set, split)))) for w in vocabulary}
+    for i, words in enumerate(split):
+        want = set()
+        for label, text, keys in notices:
+            template = text.split()
+            m, total = len(template), sum(weight[w] for w in template)
+            around = max(1, int(0.2 * m))
+            for s in range(-around, len(words)):
+                window = words[max(s - around, 0) : max(s + m + around, 0)]
+                bound = sum(weight[w] for w in template if w in window)
+                if label in want or bound < 0.8 * total or not any(window[j : j + len(k.split())] == k.split() for k in keys for j in range(len(window))):
+                    continue
+                if in_order(template, weight, window) >= 0.8 * total:
+                    want.add(label)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == want | base, texts[i]
+
+
+def test_whole_license_texts_of_a_folder(spark):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    notices = license_texts.folder_notices(folder)
+    rng = random.Random(2)
+    texts = []
+    for _, text, _ in notices:
+        w = text.split()
+        for _ in range(len(w) // 50):
+            w.insert(rng.randrange(len(w)), "zebra")
+        texts.append("intro " + " ".join(w) + " end")
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices).orderBy("doc_id").collect()
+    for (label, _, _), r in zip(notices, got, strict=True):
+        assert label in r["labels"].split(",") and r["score"] >= 0.8
 
 
 def test_word_counts(spark, documents, rows):

@@ -1,17 +1,20 @@
 """Licence scans with a positional index of rare words.
 
-Templates are short word sequences of licence notices.  Postings say where each licence word stands in which templates.
-Word weights are inverse document frequencies that Spark counts over all documents (a vector with an entry per licence
-word, so its size is that of the templates).  The words of highest weight anchor a template: every place of an anchor in a
-file is looked up (of a phrase's one anchor, of a notice's three), and the postings of the template's other words are
-intersected by relative position.
-
-Exact phrases (``PHRASES``) must stand word by word.  Notices (``NOTICES``) may differ from the template in some words:
-the share of the template's weight that stands at the right relative place must reach ``min_share``, and one of the
-notice's mandatory key phrases must stand whole inside the aligned place.
-
-Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased.  Null texts count as empty: no words, no
-places, empty labels, score 0.  Repeated rows give repeated results.
+Templates are the words of licence texts and notices.  Word weights are inverse document frequencies that Spark counts over all
+documents (a vector with an entry per licence word, so its size is that of the templates).  The index holds postings (template,
+position) of a template's rarest words, as many as weigh more than a notice may lack: whoever holds enough of the template
+holds one of them.  Each of these words that a file has is looked up, and a posting gives the place where the template would start.
+
+At each such place the template's other words are first intersected at exactly their relative positions.  Where that does not reach
+``min_share`` of the template's weight, words may be inserted, missing or changed: within ``slack`` (a part of the template's length) on
+either side, the heaviest sequence of template words in order counts.  One of the notice's mandatory key phrases must
+stand whole in that window.
+
+Exact phrases (``PHRASES``) must stand word by word.  Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased.
+
+Defined results: null texts count as empty: no words, no places, empty labels, score 0.  Repeated rows give repeated results.  An empty
+table gives no rows.  Texts of any length are scanned whole.  Other columns, whatever their names, play no part.  Ids may
+have any type.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import LOWER, byte_class, hash_words, small_batches, text_buffer, text_chunks, word_spans
 
 NOT_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -31,21 +35,7 @@ IS_WORD = byte_class(but=NOT_WORD)
 # Phrases whose places are counted, with their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Public licence notices (label, template, mandatory key phrases).
-NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0"]),
-    ("apache", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ["gnu general public license"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ["gnu general public license"]),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc", "this work is licensed under a creative commons attribution license", ["creative commons"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
-]
+NOTICES = license_texts.all_notices()
 
 
 class Index:
@@ -69,6 +59,22 @@ class Index:
         self.seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
         self.idf = np.ones(len(self.words))
 
+    def weigh(self, idf: np.ndarray, min_share: float) -> None:
+        """Set the weights and list the postings of each notice's rarest words."""
+        self.idf = idf
+        entries = []
+        for t, (template, _, _) in enumerate(self.notices):
+            weight = idf[np.array(template)]
+            lacking = (1 - min_share) * weight.sum()
+            for q in sorted(range(len(template)), key=lambda i: (-weight[i], i)):
+                entries.append((template[q], t, q))
+                lacking -= weight[q]
+                if lacking < 0:
+                    break
+        entries.sort()
+        self.postings = np.array(entries, np.int64).reshape(-1, 3)
+        self.posting_from = np.searchsorted(self.postings[:, 0], np.arange(len(self.words) + 1))
+
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the licence words, and which word each is."""
         at = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
@@ -84,10 +90,11 @@ def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(data, starts, ends), first
 
 
-def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", phrases: list = PHRASES, notices: list = NOTICES, min_share: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", phrases: list = PHRASES, notices: list = NOTICES, min_share: float = 0.8, slack: float = 0.2) -> DataFrame:
     """A row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest share of a template's weight found in place: 1 for an exact phrase, 0 without any licence word.
+    score is the largest share of a template's weight found in place, or the share in order that made a label if that is larger: 1 for
+    an exact phrase, 0 without any of the postings' words.
     """
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -107,18 +114,29 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     counts = {r["word"]: r["n"] for r in narrow.select("text").mapInArrow(frequencies, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = counts.get(size, 0)
-    index.idf = np.array([1 + np.log((1 + total) / (1 + counts.get(i, 0))) for i in range(size)])
+    index.weigh(np.array([1 + np.log((1 + total) / (1 + counts.get(i, 0))) for i in range(size)]), min_share)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_chunks(batch, "text"):
-                yield _scan(b, index, min_share)
+                yield _scan(b, index, min_share, slack)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
-def _scan(b: pa.RecordBatch, index: Index, min_share: float) -> pa.RecordBatch:
+def heaviest_in_order(template: np.ndarray, weight: np.ndarray, window: np.ndarray) -> float:
+    """The greatest weight of template words that stand in the window in the template's order."""
+    best = np.zeros(len(window) + 1)
+    for word, w in zip(template, weight, strict=True):
+        here = window == word
+        if here.any():
+            best[1:] = np.maximum(best[1:], np.where(here, best[:-1] + w, 0.0))
+            np.maximum.accumulate(best, out=best)
+    return float(best[-1])
+
+
+def _scan(b: pa.RecordBatch, index: Index, min_share: float, slack: float) -> pa.RecordBatch:
     hashes, first = _words(b)
     n = b.num_rows
     at, ids = index.ids(hashes)
@@ -127,37 +145,23 @@ def _scan(b: pa.RecordBatch, index: Index, min_share: float) -> pa.RecordBatch:
     doc = np.searchsorted(first, at, "right") - 1
     places, base, more, score = [], [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n)
 
-    def aligned(template: list[int], anchors: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the template would start, by the places of its rarest words, with the documents of those places."""
-        rarest = sorted(range(len(template)), key=lambda i: (-index.idf[template[i]], i))[:anchors]
-        found = [np.stack([at[mine] - i, doc[mine]]) for i in rarest if (mine := ids == template[i]).any()]
-        start, d = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return start, d
-
-    def there(start: np.ndarray, d: np.ndarray, template: list[int]) -> np.ndarray:
+    def there(start: np.ndarray, d: np.ndarray, template: np.ndarray) -> np.ndarray:
         """For each start and each word of the template: does it stand at its place, within the document?"""
         pos = start[:, None] + np.arange(len(template))
         ok = (pos >= first[d][:, None]) & (pos < first[d + 1][:, None])
-        return ok & (word[np.where(ok, pos, 0)] == np.array(template)) if len(word) else ok
+        return ok & (word[np.where(ok, pos, 0)] == template) if len(word) else ok
 
     for template, label in index.phrases:
-        start, d = aligned(template, 1)
-        hit = there(start, d, template).all(axis=1)
+        rare = min(range(len(template)), key=lambda i: (-index.idf[template[i]], i))
+        mine = ids == template[rare]
+        start, d = at[mine] - rare, doc[mine]
+        hit = there(start, d, np.array(template)).all(axis=1)
         places.append(np.stack([start[hit], d[hit]]))
         for x in np.unique(d[hit]):
             base[x].add(label)
         score[d[hit]] = 1.0
-    for template, label, keys in index.notices:
-        start, d = aligned(template, 3)
-        if not len(start):
-            continue
-        weight = index.idf[np.array(template)]
-        share = there(start, d, template) @ weight / weight.sum()
-        np.maximum.at(score, d, share)
-        good = share >= min_share
-        for s, x in zip(start[good], d[good], strict=True):
-            if any(there(np.array([s + i]), np.array([x]), key).all() for key in keys for i in range(max(1, len(template) - len(key) + 1))):
-                more[x].add(label)
+    for t, start, d in _starts(index, at, ids, doc):
+        _judge(index.notices[t], index.idf, start, d, word, first, there, more, score, min_share, slack)
     start, d = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64)
     local = start - first[d]
     low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
@@ -173,3 +177,48 @@ def _scan(b: pa.RecordBatch, index: Index, min_share: float) -> pa.RecordBatch:
         ],
         ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     )
+
+
+def _starts(index: Index, at: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per template, the places (and their documents) where it would start by one of its postings."""
+    low, count = index.posting_from[ids], np.diff(index.posting_from)[ids]
+    entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    template, position = index.postings[entry, 1], index.postings[entry, 2]
+    found = np.stack([template, np.repeat(doc, count), np.repeat(at, count) - position])
+    for t in np.unique(template):
+        d, start = np.unique(found[1:, template == t], axis=1)
+        yield int(t), start, d
+
+
+def _judge(notice: tuple, idf: np.ndarray, start: np.ndarray, d: np.ndarray, word: np.ndarray, first: np.ndarray, there, more: list[set], score: np.ndarray, min_share: float, slack: float) -> None:
+    """Add the notice's label and score to the documents that hold it near one of the given starts."""
+    template, label, keys = np.array(notice[0]), notice[1], [np.array(k) for k in notice[2]]
+    m, weight = len(template), idf[np.array(notice[0])]
+    total, around = weight.sum(), max(1, int(slack * m))
+    step = max(1, (1 << 22) // m)
+    share = np.concatenate([there(start[i : i + step], d[i : i + step], template) @ weight for i in range(0, len(start), step)]) / total
+    np.maximum.at(score, d, share)
+    # what stands in the window in any order bounds what stands there in order
+    low, high = np.maximum(start - around, first[d]), np.minimum(start + m + around, first[d + 1])
+    bound = np.zeros(len(start))
+    for w, times in zip(*np.unique(template, return_counts=True), strict=True):
+        stands = np.flatnonzero(word == w)
+        bound += idf[w] * np.minimum(np.searchsorted(stands, high) - np.searchsorted(stands, low), times)
+    enough = min_share * total * (1 - 1e-12)
+    keyed = lambda window: any((np.lib.stride_tricks.sliding_window_view(window, len(k)) == k).all(axis=1).any() for k in keys if len(k) <= len(window))
+    # neighbouring starts are tried together first: what their common window lacks, none of them has
+    edge = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (start[1:] // around != start[:-1] // around)))
+    for a, z in zip(edge, np.append(edge[1:], len(start)), strict=True):
+        if label in more[d[a]] or not (bound[a:z] >= enough).any():
+            continue
+        whole = word[low[a] : high[z - 1]]
+        if not keyed(whole) or not (share[a:z] * total >= enough).any() and heaviest_in_order(template, weight, whole) < enough:
+            continue
+        for i in a + np.argsort(-bound[a:z], kind="stable"):
+            window = word[low[i] : high[i]]
+            if bound[i] >= enough and keyed(window):
+                held = share[i] if share[i] * total >= enough else heaviest_in_order(template, weight, window) / total
+                if held * total >= enough:
+                    more[d[i]].add(label)
+                    score[d[i]] = max(score[d[i]], held)
+                    break
