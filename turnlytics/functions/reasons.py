@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import APOSTROPHE, REFUSAL_OPENINGS, jaccard
-
-EDGE = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
+from .rules import compile_pattern, jaccard, portable_pattern
 
 # Fixed values: (id, label, reply patterns, pushback patterns). {B} is a word edge, {AP} an optional apostrophe.
 REASONS = [
-    ("refused", "Refused or dodged", [r"^\s*(?:" + "|".join(REFUSAL_OPENINGS).replace("{A}", "{AP}").replace("{E}", "{B}") + ")"], []),
+    ("refused", "Refused or dodged", [r"^\s*(?:i{AP}m sorry|i am sorry|sorry,? (?:but )?i{B}|i (?:cannot|can{AP}t|can not) (?:help|assist|provide|do|comply|fulfill|fulfil|generate|create|write|continue|share|give){B}|i{AP}m unable|i am unable|as an ai{B}|i{AP}m not able|i am not able|unfortunately,? i (?:cannot|can{AP}t)|很抱歉|对不起|抱歉|извините|к сожалению,? я не могу)"], []),
     ("broken", "Didn't work", [], [
         "(?:did ?n{AP}t|does ?n{AP}t|do ?n{AP}t|does not|did not|is ?n{AP}t|not) (?:work|run|compile|help|fix|solve)",
         "(?:still|same) (?:error|issue|problem|crash|bug|not|doesn|broken|fail|wrong)",
@@ -56,16 +52,6 @@ FALLBACKS = [("resent", "Sent the same request again", "repeat", 0.9), ("reworde
 LONG_REQUEST = 40
 
 
-def compile_pattern(pattern: str) -> str:
-    return "(?iu)" + pattern.replace("{B}", EDGE).replace("{AP}", APOSTROPHE)
-
-
-def portable_pattern(pattern: str) -> str:
-    """Without look-around, for engines that have none: an edge is the text's end or a character that is no part of a word."""
-    pattern = re.sub(r"(^|\||\()\{B\}", r"\1(?:^|[^\\p{L}\\p{N}_])", pattern)
-    return "(?i)" + pattern.replace("{B}", r"(?:$|[^\p{L}\p{N}_])").replace("{AP}", APOSTROPHE)
-
-
 def reason_of(failure: Column, bad_reply: Column, feedback: Column, previous: Column) -> Column:
     """The reason's id.  In a repeat, words that already stood in the (long) request before are no complaint."""
     reply, said, before = (F.coalesce(c, F.lit("")) for c in (bad_reply, feedback, previous))

@@ -112,14 +112,14 @@ _SYSTEM = "Classify the request into one of:\n" + "\n".join(f"- {n}: {t}" for n,
 _ANSWERS = f"""answers AS (SELECT conv_id, label, {d("{h:concat('a', conv_id):8}")} AS kind FROM c WHERE intent IS NOT NULL),
 parsed AS (SELECT conv_id, kind, CASE WHEN kind IN (1, 4, 5, 6, 7) THEN label END AS intent, CASE kind WHEN 1 THEN 'high' WHEN 4 THEN 'low' WHEN 5 THEN 'medium' WHEN 6 THEN 'medium' WHEN 7 THEN 'medium' END AS confidence FROM answers)"""
 _MERGE = "CASE WHEN {x} IN ('information_seeking', 'homework_study', 'personal_advice') THEN 'questions' WHEN {x} IN ('writing_editing', 'business_professional') THEN 'writing_and_business' ELSE {x} END"
-_RATED = f"rated AS (SELECT conv_id, intent AS x, {d(RATER_B)} AS y FROM c WHERE intent IS NOT NULL AND conv_id % 10 = 0), merged AS (SELECT *, {_MERGE.format(x='x')} AS mx, {_MERGE.format(x='y')} AS my FROM rated)"
+_RATED = f"rated AS (SELECT conv_id, intent AS x, {d(RATER_B)} AS y FROM c WHERE intent IS NOT NULL), merged AS (SELECT *, {_MERGE.format(x='x')} AS mx, {_MERGE.format(x='y')} AS my FROM rated)"
 _TRUTHS = "judged AS (SELECT *, " + ", ".join(f"{d(t)} AS {n}" for n, t in TRUTHS.items()) + " FROM c WHERE NOT has_empty_user_input)"
 _PRED = f"p AS (SELECT conv_id, intent AS label, {d(PRED)} AS pred FROM c WHERE intent IS NOT NULL)"
 _REPORT = """per AS (SELECT class, 1.0 * tp / nullif(predicted, 0) AS p, 1.0 * tp / nullif(support, 0) AS r, support FROM (
  SELECT class, count(*) FILTER (label = class AND pred = class) AS tp, count(*) FILTER (label = class) AS support, count(*) FILTER (pred = class) AS predicted FROM p, (SELECT label AS class FROM p UNION SELECT pred FROM p) GROUP BY class)),
 scored AS (SELECT class, support::BIGINT AS support, coalesce(p, 0)::DOUBLE AS precision, coalesce(r, 0)::DOUBLE AS recall, coalesce(2 * p * r / nullif(p + r, 0), 0)::DOUBLE AS f1 FROM per)"""
 _SURVEY = f"""s AS (SELECT conv_id // 1000 AS participant, conv_id % 1000 AS question, 30.0 + {d("{h:concat('y', conv_id):120}")} AS seconds, {d("{h:concat('b', conv_id):10}")} < 9 AS correct, {d("{h:concat('f', conv_id):10}")} < 8 AS caveat,
- concat('F', conv_id % 1000) AS finding_id, {d("{h:concat('w', conv_id % 1000):10}")} + {d("{h:concat('x', conv_id):4}")} >= 5 AS would_act FROM c WHERE conv_id % 1000 < 5)"""
+ concat('F', conv_id % 1000) AS finding_id, {d("{h:concat('w', conv_id % 1000):10}")} + {d("{h:concat('x', conv_id):4}")} >= 5 AS would_act FROM c)"""
 
 
 def _proxy(name: str, fired: str, truth: str) -> str:

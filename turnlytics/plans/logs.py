@@ -232,8 +232,7 @@ FROM (SELECT {FAMILY.format(x="attributed_to")} AS responder FROM turns JOIN c U
 
 
 def _fill_patterns() -> None:
-    end = r"(?:[^\p{L}\p{N}_]|$)"
-    c, r = (R.opening_pattern(o, end, "(?i)").replace("'", "''") for o in (R.CORRECTION_OPENINGS, R.REFUSAL_OPENINGS))
+    c, r = (R.portable_pattern(p).replace("'", "''") for p in (R.CORRECTION, R.REFUSAL))
     ORACLE_SQL["ad_hoc_sql"] = ORACLE_SQL["ad_hoc_sql"].replace("'{c}'", f"'{c}'").replace("'{r}'", f"'{r}'")
 
 
