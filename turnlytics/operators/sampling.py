@@ -45,18 +45,40 @@ def hash_order(ident: Column, seed: int) -> Column:
     return F.md5(F.concat(ident.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
+PREFIX = 4  # hexadecimal digits: 65,536 ranges of hashes
+
+
+def _first_in_hash_order(rows: DataFrame, keys: list[str], ident: str, seed: int, k: Column, carried: DataFrame | None = None) -> DataFrame:
+    """Adds ``taken``: is the row among its group's first ``k`` in hash order?
+
+    ``k`` is an expression of the group's ``total`` and of the columns that ``carried`` (a row per group) adds.  Rows are counted per
+    group and range of hashes; one range of each group holds the border, and only its rows are ranked.  So no task holds a
+    whole group, and what the windows see has a row per range.
+    """
+    rows = rows.withColumn("__hash", hash_order(F.col(ident), seed)).withColumn("__range", F.left("__hash", F.lit(PREFIX)))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys]
+    counts = rows.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys)
+    counts = counts.withColumns({"before": F.sum("n").over(group.orderBy("__range")) - F.col("n"), "total": F.sum("n").over(group)})
+    if carried is not None:
+        counts = counts.alias("r").join(F.broadcast(carried).alias("c"), same("r", "c")).select("r.*", *(F.col(f"c.{c}") for c in carried.columns if c not in keys))  # a row per group
+    border = counts.withColumn("k", k).where("before < k AND k <= before + n").select(*keys, F.col("__range").alias("border"), (F.col("k") - F.col("before")).alias("rest"))
+    tagged = rows.alias("r").join(F.broadcast(border).alias("b"), same("r", "b"), "left").select("r.*", "border", "rest")  # a row per group
+    place = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__hash", ident))
+    at = tagged.where(F.col("__range") == F.col("border")).withColumn("taken", place <= F.col("rest"))
+    other = tagged.where(~F.coalesce(F.col("__range") == F.col("border"), F.lit(False))).withColumn("taken", F.coalesce(F.col("__range") < F.col("border"), F.lit(False)))
+    return at.unionByName(other).drop("__hash", "__range", "border", "rest")
+
+
 def draw(rows: DataFrame, allocation: DataFrame, seed: int = 7, keys: list[str] | None = None) -> DataFrame:
     """The first k of each stratum in hash order: a rerun, or another partitioning, draws the same."""
     keys = keys or STRATUM
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(F.col("conv_id"), seed), "conv_id")))
-    return ranked.join(F.broadcast(allocation.select(*keys, "k")), keys).where("place <= k").drop("place", "k")  # a row per stratum
+    return _first_in_hash_order(rows, keys, "conv_id", seed, F.col("c_k"), allocation.select(*keys, F.col("k").alias("c_k"))).where("taken").drop("taken")
 
 
 def split(rows: DataFrame, label: str, ident: str, share: float = 0.2, seed: int = 7) -> DataFrame:
     """Marks the test part of each label."""
-    part = Window.partitionBy(label)
-    place = F.row_number().over(part.orderBy(hash_order(F.col(ident), seed), ident))
-    return rows.withColumn("is_test", place <= F.floor(F.count(F.lit(1)).over(part) * share))
+    return _first_in_hash_order(rows, [label], ident, seed, F.floor(F.col("total") * share)).withColumnRenamed("taken", "is_test")
 
 
 def labelling_export(turns: DataFrame, n: int = 300, most_turns: int = 6, reply_chars: int = 400, seed: int = 7) -> DataFrame:
