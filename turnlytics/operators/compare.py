@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 MIN_MATCHED = 30
 
+#: Cumulative probabilities of a Poisson(1) variable: a uniform number counts as often as entries it reaches.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k)) for k in range(1, 11)]
+
 
 def hash_index(key: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"), n)
@@ -38,10 +42,26 @@ def matched_gap(users: DataFrame, keys: Sequence[str]) -> DataFrame:
     return users.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched_users"), F.avg("ra").alias("matched_a"), F.avg("rb").alias("matched_b"), F.avg("diff").alias("matched_gap"))
 
 
-def bootstrap(values: DataFrame, keys: Sequence[str], order: str, value: str, reps: int, out: tuple[str, str] = ("ci_low", "ci_high"), salt: str = "") -> DataFrame:
-    """Percentile interval of the mean by resampling; draws follow hashes of (rep, slot), so a rerun gives the same interval.
+def bootstrap(values: DataFrame, keys: Sequence[str], ident: str, value: str, reps: int = 400, out: tuple[str, str] = ("ci_low", "ci_high")) -> DataFrame:
+    """Percentile interval of the mean by resampling.
 
-    Meant for up to some thousands of values per key: the work is values times reps.  ``poisson_bootstrap`` serves beyond.
+    In each repetition a value counts as often as a Poisson(1) draw says, which is what drawing with replacement comes to for more
+    than a few values.  Draws follow hashes of (id, rep), so a rerun gives the same interval, and no value needs a number:
+    one pass with partial sums per key and repetition, however the values are spread.
+    """
+    draws = values.select(*keys, F.col(value).alias("x"), F.col(ident).alias("id")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    u = hash_index(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("rep")), F.lit(1 << 32)) / float(1 << 32)
+    weight = F.lit(0)
+    for least in POISSON:
+        weight = weight + (u >= least).cast("int")
+    means = draws.withColumn("w", weight).groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias(out[0]), F.percentile("m", 0.975).alias(out[1]))  # a row per repetition
+
+
+def exact_bootstrap(values: DataFrame, keys: Sequence[str], order: str, value: str, reps: int, out: tuple[str, str] = ("ci_low", "ci_high"), salt: str = "") -> DataFrame:
+    """The same by drawing as many values as there are, with replacement; draws follow hashes of (rep, slot).
+
+    For some thousands of values per key: it numbers a key's values in one task and makes values times reps slots.
     """
     line = Window.partitionBy(*keys).orderBy(order)
     numbered = values.select(*keys, F.col(value).alias("x"), (F.row_number().over(line) - 1).cast("long").alias("i"))
@@ -52,19 +72,6 @@ def bootstrap(values: DataFrame, keys: Sequence[str], order: str, value: str, re
     return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias(out[0]), F.percentile("m", 0.975).alias(out[1]))
 
 
-def poisson_bootstrap(values: DataFrame, keys: Sequence[str], ident: str, value: str, reps: int = 200) -> DataFrame:
-    """For any number of users: each value gets a Poisson(1) weight per rep from a hash; one pass, partial sums per rep."""
-    draws = values.select(*keys, F.col(value).alias("x"), F.col(ident).alias("id")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = F.pmod(F.xxhash64("id", "rep"), F.lit(1 << 30)) / (1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):  # cumulative Poisson probabilities
-        total += term
-        weight = weight + (u >= total).cast("int")
-        term /= k
-    means = draws.withColumn("w", weight).groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
-
-
 def excludes_zero(low: Column, high: Column) -> Column:
     return (low > 0) | (high < 0)
 

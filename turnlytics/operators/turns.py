@@ -29,8 +29,15 @@ def attribute_turns(messages: DataFrame, default: Column) -> DataFrame:
             "prev_user": last(F.when(user, F.coalesce("content", F.lit("")))),
             "last_reply": last(F.when(reply, F.coalesce("content", F.lit("")))),
             "attributed_to": F.when(reply, F.col("own")).otherwise(last(F.col("own"))),
+            "users_before": F.count_if(user).over(before()),
         }
     ).drop("own")
+    return with_flags(rows)
+
+
+def with_flags(rows: DataFrame) -> DataFrame:
+    """Adds content_len, is_empty and the turn flags to rows that have role, content and prev_user."""
+    user, reply = F.col("role") == "user", F.col("role") != "user"
     return rows.withColumns(
         {
             "content_len": F.coalesce(F.length("content"), F.lit(0)),
@@ -45,7 +52,7 @@ def attribute_turns(messages: DataFrame, default: Column) -> DataFrame:
 def roll_up(turns: DataFrame) -> DataFrame:
     """One row per conversation from turn rows; uses the exchange that ``attribute_turns`` made."""
     user = F.col("role") == "user"
-    text = F.when(user, F.struct("idx", "content"))
+    text = F.when(user & (F.col("users_before") < 2), F.struct("idx", "content"))  # two at most
     rows = turns.groupBy("conv_id").agg(
         F.count_if(user).cast("int").alias("n_turns"),
         F.bool_or(user & F.col("is_empty")).alias("has_empty_user_input"),
@@ -56,7 +63,7 @@ def roll_up(turns: DataFrame) -> DataFrame:
         F.bool_or("is_refusal").alias("assistant_refusal"),
         F.collect_list(text).alias("texts"),
     )
-    first_two = F.transform(F.slice(F.array_sort("texts"), 1, 2), lambda x: F.coalesce(x["content"], F.lit("")))
+    first_two = F.transform(F.array_sort("texts"), lambda x: F.coalesce(x["content"], F.lit("")))
     return rows.withColumn("intent_text", F.substring(F.array_join(first_two, "\n"), 1, INTENT_TEXT_CHARS)).withColumn("one_and_done", R.one_and_done(F.col("n_turns"), F.col("last_assistant_len"), ONE_AND_DONE_CHARS)).drop("texts")
 
 
@@ -120,3 +127,29 @@ def nested_messages(raw: DataFrame, responder: Column | None = None) -> DataFram
     """Message rows of raw shard rows, numbered from 1."""
     rows = raw.select(F.try_element_at("conversation", F.lit(1))["turn_identifier"].alias("conv_id"), "model", "shard", F.posexplode("conversation").alias("pos", "m"))
     return rows.select("conv_id", (F.col("pos") + 1).alias("idx"), F.col("m.role").alias("role"), F.col("m.content").alias("content"), (responder if responder is not None else F.lit(None).cast("string")).alias("responder"), "model", "shard", F.col("m.language").alias("language"), F.col("m.redacted").alias("redacted"))
+
+
+def nested_turns(raw: DataFrame) -> DataFrame:
+    """The turns of raw shard rows with attribution and flags, without an exchange: what a turn looks back at stands in its row.
+
+    A conversation's messages are users' or replies, so of the k messages before a turn those of the other kind are k less its
+    own kind's, and the latest of either is found by position.  Replies without responder belong to the model.
+    """
+    responder = "x.responder" if "responder" in raw.schema["conversation"].dataType.elementType.fieldNames() else "cast(NULL as string)"
+    rows = raw.where(F.size("conversation") > 0).select(
+        F.try_element_at("conversation", F.lit(1))["turn_identifier"].alias("conv_id"), "model", "shard",
+        F.expr(f"transform(conversation, (x, i) -> struct(i + 1 AS idx, x.role AS role, x.content AS content, nullif({responder}, '') AS responder, x.language AS language, x.redacted AS redacted))").alias("m"),
+    )
+    rows = rows.withColumns({"users": F.filter("m", lambda x: x["role"] == "user"), "replies": F.expr("transform(filter(m, x -> NOT coalesce(x.role = 'user', false)), x -> named_struct('m', x, 'own', coalesce(x.responder, model)))")})
+    asked = "try_element_at(users, {n})"
+    told = "try_element_at(replies, {n})"
+    text = lambda x: f"if({x} IS NULL, NULL, coalesce({x}.content, ''))"
+    at = lambda what, n: what.format(n=f"nullif(greatest({n}, 0), 0)")  # noqa: E731  positions count from 1
+    user, reply = at(asked, "k"), at(told, "u.idx - 1 - k")
+    by_user = f"""transform(users, (u, k) -> struct(u.idx AS idx, u.role AS role, u.content AS content, u.language AS language, u.redacted AS redacted, {text(user)} AS prev_user, {text(f'{reply}.m')} AS last_reply,
+        coalesce({reply}.own, try_element_at(filter(replies, r -> r.m.idx < u.idx AND r.own IS NOT NULL), -1).own) AS attributed_to, k AS users_before))"""
+    user, reply = at(asked, "r.m.idx - 1 - k"), at(told, "k")
+    by_reply = f"""transform(replies, (r, k) -> struct(r.m.idx AS idx, r.m.role AS role, r.m.content AS content, r.m.language AS language, r.m.redacted AS redacted, {text(user)} AS prev_user, {text(f'{reply}.m')} AS last_reply,
+        r.own AS attributed_to, r.m.idx - 1 - k AS users_before))"""
+    turns = rows.select("conv_id", "model", "shard", F.explode(F.concat(F.expr(by_user), F.expr(by_reply))).alias("t")).select("conv_id", "model", "shard", "t.*")
+    return with_flags(turns)

@@ -118,7 +118,8 @@ QUERIES = {
     "naive_gap": chat_query(lambda x: K.naive_gap(pair_sides(x), KEYS, F.col("one_and_done"))),
     "matched_gap": chat_query(lambda x: K.matched_gap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("one_and_done")), KEYS)),
     "pair_comparison": chat_query(pair_comparison),
-    "poisson_bootstrap": chat_query(lambda x: K.poisson_bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("friction")), KEYS, "pseudo_user", "diff")),
+    "exact_bootstrap": chat_query(lambda x: K.exact_bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("one_and_done")), KEYS, "pseudo_user", "diff", REPS)),
+    "poisson_bootstrap": chat_query(lambda x: K.bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("friction")), KEYS, "pseudo_user", "diff", REPS)),
     "version_changes": chat_query(lambda x: K.version_changes(x.conversations)),
     "before_after": chat_query(change),
     "unpaired_change": chat_query(unpaired_change),
@@ -150,7 +151,7 @@ def _users(keys: str, metric: str, table: str = "tagged") -> str:
 _MATCHED = "count(*)::BIGINT AS matched_users, avg(ra) AS matched_a, avg(rb) AS matched_b, avg(ra - rb) AS matched_gap"
 
 
-def _boot(keys: str, order: str = "pseudo_user", value: str = "ra - rb", table: str = "users", name: str = "boot") -> str:
+def _exact_boot(keys: str, order: str = "pseudo_user", value: str = "ra - rb", table: str = "users", name: str = "boot") -> str:
     """CTEs that end in ``name``: keys, ci_low, ci_high."""
     on = " AND ".join(f"s.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
     by = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
@@ -160,6 +161,14 @@ def _boot(keys: str, order: str = "pseudo_user", value: str = "ra - rb", table:
 {name} AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {name}_m GROUP BY ALL)"""
 
 
+def _boot(keys: str, ident: str = "pseudo_user", value: str = "ra - rb", table: str = "users", name: str = "boot") -> str:
+    """The same with Poisson weights, looked up in the list of cumulative probabilities."""
+    table_of = "[" + ", ".join(f"{p!r}::DOUBLE" for p in K.POISSON) + "]"
+    return f"""{name}_u AS (SELECT {keys}, rep, {value} AS x, ('0x' || substr(md5(concat({ident}, ':', rep)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {table}, (SELECT unnest(range({REPS})) AS rep)),
+{name}_m AS (SELECT {keys}, rep, sum(w * x) / nullif(sum(w), 0) AS m FROM (SELECT *, len(list_filter({table_of}, lambda p: p <= u)) AS w FROM {name}_u) GROUP BY ALL),
+{name} AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {name}_m GROUP BY ALL)"""
+
+
 _VERDICT = "CASE WHEN NOT coalesce(matched_users >= 30, false) THEN 'overlap' WHEN ci_low > 0 OR ci_high < 0 THEN 'real' WHEN abs(naive_gap) >= 0.03 AND abs(matched_gap) < abs(naive_gap) / 3 THEN 'mix' ELSE 'none' END AS verdict"
 _PAIR_VERDICT = "CASE WHEN (ci_low > 0 OR ci_high < 0) AND sign(naive_gap) <> sign(matched_gap) THEN 'flip' WHEN ci_low > 0 OR ci_high < 0 THEN 'real' ELSE 'mix' END AS pair_verdict"
 _CHANGE = f"""points AS (SELECT pseudo_user, ts, correction_followup AS hit FROM c WHERE NOT has_empty_user_input),
@@ -224,6 +233,8 @@ FROM (SELECT era, policy, sum(n)::BIGINT AS conversations, sum(n * one_and_done_
     "matched_gap": _chat_sql(f"SELECT {_G}, {_MATCHED} FROM users GROUP BY ALL", _PAIRS, _TAGGED, f"users AS ({_users(_G, 'one_and_done')})"),
     "pair_comparison": _chat_sql(f"SELECT *, {_VERDICT}, {_PAIR_VERDICT} FROM (SELECT {_G}, metric, {_NAIVE.format(m='hit')}, least(avg(multi_turn::INT) FILTER (side = 'a'), avg(multi_turn::INT) FILTER (side = 'b')) >= 0.05 AS measurable FROM long GROUP BY ALL) LEFT JOIN (SELECT {_G}, metric, {_MATCHED} FROM users GROUP BY ALL) USING ({_G}, metric) LEFT JOIN boot USING ({_G}, metric)",
         _PAIRS, _TAGGED, "long AS (SELECT * EXCLUDE (one_and_done, friction), 'one_and_done' AS metric, one_and_done AS hit FROM tagged UNION ALL SELECT * EXCLUDE (one_and_done, friction), 'friction', friction FROM tagged)", f"users AS ({_users(_G + ', metric', 'hit', 'long')})", _boot(_G + ", metric")),
+    "exact_bootstrap": _chat_sql(f"SELECT {_G}, ci_low, ci_high FROM boot", _PAIRS, _TAGGED, f"users AS ({_users(_G, 'one_and_done')})", _exact_boot(_G)),
+    "poisson_bootstrap": _chat_sql(f"SELECT {_G}, ci_low, ci_high FROM boot", _PAIRS, _TAGGED, f"users AS ({_users(_G, 'friction')})", _boot(_G)),
     "version_changes": _chat_sql("SELECT version, previous, \"at\" FROM (SELECT version, min(ts) AS \"at\", lag(version) OVER (ORDER BY min(ts), version) AS previous FROM c GROUP BY version) WHERE previous IS NOT NULL"),
     "before_after": _chat_sql("""SELECT * EXCLUDE (run), (ci_high - ci_low) / (2 * 1.96) * 2.8 * 100 AS mde_points,
  CASE WHEN naive_a = 0 AND naive_b = 0 THEN 'none' WHEN matched_users < 30 THEN 'overlap' WHEN NOT (ci_low > 0 OR ci_high < 0) THEN 'none'

@@ -74,11 +74,12 @@ def chat_query(f):
 
 
 CONVERSATION_COLUMNS = ["conv_id", "model", "ts", "date", "week", "country", "language", "n_turns", "pseudo_user", "redacted", "has_empty_user_input", "first_user_len", "last_assistant_len", "repeated_request", "correction_followup", "assistant_refusal", "one_and_done", "intent_text", "shard"]
+NESTED_COLUMNS = [*CONVERSATION_COLUMNS, "state", "prompt_tokens", "completion_tokens"]
 TURN_COLUMNS = ["conv_id", "idx", "role", "attributed_to", "content_len", "is_empty", "repeats_prev_user", "is_correction", "is_refusal"]
 
 QUERIES = {
-    "flatten_conversations": chat_query(lambda x: T.nested_roll_up(x.raw).select(*CONVERSATION_COLUMNS)),
-    "flatten_turns": chat_query(lambda x: T.attribute_turns(T.nested_messages(x.raw), F.col("model")).select(*TURN_COLUMNS)),
+    "flatten_conversations": chat_query(lambda x: T.nested_roll_up(x.raw).select(*NESTED_COLUMNS)),
+    "flatten_turns": chat_query(lambda x: T.nested_turns(x.raw).select(*TURN_COLUMNS)),
     "turn_attribution": chat_query(lambda x: x.turns.select("conv_id", "idx", "role", "attributed_to", "prev_user", "repeats_prev_user", "is_correction", "is_refusal")),
     "conversation_roll_up": chat_query(lambda x: x.conversations.select(*CONVERSATION_COLUMNS)),
     "responder_charges": chat_query(lambda x: T.responder_charges(x.turns)),
@@ -109,8 +110,7 @@ def sql_prefix(*steps: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([chat.sql_messages(), chat.sql_attributes(), TURNS_SQL, CONV_SQL, *steps])
 
 
-_correction = R.opening_pattern(R.CORRECTION_OPENINGS, r"(?:[^\p{L}\p{N}_]|$)", "(?i)").replace("'", "''")
-_refusal = R.opening_pattern(R.REFUSAL_OPENINGS, r"(?:[^\p{L}\p{N}_]|$)", "(?i)").replace("'", "''")
+_correction, _refusal = (R.portable_pattern(p).replace("'", "''") for p in (R.CORRECTION, R.REFUSAL))
 _words = lambda x: rf"list_distinct(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w)))"
 FAMILY = r"regexp_replace({x}, '(-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|preview)){{1,2}}$', '')"
 SIMILARITY = "CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))) ELSE 0 END"
@@ -181,7 +181,10 @@ _MODEL = "model_family AS model"
 _HAVING = f"GROUP BY ALL HAVING count(*) >= {MIN_CELL}"
 
 ORACLE_SQL = {
-    "flatten_conversations": _chat_sql("SELECT " + ", ".join(CONVERSATION_COLUMNS) + " FROM c"),
+    "flatten_conversations": _chat_sql(
+        "SELECT " + ", ".join(CONVERSATION_COLUMNS) + """, NULL::VARCHAR AS state, CASE WHEN told THEN prompt_tokens END AS prompt_tokens, CASE WHEN told THEN completion_tokens END AS completion_tokens
+FROM c JOIN (SELECT conv_id, bool_or(idx = 2 AND role = 'assistant') AS told FROM messages GROUP BY 1) USING (conv_id)"""
+    ),
     "flatten_turns": _chat_sql("SELECT conv_id, idx::INTEGER AS idx, role, model AS attributed_to, content_len, is_empty, repeats_prev_user, is_correction, is_refusal FROM turns JOIN attributes USING (conv_id) WHERE role <> 'user' UNION ALL "
         "SELECT conv_id, idx::INTEGER, role, CASE WHEN attributed_to IS NOT NULL THEN model END, content_len, is_empty, repeats_prev_user, is_correction, is_refusal FROM turns JOIN attributes USING (conv_id) WHERE role = 'user'"),
     "turn_attribution": _chat_sql("SELECT conv_id, idx::INTEGER AS idx, role, attributed_to, prev_user, repeats_prev_user, is_correction, is_refusal FROM turns"),

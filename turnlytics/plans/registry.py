@@ -16,6 +16,8 @@ ROUNDED = {
     "matched_gap": ["matched_a", "matched_b", "matched_gap"],
     "pair_comparison": ["matched_a", "matched_b", "matched_gap", "ci_low", "ci_high"],
     "before_after": ["matched_a", "matched_b", "matched_gap", "ci_low", "ci_high", "placebo_gap", "placebo_low", "placebo_high", "mde_points"],
+    "poisson_bootstrap": ["ci_low", "ci_high"],
+    "exact_bootstrap": ["ci_low", "ci_high"],
     "unpaired_change": ["a_low", "a_high", "b_low", "b_high"],
     "weighted_score": ["usage_weighted_score", "unweighted_mean", "covered_weight"],
     "weighted_intents": ["mean"],
