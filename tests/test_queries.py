@@ -15,6 +15,7 @@ CHOSEN = [
     "flatten_conversations", "flatten_turns", "volume_weekly_country", "intensity_weekly", "intensity_weekly_model", "friction_weekly", "friction_by_intent_model_era", "friction_by_responder", "friction_all_and_models",
     "failure_reasons", "backlog_themes", "routing_policies", "weighted_score", "pair_comparison", "before_after", "rate_gaps", "overview_tiles", "recent_vs_prior", "orders_zero_filled",
     "sample_draw", "label_parse", "proxy_precision", "classification_report", "tfidf_words", "otlp_traces", "chat_export_thread", "turn_rows_csv", "incremental_ingest", "events_stream_weekly",
+    "chat_objects", "chat_objects_without_ids", "chat_objects_coverage", "turn_rows_arrival", "log_facts", "consistency_checks", "published_tables", "label_prompts", "eval_case_export", "poisson_bootstrap",
 ]
 
 
@@ -45,6 +46,10 @@ def test_query_equals_sql(spark, con, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_gaps_are_there_to_be_compared(spark):
+    assert entry.queries()["rate_gaps"](spark, SF).count() > 0
+
+
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(registry.queries()) > 100
@@ -58,7 +63,7 @@ def test_entry(spark):
 
 def test_reconciliation(spark):
     bad = entry.queries()["consistency_checks"](spark, SF).where("NOT ok").collect()
-    assert not bad
+    assert [(r["label"], r["got"]) for r in bad] == [("responders that are no model's name", 3.0)]  # the fixture's three agents
 
 
 def plan(frame):
@@ -82,6 +87,21 @@ def test_nested_roll_up_moves_nothing(spark):
     assert "Exchange" not in plan(path)
 
 
+def test_nested_turns_move_nothing_and_equal_windows(spark):
+    raw = core.Chat(spark, SF).raw
+    assert "Exchange" not in plan(core.T.nested_turns(spark.createDataFrame([], raw.schema)))
+    rows = [
+        (1, [("user", "a", None), ("assistant", "b", "p"), ("user", "a", None), ("user", "no, c", None), ("assistant", "d", ""), ("assistant", None, "q"), ("user", None, None)], "m"),
+        (2, [("assistant", "hi", None), ("user", "x", None)], None), (3, [], "m"), (4, [("assistant", "z", None), ("assistant", "y", "w"), ("assistant", "x", None), ("user", "u", None)], None),
+    ]
+    nested = spark.createDataFrame([(m, "s", [(i, *x, "en", False) for x in c]) for i, c, m in rows], "model string, shard string, conversation array<struct<turn_identifier:long,role:string,content:string,responder:string,language:string,redacted:boolean>>")
+    messages = spark.createDataFrame([(i, k, *x, m) for i, c, m in rows for k, x in enumerate(c, 1)], "conv_id long, idx int, role string, content string, responder string, model string")
+    columns = ["conv_id", "idx", "role", "content", "prev_user", "last_reply", "attributed_to", "users_before", "content_len", "is_empty", "repeats_prev_user", "is_correction", "is_refusal"]
+    got, want = core.T.nested_turns(nested), core.T.attribute_turns(messages, core.F.col("model"))
+    key = lambda f: sorted(tuple(map(str, r)) for r in f.select(*columns).collect())
+    assert key(got) == key(want)
+
+
 def test_scans_read_only_what_they_need(spark):
     text = plan(entry.queries()["orders_intensity_weekly"](spark, SF))
     assert "o_comment" not in text and "o_totalprice" not in text

@@ -129,6 +129,7 @@ def epoch_timestamp(value: Column) -> Column:
 
 
 def any_timestamp(value: Column) -> Column:
+    """A number since 1970 or a text; null where it is neither."""
     text = value.cast("string")
     return F.when(text.rlike(r"^\d+(\.\d+)?$"), epoch_timestamp(F.try_to_number(text, F.lit("9" * 20 + "D" + "9" * 9)))).otherwise(F.try_to_timestamp(text))
 

@@ -50,6 +50,15 @@ def reconcile(tables: Mapping[str, DataFrame], total: DataFrame) -> DataFrame:
     rows = [expectation(sums(n), f"{n} adds up", F.max("n"), F.max("conversations")) for n in ("volume_daily_model", "depth_by_model", "volume_weekly_country", "volume_weekly_language")]
     rows += [expectation(sums(n), f"{n} adds up to the labelled", F.max("n"), F.max("labelled")) for n in ("intent_by_model", "intent_weekly")]
     rows += [same_weeks(daily, t[n], f"{n} has the weekly volume") for n in ("intensity_weekly", "data_quality_weekly")]
+    rows += [same_weeks(t[part], t[whole], f"{part} adds up to {whole}") for part, whole in (("friction_weekly_model", "friction_weekly"), ("data_quality_weekly_model", "data_quality_weekly"))]
+    of_model = daily.groupBy("week", "model").agg(F.sum("conversations").alias("n"))
+    rows.append(expectation(t["intensity_weekly_model"].join(of_model, ["week", "model"]), "intensity_weekly_model has the models' volume", F.count_if(F.col("conversations") != F.col("n")), F.lit(0)))
+    unknown = t["friction_by_responder"].join(daily.select(F.col("model").alias("responder")).distinct(), "responder", "left_anti")
+    rows.append(expectation(unknown, "responders that are no model's name", F.count(F.lit(1)), F.lit(0)))
+    weekly = t["intensity_weekly"]
+    _, last = R.complete_weeks(F.min("date"), F.max("date"))
+    through = daily.agg(last.alias("through")).join(F.broadcast(weekly.select("week")), F.col("week") == F.col("through"))  # a row per week
+    rows.append(expectation(through, "the last complete week has a row", F.count(F.lit(1)), F.lit(1)))
     empty = t["friction_weekly"].join(t["data_quality_weekly"].select("week", F.col("conversations").alias("all"), "empty_input_rate"), "week")
     rows.append(expectation(empty, "friction leaves out empty inputs", F.max(F.abs(F.col("conversations") - F.round(F.col("all") * (1 - F.col("empty_input_rate"))))), F.lit(0), 1.0))
     cells = t["friction_by_intent_model_era"].alias("e").join(t["friction_by_intent_model"].alias("a"), ["intent", "model"])
@@ -58,6 +67,8 @@ def reconcile(tables: Mapping[str, DataFrame], total: DataFrame) -> DataFrame:
     rows.append(expectation(weekly, "intent cells within weekly intents", F.count_if(F.col("part") > F.col("whole")), F.lit(0)))
     rows.append(within_unit(t["friction_weekly"], ["repeat_rate", "one_and_done_rate", "correction_rate", "refusal_rate"], "friction rates within 0 and 1"))
     rows.append(within_unit(t["intensity_weekly"], ["return_rate", "top10_share"], "intensity rates within 0 and 1"))
+    rows.append(within_unit(t["intensity_weekly_model"], ["return_rate", "top10_share"], "intensity rates of models within 0 and 1"))
+    rows.append(within_unit(t["data_quality_weekly"], ["redacted_rate", "token_usage_coverage"], "quality rates within 0 and 1"))
     rows.append(within_unit(t["friction_by_responder"], ["correction_rate", "repeat_rate"], "responder rates within 0 and 1"))
     null = t["intensity_weekly"]
     rows.append(expectation(null, "return rate is null where no next week is", F.count_if(F.col("return_rate").isNull() == F.col("next_week_present")), F.lit(0)))

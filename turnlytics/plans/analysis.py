@@ -9,7 +9,9 @@ from turnlytics.functions import reasons
 from turnlytics.operators import compare as K
 from turnlytics.operators import decide as D
 from turnlytics.operators import metrics as M
+from turnlytics.operators import series as S
 from turnlytics.operators import turns as T
+from turnlytics.sources.files import shared_folder
 
 from .core import ERAS_SQL, FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, _HAVING, chat_query
 
@@ -40,6 +42,13 @@ def _eras():
     return chat.ERAS
 
 
+def eras_to_now(x: Chat) -> DataFrame:
+    """The eras, and a last one from the day after them to the last complete week.  A handful of rows."""
+    start = max(e[2] for e in _eras())
+    last = S.span(x.conversations).select(F.lit("C").alias("era"), F.date_add(F.lit(start).cast("date"), 1).alias("era_start"), F.col("last_week").alias("era_end"))
+    return x.eras.unionByName(last)
+
+
 KEYS = ["intent", "side_a", "side_b"]
 
 
@@ -53,6 +62,9 @@ def pair_comparison(x: Chat) -> DataFrame:
     tagged = pair_sides(x)
     metric = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("hit")) for m in ("one_and_done", "friction"))))
     tagged = tagged.select(*KEYS, "pseudo_user", "side", "multi_turn", metric.alias("m")).select(*KEYS, "pseudo_user", "side", "multi_turn", "m.metric", "m.hit")
+    path = shared_folder(x.spark, "tagged")
+    tagged.write.parquet(path)  # read by four branches
+    tagged = x.spark.read.parquet(path)
     keys = [*KEYS, "metric"]
     naive = K.naive_gap(tagged, keys, F.col("hit"))
     users = K.per_user(tagged, keys, "pseudo_user", F.col("hit"))
@@ -65,6 +77,9 @@ def pair_comparison(x: Chat) -> DataFrame:
 def change(x: Chat, at: str = "2024-06-17") -> DataFrame:
     """Corrections before and after the release, for the same people, with a placebo at the midpoint of the time before."""
     rows = x.labelled.where("NOT has_empty_user_input").select("pseudo_user", "ts", F.col("correction_followup").alias("hit"))
+    path = shared_folder(x.spark, "points")
+    rows.write.parquet(path)  # read by the change, its placebo and their intervals
+    rows = x.spark.read.parquet(path)
     moment = F.lit(at).cast("timestamp_ntz")
     tagged = rows.withColumns({"run": F.lit("change"), "side": F.when(F.col("ts") >= moment, "a").otherwise("b")})
     before = rows.where(F.col("ts") < moment)
@@ -91,6 +106,21 @@ def model_intent(x: Chat) -> DataFrame:
     return M.friction_by_intent_model_era(x.conversations, x.intent, x.eras, MIN_CELL)
 
 
+def written_cases(x: Chat) -> DataFrame:
+    """Reasons and texts of the cases, matched once and read by counts and examples."""
+    path = shared_folder(x.spark, "cases")
+    D.with_reason(T.first_failures(x.turns)).select("reason", "user_feedback").write.parquet(path)
+    return x.spark.read.parquet(path)
+
+
+def themes(x: Chat) -> DataFrame:
+    """Failed cases are written once and read by counts, reasons and examples."""
+    path = shared_folder(x.spark, "cases")
+    cases(x).select("conv_id", "failure", "reason", "intent", "attributed_to").write.parquet(path)
+    intents = x.intent.withColumn("intent", F.coalesce("intent", F.lit("unlabelled")))
+    return D.backlog(x.spark.read.parquet(path), x.turns, intents, D.opening_asks(x.turns)).withColumn("examples", F.array_join("examples", " | "))
+
+
 def scores(x: Chat) -> DataFrame:
     """Evaluation results; the weights that they meet come from the conversations."""
     return x.spark.createDataFrame(SCORES, "intent string, score double")
@@ -99,10 +129,10 @@ def scores(x: Chat) -> DataFrame:
 QUERIES = {
     "first_failures": chat_query(lambda x: T.first_failures(x.turns)),
     "case_context": chat_query(lambda x: T.case_context(x.messages, T.first_failures(x.turns)).select("conv_id", F.size("context").cast("long").alias("messages"), F.array_join(F.transform("context", lambda m: m["role"]), ",").alias("roles"))),
-    "failure_reasons": chat_query(lambda x: D.failure_reasons(cases(x)).withColumn("examples", F.array_join("examples", " | "))),
+    "failure_reasons": chat_query(lambda x: D.failure_reasons(written_cases(x)).withColumn("examples", F.array_join("examples", " | "))),
     "failure_reasons_by_intent": chat_query(lambda x: D.reasons_by_intent(cases(x))),
     "failure_case_reasons": chat_query(lambda x: cases(x).select("conv_id", "failure", "reason", "intent")),
-    "backlog_themes": chat_query(lambda x: D.backlog(cases(x), x.turns, x.intent.withColumn("intent", F.coalesce("intent", F.lit("unlabelled"))))),
+    "backlog_themes": chat_query(themes),
     "responder_per_1k": chat_query(lambda x: D.responder_per_1k(T.responder_charges(x.turns))),
     "fix_list": chat_query(lambda x: D.fix_list(x.labelled)),
     "routing_cells": chat_query(lambda x: D.routing_cells(model_intent(x), D.price_list(x.spark), ROUTE_MIN)),
@@ -111,7 +141,7 @@ QUERIES = {
     "eval_mix_excluding_other": chat_query(lambda x: D.usage_mix(M.intent_by_model(x.conversations, x.intent).where("intent <> 'other'"))),
     "eval_mix_by_model": chat_query(lambda x: D.usage_mix(M.intent_by_model(x.conversations, x.intent), ["model"])),
     "eval_mix_by_language": chat_query(lambda x: D.usage_mix(M.intent_by_language(x.conversations, x.intent, MIN_CELL), ["language"])),
-    "eval_mix_by_era": chat_query(lambda x: D.usage_mix(M.intent_weekly(x.conversations, x.intent).join(F.broadcast(x.eras), F.col("week").between(F.col("era_start"), F.col("era_end"))), ["era"])),
+    "eval_mix_by_era": chat_query(lambda x: D.usage_mix(M.intent_weekly(x.conversations, x.intent).join(F.broadcast(eras_to_now(x)), F.col("week").between(F.col("era_start"), F.col("era_end"))), ["era"])),
     "weighted_intents": chat_query(lambda x: D.weighted_intents(scores(x), D.usage_mix(M.intent_by_model(x.conversations, x.intent))).drop("total")),
     "weighted_score": chat_query(lambda x: D.weighted_score(scores(x), D.usage_mix(M.intent_by_model(x.conversations, x.intent)))),
     "friction_heat": chat_query(lambda x: D.friction_heat(M.friction_by_intent_model(x.conversations, x.intent, MIN_CELL), 100)),
@@ -132,6 +162,7 @@ _FAILURE = """hits AS (
  FROM hits WHERE k = 1)"""
 _CASES = f"""cases AS MATERIALIZED (SELECT f.*, coalesce(c.intent, 'unlabelled') AS intent, {reasons.reason_sql("failure", "bad_reply", "user_feedback", "prev_request", "similarity")} AS reason FROM failures f JOIN c USING (conv_id))"""
 _CELLS = f"cells AS (SELECT era, era_start, era_end, intent, model_family AS model, {N}, {RATES} FROM c JOIN eras ON date >= era_start AND date <= era_end WHERE intent IS NOT NULL {_HAVING})"
+_NOW = "now_eras AS (SELECT * FROM eras UNION ALL SELECT 'C', (SELECT max(era_end) FROM eras) + 1, date_trunc('week', max(date) - 6)::DATE FROM c)"
 _PRICE = "prices(model, cost) AS (SELECT m, (1500 * p + 800 * q) / 1e6 FROM (VALUES " + ", ".join(f"('{m}', {p}::DOUBLE, {q}::DOUBLE)" for m, p, q in D.PRICES) + ") AS t(m, p, q))"
 _ROUTE = f"""good AS (SELECT c.*, cost, coalesce(conversations >= {ROUTE_MIN} AND cost IS NOT NULL, false) AS ok FROM cells c LEFT JOIN prices USING (model) WHERE intent <> 'other'),
 route AS (SELECT * EXCLUDE (ok), ok OR NOT bool_or(ok) OVER (PARTITION BY era, intent) AS eligible FROM good)"""
@@ -200,9 +231,11 @@ FROM (SELECT reason, count(*) AS n, list_sort(list(DISTINCT substr(trim(regexp_r
     "failure_reasons_by_intent": _chat_sql("""SELECT intent, k::INTEGER AS rank, reason, n, failures, n / failures AS share FROM (
  SELECT intent, reason, count(*)::BIGINT AS n, (sum(count(*)) OVER (PARTITION BY intent))::BIGINT AS failures, row_number() OVER (PARTITION BY intent ORDER BY count(*) DESC, reason) AS k FROM cases GROUP BY 1, 2) WHERE failures >= 30 AND k <= 3""", _FAILURE, _CASES),
     "failure_case_reasons": _chat_sql("SELECT conv_id, failure, reason, intent FROM cases", _FAILURE, _CASES),
-    "backlog_themes": _chat_sql("""SELECT t.*, b.conversations, t.failures / b.conversations AS share FROM (
+    "backlog_themes": _chat_sql(r"""SELECT t.*, b.conversations, t.failures / b.conversations AS share, r.reason AS top_reason, coalesce(array_to_string(e.asks[1:3], ' | '), '') AS examples FROM (
  SELECT intent, attributed_to AS responder, count(*)::BIGINT AS failures, count(*) FILTER (failure = 'correction')::BIGINT AS corrections, count(*) FILTER (failure = 'repeat')::BIGINT AS repeats FROM cases GROUP BY 1, 2) t
-LEFT JOIN (SELECT coalesce(intent, 'unlabelled') AS intent, attributed_to AS responder, count(DISTINCT conv_id)::BIGINT AS conversations FROM turns JOIN c USING (conv_id) WHERE role <> 'user' GROUP BY 1, 2) b ON t.intent = b.intent AND t.responder = b.responder""", _FAILURE, _CASES),
+LEFT JOIN (SELECT coalesce(intent, 'unlabelled') AS intent, attributed_to AS responder, count(DISTINCT conv_id)::BIGINT AS conversations FROM turns JOIN c USING (conv_id) WHERE role <> 'user' GROUP BY 1, 2) b ON t.intent = b.intent AND t.responder = b.responder
+LEFT JOIN (SELECT intent, attributed_to, reason, row_number() OVER (PARTITION BY intent, attributed_to ORDER BY count(*) DESC, reason) AS k FROM cases GROUP BY 1, 2, 3) r ON r.k = 1 AND r.intent = t.intent AND r.attributed_to IS NOT DISTINCT FROM t.responder
+LEFT JOIN (SELECT intent, attributed_to, list_sort(list(DISTINCT substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 160))) AS asks FROM cases JOIN (SELECT conv_id, arg_min(content, idx) AS content FROM turns WHERE role = 'user' GROUP BY 1) USING (conv_id) GROUP BY 1, 2) e ON e.intent = t.intent AND e.attributed_to IS NOT DISTINCT FROM t.responder""", _FAILURE, _CASES),
     "responder_per_1k": _chat_sql("""SELECT *, 1000 * repeats / replies AS repeat_per_1k, 1000 * corrections / replies AS correction_per_1k FROM (
  SELECT attributed_to AS responder, count(*) FILTER (role <> 'user')::BIGINT AS replies, count(*) FILTER (repeats_prev_user)::BIGINT AS repeats, count(*) FILTER (is_correction)::BIGINT AS corrections FROM turns WHERE attributed_to IS NOT NULL GROUP BY 1) WHERE replies > 0"""),
     "fix_list": _chat_sql("""SELECT intent, conversations, flagged, flagged / conversations AS rate, flagged / sum(flagged) OVER () AS share_of_flagged, (row_number() OVER (ORDER BY flagged DESC, intent))::INTEGER AS rank
@@ -222,7 +255,7 @@ FROM (SELECT era, policy, sum(n)::BIGINT AS conversations, sum(n * one_and_done_
     "eval_mix_excluding_other": _chat_sql(_mix("", "SELECT intent, count(*) AS n FROM c WHERE intent <> 'other' GROUP BY 1")),
     "eval_mix_by_model": _chat_sql(_mix("model", "SELECT model_family AS model, intent, count(*) AS n FROM c WHERE intent IS NOT NULL GROUP BY 1, 2")),
     "eval_mix_by_language": _chat_sql(_mix("language", f"SELECT language, intent, count(*) AS n FROM c WHERE intent IS NOT NULL AND language IN (SELECT language FROM (SELECT language, count(*) AS k FROM c GROUP BY 1 ORDER BY k DESC, language NULLS LAST LIMIT 10)) GROUP BY 1, 2 HAVING n >= {MIN_CELL}")),
-    "eval_mix_by_era": _chat_sql(_mix("era", "SELECT era, intent, count(*) AS n FROM c JOIN eras ON week BETWEEN era_start AND era_end WHERE intent IS NOT NULL GROUP BY 1, 2"), ERAS_SQL),
+    "eval_mix_by_era": _chat_sql(_mix("era", "SELECT era, intent, count(*) AS n FROM c JOIN now_eras ON week BETWEEN era_start AND era_end WHERE intent IS NOT NULL GROUP BY 1, 2"), ERAS_SQL, _NOW),
     "weighted_intents": _chat_sql("SELECT intent, weight, n, mean FROM per", _WEIGHTS, _SCORES, _PER),
     "weighted_score": _chat_sql("""SELECT sum(weight * mean) / sum(weight) FILTER (n > 0) AS usage_weighted_score, sum(total) / sum(n) AS unweighted_mean, sum(weight) FILTER (n > 0) AS covered_weight,
  coalesce(string_agg(intent, ',' ORDER BY intent) FILTER (n = 0), '') AS missing_intents FROM per""", _WEIGHTS, _SCORES, _PER),

@@ -109,6 +109,7 @@ _ALLOCATED = f"""wanted AS (
 allocation AS (SELECT model_family, lang_bucket, quarter, size, (want - least(spare, greatest(excess - coalesce(sum(spare) OVER (ORDER BY want DESC, model_family, lang_bucket, quarter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)))::BIGINT AS k FROM spare),
 drawn AS (SELECT conv_id, model_family, lang_bucket, quarter, intent_text FROM (SELECT s.*, k, row_number() OVER (PARTITION BY s.model_family, s.lang_bucket, s.quarter ORDER BY md5(concat(conv_id, ':7')), conv_id) AS place FROM strata s JOIN allocation a ON s.model_family = a.model_family AND s.lang_bucket = a.lang_bucket AND s.quarter = a.quarter) WHERE place <= k)"""
 _SYSTEM = "Classify the request into one of:\n" + "\n".join(f"- {n}: {t}" for n, _, t in L.TAXONOMY)
+_SYSTEM_SQL = "'" + _SYSTEM.replace("'", "''") + "'"
 _ANSWERS = f"""answers AS (SELECT conv_id, label, {d("{h:concat('a', conv_id):8}")} AS kind FROM c WHERE intent IS NOT NULL),
 parsed AS (SELECT conv_id, kind, CASE WHEN kind IN (1, 4, 5, 6, 7) THEN label END AS intent, CASE kind WHEN 1 THEN 'high' WHEN 4 THEN 'low' WHEN 5 THEN 'medium' WHEN 6 THEN 'medium' WHEN 7 THEN 'medium' END AS confidence FROM answers)"""
 _MERGE = "CASE WHEN {x} IN ('information_seeking', 'homework_study', 'personal_advice') THEN 'questions' WHEN {x} IN ('writing_editing', 'business_professional') THEN 'writing_and_business' ELSE {x} END"
@@ -141,6 +142,8 @@ ORACLE_SQL = {
     "sample_strata": _chat_sql("SELECT * FROM sizes", _STRATA),
     "sample_allocation": _chat_sql("SELECT * FROM allocation", _STRATA, _ALLOCATED),
     "sample_draw": _chat_sql("SELECT * EXCLUDE (intent_text) FROM drawn", _STRATA, _ALLOCATED),
+    "label_prompts": _chat_sql(f"SELECT conv_id, length(to_json({{'system': {_SYSTEM_SQL}, 'user': substr(intent_text, 1, 2000)}})::VARCHAR)::INTEGER AS length, substr(intent_text, 1, 2000) AS text FROM drawn", _STRATA, _ALLOCATED),
+    "label_with_function": _chat_sql(f"SELECT conv_id, concat('{{\"intent\": \"', CASE WHEN contains(lower(concat({_SYSTEM_SQL}, substr(intent_text, 1, 2000))), 'code') THEN 'coding' ELSE 'other' END, '\", \"confidence\": \"low\"}}') AS answer FROM drawn", _STRATA, _ALLOCATED),
     "label_cost": _chat_sql(f"SELECT count(*)::BIGINT AS requests, sum(t)::BIGINT AS input_tokens, (count(*) * 30)::BIGINT AS output_tokens, (sum(t) * 3.0::DOUBLE + count(*) * 30 * 15.0::DOUBLE) / 1e6 AS cost FROM (SELECT ceil((length(substr(intent_text, 1, 2000)) + {len(_SYSTEM)}) / 4.0::DOUBLE) AS t FROM drawn)", _STRATA, _ALLOCATED),
     "label_parse": _chat_sql("SELECT conv_id, intent, confidence FROM parsed", _ANSWERS),
     "label_collect": _chat_sql("SELECT conv_id, intent, confidence FROM parsed WHERE intent IS NOT NULL", _ANSWERS),

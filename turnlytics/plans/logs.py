@@ -14,13 +14,17 @@ from turnlytics.operators import decide as D
 from turnlytics.operators import metrics as M
 from turnlytics.operators import publish as P
 from turnlytics.operators import turns as T
+from turnlytics import schema
 from turnlytics.sources import chats, shards
 from turnlytics.sources.files import shared_folder
 from turnlytics.streaming import ingest
 
-from .core import FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, chat_query
+from .analysis import _CASES, _FAILURE
+from .core import FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, chat_query, sql_prefix
+from .core import ORACLE_SQL as METRIC_SQL
 
-START_NANOS = 1_709_510_400_000_000_000  # 2024-03-04
+START_SECONDS = 1_709_510_400  # 2024-03-04
+START_NANOS = START_SECONDS * 1_000_000_000
 
 
 def spoken(x: Chat) -> DataFrame:
@@ -29,28 +33,56 @@ def spoken(x: Chat) -> DataFrame:
 
 def flat(chats_frame: DataFrame) -> DataFrame:
     """Message rows in plain columns, so that results compare with SQL."""
-    return chats.as_messages(chats_frame).select("conv_id", "user", "model", F.col("idx").cast("long").alias("idx"), "role", "content", "responder")
+    return chats.as_messages(chats_frame).select("conv_id", "user", "ts", "model", "version", F.col("idx").cast("long").alias("idx"), "role", "content", "responder")
 
 
-def objects(x: Chat) -> DataFrame:
-    """Chat objects with unusual names, a system turn, and some fields missing."""
-    m = F.struct(F.col("turn"), F.when(F.col("role") == "user", "Human").when(F.col("role") == "assistant", "AI").otherwise("system").alias("sender"), F.col("text"))
+def object_rows(x: Chat) -> DataFrame:
+    """Chat objects with unusual names and a system turn; some lack user, time or model, and then messages bring a time."""
+    late = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") > 0), (START_SECONDS + F.col("conv_id") * 3600 + F.col("turn") * 60) * 1000)
+    m = F.struct(F.col("turn"), F.when(F.col("role") == "user", "Human").when(F.col("role") == "assistant", "AI").otherwise("system").alias("sender"), F.col("text"), late.alias("time"))
     rows = x.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("m"))
-    rows = rows.select(
-        F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("u"), F.col("conv_id") % 7).alias("customer_id"), (F.lit(1709510400) + F.col("conv_id") * 3600).alias("created_at"),
-        F.when(F.col("conv_id") % 4 != 0, "m1").alias("model_name"), F.transform("m", lambda y: F.struct(y["sender"].alias("sender"), y["text"].alias("text"))).alias("dialog"),
+    return rows.select(
+        F.col("conv_id").cast("string").alias("session_id"), F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("u"), F.col("conv_id") % 7)).alias("customer_id"), F.when(F.col("conv_id") % 3 != 0, START_SECONDS + F.col("conv_id") * 3600).alias("created_at"),
+        F.when(F.col("conv_id") % 4 != 0, "m1").alias("model_name"), F.concat(F.lit("r"), F.col("conv_id") % 2).alias("release"), F.transform("m", lambda y: F.struct(y["sender"].alias("sender"), y["text"].alias("text"), y["time"].alias("time"))).alias("dialog"),
     )
+
+
+def objects(x: Chat, *without: str) -> DataFrame:
     path = shared_folder(x.spark, "chat-objects")
-    rows.write.json(path)
+    object_rows(x).drop(*without).write.json(path)
     return chats.read_chat_objects(x.spark, path)
 
 
-def csv_turns(x: Chat) -> DataFrame:
+def nameless(x: Chat) -> DataFrame:
+    """Objects without ids: every one is a conversation of its own."""
+    rows = objects(x, "session_id")
+    return flat(rows).groupBy("conv_id", "user", "ts", "model", "version").agg(F.count(F.lit(1)).alias("messages"), F.min_by("content", "idx").alias("opening")).drop("conv_id")
+
+
+def csv_turns(x: Chat, *columns: str) -> DataFrame:
     path = shared_folder(x.spark, "turn-rows")
-    x.table("conversations").select("conv_id", "turn", "role", F.col("text").alias("content")).write.csv(path, header=True, escape='"', quote='"', quoteAll=True)
+    rows = x.table("conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), F.when(F.col("turn") % 2 == 1, START_SECONDS + F.col("conv_id") * 3600 - F.col("turn")).alias("time"), F.when(F.col("turn") > 0, F.concat(F.lit("u"), F.col("conv_id"))).alias("user_id"))
+    rows.select("conv_id", *columns, "role", "content", "time", "user_id").write.csv(path, header=True, escape='"', quote='"', quoteAll=True)
+    return chats.read_turn_rows(x.spark, path)
+
+
+def arrived(x: Chat) -> DataFrame:
+    """Message rows without an order column, written in order into one file."""
+    path = shared_folder(x.spark, "arrival")
+    x.table("conversations").select("conv_id", "turn", "role", F.col("text").alias("content")).repartition(1).sortWithinPartitions("turn", "conv_id").drop("turn").write.csv(path, header=True, escape='"', quote='"', quoteAll=True)
     return chats.read_turn_rows(x.spark, path)
 
 
+def facts(x: Chat) -> DataFrame:
+    """Facts per conversation of a log, from messages within the row."""
+    m = F.struct("idx", "role", "content", F.nullif("responder", F.lit("")).alias("responder"))
+    rows = x.messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("m"))
+    messages = F.transform("m", lambda y: F.struct(y["role"].alias("role"), y["content"].alias("content"), y["responder"].alias("responder")))
+    user = F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("u"), F.col("conv_id") % 7))
+    none = F.lit(None).cast("string")
+    return chats.log_facts(rows.select(F.col("conv_id").cast("string").alias("id"), user.alias("user"), F.lit(None).cast("timestamp_ntz").alias("ts"), none.alias("model"), none.alias("version"), messages.alias("messages"))).drop("ts", "model", "version")
+
+
 def trace_files(x: Chat) -> DataFrame:
     """A span for each reply, with the user text before it; a second call with the same user text for some."""
     last = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True)
@@ -95,22 +127,27 @@ def sender_files(x: Chat) -> DataFrame:
 
 
 def metric_tables(x: Chat) -> dict[str, DataFrame]:
+    """All metric tables.  Turns and conversations are written once and read by each of them."""
+    path = shared_folder(x.spark, "flat")
+    x.turns.drop("content").write.parquet(f"{path}/turns")
+    x.conversations.write.parquet(f"{path}/conversations")
+    x.turns, x.conversations = x.spark.read.parquet(f"{path}/turns"), x.spark.read.parquet(f"{path}/conversations")
     c, i, t = x.conversations, x.intent, x.turns
     return {
         "volume_daily_model": M.volume_daily_model(c), "depth_by_model": M.depth_by_model(c), "volume_weekly_country": M.volume_weekly_country(c, MIN_CELL), "volume_weekly_language": M.volume_weekly_language(c, MIN_CELL),
-        "intent_by_model": M.intent_by_model(c, i), "intent_weekly": M.intent_weekly(c, i), "intent_weekly_model": M.intent_weekly_model(c, i, MIN_CELL), "intensity_weekly": M.intensity_weekly(c), "data_quality_weekly": M.data_quality_weekly(c),
-        "friction_weekly": M.friction_weekly(c), "friction_by_intent_model": M.friction_by_intent_model(c, i, MIN_CELL), "friction_by_intent_model_era": M.friction_by_intent_model_era(c, i, x.eras, MIN_CELL), "friction_by_responder": M.friction_by_responder(t, c, MIN_CELL),
+        "intensity_weekly": M.intensity_weekly(c), "intensity_weekly_model": M.intensity_weekly_model(c, MIN_CELL), "persistence_quarterly": M.persistence_quarterly(c),
+        "intent_by_model": M.intent_by_model(c, i), "intent_by_language": M.intent_by_language(c, i, MIN_CELL), "intent_weekly": M.intent_weekly(c, i), "intent_weekly_model": M.intent_weekly_model(c, i, MIN_CELL),
+        "friction_weekly": M.friction_weekly(c), "friction_weekly_model": M.friction_weekly_model(c, MIN_CELL), "friction_by_intent_model": M.friction_by_intent_model(c, i, MIN_CELL), "friction_by_intent_model_era": M.friction_by_intent_model_era(c, i, x.eras, MIN_CELL),
+        "friction_by_responder": M.friction_by_responder(t, c, MIN_CELL), "data_quality_weekly": M.data_quality_weekly(c), "data_quality_weekly_model": M.data_quality_weekly_model(c, MIN_CELL),
     }
 
 
 def consistency(x: Chat) -> DataFrame:
-    """Turns and conversations are written once and read by all metric tables."""
-    path = shared_folder(x.spark, "flat")
-    x.turns.drop("content").write.parquet(f"{path}/turns")
-    x.conversations.write.parquet(f"{path}/conversations")
-    x.turns, x.conversations = x.spark.read.parquet(f"{path}/turns"), x.spark.read.parquet(f"{path}/conversations")
+    """The tables against each other.  Cells of all sizes, so that cuts add up."""
+    tables = metric_tables(x)
+    tables |= {"friction_weekly_model": M.friction_weekly_model(x.conversations, 1), "data_quality_weekly_model": M.data_quality_weekly_model(x.conversations, 1)}
     total = x.conversations.agg(F.count(F.lit(1)).alias("conversations"), F.count(F.when(~F.col("has_empty_user_input"), F.col("label"))).alias("labelled"))
-    return C.reconcile(metric_tables(x), total)
+    return C.reconcile(tables, total)
 
 
 def declared_checks(x: Chat) -> DataFrame:
@@ -130,19 +167,28 @@ def ingested(x: Chat) -> DataFrame:
 
 def streamed_weeks(x: Chat) -> DataFrame:
     """The weekly counts of ``events`` as a stream, to its end."""
-    spark, name = x.spark, "weekly_" + shared_folder(x.spark, "s").rpartition("-")[2]
-    folder = shared_folder(spark, "events-stream")
-    schema = spark.read.parquet(f"{x.sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{x.sf_dir}/event[s].parquet")  # a pattern may name a single file
-    query = ingest.weekly_volume(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    spark, folder = x.spark, shared_folder(x.spark, "events-stream")
+    columns = spark.read.parquet(f"{x.sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(columns).parquet(f"{x.sf_dir}/event[s].parquet")  # a pattern may name a single file
+    return ingest.stream_to_table(ingest.weekly_volume(stream), ["week", "event_type"], f"{folder}/table", f"{folder}/checkpoint")
 
 
 def published(x: Chat) -> DataFrame:
     path = shared_folder(x.spark, "published")
-    P.write_metrics({n: t for n, t in metric_tables(x).items() if n.startswith(("friction", "intent"))}, path)
-    return P.published_size(x.spark, path)
+    tables = metric_tables(x)
+    P.write_metrics(tables, path)
+    rows = None
+    for name in sorted(tables):  # a table each, of a bounded number of cells
+        one = x.spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("cells")).select(F.lit(name).alias("table_name"), "cells")
+        rows = one if rows is None else rows.unionAll(one)
+    return P.published_size(x.spark, path).join(rows, "table_name")
+
+
+def nested_access(x: Chat) -> DataFrame:
+    """Fields of JSON by paths of one and of several steps."""
+    whole = F.to_json(F.struct(F.struct(F.struct("event_type", F.round("value").cast("long").alias("rounded")).alias("policies")).alias("B")))
+    rows = x.table("events").select("event_id", "props", whole.alias("report"))
+    return rows.select("event_id", F.get_json_object("props", "$").alias("whole"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("report", "$.B.policies.event_type").alias("event_type"), F.get_json_object("report", "$.B.policies.rounded").cast("long").alias("rounded"), F.get_json_object("report", "$.B.gone").alias("gone"))
 
 
 def weekly_change(x: Chat) -> DataFrame:
@@ -170,13 +216,18 @@ def ad_hoc(x: Chat) -> DataFrame:
 QUERIES = {
     "chat_objects": chat_query(lambda x: flat(objects(x))),
     "chat_objects_coverage": chat_query(lambda x: chats.coverage(objects(x))),
-    "turn_rows_csv": chat_query(lambda x: flat(csv_turns(x))),
+    "chat_objects_without_ids": chat_query(nameless),
+    "turn_rows_csv": chat_query(lambda x: flat(csv_turns(x, "turn"))),
+    "turn_rows_arrival": chat_query(lambda x: flat(arrived(x))),
+    "log_facts": chat_query(facts),
     "otlp_traces": chat_query(lambda x: flat(trace_files(x))),
     "chat_export_thread": chat_query(lambda x: flat(export_files(x))),
     "sender_export": chat_query(lambda x: flat(sender_files(x))),
     "eval_case_export": chat_query(lambda x: chats.eval_case_text(D.with_reason(T.first_failures(x.turns)))),
     "run_meta": chat_query(lambda x: C.run_meta(x.conversations, x.intent)),
     "intent_coverage": chat_query(lambda x: shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL AND shard <> 'shard-3'"))),
+    "intent_coverage_full": chat_query(lambda x: shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL"), forced=True)),
+    "intent_coverage_none": chat_query(lambda x: shards.intent_coverage(x.conversations, shards.table_or_empty(x.spark, shared_folder(x.spark, "no-intents"), schema.INTENT))),
     "shard_subset": chat_query(lambda x: x.conversations.where(F.col("shard").isin(shards.chosen_shards("0-1,3", [f"shard-{k}" for k in range(4)]))).groupBy("shard").agg(M.count_rows().alias("conversations"))),
     "unfinished_shards": chat_query(lambda x: shards.unfinished(x.conversations, x.conversations.where("shard IN ('shard-0', 'shard-2')")).groupBy("shard").agg(M.count_rows().alias("conversations"))),
     "legacy_turns": chat_query(lambda x: M.friction_by_responder(shards.with_missing(x.turns.drop("attributed_to"), {"attributed_to": "string"}), x.conversations, MIN_CELL)),
@@ -187,29 +238,90 @@ QUERIES = {
     "published_tables": chat_query(published),
     "responder_split": chat_query(lambda x: P.responder_split(M.friction_by_responder(x.turns, x.conversations, MIN_CELL), M.volume_daily_model(x.conversations))),
     "weekly_change": chat_query(weekly_change),
-    "nested_json_access": chat_query(lambda x: x.table("events").select("event_id", F.get_json_object("props", "$").alias("whole"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))),
+    "nested_json_access": chat_query(nested_access),
     "incremental_ingest": chat_query(ingested),
     "events_stream_weekly": chat_query(streamed_weeks),
 }
 
-_M = "SELECT conv_id::VARCHAR AS conv_id, {user} AS user, {model} AS model, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS idx, role, text AS content, {responder} AS responder FROM conversations WHERE role IN ('user', 'assistant')"
+_M = "SELECT conv_id::VARCHAR AS conv_id, {user} AS user, {ts} AS ts, {model} AS model, {version} AS version, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS idx, role, text AS content, {responder} AS responder FROM {source} WHERE role IN ('user', 'assistant')"
+_START = "TIMESTAMP '2024-03-04 00:00:00'"
+_NO_TIME, _NONE = "NULL::TIMESTAMP", "NULL::VARCHAR"
+_HOUR = f"{_START} + to_hours(conv_id::INTEGER)"
+_OBJECTS = f"(SELECT *, CASE WHEN conv_id % 3 <> 0 THEN {_HOUR} ELSE {_HOUR} + to_minutes((min(turn) FILTER (turn > 0 AND role IN ('user', 'assistant')) OVER (PARTITION BY conv_id))::INTEGER) END AS moment FROM conversations)"
+_OBJECT = {"user": "CASE WHEN conv_id % 5 <> 0 THEN concat('u', conv_id % 7) END", "model": "CASE WHEN conv_id % 4 <> 0 THEN 'm1' END", "version": "concat('r', conv_id % 2)", "ts": "moment", "source": _OBJECTS}
+# message rows bring the earliest time, and the user where any row names one
+_CSV_TIME = f"(SELECT *, min({_HOUR} - to_seconds(turn)) FILTER (turn % 2 = 1) OVER (PARTITION BY conv_id) AS moment, CASE WHEN max(turn) OVER (PARTITION BY conv_id) > 0 THEN concat('u', conv_id) END AS person FROM conversations)"
 _SPANS = f"""calls AS (
  SELECT conv_id, turn, k, asked, text FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations WHERE role IN ('user', 'assistant')), (VALUES (0), (1)) AS c(k)
  WHERE role = 'assistant' AND (k = 0 OR turn % 3 = 0)
 ), told AS (SELECT *, asked IS NOT NULL AND coalesce(asked <> lag(asked) OVER (PARTITION BY conv_id ORDER BY turn, k), true) AS fresh FROM calls),
 said AS (SELECT conv_id, turn, k, 0 AS part, 'user' AS role, asked AS content, NULL AS responder FROM told WHERE fresh UNION ALL SELECT conv_id, turn, k, 1, 'assistant', text, CASE WHEN k = 0 THEN 'planner' ELSE 'writer' END FROM told)"""
 
+_COVERAGE = "SELECT CASE WHEN labelled_shards = 0 THEN 'none' WHEN labelled_shards = shards THEN '{full}' ELSE 'partial' END AS coverage, shards, labelled_shards FROM (SELECT count(DISTINCT shard)::BIGINT AS shards, (count(DISTINCT shard) FILTER ({labelled}))::BIGINT AS labelled_shards FROM c)"
+_TABLES = ["volume_daily_model", "depth_by_model", "volume_weekly_country", "volume_weekly_language", "intensity_weekly", "intensity_weekly_model", "persistence_quarterly", "intent_by_model", "intent_by_language", "intent_weekly", "intent_weekly_model", "friction_weekly", "friction_weekly_model", "friction_by_intent_model", "friction_by_intent_model_era", "friction_by_responder", "data_quality_weekly", "data_quality_weekly_model"]
+
+
+def _on_chat(name: str) -> str:
+    """A metric's SQL as a subquery of one that has the chat tables already."""
+    rest = METRIC_SQL[name].removeprefix(sql_prefix())
+    return f"WITH RECURSIVE {rest[1:].lstrip()}" if rest.startswith(",") else rest
+
+
+def _same_weeks(a: str, b: str) -> str:
+    return f"SELECT count(*) FROM (SELECT week, sum(conversations) AS n FROM {a} GROUP BY 1) x FULL JOIN (SELECT week, sum(conversations) AS n FROM {b} GROUP BY 1) y USING (week) WHERE x.n IS DISTINCT FROM y.n"
+
+
+def _outside(table: str, *columns: str) -> str:
+    return "SELECT " + " + ".join(f"count(*) FILTER ({c} < 0 OR {c} > 1)" for c in columns) + f" FROM {table}"
+
+
+def _expectations() -> list[tuple[str, str, str, float]]:
+    total, labelled = "SELECT count(*) FROM c", "SELECT count(intent) FROM c"
+    daily = "(SELECT *, date_trunc('week', date)::DATE AS week FROM volume_daily_model)"
+    out = [(f"{n} adds up", f"SELECT sum(conversations) FROM {n}", total, 0) for n in ("volume_daily_model", "depth_by_model", "volume_weekly_country", "volume_weekly_language")]
+    out += [(f"{n} adds up to the labelled", f"SELECT sum(conversations) FROM {n}", labelled, 0) for n in ("intent_by_model", "intent_weekly")]
+    out += [(f"{n} has the weekly volume", _same_weeks(daily, n), "SELECT 0", 0) for n in ("intensity_weekly", "data_quality_weekly")]
+    out += [(f"{p} adds up to {w}", _same_weeks(f"(SELECT week, model_family, count(*) AS conversations FROM c WHERE {cut} GROUP BY 1, 2)", w), "SELECT 0", 0) for p, w, cut in (("friction_weekly_model", "friction_weekly", "NOT has_empty_user_input"), ("data_quality_weekly_model", "data_quality_weekly", "true"))]
+    out += [
+        ("intensity_weekly_model has the models' volume", f"SELECT count(*) FROM intensity_weekly_model i JOIN (SELECT week, model, sum(conversations) AS n FROM {daily} GROUP BY 1, 2) v USING (week, model) WHERE i.conversations <> v.n", "SELECT 0", 0),
+        ("responders that are no model's name", "SELECT count(*) FROM friction_by_responder WHERE responder NOT IN (SELECT model FROM volume_daily_model)", "SELECT 0", 0),
+        ("the last complete week has a row", "SELECT count(*) FROM intensity_weekly WHERE week = (SELECT date_trunc('week', max(date) - 6)::DATE FROM c)", "SELECT 1", 0),
+        ("friction leaves out empty inputs", "SELECT max(abs(f.conversations - round(d.conversations * (1 - d.empty_input_rate)))) FROM friction_weekly f JOIN data_quality_weekly d USING (week)", "SELECT 0", 1),
+        ("era cells within all-time cells", "SELECT count(*) FROM friction_by_intent_model_era e JOIN friction_by_intent_model a USING (intent, model) WHERE e.conversations > a.conversations", "SELECT 0", 0),
+        ("intent cells within weekly intents", "SELECT count(*) FROM (SELECT week, sum(conversations) AS n FROM intent_weekly_model GROUP BY 1) a JOIN (SELECT week, sum(conversations) AS n FROM intent_weekly GROUP BY 1) b USING (week) WHERE a.n > b.n", "SELECT 0", 0),
+        ("friction rates within 0 and 1", _outside("friction_weekly", "repeat_rate", "one_and_done_rate", "correction_rate", "refusal_rate"), "SELECT 0", 0),
+        ("intensity rates within 0 and 1", _outside("intensity_weekly", "return_rate", "top10_share"), "SELECT 0", 0),
+        ("intensity rates of models within 0 and 1", _outside("intensity_weekly_model", "return_rate", "top10_share"), "SELECT 0", 0),
+        ("quality rates within 0 and 1", _outside("data_quality_weekly", "redacted_rate", "token_usage_coverage"), "SELECT 0", 0),
+        ("responder rates within 0 and 1", _outside("friction_by_responder", "correction_rate", "repeat_rate"), "SELECT 0", 0),
+        ("return rate is null where no next week is", "SELECT count(*) FROM intensity_weekly WHERE (return_rate IS NULL) = next_week_present", "SELECT 0", 0),
+    ]
+    return out
+
+
+_METRIC_STEPS = [f"{n} AS MATERIALIZED ({_on_chat(n)})" for n in _TABLES]
+
 ORACLE_SQL = {
-    "chat_objects": _M.format(user="concat('u', conv_id % 7)", model="CASE WHEN conv_id % 4 <> 0 THEN 'm1' END", responder="NULL::VARCHAR"),
-    "chat_objects_coverage": "SELECT count(*)::BIGINT AS conversations, 1.0::DOUBLE AS user_coverage, 1.0::DOUBLE AS ts_coverage, avg((conv_id % 4 <> 0)::INT) AS model_coverage, CASE WHEN avg((conv_id % 4 <> 0)::INT) < 0.5 THEN 'no_models' ELSE '' END AS notes FROM (SELECT DISTINCT conv_id FROM conversations)",
-    "turn_rows_csv": _M.format(user="NULL::VARCHAR", model="NULL::VARCHAR", responder="NULL::VARCHAR"),
-    "otlp_traces": f"WITH {_SPANS} SELECT conv_id::VARCHAR AS conv_id, concat('u', conv_id % 7) AS user, 'm1' AS model, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, part))::BIGINT AS idx, role, content, responder FROM said",
-    "chat_export_thread": _M.format(user="'you'", model="'m1'", responder="'m1'"),
-    "sender_export": _M.format(user="'you'", model="NULL::VARCHAR", responder="NULL::VARCHAR"),
+    "consistency_checks": _chat_sql(
+        "SELECT label, got, want, abs(got - want) <= tolerance AS ok FROM (" + " UNION ALL ".join(f"SELECT '{label.replace(chr(39), chr(39) * 2)}' AS label, coalesce(({got})::DOUBLE, 0) AS got, coalesce(({want})::DOUBLE, 0) AS want, {tolerance} AS tolerance" for label, got, want, tolerance in _expectations()) + ")", *_METRIC_STEPS
+    ),
+    "chat_objects": _M.format(**_OBJECT, responder=_NONE),
+    "chat_objects_without_ids": f"SELECT user, ts, model, version, count(*)::BIGINT AS messages, arg_min(content, idx) AS opening FROM ({_M.format(**_OBJECT, responder=_NONE)}) GROUP BY conv_id, user, ts, model, version",
+    "chat_objects_coverage": f"""SELECT *, array_to_string(list_filter([CASE WHEN user_coverage < 0.5 THEN 'no_users' END, CASE WHEN ts_coverage < 0.5 THEN 'no_weeks' END, CASE WHEN model_coverage < 0.5 THEN 'no_models' END], lambda n: n IS NOT NULL), ',') AS notes
+FROM (SELECT count(*)::BIGINT AS conversations, avg((conv_id % 5 <> 0)::INT) AS user_coverage, avg((moment IS NOT NULL)::INT) AS ts_coverage, avg((conv_id % 4 <> 0)::INT) AS model_coverage FROM (SELECT DISTINCT conv_id, moment FROM {_OBJECTS}))""",
+    "turn_rows_csv": _M.format(user="person", ts="moment", model=_NONE, version=_NONE, responder=_NONE, source=_CSV_TIME),
+    "turn_rows_arrival": _M.format(user=_NONE, ts=_NO_TIME, model=_NONE, version=_NONE, responder=_NONE, source="conversations"),
+    "log_facts": _chat_sql("""SELECT conv_id::VARCHAR AS id, CASE WHEN conv_id % 4 <> 0 THEN concat('u', conv_id % 7) ELSE concat('conv:', conv_id) END AS user, n_turns AS turns, repeated_request AS repeat, correction_followup AS correction, one_and_done AS one_turn FROM c"""),
+    "otlp_traces": f"WITH {_SPANS} SELECT conv_id::VARCHAR AS conv_id, concat('u', conv_id % 7) AS user, {_HOUR} + to_seconds((min(turn) OVER (PARTITION BY conv_id))::INTEGER) AS ts, 'm1' AS model, NULL::VARCHAR AS version, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, part))::BIGINT AS idx, role, content, responder FROM said",
+    "chat_export_thread": _M.format(user="'you'", ts=_HOUR, model="'m1'", version=_NONE, responder="'m1'", source="conversations"),
+    "sender_export": _M.format(user="'you'", ts=_START, model=_NONE, version=_NONE, responder=_NONE, source="conversations"),
+    "eval_case_export": _chat_sql("""SELECT concat_ws(chr(10), concat('- description: ', reason), concat('  vars: ', CASE WHEN prev_request IS NULL THEN '{}' ELSE to_json({'x': prev_request})::VARCHAR END), concat('  not: ', to_json({'x': bad_reply})::VARCHAR)) AS value FROM cases""", _FAILURE, _CASES),
     "run_meta": _chat_sql("""SELECT *, labelled / conversations AS labelled_share FROM (
  SELECT count(*)::BIGINT AS conversations, min(date) AS date_min, max(date) AS date_max, count(DISTINCT shard)::BIGINT AS shards, min(week) FILTER (prompt_tokens IS NOT NULL) AS first_token_week, count(intent)::BIGINT AS labelled,
   date_trunc('week', min(date) + 6)::DATE AS complete_weeks_from, date_trunc('week', max(date) - 6)::DATE AS complete_weeks_through FROM c)"""),
-    "intent_coverage": _chat_sql("SELECT 'partial' AS coverage, count(DISTINCT shard)::BIGINT AS shards, (count(DISTINCT shard) FILTER (intent IS NOT NULL AND shard <> 'shard-3'))::BIGINT AS labelled_shards FROM c"),
+    "intent_coverage": _chat_sql(_COVERAGE.format(labelled="intent IS NOT NULL AND shard <> 'shard-3'", full="full")),
+    "intent_coverage_full": _chat_sql(_COVERAGE.format(labelled="intent IS NOT NULL", full="forced_below_threshold")),
+    "intent_coverage_none": _chat_sql(_COVERAGE.format(labelled="false", full="full")),
     "shard_subset": _chat_sql(f"SELECT shard, {N} FROM c WHERE shard IN ('shard-0', 'shard-1', 'shard-3') GROUP BY shard"),
     "unfinished_shards": _chat_sql(f"SELECT shard, {N} FROM c WHERE shard NOT IN ('shard-0', 'shard-2') GROUP BY shard"),
     "legacy_turns": _chat_sql(f"""SELECT responder, n AS assistant_turns, corrections, repeats, corrections / n AS correction_rate, repeats / n AS repeat_rate FROM (
@@ -221,11 +333,11 @@ UNION ALL SELECT 'models', count(DISTINCT model_family)::DOUBLE, count(DISTINCT
  LEFT JOIN (SELECT week, pseudo_user FROM c GROUP BY 1, 2) y ON y.pseudo_user = x.pseudo_user AND y.week = x.week + 7 JOIN (SELECT week, count(*) AS n FROM c GROUP BY 1) z ON z.week = x.week GROUP BY 1)) a,
  (SELECT {RATES} FROM c WHERE NOT has_empty_user_input) b"""),
     "ad_hoc_sql": _chat_sql("SELECT model_family AS model, count(*) FILTER (corr)::BIGINT AS corrections, count(*) FILTER (refused)::BIGINT AS refusals FROM (SELECT conv_id, " + "regexp_matches(content, '{c}') AS corr, regexp_matches(content, '{r}') AS refused FROM messages) JOIN c USING (conv_id) GROUP BY 1"),
-    "published_tables": "SELECT t AS table_name, 1::BIGINT AS files, true AS within_budget FROM (SELECT unnest(['friction_by_intent_model', 'friction_by_intent_model_era', 'friction_by_responder', 'friction_weekly', 'intent_by_model', 'intent_weekly', 'intent_weekly_model']) AS t)",
+    "published_tables": _chat_sql(" UNION ALL ".join(f"SELECT '{n}' AS table_name, 1::BIGINT AS files, true AS within_budget, count(*)::BIGINT AS cells FROM {n}" for n in _TABLES), *_METRIC_STEPS),
     "responder_split": _chat_sql(f"""SELECT count(*)::BIGINT AS responders, count(*) FILTER (responder NOT IN (SELECT model_family FROM c))::BIGINT AS no_models, count(*) FILTER (responder NOT IN (SELECT model_family FROM c)) > 0 AS show_split
 FROM (SELECT {FAMILY.format(x="attributed_to")} AS responder FROM turns JOIN c USING (conv_id) WHERE NOT has_empty_user_input AND role <> 'user' GROUP BY 1 HAVING count(*) >= {MIN_CELL})"""),
     "weekly_change": _chat_sql("SELECT week, n, percent, CASE WHEN percent > 0 THEN 'up' WHEN percent < 0 THEN 'down' WHEN percent = 0 THEN 'flat' END AS direction FROM (SELECT week, n, round(100 * (n::DOUBLE / lag(n) OVER (ORDER BY week) - 1), 1) AS percent FROM (SELECT week, count(*)::BIGINT AS n FROM c GROUP BY 1))"),
-    "nested_json_access": "SELECT event_id, json_extract_string(props, '$') AS whole, len(json_keys(props))::BIGINT AS n_keys FROM events",
+    "nested_json_access": "SELECT event_id, json_extract_string(props, '$') AS whole, len(json_keys(props))::BIGINT AS n_keys, (props->>'$.k')::BIGINT AS k, event_type, round(value)::BIGINT AS rounded, NULL::VARCHAR AS gone FROM events",
     "incremental_ingest": _chat_sql(f"SELECT week, {N}, sum(n_turns)::BIGINT AS turns FROM c GROUP BY week"),
     "events_stream_weekly": "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY 1, 2",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlytics.functions import rules as R
@@ -13,7 +13,6 @@ from .core import FAMILY, MIN_CELL, N, Chat, _chat_sql, chat_query, intensity_sq
 
 RECENT = 6  # the fixture has 18 active weeks
 BREAK = "2024-05-06"
-GAP_CELL = 90  # so that some weeks fall out
 
 
 def events(x: Chat) -> DataFrame:
@@ -45,12 +44,19 @@ def first_to_last(x: Chat) -> DataFrame:
     return S.spine(x.conversations.agg(F.min("week").alias("a"), F.max("week").alias("z")), "a", "z")
 
 
+def usual_weeks(x: Chat) -> DataFrame:
+    """Weekly rates per model, only weeks with at least the model's usual number of conversations; so every model has gaps."""
+    rates = M.friction_weekly_model(x.conversations, 1)
+    usual = F.avg("conversations").over(Window.partitionBy("model"))  # a row per week
+    return rates.withColumn("usual", usual).where("conversations >= usual").drop("usual")
+
+
 QUERIES = {
     "complete_weeks": chat_query(lambda x: S.span(x.conversations)),
     "events_complete_weeks": chat_query(lambda x: S.span(events(x))),
     "orders_complete_weeks": chat_query(lambda x: S.span(orders(x))),
     "zero_filled_volume": chat_query(lambda x: S.zero_filled(model_weeks(x), weeks(x), "model", "conversations")),
-    "rate_gaps": chat_query(lambda x: S.rate_gaps(M.friction_weekly_model(x.conversations, GAP_CELL), first_to_last(x), "model", "correction_rate")),
+    "rate_gaps": chat_query(lambda x: S.rate_gaps(usual_weeks(x), first_to_last(x), "model", "correction_rate")),
     "outage_weeks": chat_query(lambda x: S.outage_weeks(x.conversations, first_to_last(x))),
     "model_windows": chat_query(lambda x: S.windows_of(model_weeks(x), "model")),
     "handoff_events": chat_query(lambda x: S.handoffs(S.windows_of(model_weeks(x), "model"), "model")),
@@ -108,7 +114,7 @@ _i, _if = intensity_sql("c", "")
 _e, _ef = intensity_sql("e", "")
 _et, _etf = intensity_sql("(SELECT *, model_family AS mf FROM e)", ", mf")
 _o, _of = intensity_sql("o", "")
-_FRICTION = f"f AS (SELECT model_family AS model, week, avg(correction_followup::INT) AS correction_rate FROM c WHERE NOT has_empty_user_input GROUP BY ALL HAVING count(*) >= {GAP_CELL})"
+_FRICTION = "f AS (SELECT model, week, correction_rate FROM (SELECT model_family AS model, week, count(*) AS n, avg(count(*)) OVER (PARTITION BY model_family) AS usual, avg(correction_followup::INT) AS correction_rate FROM c WHERE NOT has_empty_user_input GROUP BY 1, 2) WHERE n >= usual)"
 
 ORACLE_SQL = {
     "complete_weeks": _chat_sql(span_sql("c")),

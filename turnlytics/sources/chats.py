@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlytics.functions import rules as R
+from turnlytics.schema import ONE_AND_DONE_CHARS
 
 # Names under which logs keep the same thing, the first one that is there and not empty counts.
 MESSAGE_KEYS = ["conversation", "messages", "turns", "chat", "dialog", "history", "chat_messages"]
@@ -20,6 +21,7 @@ VERSION_KEYS = ["prompt_version", "app_version", "release", "version", "deployme
 RESPONDER_KEYS = ["responder", "agent", "agent_name", "assistant_name", "name", "model"]
 ROLE_KEYS = ["role", "author", "from", "speaker", "sender", "type"]
 CONTENT_KEYS = ["content", "text", "message", "value", "body"]
+ORDER_KEYS = ["turn", "idx", "index", "position", "seq", "message_index"]
 
 
 def _text(value: Column, kind: T.DataType) -> Column:
@@ -47,10 +49,17 @@ def keep_spoken(messages: Column) -> Column:
     return F.filter(messages, lambda x: x["role"].isin("user", "assistant"))
 
 
+def utc(ts: Column) -> Column:
+    """A moment as a time without zone, in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def chat_objects(rows: DataFrame) -> DataFrame:
     """One object per conversation; which names it uses shows from its columns.
 
-    User, version and time may stand in the first message instead; without a model, the first reply's responder is the model.
+    An object without id is a conversation of its own: it is named after its place in the scan.  User and version may stand in the
+    first message instead; without a time, the first spoken message that has one gives it; without a model, the
+    first reply's responder is the model.
     """
     key = next(k for k in MESSAGE_KEYS if isinstance(getattr(rows.schema[k], "dataType", None) if k in rows.columns else None, T.ArrayType))
     fields = rows.schema[key].dataType.elementType
@@ -58,9 +67,11 @@ def chat_objects(rows: DataFrame) -> DataFrame:
     pick = lambda names: first_present(names, rows.schema)
     of_first = lambda names: first_present(names, fields, first)
     plain = rows.withColumn("__m", keep_spoken(F.transform(key, lambda x: message_struct(x, fields))))
+    timed = F.filter(F.transform(key, lambda x: F.struct(R.role_name(first_present(ROLE_KEYS, fields, x)).alias("role"), R.any_timestamp(first_present(TIME_KEYS, fields, x)).alias("ts"))), lambda x: x["role"].isin("user", "assistant") & x["ts"].isNotNull())
     replier = F.try_element_at(F.filter("__m", lambda x: (x["role"] == "assistant") & x["responder"].isNotNull()), F.lit(1))["responder"]
     return plain.select(
-        pick(ID_KEYS).alias("id"), F.coalesce(pick(USER_KEYS), of_first(USER_KEYS)).alias("user"), R.any_timestamp(F.coalesce(pick(TIME_KEYS), of_first(TIME_KEYS))).cast("timestamp_ntz").alias("ts"),
+        F.coalesce(pick(ID_KEYS), F.concat(F.lit("row:"), F.monotonically_increasing_id())).alias("id"), F.coalesce(pick(USER_KEYS), of_first(USER_KEYS)).alias("user"),
+        utc(F.coalesce(R.any_timestamp(pick(TIME_KEYS)), F.try_element_at(timed, F.lit(1))["ts"])).alias("ts"),
         F.coalesce(pick(MODEL_KEYS), replier).alias("model"), F.coalesce(pick(VERSION_KEYS), of_first(VERSION_KEYS)).alias("version"), F.col("__m").alias("messages"),
     )
 
@@ -69,15 +80,26 @@ def read_chat_objects(spark: SparkSession, path: str) -> DataFrame:
     return chat_objects(spark.read.json(path))
 
 
-def turn_rows(rows: DataFrame, order: Sequence[str] = ("turn", "idx", "index", "position")) -> DataFrame:
-    """One row per message; messages of a conversation are put in order by the first order column that is there."""
-    at = next(c for c in order if c in rows.columns)
+def turn_rows(rows: DataFrame, order: Sequence[str] = tuple(ORDER_KEYS)) -> DataFrame:
+    """One row per message.  The first order column with a value puts a conversation's messages in order; messages
+    without one, and ties, follow as they arrive.  Rows that other roles spoke count for user, time and version only.
+
+    User, model and version are the first that arrive, time is the earliest.
+    """
     ident, fields = first_present(ID_KEYS, rows.schema), rows.schema
-    m = F.struct(F.col(at).cast("long").alias("at"), R.role_name(first_present(ROLE_KEYS, fields)).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields), F.lit("")).alias("content"), first_present(RESPONDER_KEYS, fields).alias("responder"))
-    grouped = rows.select(ident.alias("id"), m.alias("m"), first_present(USER_KEYS, fields).alias("user"), first_present(MODEL_KEYS, fields).alias("model")).groupBy("id")
-    out = grouped.agg(F.max("user").alias("user"), F.max("model").alias("model"), F.array_sort(F.collect_list("m")).alias("m"))
-    spoken = keep_spoken(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["responder"].alias("responder"))))
-    return out.select("id", "user", F.lit(None).cast("timestamp_ntz").alias("ts"), "model", F.lit(None).cast("string").alias("version"), spoken.alias("messages"))
+    given = first_present([c for c in order if c in rows.columns], fields)
+    arrival = F.monotonically_increasing_id()
+    # a value that is no number counts as the place of arrival
+    at = F.when(given.isNull(), 0.0).otherwise(F.coalesce(given.try_cast("double"), F.col("arrival").cast("double")))
+    plain = rows.withColumn("arrival", arrival).select(
+        ident.alias("id"), "arrival", at.alias("at"), R.role_name(first_present(ROLE_KEYS, fields)).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields), F.lit("")).alias("content"), first_present(RESPONDER_KEYS, fields).alias("responder"),
+        first_present(USER_KEYS, fields).alias("user"), R.any_timestamp(first_present(TIME_KEYS, fields)).alias("ts"), first_present(MODEL_KEYS, fields).alias("model"), first_present(VERSION_KEYS, fields).alias("version"),
+    )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c)
+    spoken = F.when(F.col("role").isin("user", "assistant"), F.struct("at", "arrival", "role", "content", "responder"))
+    out = plain.where("id IS NOT NULL").groupBy("id").agg(first("user"), F.min("ts").alias("ts"), first("model"), first("version"), F.array_sort(F.collect_list(spoken)).alias("m"))
+    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["responder"].alias("responder")))
+    return out.select("id", "user", utc(F.col("ts")).alias("ts"), "model", "version", messages.alias("messages"))
 
 
 def read_turn_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +136,7 @@ def traces(rows: DataFrame) -> DataFrame:
     reply = F.when(F.col("told").isNotNull(), F.struct(F.lit("assistant").alias("role"), F.col("told").alias("content"), F.col("responder")))
     out = spans.groupBy("id").agg(F.max("user").alias("user"), F.min("nanos").alias("nanos"), F.max("model").alias("model"), F.max("version").alias("version"), F.array_sort(F.collect_list(F.struct("nanos", "spanId", user.alias("u"), reply.alias("r")))).alias("m"))
     messages = F.filter(F.flatten(F.transform("m", lambda x: F.array(x["u"], x["r"]))), lambda x: x.isNotNull())
-    return out.select("id", "user", F.timestamp_micros((F.col("nanos") / 1000).cast("long")).cast("timestamp_ntz").alias("ts"), "model", "version", messages.alias("messages"))
+    return out.select("id", "user", utc(F.timestamp_micros((F.col("nanos") / 1000).cast("long"))).alias("ts"), "model", "version", messages.alias("messages"))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -125,33 +147,32 @@ NODE = "struct<id:string,parent:string,message:struct<author:struct<role:string>
 EXPORT = f"conversation_id string, title string, create_time double, current_node string, default_model_slug string, mapping map<string,{NODE}>"
 
 
-def export_threads(rows: DataFrame, most_steps: int = 4096) -> DataFrame:
+def export_threads(rows: DataFrame) -> DataFrame:
     """Chat exports that keep a tree of messages: the thread that ends in the current node, root first.
 
-    A conversation's tree is in its row, so following parents is a fold within the row: no join per step, no exchange.
+    A conversation's tree is in its row, so following parents is a fold within the row: no join per step, no exchange.  A path has
+    no more steps than the tree has nodes, so threads of any length come whole and circles end.
     Hidden, tool-directed and non-text nodes are left out.  Branches that the person abandoned are not on the path.
     """
     node = F.col("mapping")
     start = F.struct(F.col("current_node").alias("at"), F.array().cast("array<string>").alias("path"))
-    depth = F.least(F.size(F.map_keys(node)), F.lit(most_steps))
-
     def step(state: Column, _: Column) -> Column:
         here = F.try_element_at(node, state["at"])
         on = state["at"].isNotNull() & here.isNotNull()
-        return F.struct(F.when(on, here["parent"]).alias("at"), F.when(on, F.concat(F.array(state["at"]), state["path"])).otherwise(state["path"]).alias("path"))
+        return F.struct(F.when(on, here["parent"]).alias("at"), F.when(on, F.array_append(state["path"], state["at"])).otherwise(state["path"]).alias("path"))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), start, step)["path"]
+    path = F.reverse(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(F.map_keys(node)), F.lit(1))), start, step)["path"])
     messages = F.transform(path, lambda k: F.try_element_at(node, k)["message"])
     shown = F.filter(messages, lambda m: m.isNotNull() & ~F.coalesce(m["metadata"]["is_visually_hidden_from_conversation"], F.lit(False)) & (F.coalesce(m["recipient"], F.lit("all")) == "all") & F.coalesce(m["content"]["content_type"] == "text", F.lit(False)))
     plain = F.transform(shown, lambda m: F.struct(R.role_name(m["author"]["role"]).alias("role"), F.array_join(m["content"]["parts"], "\n").alias("content"), m["metadata"]["model_slug"].alias("responder")))
-    return rows.select(F.col("conversation_id").alias("id"), F.lit("you").alias("user"), R.epoch_timestamp(F.col("create_time")).cast("timestamp_ntz").alias("ts"), F.col("default_model_slug").alias("model"), F.lit(None).cast("string").alias("version"), keep_spoken(plain).alias("messages"))
+    return rows.select(F.col("conversation_id").alias("id"), F.lit("you").alias("user"), utc(R.epoch_timestamp(F.col("create_time"))).alias("ts"), F.col("default_model_slug").alias("model"), F.lit(None).cast("string").alias("version"), keep_spoken(plain).alias("messages"))
 
 
 def sender_exports(rows: DataFrame) -> DataFrame:
     """Exports of one person's chats, with senders instead of roles: the user is "you", model and responders are unknown."""
     fields = rows.schema["chat_messages"].dataType.elementType
     plain = F.transform("chat_messages", lambda x: F.struct(R.role_name(x["sender"]).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields, x), F.lit("")).alias("content"), F.lit(None).cast("string").alias("responder")))
-    return rows.select(first_present([*ID_KEYS, "uuid"], rows.schema).alias("id"), F.lit("you").alias("user"), R.any_timestamp(first_present(TIME_KEYS, rows.schema)).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("version"), keep_spoken(plain).alias("messages"))
+    return rows.select(first_present([*ID_KEYS, "uuid"], rows.schema).alias("id"), F.lit("you").alias("user"), utc(R.any_timestamp(first_present(TIME_KEYS, rows.schema))).alias("ts"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("version"), keep_spoken(plain).alias("messages"))
 
 
 def detect_format(schema: T.StructType) -> str:
@@ -171,6 +192,19 @@ def as_messages(chats: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("conv_id"), "user", "ts", "model", "version", (F.col("pos") + 1).alias("idx"), "m.role", "m.content", "m.responder")
 
 
+def log_facts(chats: DataFrame, limit: int = ONE_AND_DONE_CHARS) -> DataFrame:
+    """A row per conversation: user (each conversation its own person where none is known), turns of the user, what repeats or
+    pushes back, and whether it ended after one turn.  All within the row."""
+    of = lambda who: F.filter("messages", lambda x: x["role"] == who)
+    rows = chats.withColumns({"asked": of("user"), "told": of("assistant")})
+    repeated = F.exists(F.sequence(F.lit(2), F.greatest(F.size("asked"), F.lit(2))), lambda i: R.is_repeat(F.try_element_at("asked", i - 1)["content"], F.coalesce(F.try_element_at("asked", i)["content"], F.lit(""))))
+    last = F.coalesce(F.length(F.try_element_at("told", F.lit(-1))["content"]), F.lit(0))
+    return rows.select(
+        "id", F.coalesce(F.nullif("user", F.lit("")), F.concat(F.lit("conv:"), F.col("id"))).alias("user"), "ts", "model", F.nullif("version", F.lit("")).alias("version"), F.size("asked").alias("turns"),
+        (repeated & (F.size("asked") > 1)).alias("repeat"), F.exists("asked", lambda x: R.is_correction(x["content"])).alias("correction"), R.one_and_done(F.size("asked"), last, limit).alias("one_turn"),
+    )
+
+
 def coverage(chats: DataFrame, least: float = 0.5) -> DataFrame:
     """One row: shares of conversations with user, time and model, and what cannot be computed below ``least``."""
     share = lambda c: F.avg(F.col(c).isNotNull().cast("int"))
@@ -186,6 +220,12 @@ def write_failure_cases(cases: DataFrame, path: str) -> None:
     cases.write.mode("overwrite").json(path)
 
 
+def write_fix_list(fixes: DataFrame, path: str) -> None:
+    """The backlog as CSV: intents by flagged conversations, each with a title."""
+    title = F.format_string("Fewer repeats and corrections in %s (%.1f%% of conversations)", F.col("intent"), 100 * F.col("rate"))
+    fixes.withColumn("title", title).coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").csv(path, header=True, quoteAll=True)  # a row per intent
+
+
 def write_backlog(themes: DataFrame, path: str) -> None:
     themes.write.mode("overwrite").csv(path, header=True, quoteAll=True)
 

@@ -44,10 +44,19 @@ def with_missing(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
 
 
-def intent_coverage(conversations: DataFrame, intent: DataFrame) -> DataFrame:
-    """One row: none, partial or full, by the shards that either table has."""
+def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The flat table at a path; an empty one of the stated columns where nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def intent_coverage(conversations: DataFrame, intent: DataFrame, forced: bool = False) -> DataFrame:
+    """One row: none, partial or full, by the shards that either table has; a full one that a classifier below its gate made by force
+    is named so."""
     a = conversations.select("shard").distinct().withColumn("flat", F.lit(1))
     b = intent.select("shard").distinct().withColumn("labelled", F.lit(1))
     both = a.join(b, "shard", "full")
     n = both.agg(F.count("flat").alias("flat"), F.count("labelled").alias("labelled"), F.count_if(F.col("flat").isNull() | F.col("labelled").isNull()).alias("differ"))
-    return n.select(F.when(F.col("labelled") == 0, "none").when(F.col("differ") == 0, "full").otherwise("partial").alias("coverage"), F.col("flat").alias("shards"), F.col("labelled").alias("labelled_shards"))
+    full = F.when(F.lit(forced), "forced_below_threshold").otherwise("full")
+    return n.select(F.when(F.col("labelled") == 0, "none").when(F.col("differ") == 0, full).otherwise("partial").alias("coverage"), F.col("flat").alias("shards"), F.col("labelled").alias("labelled_shards"))

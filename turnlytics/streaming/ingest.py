@@ -30,3 +30,19 @@ def weekly_volume(stream: DataFrame, time: str = "ts", delay: str = "1 day") ->
     week = F.window(time, "7 days", startTime="4 days")
     stream = stream.withColumn(time, F.to_timestamp_ltz(F.concat(F.col(time).cast("timestamp_ntz").cast("string"), F.lit("+00:00"))))  # as UTC, whatever the session's zone
     return stream.withWatermark(time, delay).groupBy(week.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.date_from_unix_date((F.unix_seconds("w.start") / 86400).cast("int")).alias("week"), "event_type", "n", "total")
+
+
+def stream_to_table(changes: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream to the end of its source; the table keeps each key's latest row.
+
+    Batches write the rows that they changed, each to a folder of its own that a repeated batch replaces, so state behind the
+    watermark can be dropped and nothing passes through the driver.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark, values = changes.sparkSession, [c for c in changes.columns if c not in keys]
+    rows = spark.read.schema(f"{changes.schema.toDDL()}, batch BIGINT").parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
