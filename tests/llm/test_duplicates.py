@@ -212,8 +212,13 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
-def test_embedding_dedup_equals_all_pairs(spark):
+@pytest.mark.parametrize(("recall", "element"), [(0.9999, "double"), (0.99, "float")])
+def test_embedding_dedup_equals_all_pairs(spark, recall, element):
+    """At the recall that the query uses, too; single-precision vectors are compared in double precision."""
     rows, frame = vectors(spark)
+    if element == "float":
+        rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in rows]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     frame = frame.withColumns({c: F.lit(1) for c in ("id", "keys", "unit", "tab", "n", "copies")})
     good = {}
     for i, v, label in rows:
@@ -225,7 +230,7 @@ def test_embedding_dedup_equals_all_pairs(spark):
             x, y = good[a][1], good[b][1]
             if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93:
                 links.add((a, b))
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_duplicates(frame, recall=0.9999).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_duplicates(frame, recall=recall).collect()}
     assert set(got) == {r[0] for r in rows}
     degree = defaultdict(int)
     for a, b in links:

@@ -96,6 +96,15 @@ def test_url_filter_equals_rules_one_by_one(spark):
         assert (got[i]["rule"], got[i]["verdict"]) == ((best[2], "block" if best[3] else "allow") if best else (None, "allow")), u
 
 
+def test_url_filter_of_no_pages_repeated_pages_and_long_urls(spark):
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    long = "http://" + "a." * 3000 + "com/" + "x" * 200_000
+    frame = spark.createDataFrame([(1, long), (1, long), (None, "http://x.org/")], "page_id long, url string")
+    assert url_filter.judge_urls(frame.limit(0), rules).count() == 0
+    got = sorted((str(r["page_id"]), r["rule"], len(r["path"])) for r in url_filter.judge_urls(frame, rules).collect())
+    assert got == sorted([("1", "com/", 200_001), ("1", "com/", 200_001), ("None", None, 1)], key=str)
+
+
 def test_url_filter_many_shards_and_none(spark):
     rules = spark.createDataFrame([(f"h{i}.org", f"/{i % 3}/", "block" if i % 2 else "allow") for i in range(500)], "host string, path string, verdict string")
     scratch = Scratch(spark, "t")

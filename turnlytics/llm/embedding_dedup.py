@@ -14,7 +14,8 @@ is connected, never all pairs.  Equal vectors are one class with a multiplicity.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without label, link with nothing.
 Vectors of different lengths link with nothing either.  Repeated rows (same id, label and vector) count once.  A null id is
-never linked and its component is null.
+never linked and its component is null.  An empty table gives no rows.  Vectors of any length are compared whole.  Ids are whole
+numbers (cast to long); labels may have any type.  Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Scratch
 from .components import connected_components
@@ -68,6 +70,16 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, length: int,
     return ((x - mean) @ projection >= 0).reshape(len(x), -1, bits)[:, :, : per * length].reshape(len(x), -1, length)[:, :tables]
 
 
+def table_keys(code: np.ndarray) -> np.ndarray:
+    """Each table's substring as a number."""
+    return (code @ (1 << np.arange(code.shape[2]))).astype(np.uint32)
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def partners(x: np.ndarray, threshold: float, seed: int = 11) -> np.ndarray:
     """For each unit vector, another one in a random direction at the threshold."""
     u = np.random.default_rng(seed).standard_normal(x.shape)
@@ -117,7 +129,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("embedding"))
     with scratch.inner("steps") as inner:
         classes = inner.table(valid_vectors(rows).withColumn("dim", F.size("embedding")), "classes")
-        found = inner.table(compare(spark, classes, inner, threshold, recall, sample_rows, block), "found")
+        element = getattr(vectors.schema[vector_column].dataType, "elementType", None)
+        kind = "float32" if isinstance(element, FloatType) else "float64"  # vectors travel as they are given
+        found = inner.table(compare(spark, classes, inner, threshold, recall, sample_rows, block, kind), "found")
         counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
         links = inner.table(found.where("n = 0").select("a", "b").distinct(), "links")
         components = connected_components(links, inner).withColumnRenamed("node", "id")
@@ -130,10 +144,10 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def compare(spark: SparkSession, classes: DataFrame, scratch: Scratch, threshold: float, recall: float, sample_rows: int, block: int) -> DataFrame:
+def compare(spark: SparkSession, classes: DataFrame, scratch: Scratch, threshold: float, recall: float, sample_rows: int, block: int, kind: str) -> DataFrame:
     """Rows (a, b, n): with n > 0, a has n more links; with n = 0, a and b are connected."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n"), F.sum("n").alias("rows")).collect()
-    parts = [_compare_dim(spark, classes.where(F.col("dim") == r["dim"]), scratch, r["dim"], r["n"], r["rows"], threshold, recall, sample_rows, block) for r in sizes if r["n"] > 1]
+    parts = [_compare_dim(spark, classes.where(F.col("dim") == r["dim"]), scratch, r["dim"], r["n"], r["rows"], threshold, recall, sample_rows, block, kind) for r in sizes if r["n"] > 1]
     if not parts:
         return spark.createDataFrame([], "a long, b long, n long")
     whole = parts[0]
@@ -142,14 +156,13 @@ def compare(spark: SparkSession, classes: DataFrame, scratch: Scratch, threshold
     return whole
 
 
-def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall, sample_rows, block) -> DataFrame:
+def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall, sample_rows, block, kind) -> DataFrame:
     steps = 1 << 30
     share = min(steps, steps * sample_rows // total)
     sample = np.array([r[0] for r in classes.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < share).select("embedding").collect()], float).reshape(-1, dim)
     if not len(sample):
         sample = np.array([classes.first()["embedding"]], float)
-    sample = sample / np.abs(sample).max(axis=1, keepdims=True)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = unit_vectors(sample)
     length, tables, mean, projection = fit_tables(sample, largest, threshold, recall)
     sent = spark.sparkContext.broadcast((mean, projection))
 
@@ -158,18 +171,16 @@ def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
-                x = b.column("embedding").flatten().to_numpy().reshape(-1, dim)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                code = codes(x, mean, projection, length, tables)
-                keys = (code @ (1 << np.arange(length))).astype(np.uint32)
+                given = b.column("embedding").flatten().to_numpy().reshape(-1, dim)
+                code = codes(unit_vectors(given), mean, projection, length, tables)
+                keys = table_keys(code)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("label"), b.column("copies"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().astype(np.int64)), tables).cast(pa.list_(pa.int64()))],
-                    ["id", "label", "copies", "keys", "unit", "key_list"],
+                    [b.column("id"), b.column("label"), b.column("copies"), pa.array([k.tobytes() for k in np.packbits(code.reshape(len(code), -1), axis=1)], pa.binary()), pa.array([r.tobytes() for r in given.astype(kind)], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().astype(np.int64)), tables).cast(pa.list_(pa.int64()))],
+                    ["id", "label", "copies", "bits", "vector", "key_list"],
                 )
 
-    kind = classes.schema["label"].dataType.simpleString()
-    coded = scratch.table(classes.select("id", "label", "copies", "embedding").mapInArrow(encode, f"id long, label {kind}, copies long, keys binary, unit binary, key_list array<long>"), "codes")
+    label_type = classes.schema["label"].dataType.simpleString()
+    coded = scratch.table(classes.select("id", "label", "copies", "embedding").mapInArrow(encode, f"id long, label {label_type}, copies long, bits binary, vector binary, key_list array<long>"), "codes")
     entries = coded.select("id", "label", F.posexplode("key_list").alias("tab", "key"))
     entries = entries.select("id", F.xxhash64("label", "tab", "key").alias("bucket"), "tab")
     crowded = scratch.table(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
@@ -189,15 +200,15 @@ def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall
             # the last cell of a batch may go on in the next one
             start = _last_cell(batch)
             if start == 0 and held and not _same_cell(held[-1], batch):
-                yield from _compare_cells(held, dim, tables, threshold)
+                yield from _compare_cells(held, dim, length, tables, threshold, kind)
                 held = []
             if start > 0:
-                yield from _compare_cells([*held, batch.slice(0, start)], dim, tables, threshold)
+                yield from _compare_cells([*held, batch.slice(0, start)], dim, length, tables, threshold, kind)
                 held = []
             held.append(batch.slice(start))
-        yield from _compare_cells(held, dim, tables, threshold)
+        yield from _compare_cells(held, dim, length, tables, threshold, kind)
 
-    columns = ["id", "tab", *cell, "left", "label", "copies", "keys", "unit"]
+    columns = ["id", "tab", *cell, "left", "label", "copies", "bits", "vector"]
     return whole.select(*columns).mapInArrow(pairs, "a long, b long, n long")
 
 
@@ -215,7 +226,7 @@ def _same_cell(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
     return bool((_cells(a.slice(a.num_rows - 1)) == _cells(b.slice(0, 1))).all())
 
 
-def _compare_cells(batches: list[pa.RecordBatch], dim: int, tables: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare_cells(batches: list[pa.RecordBatch], dim: int, length: int, tables: int, threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
     if not batches:
         return
     t = pa.Table.from_batches(batches).combine_chunks()
@@ -223,8 +234,9 @@ def _compare_cells(batches: list[pa.RecordBatch], dim: int, tables: int, thresho
     edge = np.append(0, np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1)
     ids, copies, left = t.column("id").to_numpy(), t.column("copies").to_numpy(), t.column("left").to_numpy()
     labels = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32).reshape(-1, tables)
-    units = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, dim)
+    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
+    keys = table_keys(np.unpackbits(bits, axis=1, count=tables * length).reshape(len(ids), tables, length))
+    units = unit_vectors(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(-1, dim).astype(np.float64))
     table = cells[:, 3]
     size = np.diff(np.append(edge, len(ids)))
     counts, a, b = np.zeros(len(ids), np.int64), [], []

@@ -13,7 +13,8 @@ two components is decided on the full sets, and no step emits all pairs of a gro
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; texts with fewer words than
 a shingle have one shingle, the whole sequence.  Rows with a null id are linked with nothing and their component is null.
-``doc_id`` names one text; a repeated row gets its result repeated.
+``doc_id`` names one text; a repeated row gets its result repeated.  An empty table gives no rows.  Texts of any length count
+whole.  Ids are whole numbers (cast to long).  Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ stored string, so that two strings with one digest never mix.
 
 Defined results: a null url, or one without ``://``, has empty host and path and meets no rule; urls that meet no rule get
 ``default``.  Of several rules the longest (host and path together, then the longer host) decides; of equal rules with
-different verdicts, ``block`` does.  Null or empty rule hosts are ignored.  Repeated rows give repeated results.
+different verdicts, ``block`` does.  Null or empty rule hosts are ignored.  Repeated rows give repeated results.  An empty table of
+pages gives no rows, an empty one of rules lets the default decide.  Urls of any length are judged whole.  Ids may have any
+type.  Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
