@@ -14,6 +14,7 @@ from turnlytics.operators import turns as T
 from turnlytics.sources.files import shared_folder
 
 from .core import ERAS_SQL, FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, _HAVING, chat_query
+from .fixtures import chat
 
 REPS = 400
 ROUTE_MIN = 60  # cells of the fixture are smaller than those of a real corpus
@@ -37,8 +38,6 @@ def era_b(x: Chat) -> DataFrame:
 
 
 def _eras():
-    from . import chat
-
     return chat.ERAS
 
 

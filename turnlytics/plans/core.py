@@ -11,7 +11,7 @@ from turnlytics.functions import rules as R
 from turnlytics.operators import metrics as M
 from turnlytics.operators import turns as T
 
-from . import chat
+from .fixtures import chat
 
 MIN_CELL = chat.MIN_CELL
 
@@ -27,7 +27,7 @@ class Chat:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return chat.messages(self.spark, self.sf_dir)
+        return chat.written(self.spark, self.sf_dir, "messages", lambda: chat.messages(self.spark, self.sf_dir))
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -59,6 +59,9 @@ class Chat:
     @cached_property
     def raw(self) -> DataFrame:
         """The same conversations as nested raw shard rows."""
+        return chat.written(self.spark, self.sf_dir, "raw", self._nested)
+
+    def _nested(self) -> DataFrame:
         rows = chat.with_attributes(self.messages, self.spark, self.sf_dir)
         used = F.col("prompt_tokens").isNotNull() & (F.col("role") == "assistant") & (F.col("idx") == 2)
         usage = F.when(used, F.struct(F.col("prompt_tokens"), F.col("completion_tokens"), (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens")))

@@ -9,11 +9,33 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlytics.sources.files import shared_folder
+
 REPLICAS = 40
 
+_written: dict[tuple, str] = {}
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per session and folder of given tables, in the folder that the cluster shares; made again
+    should it be gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _written.get(key)
+    if path is not None:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            path = None
+    if path is None:
+        path = shared_folder(spark, f"chat-{name}")
+        make().write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(path)
+
 
 def dialect(text: str, spark: bool) -> str:
     form = r"(conv(substr(md5(\1), 1, 8), 16, 10)::bigint % \2)" if spark else r"(('0x' || substr(md5(\1), 1, 8))::BIGINT % \2)"

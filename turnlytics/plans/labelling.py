@@ -9,8 +9,8 @@ from turnlytics.operators import intent as I
 from turnlytics.operators import labels as L
 from turnlytics.operators import sampling as P
 
-from .chat import dialect
 from .core import FAMILY, Chat, _chat_sql, chat_query
+from .fixtures.chat import dialect
 
 DRAWN, FLOOR = 400, 10
 
