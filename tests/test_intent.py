@@ -18,3 +18,19 @@ def test_character_terms_are_n_grams_within_padded_words(spark):
     frame = spark.createDataFrame([(1, "Ab c"), (2, None), (3, " ")], "id long, text string")
     got = sorted(r["term"] for r in intent.character_terms(frame, "id", "text").collect())
     assert got == sorted([" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "])
+
+
+def test_exported_weights_predict_like_the_model(spark):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang AS label")
+    rows = given.unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "ab", None), (10**6 + 2, "zzzzzz qqqqqq", None)], given.schema))
+    model = intent.fit_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "doc_id", 1000)
+    weights, classes, intercepts = intent.export_weights(model)
+    got = {r["doc_id"]: r for r in intent.softmax_scores(rows, weights, classes, intercepts).collect()}
+    assert len(got) == rows.count()
+    want = model.transform(rows.na.fill("", ["text"]).na.fill(classes[0], ["label"])).select("doc_id", "prediction", "probability").collect()
+    for r in want:
+        if r["doc_id"] in (10**6, 10**6 + 1):
+            assert (got[r["doc_id"]]["pred"], got[r["doc_id"]]["proba_max"]) == (None, 0.0)
+        else:
+            assert abs(got[r["doc_id"]]["proba_max"] - max(r["probability"])) < 1e-5
+            assert got[r["doc_id"]]["pred"] == classes[int(r["prediction"])]

@@ -63,3 +63,29 @@ def test_bootstrap_intervals_agree(spark):
     assert abs(a["ci_low"] - b["ci_low"]) < 0.004 and abs(a["ci_high"] - b["ci_high"]) < 0.004
     one = compare.bootstrap(spark.createDataFrame([("u", "k", 3.0)], "user string, key string, x double"), ["key"], "user", "x").first()
     assert one["ci_low"] == one["ci_high"] == 3.0
+
+
+def test_gates_stop_a_batch(spark, tmp_path):
+    import pytest
+
+    from turnlytics.operators import labels as L
+
+    requests = spark.createDataFrame([(i, "x" * 400, 400) for i in range(100)], "conv_id long, request string, chars int")
+    good = '{"intent": "coding", "confidence": "low"}'
+    at = lambda name: f"file://{tmp_path}/{name}"
+    assert L.label_batch(requests, lambda r: good, at("a"), 1.0, 1.0, budget=1.0, canary=10).count() == 100
+    with pytest.raises(L.GateError, match="budget"):
+        L.label_batch(requests, lambda r: good, at("b"), 1e6, 1e6, budget=1.0)
+    with pytest.raises(L.GateError, match="parsed"):
+        L.label_batch(requests, lambda r: "no idea", at("c"), canary=10)
+    numbered = requests.selectExpr("conv_id", "cast(conv_id as string) AS request", "chars")
+
+    def failing(request):
+        if int(request) >= 50:
+            raise RuntimeError("no connection")
+        return good
+
+    with pytest.raises(L.GateError, match="50 of 100 are labelled"):
+        L.label_batch(numbered, failing, at("d"), canary=10)
+    assert L.label_batch(numbered, failing, at("e"), canary=10, least_labelled=0.5).count() == 50
+    assert L.label_batch(requests.limit(0), failing, at("f")).count() == 0

@@ -22,6 +22,22 @@ def run_meta(conversations: DataFrame, intent: DataFrame) -> DataFrame:
     return rows.withColumn("labelled_share", F.col("labelled") / F.col("conversations"))
 
 
+#: What readers of the published tables must know.
+CAVEATS = [
+    "The conversations come from one public service; findings describe its users only.",
+    "A pseudo-user is a hash of network address, browser and language: people behind one network merge, and one person's devices count apart.",
+    "The return rate is null for weeks whose next week is not in the data, the last week among them.",
+    "Tokens are known for some conversations only; sums of them go with the number of conversations that have them.",
+]
+
+
+def run_facts(meta: DataFrame, coverage: DataFrame, gate: DataFrame, min_cell: int) -> DataFrame:
+    """The facts that go with published tables: ``run_meta``, coverage of intents, the classifier's figures, and the caveats.  One row each."""
+    figures = gate.select(F.col("n").alias("classifier_n_test"), F.col("accuracy").alias("classifier_accuracy"), F.col("macro_f1").alias("classifier_macro_f1"), F.col("gate").alias("classifier_threshold"), (~F.col("passes") & F.col("used")).alias("classifier_forced"))
+    rows = meta.join(F.broadcast(coverage.select(F.col("coverage").alias("intent_coverage")))).join(F.broadcast(figures))
+    return rows.withColumns({"min_cell": F.lit(min_cell), "caveats": F.array(*map(F.lit, CAVEATS))})
+
+
 def expectation(rows: DataFrame, label: str, got, want, tolerance: float = 0.0) -> DataFrame:
     """One row: label, got, want, ok; got and want are aggregates of ``rows``."""
     out = rows.agg(F.coalesce(got.cast("double"), F.lit(0.0)).alias("got"), F.coalesce(want.cast("double"), F.lit(0.0)).alias("want"))

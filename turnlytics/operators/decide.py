@@ -69,8 +69,9 @@ def backlog(cases: DataFrame, turns: DataFrame, intents: DataFrame, asks: DataFr
     return rows.alias("t").join(few.alias("f"), same("t", "f"), "left").select("t.*", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
-def responder_per_1k(charges: DataFrame) -> DataFrame:
-    rows = charges.groupBy("responder").agg(F.count_if("reply").alias("replies"), F.count_if("repeats_prev_user").alias("repeats"), F.count_if("is_correction").alias("corrections")).where("replies > 0")
+def responder_per_1k(charges: DataFrame, least_replies: int = 1) -> DataFrame:
+    """Repeats and push-backs per 1,000 replies; for one person's log, responders with few replies stay out (30 are usual)."""
+    rows = charges.groupBy("responder").agg(F.count_if("reply").alias("replies"), F.count_if("repeats_prev_user").alias("repeats"), F.count_if("is_correction").alias("corrections")).where(F.col("replies") >= least_replies)
     return rows.withColumns({"repeat_per_1k": 1000 * F.col("repeats") / F.col("replies"), "correction_per_1k": 1000 * F.col("corrections") / F.col("replies")})
 
 

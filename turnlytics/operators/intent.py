@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IDFModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,19 +55,60 @@ def pipeline(n_rows: int, c: float = 4.0, word_features: int = 300_000, characte
     return Pipeline(stages=[*steps, LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", regParam=1.0 / (c * max(n_rows, 1)), standardization=False, maxIter=rounds)])
 
 
+def fit_sample(rows: DataFrame, ident: str, sample_rows: int) -> PipelineModel:
+    """The classifier, fitted on at most about ``sample_rows`` rows with a label, chosen by a hash of the id."""
+    n = rows.count()
+    steps = 1 << 30
+    sample = rows.where(F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.lit(steps)) < min(steps, steps * sample_rows // max(n, 1)))
+    return pipeline(min(n, sample_rows)).fit(sample)
+
+
 def train_and_predict(rows: DataFrame, ident: str = "doc_id", sample_rows: int = 20_000, least: int = 5) -> DataFrame:
     """Trains on at most about ``sample_rows`` rows of the 80 % side of a hash split and predicts all: id, label, pred, proba_max, is_test.
 
     Texts that are null or shorter than ``least`` get no prediction (null, 0.0).
     """
     rows = rows.withColumns({"is_test": F.pmod(F.xxhash64(ident), F.lit(5)) == 0, "text": F.coalesce("text", F.lit(""))})
-    known = rows.where("NOT is_test AND label IS NOT NULL")
-    n = known.count()
-    steps = 1 << 30
-    sample = known.where(F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.lit(steps)) < min(steps, steps * sample_rows // max(n, 1)))
-    model = pipeline(min(n, sample_rows)).fit(sample)
+    model = fit_sample(rows.where("NOT is_test AND label IS NOT NULL"), ident, sample_rows)
     names = model.stages[-2].labels
     out = model.transform(rows.withColumn("kept_label", F.col("label")).withColumn("label", F.lit(names[0])))
     short = F.length("text") < least
     pred = F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int"))
     return out.select(ident, F.col("kept_label").alias("label"), F.when(~short, pred).alias("pred"), F.when(short, 0.0).otherwise(F.array_max(vector_to_array("probability"))).cast("float").alias("proba_max"), "is_test")
+
+
+def export_weights(model: PipelineModel) -> tuple[DataFrame, list[str], list[float]]:
+    """The fitted classifier as a table (block, term, idf, a weight per class), the classes and their intercepts.
+
+    A row per term of the vocabularies, whose sizes the pipeline bounds.
+    """
+    spark = SparkSession.active()
+    counts = {s.getInputCol(): s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel)}
+    idf = {s.getInputCol().removesuffix("_tf"): s.idf.toArray() for s in model.stages if isinstance(s, IDFModel)}
+    last, rows, at = model.stages[-1], [], 0
+    weights = last.coefficientMatrix.toArray()
+    for block in ("word", "char"):
+        for i, term in enumerate(counts[block]):
+            rows.append((block, term, float(idf[block][i]), weights[:, at + i].tolist()))
+        at += len(counts[block])
+    return spark.createDataFrame(rows, "block string, term string, idf double, weights array<double>"), list(model.stages[-2].labels), last.interceptVector.toArray().tolist()
+
+
+def softmax_scores(rows: DataFrame, weights: DataFrame, classes: list[str], intercepts: list[float], ident: str = "doc_id", text: str = "text", least: int = 5) -> DataFrame:
+    """Predictions from exported weights, with joins and sums only: id, pred, proba_max.
+
+    Per block, the terms' counts times idf are scaled to unit length; their weighted sums and the intercepts give the classes' scores.
+    Texts that are null or shorter than ``least`` get no prediction (null, 0.0).
+    """
+    terms = word_terms(rows, ident, text).withColumn("block", F.lit("word")).unionByName(character_terms(rows, ident, text).withColumn("block", F.lit("char")))
+    tf = terms.groupBy(ident, "block", "term").agg(F.count(F.lit(1)).alias("n")).join(weights, ["block", "term"])
+    x = F.col("n") * F.col("idf")
+    names = [f"s{i}" for i in range(len(classes))]
+    sums = tf.groupBy(ident, "block").agg(F.sqrt(F.sum(x * x)).alias("length"), *(F.sum(x * F.col("weights")[i]).alias(n) for i, n in enumerate(names)))
+    scores = sums.groupBy(ident).agg(*(F.sum(F.try_divide(n, "length")).alias(n) for n in names))
+    all_rows = rows.select(ident, (F.length(F.coalesce(text, F.lit(""))) < least).alias("short")).join(scores, ident, "left")
+    score = F.array(*(F.coalesce(n, F.lit(0.0)) + b for n, b in zip(names, intercepts)))
+    out = all_rows.withColumn("score", score).withColumn("top", F.array_max("score"))
+    total = F.aggregate(F.transform("score", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
+    pred = F.element_at(F.array(*map(F.lit, classes)), F.array_position("score", F.col("top")).cast("int"))
+    return out.select(ident, F.when(~F.col("short"), pred).alias("pred"), F.when(F.col("short"), 0.0).otherwise(1 / total).cast("float").alias("proba_max"))

@@ -78,16 +78,56 @@ def collect_labels(answers: DataFrame) -> DataFrame:
     return good.groupBy("conv_id").agg(F.max_by("l", "attempt").alias("l")).select("conv_id", "l.intent", "l.confidence")
 
 
+def _tolerant(answer: Callable[[str], str], request: str) -> str | None:
+    """One call that fails must not lose the answers of the others in its task."""
+    try:
+        return answer(request)
+    except Exception:  # whatever the model's client raises; the missing label is counted by the gate
+        return None
+
+
 def label_rows(requests: DataFrame, answer: Callable[[str], str]) -> DataFrame:
-    """Calls ``answer`` for each request inside tasks; the function stands for whatever model is used."""
+    """Calls ``answer`` for each request inside tasks; the function stands for whatever model is used.  A call that fails gives null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([answer(r) for r in b.column("request").to_pylist()], pa.string())], ["conv_id", "answer"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([_tolerant(answer, r) for r in b.column("request").to_pylist()], pa.string())], ["conv_id", "answer"])
 
     return requests.select("conv_id", "request").mapInArrow(run, "conv_id long, answer string")
 
 
+class GateError(ValueError):
+    """A batch that must not go on, or whose outcome must not be used."""
+
+
+def label_batch(requests: DataFrame, answer: Callable[[str], str], path: str, input_price: float = 0.0, output_price: float = 0.0, budget: float | None = None, canary: int = 50, least_parsed: float = 0.9, least_labelled: float = 0.9) -> DataFrame:
+    """Labels a batch behind three gates, each of which stops it with ``GateError``; the labels: conv_id, intent, confidence.
+
+    The estimated cost keeps within the budget; of the first requests, enough answers can be parsed; in the end, enough of the
+    batch is labelled.  Answers are written below ``path``, so a call is paid once.  Calls that fail give null answers, which
+    a later attempt makes up for (``remaining``).
+    """
+    spark = requests.sparkSession
+    requests.write.mode("overwrite").parquet(f"{path}/requests")
+    requests = spark.read.schema(requests.schema).parquet(f"{path}/requests")
+    if budget is not None and (cost := label_cost(requests, input_price, output_price).first()["cost"] or 0.0) > budget:
+        raise GateError(f"the batch is estimated at {cost:.2f}, over the budget of {budget:.2f}")
+    first = requests.orderBy("conv_id").limit(canary)
+    label_rows(first, answer).write.mode("overwrite").parquet(f"{path}/canary")
+    tried = spark.read.parquet(f"{path}/canary")
+    parsed = canary_ok(tried, canary, least_parsed).first()
+    if parsed["n"] and not parsed["go_on"]:
+        raise GateError(f"{parsed['parse_rate']:.2f} of the first {parsed['n']} answers can be parsed, {least_parsed} are asked for")
+    rest = requests.join(F.broadcast(tried.select("conv_id")), "conv_id", "left_anti")  # ``canary`` rows
+    label_rows(rest, answer).write.mode("overwrite").parquet(f"{path}/rest")
+    answers = tried.unionByName(spark.read.parquet(f"{path}/rest")).withColumn("attempt", F.lit(1))
+    labels = collect_labels(answers)
+    total, labelled = answers.select("conv_id").distinct().count(), labels.count()
+    if labelled < least_labelled * total:
+        raise GateError(f"{labelled} of {total} are labelled, {least_labelled} of them are asked for")
+    return labels
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: conversations that both rated, agreement on raw labels and on merged classes."""
     both = a.select("conv_id", F.col("intent").alias("x")).join(b.select("conv_id", F.col("intent").alias("y")), "conv_id")

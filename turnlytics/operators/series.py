@@ -84,6 +84,11 @@ def break_medians(rows: DataFrame, at: Column, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(F.when(F.col("week") < at, "pre").otherwise("post").alias("side")).agg(count_rows().alias("weeks"), upper_median(F.col(value)).alias("median"))
 
 
+def median_return(weekly: DataFrame) -> DataFrame:
+    """One row: weeks whose return is known, and their median return (the upper one of two).  A row per week."""
+    return weekly.where("return_rate IS NOT NULL").agg(count_rows().alias("weeks"), F.try_element_at(F.sort_array(F.collect_list("return_rate")), (F.floor(F.count("return_rate") / 2) + 1).cast("int")).alias("median_return"))
+
+
 def usage_concentration(rows: DataFrame, user: str = "pseudo_user") -> DataFrame:
     """Whole log: users, the most active tenth's share, and the middle user's conversations (the lower one of two)."""
     histogram = rows.groupBy(user).agg(count_rows().alias("convs")).groupBy("convs").agg(count_rows().alias("m"))

@@ -17,6 +17,7 @@ from .core import ERAS_SQL, FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, _HAVING
 from .fixtures import chat
 
 REPS = 400
+PERSONAL_REPLIES = 30
 ROUTE_MIN = 60  # cells of the fixture are smaller than those of a real corpus
 
 # Fixture comparisons: intent, side a, side b, as model families.
@@ -133,6 +134,7 @@ QUERIES = {
     "failure_case_reasons": chat_query(lambda x: cases(x).select("conv_id", "failure", "reason", "intent")),
     "backlog_themes": chat_query(themes),
     "responder_per_1k": chat_query(lambda x: D.responder_per_1k(T.responder_charges(x.turns))),
+    "personal_responders": chat_query(lambda x: D.responder_per_1k(T.responder_charges(x.turns), PERSONAL_REPLIES)),
     "fix_list": chat_query(lambda x: D.fix_list(x.labelled)),
     "routing_cells": chat_query(lambda x: D.routing_cells(model_intent(x), D.price_list(x.spark), ROUTE_MIN)),
     "routing_policies": chat_query(lambda x: D.routing_policies(D.routing_cells(model_intent(x), D.price_list(x.spark), ROUTE_MIN))),
@@ -237,6 +239,8 @@ LEFT JOIN (SELECT intent, attributed_to, reason, row_number() OVER (PARTITION BY
 LEFT JOIN (SELECT intent, attributed_to, list_sort(list(DISTINCT substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 160))) AS asks FROM cases JOIN (SELECT conv_id, arg_min(content, idx) AS content FROM turns WHERE role = 'user' GROUP BY 1) USING (conv_id) GROUP BY 1, 2) e ON e.intent = t.intent AND e.attributed_to IS NOT DISTINCT FROM t.responder""", _FAILURE, _CASES),
     "responder_per_1k": _chat_sql("""SELECT *, 1000 * repeats / replies AS repeat_per_1k, 1000 * corrections / replies AS correction_per_1k FROM (
  SELECT attributed_to AS responder, count(*) FILTER (role <> 'user')::BIGINT AS replies, count(*) FILTER (repeats_prev_user)::BIGINT AS repeats, count(*) FILTER (is_correction)::BIGINT AS corrections FROM turns WHERE attributed_to IS NOT NULL GROUP BY 1) WHERE replies > 0"""),
+    "personal_responders": _chat_sql("""SELECT *, 1000 * repeats / replies AS repeat_per_1k, 1000 * corrections / replies AS correction_per_1k FROM (
+ SELECT attributed_to AS responder, count(*) FILTER (role <> 'user')::BIGINT AS replies, count(*) FILTER (repeats_prev_user)::BIGINT AS repeats, count(*) FILTER (is_correction)::BIGINT AS corrections FROM turns WHERE attributed_to IS NOT NULL GROUP BY 1) WHERE replies >= 30"""),
     "fix_list": _chat_sql("""SELECT intent, conversations, flagged, flagged / conversations AS rate, flagged / sum(flagged) OVER () AS share_of_flagged, (row_number() OVER (ORDER BY flagged DESC, intent))::INTEGER AS rank
 FROM (SELECT intent, count(*)::BIGINT AS conversations, sum(repeated_request::INT + correction_followup::INT)::BIGINT AS flagged FROM c WHERE intent IS NOT NULL AND intent <> 'other' GROUP BY intent)"""),
     "routing_cells": _chat_sql("SELECT * FROM route", ERAS_SQL, _CELLS, _PRICE, _ROUTE),

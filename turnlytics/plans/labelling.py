@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnlytics.operators import intent as I
 from turnlytics.operators import labels as L
 from turnlytics.operators import sampling as P
+from turnlytics.sources.files import shared_folder
 
 from .core import FAMILY, Chat, _chat_sql, chat_query
 from .fixtures.chat import dialect
@@ -73,6 +74,7 @@ QUERIES = {
     "label_resume": chat_query(lambda x: L.remaining(drawn(x).select("conv_id"), L.collect_labels(answers(x)))),
     "label_canary": chat_query(lambda x: L.canary_ok(answers(x))),
     "label_with_function": chat_query(lambda x: L.label_rows(L.prompts(drawn(x)), _rule_answer)),
+    "label_gated": chat_query(lambda x: L.label_batch(L.prompts(drawn(x)), _rule_answer, shared_folder(x.spark, "labels"), 3.0, 15.0, budget=100.0)),
     "rater_agreement": chat_query(lambda x: L.agreement(*raters(x))),
     "rater_disagreements": chat_query(lambda x: L.disagreements(*raters(x))),
     "proxy_precision": chat_query(lambda x: L.proxy_precision(*truths(x))),
@@ -85,10 +87,16 @@ QUERIES = {
     "label_sample_export": chat_query(lambda x: P.labelling_export(x.turns)),
     "tfidf_words": lambda spark, sf: I.tfidf(I.word_terms(Chat(spark, sf).table("documents").select("doc_id", "text"), "doc_id", "text"), "doc_id"),
     "tfidf_characters": chat_query(lambda x: I.tfidf(I.character_terms(x.table("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", "text"), "id")),
+    "intent_softmax": lambda spark, sf: softmax(Chat(spark, sf).table("documents").select("doc_id", "text", F.col("lang").alias("label"))),
     "intent_predict": lambda spark, sf: I.train_and_predict(Chat(spark, sf).table("documents").select("doc_id", "text", F.col("lang").alias("label"))),
 }
 
 
+def softmax(rows: DataFrame) -> DataFrame:
+    """Predictions from the weights of a fitted classifier."""
+    return I.softmax_scores(rows, *I.export_weights(I.fit_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "doc_id", 20_000)))
+
+
 def _rule_answer(request: str) -> str:
     """A labeller by rule, in place of a model."""
     return '{"intent": "coding", "confidence": "low"}' if "code" in request.lower() else '{"intent": "other", "confidence": "low"}'
@@ -144,6 +152,7 @@ ORACLE_SQL = {
     "sample_draw": _chat_sql("SELECT * EXCLUDE (intent_text) FROM drawn", _STRATA, _ALLOCATED),
     "label_prompts": _chat_sql(f"SELECT conv_id, length(to_json({{'system': {_SYSTEM_SQL}, 'user': substr(intent_text, 1, 2000)}})::VARCHAR)::INTEGER AS length, substr(intent_text, 1, 2000) AS text FROM drawn", _STRATA, _ALLOCATED),
     "label_with_function": _chat_sql(f"SELECT conv_id, concat('{{\"intent\": \"', CASE WHEN contains(lower(concat({_SYSTEM_SQL}, substr(intent_text, 1, 2000))), 'code') THEN 'coding' ELSE 'other' END, '\", \"confidence\": \"low\"}}') AS answer FROM drawn", _STRATA, _ALLOCATED),
+    "label_gated": _chat_sql(f"SELECT conv_id, CASE WHEN contains(lower(concat({_SYSTEM_SQL}, substr(intent_text, 1, 2000))), 'code') THEN 'coding' ELSE 'other' END AS intent, 'low' AS confidence FROM drawn", _STRATA, _ALLOCATED),
     "label_cost": _chat_sql(f"SELECT count(*)::BIGINT AS requests, sum(t)::BIGINT AS input_tokens, (count(*) * 30)::BIGINT AS output_tokens, (sum(t) * 3.0::DOUBLE + count(*) * 30 * 15.0::DOUBLE) / 1e6 AS cost FROM (SELECT ceil((length(substr(intent_text, 1, 2000)) + {len(_SYSTEM)}) / 4.0::DOUBLE) AS t FROM drawn)", _STRATA, _ALLOCATED),
     "label_parse": _chat_sql("SELECT conv_id, intent, confidence FROM parsed", _ANSWERS),
     "label_collect": _chat_sql("SELECT conv_id, intent, confidence FROM parsed WHERE intent IS NOT NULL", _ANSWERS),

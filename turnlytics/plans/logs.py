@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnlytics.functions import rules as R
 from turnlytics.operators import checks as C
 from turnlytics.operators import decide as D
+from turnlytics.operators import labels as L
 from turnlytics.operators import metrics as M
 from turnlytics.operators import publish as P
 from turnlytics.operators import turns as T
@@ -23,6 +24,7 @@ from .analysis import _CASES, _FAILURE
 from .core import FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, chat_query, sql_prefix
 from .core import ORACLE_SQL as METRIC_SQL
 from .fixtures import log_files
+from .labelling import _PRED, _REPORT, predictions
 
 def flat(chats_frame: DataFrame) -> DataFrame:
     """Message rows in plain columns, so that results compare with SQL."""
@@ -122,6 +124,12 @@ def ingested(x: Chat) -> DataFrame:
     return x.spark.read.parquet(f"{path}/flat/conversations").groupBy("week").agg(F.count(F.lit(1)).alias("conversations"), F.sum(F.col("n_turns").cast("long")).alias("turns"))
 
 
+def facts_of_run(x: Chat) -> DataFrame:
+    coverage = shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL"))
+    gate = L.gate(L.summary(predictions(x)), 0.8707)
+    return C.run_facts(C.run_meta(x.conversations, x.intent), coverage, gate, MIN_CELL).withColumn("caveats", F.size("caveats").cast("long"))
+
+
 def streamed_weeks(x: Chat) -> DataFrame:
     """The weekly counts of ``events`` as a stream, to its end."""
     spark, folder = x.spark, shared_folder(x.spark, "events-stream")
@@ -182,6 +190,7 @@ QUERIES = {
     "sender_export": chat_query(lambda x: flat(sender_files(x))),
     "eval_case_export": chat_query(lambda x: chats.eval_case_text(D.with_reason(T.first_failures(x.turns)))),
     "run_meta": chat_query(lambda x: C.run_meta(x.conversations, x.intent)),
+    "run_facts": chat_query(facts_of_run),
     "intent_coverage": chat_query(lambda x: shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL AND shard <> 'shard-3'"))),
     "intent_coverage_full": chat_query(lambda x: shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL"), forced=True)),
     "intent_coverage_none": chat_query(lambda x: shards.intent_coverage(x.conversations, shards.table_or_empty(x.spark, shared_folder(x.spark, "no-intents"), schema.INTENT))),
@@ -214,6 +223,9 @@ _SPANS = f"""calls AS (
 ), told AS (SELECT *, asked IS NOT NULL AND coalesce(asked <> lag(asked) OVER (PARTITION BY conv_id ORDER BY turn, k), true) AS fresh FROM calls),
 said AS (SELECT conv_id, turn, k, 0 AS part, 'user' AS role, asked AS content, NULL AS responder FROM told WHERE fresh UNION ALL SELECT conv_id, turn, k, 1, 'assistant', text, CASE WHEN k = 0 THEN 'planner' ELSE 'writer' END FROM told)"""
 
+_META = """SELECT *, labelled / conversations AS labelled_share FROM (
+ SELECT count(*)::BIGINT AS conversations, min(date) AS date_min, max(date) AS date_max, count(DISTINCT shard)::BIGINT AS shards, min(week) FILTER (prompt_tokens IS NOT NULL) AS first_token_week, count(intent)::BIGINT AS labelled,
+  date_trunc('week', min(date) + 6)::DATE AS complete_weeks_from, date_trunc('week', max(date) - 6)::DATE AS complete_weeks_through FROM c)"""
 _COVERAGE = "SELECT CASE WHEN labelled_shards = 0 THEN 'none' WHEN labelled_shards = shards THEN '{full}' ELSE 'partial' END AS coverage, shards, labelled_shards FROM (SELECT count(DISTINCT shard)::BIGINT AS shards, (count(DISTINCT shard) FILTER ({labelled}))::BIGINT AS labelled_shards FROM c)"
 _TABLES = ["volume_daily_model", "depth_by_model", "volume_weekly_country", "volume_weekly_language", "intensity_weekly", "intensity_weekly_model", "persistence_quarterly", "intent_by_model", "intent_by_language", "intent_weekly", "intent_weekly_model", "friction_weekly", "friction_weekly_model", "friction_by_intent_model", "friction_by_intent_model_era", "friction_by_responder", "data_quality_weekly", "data_quality_weekly_model"]
 
@@ -273,9 +285,9 @@ FROM (SELECT count(*)::BIGINT AS conversations, avg((conv_id % 5 <> 0)::INT) AS
     "chat_export_thread": _M.format(user="'you'", ts=_HOUR, model="'m1'", version=_NONE, responder="'m1'", source="conversations"),
     "sender_export": _M.format(user="'you'", ts=_START, model=_NONE, version=_NONE, responder=_NONE, source="conversations"),
     "eval_case_export": _chat_sql("""SELECT concat_ws(chr(10), concat('- description: ', reason), concat('  vars: ', CASE WHEN prev_request IS NULL THEN '{}' ELSE to_json({'x': prev_request})::VARCHAR END), concat('  not: ', to_json({'x': bad_reply})::VARCHAR)) AS value FROM cases""", _FAILURE, _CASES),
-    "run_meta": _chat_sql("""SELECT *, labelled / conversations AS labelled_share FROM (
- SELECT count(*)::BIGINT AS conversations, min(date) AS date_min, max(date) AS date_max, count(DISTINCT shard)::BIGINT AS shards, min(week) FILTER (prompt_tokens IS NOT NULL) AS first_token_week, count(intent)::BIGINT AS labelled,
-  date_trunc('week', min(date) + 6)::DATE AS complete_weeks_from, date_trunc('week', max(date) - 6)::DATE AS complete_weeks_through FROM c)"""),
+    "run_meta": _chat_sql(_META),
+    "run_facts": _chat_sql(f"""SELECT m.*, 'full' AS intent_coverage, g.*, {MIN_CELL}::INTEGER AS min_cell, {len(C.CAVEATS)}::BIGINT AS caveats FROM ({_META}) m,
+ (SELECT n AS classifier_n_test, accuracy AS classifier_accuracy, f1 AS classifier_macro_f1, 0.7836::DOUBLE AS classifier_threshold, false AS classifier_forced FROM (SELECT count(*)::BIGINT AS n, avg((label = pred)::INT) AS accuracy FROM p), (SELECT avg(f1) AS f1 FROM scored WHERE support > 0)) g""", _PRED, _REPORT),
     "intent_coverage": _chat_sql(_COVERAGE.format(labelled="intent IS NOT NULL AND shard <> 'shard-3'", full="full")),
     "intent_coverage_full": _chat_sql(_COVERAGE.format(labelled="intent IS NOT NULL", full="forced_below_threshold")),
     "intent_coverage_none": _chat_sql(_COVERAGE.format(labelled="false", full="full")),

@@ -27,6 +27,7 @@ ROUNDED = {
     "events_stream_weekly": ["total"],
     "story_numbers": ["mean_return", "repeat_rate", "one_and_done_rate", "correction_rate", "refusal_rate"],
     "classification_gate": ["macro_f1"],
+    "run_facts": ["classifier_macro_f1"],
 }
 
 

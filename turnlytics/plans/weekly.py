@@ -63,6 +63,7 @@ QUERIES = {
     "recent_vs_prior": chat_query(lambda x: S.recent_vs_prior(model_weeks(x), "model", RECENT)),
     "intent_shift": chat_query(lambda x: S.recent_vs_prior(intent_weeks(x), "intent", RECENT)),
     "pre_post_break_median": chat_query(lambda x: S.break_medians(M.intensity_weekly(x.conversations), F.lit(BREAK).cast("date"), "return_rate")),
+    "median_weekly_return": chat_query(lambda x: S.median_return(M.intensity_weekly(x.conversations))),
     "usage_concentration": chat_query(lambda x: S.usage_concentration(x.conversations)),
     "personal_usage": chat_query(lambda x: S.personal_usage(x.conversations)),
     "overview_tiles": chat_query(lambda x: S.overview(x.conversations, RECENT)),
@@ -117,6 +118,7 @@ _o, _of = intensity_sql("o", "")
 _FRICTION = "f AS (SELECT model, week, correction_rate FROM (SELECT model_family AS model, week, count(*) AS n, avg(count(*)) OVER (PARTITION BY model_family) AS usual, avg(correction_followup::INT) AS correction_rate FROM c WHERE NOT has_empty_user_input GROUP BY 1, 2) WHERE n >= usual)"
 
 ORACLE_SQL = {
+    "median_weekly_return": _chat_sql(f"SELECT count(*)::BIGINT AS weeks, list_sort(list(return_rate))[count(*) // 2 + 1] AS median_return FROM ({_if}) WHERE return_rate IS NOT NULL", _i),
     "complete_weeks": _chat_sql(span_sql("c")),
     "events_complete_weeks": f"WITH {_EVENTS} {span_sql('e')}",
     "orders_complete_weeks": f"WITH {_ORDERS} {span_sql('o')}",
