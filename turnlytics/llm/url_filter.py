@@ -48,8 +48,6 @@ def build_index(spark: SparkSession, rules: DataFrame, scratch: Scratch, shard_r
         .groupBy("rule", "cut").agg(F.max(F.col("verdict") == "block").alias("block"))
     )
     keyed = keyed.mapInArrow(_digest, "digest long, rule string, cut int, block boolean, path_length int")
-    keyed = scratch.table(keyed, "rules")
-    shards = max(1, -(-keyed.count() // shard_rules))
     target = scratch.path("shards")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +70,11 @@ def build_index(spark: SparkSession, rules: DataFrame, scratch: Scratch, shard_r
         row = {"file": f"{target}/{name}", "low": int(keys[0]) - 2**63, "high": int(keys[-1]) - 2**63, "lengths": lengths}
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("lengths", pa.list_(pa.int32()))]))
 
-    parts = keyed.repartitionByRange(shards, F.expr("digest")) if shards > 1 else keyed.coalesce(1)
-    return [r.asDict() for r in parts.mapInArrow(write, "file string, low long, high long, lengths array<int>").collect()]
+    with scratch.inner("steps") as inner:
+        keyed = inner.table(keyed, "rules")
+        shards = max(1, -(-keyed.count() // shard_rules))
+        parts = keyed.repartitionByRange(shards, F.expr("digest")) if shards > 1 else keyed.coalesce(1)
+        return [r.asDict() for r in parts.mapInArrow(write, "file string, low long, high long, lengths array<int>").collect()]
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,17 +89,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lru_cache(maxsize=64)
 def _shard(file: str) -> tuple[np.ndarray, pa.Table]:
-    """A shard's keys, mapped into memory, and its rules; shards in a remote store are first copied to the task's folder."""
+    """A shard's keys and rules, mapped into memory.  Shards in a remote store are first copied beside the task; the copies' names go
+    once they are mapped, so they vanish with the mapping."""
     store, path = pafs.FileSystem.from_uri(file)
-    local = path
-    if not isinstance(store, pafs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(prefix="url-rules-"), "shard")
+    if isinstance(store, pafs.LocalFileSystem):
+        return _mapped(path)
+    with tempfile.TemporaryDirectory(prefix="url-rules-") as folder:
+        local = os.path.join(folder, "shard")
         for end in (".keys", ".rules"):
             with store.open_input_stream(path + end) as src, open(local + end, "wb") as out:
                 while piece := src.read(1 << 24):
                     out.write(piece)
-    keys = np.memmap(local + ".keys", np.uint64, "r")
-    return keys, pa.ipc.open_file(pa.memory_map(local + ".rules")).read_all()
+        return _mapped(local)
+
+
+def _mapped(path: str) -> tuple[np.ndarray, pa.Table]:
+    return np.memmap(path + ".keys", np.uint64, "r"), pa.ipc.open_file(pa.memory_map(path + ".rules")).read_all()
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
