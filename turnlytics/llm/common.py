@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 18  # text handled by one round of vector operations; a longer document is a round of its own
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 _rng = np.random.default_rng(20240607)
@@ -59,11 +60,15 @@ class Scratch:
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of texts have at most so many rows from now on; a lower setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Arrow batches have at most so many rows, and not many more bytes, from now on; lower settings of the session stay.
+
+    Spark reads the settings when a plan runs, so they can't be put back once it is built.
+    """
+    for key, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= limit:
+            spark.conf.set(key, limit)
 
 
 @contextmanager
