@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnlytics.operators import intent as I
 from turnlytics.operators import labels as L
 from turnlytics.operators import sampling as P
+from turnlytics.sources import results
 from turnlytics.sources.files import shared_folder
 
 from .core import FAMILY, Chat, _chat_sql, chat_query
@@ -47,6 +48,14 @@ def answers(x: Chat) -> DataFrame:
     return rows.select("conv_id", hashed(ANSWER).alias("answer"), F.lit(1).alias("attempt"))
 
 
+def progress(x: Chat) -> DataFrame:
+    """Attempts as JSON lines, a failed one before each that counts, read back and collected."""
+    path = shared_folder(x.spark, "progress")
+    rows = answers(x)
+    rows.unionByName(rows.withColumns({"answer": F.lit("no answer"), "attempt": F.lit(0)})).write.json(path)
+    return L.collect_labels(results.read_progress(x.spark, path))
+
+
 def predictions(x: Chat) -> DataFrame:
     return x.labelled.where("intent IS NOT NULL").select("conv_id", F.col("intent").alias("label"), hashed(PRED).alias("pred"))
 
@@ -71,6 +80,7 @@ QUERIES = {
     "label_cost": chat_query(lambda x: L.label_cost(L.prompts(drawn(x)), 3.0, 15.0)),
     "label_parse": chat_query(lambda x: answers(x).select("conv_id", L.parse_label(F.col("answer")).alias("l")).select("conv_id", "l.intent", "l.confidence")),
     "label_collect": chat_query(lambda x: L.collect_labels(answers(x))),
+    "label_progress": chat_query(progress),
     "label_resume": chat_query(lambda x: L.remaining(drawn(x).select("conv_id"), L.collect_labels(answers(x)))),
     "label_canary": chat_query(lambda x: L.canary_ok(answers(x))),
     "label_with_function": chat_query(lambda x: L.label_rows(L.prompts(drawn(x)), _rule_answer)),
@@ -156,6 +166,7 @@ ORACLE_SQL = {
     "label_cost": _chat_sql(f"SELECT count(*)::BIGINT AS requests, sum(t)::BIGINT AS input_tokens, (count(*) * 30)::BIGINT AS output_tokens, (sum(t) * 3.0::DOUBLE + count(*) * 30 * 15.0::DOUBLE) / 1e6 AS cost FROM (SELECT ceil((length(substr(intent_text, 1, 2000)) + {len(_SYSTEM)}) / 4.0::DOUBLE) AS t FROM drawn)", _STRATA, _ALLOCATED),
     "label_parse": _chat_sql("SELECT conv_id, intent, confidence FROM parsed", _ANSWERS),
     "label_collect": _chat_sql("SELECT conv_id, intent, confidence FROM parsed WHERE intent IS NOT NULL", _ANSWERS),
+    "label_progress": _chat_sql("SELECT conv_id, intent, confidence FROM parsed WHERE intent IS NOT NULL", _ANSWERS),
     "label_resume": _chat_sql("SELECT conv_id FROM drawn WHERE conv_id NOT IN (SELECT conv_id FROM parsed WHERE intent IS NOT NULL)", _STRATA, _ALLOCATED, _ANSWERS),
     "label_canary": _chat_sql("SELECT count(*)::BIGINT AS n, avg((intent IS NOT NULL)::INT) AS parse_rate, avg((intent IS NOT NULL)::INT) >= 0.9 AS go_on FROM (SELECT * FROM parsed ORDER BY conv_id LIMIT 50)", _ANSWERS),
     "rater_agreement": _chat_sql("SELECT count(*)::BIGINT AS n, avg((x = y)::INT) AS raw_agreement, avg((mx = my)::INT) AS merged_agreement FROM merged", _RATED),

@@ -20,7 +20,8 @@ from turnlytics.sources import chats, shards
 from turnlytics.sources.files import shared_folder
 from turnlytics.streaming import ingest
 
-from .analysis import _CASES, _FAILURE
+from .analysis import _CASES, _FAILURE, themes
+from .analysis import ORACLE_SQL as ANALYSIS_SQL
 from .core import FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, chat_query, sql_prefix
 from .core import ORACLE_SQL as METRIC_SQL
 from .fixtures import log_files
@@ -124,6 +125,26 @@ def ingested(x: Chat) -> DataFrame:
     return x.spark.read.parquet(f"{path}/flat/conversations").groupBy("week").agg(F.count(F.lit(1)).alias("conversations"), F.sum(F.col("n_turns").cast("long")).alias("turns"))
 
 
+def exported_cases(x: Chat) -> DataFrame:
+    """Failure cases as JSON lines, read back."""
+    path = shared_folder(x.spark, "failure-cases")
+    chats.write_failure_cases(D.with_reason(T.first_failures(x.turns)), path)
+    return x.spark.read.schema("conv_id BIGINT, idx INT, failure STRING, bad_reply STRING, user_feedback STRING, prev_request STRING, attributed_to STRING, reason STRING").json(path)
+
+
+def exported_backlog(x: Chat) -> DataFrame:
+    """Themes with reasons and opening asks as CSV, read back."""
+    path = shared_folder(x.spark, "backlog")
+    chats.write_backlog(themes(x).drop("share"), path)
+    return x.spark.read.csv(path, header=True, multiLine=True, escape='"', schema="intent STRING, responder STRING, failures BIGINT, corrections BIGINT, repeats BIGINT, conversations BIGINT, top_reason STRING, examples STRING").withColumn("examples", F.coalesce("examples", F.lit("")))
+
+
+def exported_fixes(x: Chat) -> DataFrame:
+    path = shared_folder(x.spark, "fixes")
+    chats.write_fix_list(D.fix_list(x.labelled), path)
+    return x.spark.read.csv(path, header=True, escape='"').select(F.col("rank").cast("long").alias("rank"), "intent", F.col("flagged").cast("long").alias("flagged"), "title")
+
+
 def facts_of_run(x: Chat) -> DataFrame:
     coverage = shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL"))
     gate = L.gate(L.summary(predictions(x)), 0.8707)
@@ -189,6 +210,9 @@ QUERIES = {
     "chat_export_thread": chat_query(lambda x: flat(export_files(x))),
     "sender_export": chat_query(lambda x: flat(sender_files(x))),
     "eval_case_export": chat_query(lambda x: chats.eval_case_text(D.with_reason(T.first_failures(x.turns)))),
+    "failure_case_export": chat_query(exported_cases),
+    "backlog_export": chat_query(exported_backlog),
+    "fix_list_export": chat_query(exported_fixes),
     "run_meta": chat_query(lambda x: C.run_meta(x.conversations, x.intent)),
     "run_facts": chat_query(facts_of_run),
     "intent_coverage": chat_query(lambda x: shards.intent_coverage(x.conversations, x.labelled.where("intent IS NOT NULL AND shard <> 'shard-3'"))),
@@ -285,6 +309,9 @@ FROM (SELECT count(*)::BIGINT AS conversations, avg((conv_id % 5 <> 0)::INT) AS
     "chat_export_thread": _M.format(user="'you'", ts=_HOUR, model="'m1'", version=_NONE, responder="'m1'", source="conversations"),
     "sender_export": _M.format(user="'you'", ts=_START, model=_NONE, version=_NONE, responder=_NONE, source="conversations"),
     "eval_case_export": _chat_sql("""SELECT concat_ws(chr(10), concat('- description: ', reason), concat('  vars: ', CASE WHEN prev_request IS NULL THEN '{}' ELSE to_json({'x': prev_request})::VARCHAR END), concat('  not: ', to_json({'x': bad_reply})::VARCHAR)) AS value FROM cases""", _FAILURE, _CASES),
+    "failure_case_export": _chat_sql("SELECT conv_id, idx, failure, bad_reply, user_feedback, prev_request, attributed_to, reason FROM cases", _FAILURE, _CASES),
+    "backlog_export": f"SELECT * EXCLUDE (share) FROM (\n{ANALYSIS_SQL['backlog_themes']}\n)",
+    "fix_list_export": f"SELECT rank::BIGINT AS rank, intent, flagged, concat('Fewer repeats and corrections in ', intent, ' (', round(100 * rate, 1), '% of conversations)') AS title FROM (\n{ANALYSIS_SQL['fix_list']}\n)",
     "run_meta": _chat_sql(_META),
     "run_facts": _chat_sql(f"""SELECT m.*, 'full' AS intent_coverage, g.*, {MIN_CELL}::INTEGER AS min_cell, {len(C.CAVEATS)}::BIGINT AS caveats FROM ({_META}) m,
  (SELECT n AS classifier_n_test, accuracy AS classifier_accuracy, f1 AS classifier_macro_f1, 0.7836::DOUBLE AS classifier_threshold, false AS classifier_forced FROM (SELECT count(*)::BIGINT AS n, avg((label = pred)::INT) AS accuracy FROM p), (SELECT avg(f1) AS f1 FROM scored WHERE support > 0)) g""", _PRED, _REPORT),

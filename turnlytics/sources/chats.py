@@ -222,12 +222,12 @@ def write_failure_cases(cases: DataFrame, path: str) -> None:
 
 def write_fix_list(fixes: DataFrame, path: str) -> None:
     """The backlog as CSV: intents by flagged conversations, each with a title."""
-    title = F.format_string("Fewer repeats and corrections in %s (%.1f%% of conversations)", F.col("intent"), 100 * F.col("rate"))
-    fixes.withColumn("title", title).coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").csv(path, header=True, quoteAll=True)  # a row per intent
+    title = F.concat(F.lit("Fewer repeats and corrections in "), "intent", F.lit(" ("), F.round(100 * F.col("rate"), 1).cast("string"), F.lit("% of conversations)"))
+    fixes.withColumn("title", title).coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # a row per intent
 
 
 def write_backlog(themes: DataFrame, path: str) -> None:
-    themes.write.mode("overwrite").csv(path, header=True, quoteAll=True)
+    themes.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def eval_case_text(cases: DataFrame) -> DataFrame:
