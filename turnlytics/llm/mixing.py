@@ -61,16 +61,16 @@ def random_offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 5), 16, 10).cast("double") / OFFSET_STEPS
 
 
-def _drawn(docs: DataFrame, weights: Sequence[float], total: float, most: float, seed: int, id_column: str, text_column: str, source_column: str, carried: Sequence[str]) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, and a struct ``row`` of the carried columns."""
+def _drawn(docs: DataFrame, weights: Sequence[float], total: float, most: float, seed: int, id_column: str, text_column: str, source_column: str, also: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, and the further columns asked for.  Texts are not moved."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(None).cast("string")
     text = F.col(text_column)
-    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"), row.alias("row"))
+    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"), *also)
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("tie")]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch.inner("steps") as inner:
         sized = inner.table(sized, "sizes")
+        kept = sized.columns
         ranged = scratch.table(sized.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "ranges")
         counts = inner.table(ranged.groupBy("source", "range").agg(F.count("*").alias("rows"), F.sum("size").alias("words")), "counts")
         targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
@@ -80,7 +80,7 @@ def _drawn(docs: DataFrame, weights: Sequence[float], total: float, most: float,
         counts = scratch.table(counts, "positions")
     rows = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("source", "range").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")))
     rows = rows.alias("r").join(counts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.range") == F.col("c.range")))
-    rows = rows.select("doc_id", "r.source", "size", "source_size", "target", "row", (F.col("before") + F.col("rank")).cast("double").alias("place"))
+    rows = rows.select(*(f"r.{c}" for c in kept), "source_size", "target", (F.col("before") + F.col("rank")).cast("double").alias("place"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = random_offset(F.col("source"), seed)
     copies = F.floor(F.col("place") * each + start) - F.floor((F.col("place") - 1) * each + start)
@@ -90,7 +90,7 @@ def _drawn(docs: DataFrame, weights: Sequence[float], total: float, most: float,
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), total: float = 1.0, most: float = 3.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target (its source's), copies, taken (words)."""
-    rows = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column, ())
+    rows = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -101,5 +101,15 @@ def draw_copies(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), tot
     """
     while number.lower() in {c.lower() for c in docs.columns}:
         number += "_"
-    rows = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column, docs.columns).where("copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("drawn")).select("row.*", F.col("drawn").alias(number))
+    # a row is found again by two hashes of all that it holds; rows that share them are equal, so one of them takes the copies of all
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*(c.isNull().cast("int").cast("string") for c in cells))  # hashes pass over nulls
+    key = [F.xxhash64(nulls, *cells).alias("key_1"), F.xxhash64(F.lit(1), nulls, *cells).alias("key_2")]
+    drawn = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column, key)
+    wanted = drawn.groupBy("key_1", "key_2").agg(F.sum("copies").alias("copies"), F.count("*").alias("equal")).where("copies > 0")
+    rows = docs.select(F.struct(*cells).alias("row"), *key)
+    single = rows.join(wanted.where("equal = 1"), ["key_1", "key_2"])
+    place = F.row_number().over(Window.partitionBy("key_1", "key_2").orderBy("copies"))
+    equal = rows.join(wanted.where("equal > 1"), ["key_1", "key_2"]).withColumn("place", place).where("place = 1").drop("place")
+    taken = single.unionByName(equal).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("drawn"))
+    return taken.select("row.*", F.col("drawn").alias(number))
