@@ -43,9 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = Scratch(spark, "numbered").table(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     groups = minhash.near_duplicates(rows, id_column=number).select(F.col("doc_id").alias("number"), "component_id")
     members = groups.join(rows.select(F.col(number).alias("number"), "doc_id"), "number")
-    first = members.groupBy("component_id").agg(F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first")).where("size > 1")
-    kept = first.select("component_id", F.col("first.number").alias("kept"))
-    gone = members.join(kept, "component_id").where("number <> kept").select(F.col("number").alias(number))
+    # a component is named after its first row; only where another row has the smallest id, that one is looked up
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first"))
+    other = best.where("first.number <> component_id").select("component_id", F.col("first.number").alias("kept"))
+    gone = members.join(other, "component_id", "left").where(F.col("number") != F.coalesce("kept", "component_id")).select(F.col("number").alias(number))
     return rows.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
