@@ -91,3 +91,18 @@ def test_sql_functions(spark):
     R.register_sql(spark)
     r = spark.sql("SELECT is_correction('not what I asked') AS a, is_correction('fine') AS b, is_refusal('I''m sorry') AS c, model_family('gpt-4-0125-preview') AS d, monday(TIMESTAMP '2024-03-06 10:00:00') AS e").first()
     assert (r["a"], r["b"], r["c"], r["d"], str(r["e"])) == (True, False, True, "gpt-4", "2024-03-04")
+
+
+def test_rules_as_sql_functions(spark):
+    from turnlytics.functions import rules
+
+    rules.register_sql(spark)
+    r = spark.sql("SELECT is_repeat('sum the list', 'Sum the list please') a, is_repeat(NULL, 'x') b, is_repeat('one two', 'three') c, is_repeat('', '') d, is_correction('That’s wrong') e, is_correction('no problem, thanks') f, is_refusal('I can’t help with that') g, model_family('gpt-4o-2024-05-13') h").first()
+    assert tuple(r) == (True, False, False, False, True, False, True, "gpt-4o")
+
+
+def test_catalogue_lists_tables_with_columns(spark):
+    from turnlytics.operators import checks
+
+    got = checks.catalogue({"b": spark.range(1), "a": spark.sql("SELECT 1 x, 'y' z")}, spark).collect()
+    assert [tuple(r) for r in got] == [("a", "x, z"), ("b", "id")]

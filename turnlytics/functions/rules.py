@@ -147,9 +147,13 @@ def register_sql(spark) -> None:
     correction = compile_pattern(CORRECTION, "(?iuU)").replace("\\", "\\\\").replace("'", "\\'")
     refusal = compile_pattern(REFUSAL, "(?iuU)").replace("\\", "\\\\").replace("'", "\\'")
     suffix = RELEASE_SUFFIX.replace("\\", "\\\\")
+    word = WORD.replace("\\", "\\\\")
+    words = lambda t: f"array_distinct(transform(regexp_extract_all(coalesce({t}, ''), '({word})', 1), w -> lower(w)))"
+    a, b = words("previous"), words("current")
     for text in (
         f"is_correction(t STRING) RETURNS BOOLEAN RETURN coalesce(t, '') RLIKE '{correction}'",
         f"is_refusal(t STRING) RETURNS BOOLEAN RETURN coalesce(t, '') RLIKE '{refusal}'",
+        f"is_repeat(previous STRING, current STRING) RETURNS BOOLEAN RETURN previous IS NOT NULL AND size({a}) > 0 AND size({b}) > 0 AND size(array_intersect({a}, {b})) >= {REPEAT_THRESHOLD} * size(array_union({a}, {b}))",
         f"model_family(m STRING) RETURNS STRING RETURN regexp_replace(m, '{suffix}', '')",
         "monday(ts TIMESTAMP) RETURNS DATE RETURN to_date(date_trunc('week', ts))",
         "pseudo_user(ip STRING, agent STRING, lang STRING) RETURNS STRING RETURN left(sha2(concat_ws('|', coalesce(ip, ''), coalesce(agent, ''), coalesce(lang, '')), 256), 16)",
