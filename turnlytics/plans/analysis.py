@@ -11,7 +11,6 @@ from turnlytics.operators import decide as D
 from turnlytics.operators import metrics as M
 from turnlytics.operators import series as S
 from turnlytics.operators import turns as T
-from turnlytics.sources.files import shared_folder
 
 from .core import ERAS_SQL, FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, _HAVING, chat_query
 from .fixtures import chat
@@ -62,9 +61,7 @@ def pair_comparison(x: Chat) -> DataFrame:
     tagged = pair_sides(x)
     metric = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("hit")) for m in ("one_and_done", "friction"))))
     tagged = tagged.select(*KEYS, "pseudo_user", "side", "multi_turn", metric.alias("m")).select(*KEYS, "pseudo_user", "side", "multi_turn", "m.metric", "m.hit")
-    path = shared_folder(x.spark, "tagged")
-    tagged.write.parquet(path)  # read by four branches
-    tagged = x.spark.read.parquet(path)
+    tagged = x.written(tagged, "tagged")  # read by four branches
     keys = [*KEYS, "metric"]
     naive = K.naive_gap(tagged, keys, F.col("hit"))
     users = K.per_user(tagged, keys, "pseudo_user", F.col("hit"))
@@ -77,9 +74,7 @@ def pair_comparison(x: Chat) -> DataFrame:
 def change(x: Chat, at: str = "2024-06-17") -> DataFrame:
     """Corrections before and after the release, for the same people, with a placebo at the midpoint of the time before."""
     rows = x.labelled.where("NOT has_empty_user_input").select("pseudo_user", "ts", F.col("correction_followup").alias("hit"))
-    path = shared_folder(x.spark, "points")
-    rows.write.parquet(path)  # read by the change, its placebo and their intervals
-    rows = x.spark.read.parquet(path)
+    rows = x.written(rows, "points")  # read by the change, its placebo and their intervals
     moment = F.lit(at).cast("timestamp_ntz")
     tagged = rows.withColumns({"run": F.lit("change"), "side": F.when(F.col("ts") >= moment, "a").otherwise("b")})
     before = rows.where(F.col("ts") < moment)
@@ -108,17 +103,14 @@ def model_intent(x: Chat) -> DataFrame:
 
 def written_cases(x: Chat) -> DataFrame:
     """Reasons and texts of the cases, matched once and read by counts and examples."""
-    path = shared_folder(x.spark, "cases")
-    D.with_reason(T.first_failures(x.turns)).select("reason", "user_feedback").write.parquet(path)
-    return x.spark.read.parquet(path)
+    return x.written(D.with_reason(T.first_failures(x.turns)).select("reason", "user_feedback"), "cases")
 
 
 def themes(x: Chat) -> DataFrame:
-    """Failed cases are written once and read by counts, reasons and examples."""
-    path = shared_folder(x.spark, "cases")
-    cases(x).select("conv_id", "failure", "reason", "intent", "attributed_to").write.parquet(path)
-    intents = x.intent.withColumn("intent", F.coalesce("intent", F.lit("unlabelled")))
-    return D.backlog(x.spark.read.parquet(path), x.turns, intents, D.opening_asks(x.turns)).withColumn("examples", F.array_join("examples", " | "))
+    """Turns and failed cases are worked out once and read by counts, reasons and examples."""
+    x.turns = x.written(x.turns, "turns")
+    failed = x.written(cases(x).select("conv_id", "failure", "reason", "intent", "attributed_to"), "cases")
+    return D.backlog(failed, x.turns, x.intent.withColumn("intent", F.coalesce("intent", F.lit("unlabelled"))), D.opening_asks(x.turns)).withColumn("examples", F.array_join("examples", " | "))
 
 
 def scores(x: Chat) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnlytics.functions import rules as R
 from turnlytics.operators import metrics as M
 from turnlytics.operators import turns as T
+from turnlytics.sources.files import shared_folder
 
 from .fixtures import chat
 
@@ -37,6 +38,12 @@ class Chat:
                 rows = rows.withColumn(name, F.expr(chat.dialect(rule, True)))
         return T.attribute_turns(rows.drop("usr", "d"), F.col("model"))
 
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows that several branches of a query read, worked out once."""
+        path = shared_folder(self.spark, name)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     @cached_property
     def conversations(self) -> DataFrame:
         rows = chat.with_attributes(T.roll_up(self.turns), self.spark, self.sf_dir)

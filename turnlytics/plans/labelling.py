@@ -21,13 +21,14 @@ def hashed(text: str) -> F.Column:
     return F.expr(dialect(text, True))
 
 
-def allocation(x: Chat) -> DataFrame:
-    sizes = P.strata(x.conversations).groupBy(*P.STRATUM).agg(F.count(F.lit(1)).alias("size"))
+def allocation(strata: DataFrame) -> DataFrame:
+    sizes = strata.groupBy(*P.STRATUM).agg(F.count(F.lit(1)).alias("size"))
     return P.allocate(sizes, DRAWN, FLOOR)
 
 
 def drawn(x: Chat) -> DataFrame:
-    return P.draw(P.strata(x.conversations), allocation(x))
+    strata = x.written(P.strata(x.conversations), "strata")  # read by the sizes, the ranges of hashes and the draw
+    return P.draw(strata, allocation(strata))
 
 
 #: Two raters: the label itself, and one that strays for some conversations and uses older names for others.
@@ -74,7 +75,7 @@ def survey(x: Chat) -> tuple[DataFrame, DataFrame]:
 
 QUERIES = {
     "sample_strata": chat_query(lambda x: P.strata(x.conversations).groupBy(*P.STRATUM).agg(F.count(F.lit(1)).alias("size"))),
-    "sample_allocation": chat_query(allocation),
+    "sample_allocation": chat_query(lambda x: allocation(P.strata(x.conversations))),
     "sample_draw": chat_query(lambda x: drawn(x).drop("intent_text")),
     "label_prompts": chat_query(lambda x: L.prompts(drawn(x)).select("conv_id", F.length("request").alias("length"), F.get_json_object("request", "$.user").alias("text"))),
     "label_cost": chat_query(lambda x: L.label_cost(L.prompts(drawn(x)), 3.0, 15.0)),
