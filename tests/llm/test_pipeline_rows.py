@@ -121,3 +121,10 @@ def test_empty_tables_pass(spark, table, sf):
         got = stage(spark, none, sf)
         assert got.count() == 0, name
         assert got.columns[: len(table.columns)] == table.columns
+
+
+def test_ids_may_be_texts(spark, table, sf):
+    named = table.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    for name, stage in P.STAGES:
+        if name not in ("language", "mixture"):  # the fold that is learned from follows from the id
+            assert rows_of(stage(spark, named, sf)) == rows_of(stage(spark, table, sf).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))), name

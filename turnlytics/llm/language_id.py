@@ -7,7 +7,7 @@ set bits are counted per language, and each count is corrected for that language
 follows from the part of the slots that have its bit.  The largest corrected count decides.
 
 Texts are lower-cased; runs of ASCII non-letters count as one space, and a text starts and ends with one.  n-grams are of
-bytes.  Fitting takes every language, and at most about ``per_language`` texts for each, chosen by a hash of the id; a language
+bytes.  Fitting takes every language, and at most about ``per_language`` texts for each, chosen by a hash of id and text; a language
 has at most 1 / min_share n-grams, which bounds what the driver gathers and sends.  n-grams seen once are left out unless a
 language of fewer than ``few_texts`` texts holds them.  Prediction reads every whole text and uses nothing but the text.
 
@@ -106,7 +106,7 @@ def fit(training: DataFrame, sizes: Sequence[int] = (3, 5), per_language: int =
     steps = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(y) for x, n in counts for y in (x, min(steps, steps * per_language // n))]), F.col("lang"))
     number = F.element_at(F.create_map(*[F.lit(y) for i, x in enumerate(languages) for y in (x, i)]), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select(number.alias("number"), "text")
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < share).select(number.alias("number"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
