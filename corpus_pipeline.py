@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from turnlytics.llm import decontaminate, language_id, minhash, mixing, substring_dedup
 from turnlytics.llm.common import Scratch
@@ -38,7 +39,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8).  Where ids are null, repeat or are no whole
+    numbers, rows are numbered first."""
+    ids = docs.select("doc_id")
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    if whole and ids.where("doc_id IS NULL").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # whole numbers that tell rows apart serve as they are, and a component is named after its smallest one
+        gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     number = _free("row_number", docs)
     rows = Scratch(spark, "numbered").table(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     groups = minhash.near_duplicates(rows, id_column=number).select(F.col("doc_id").alias("number"), "component_id")
