@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, minhash, mixing, substring_dedup, token_count, url_filter, warc
+from . import decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, minhash, mixing, substring_dedup, token_alignment, token_count, url_filter, warc
 from .common import Scratch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -79,6 +80,10 @@ def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256.0)
 
 
+def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.cross_tokenizer_links(table(spark, sf_dir, "documents"), token_alignment.Tokenizers.load(BYTE_VOCABULARY, VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup_query,
     "op2_warc": warc_query,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id_query,
     "op10_license_scan": license_scan_query,
     "op11_hard_negatives": hard_negatives_query,
+    "op13_token_alignment": token_alignment_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
