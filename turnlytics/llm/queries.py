@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, minhash, mixing, substring_dedup, token_alignment, token_count, url_filter, warc
+from . import decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, minhash, mixing, repeated_bytes, substring_dedup, token_alignment, token_count, url_filter, warc
 from .common import Scratch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -80,6 +80,14 @@ def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256.0)
 
 
+def repeated_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every, changed = repeated_bytes.repeated_bytes(table(spark, sf_dir, "documents"), length=200)
+    rows = every.select("doc_id", "digest", "n_bytes", F.sha2("text", 256).alias("whole"))
+    changed = changed.select("digest", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept"))
+    none = F.lit(0).cast("long")
+    return rows.join(changed, "digest", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+
+
 def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.cross_tokenizer_links(table(spark, sf_dir, "documents"), token_alignment.Tokenizers.load(BYTE_VOCABULARY, VOCABULARY))
 
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id_query,
     "op10_license_scan": license_scan_query,
     "op11_hard_negatives": hard_negatives_query,
+    "op12_repeated_bytes": repeated_bytes_query,
     "op13_token_alignment": token_alignment_query,
 }
 
@@ -206,5 +215,19 @@ SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, n.id AS
 FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id)
 QUALIFY row_number() OVER w <= 5
+""",
+    "op12_repeated_bytes": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT k, s, md5(substr(h, 2 * s + 1, 400)) AS part FROM d, LATERAL (SELECT unnest(range(0, length(h) // 2 - 199)) AS s) AS r WHERE length(h) >= 400),
+twice AS (SELECT part FROM windows GROUP BY part HAVING count(*) > 1),
+found AS (SELECT w.k, s FROM windows w JOIN twice t ON w.part = t.part),
+gaps AS (SELECT k, s, s > max(s + 200) OVER (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM found),
+numbered AS (SELECT k, s, sum(CASE WHEN coalesce(gap, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s) AS run FROM gaps),
+spans AS (SELECT k, run, min(s) AS a, max(s) + 200 AS z FROM numbered GROUP BY k, run),
+ends AS (SELECT k, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(0, len(a) + 1),
+    lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE z[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE z[i] END)))), '')) END) AS kept_sha256
+FROM d LEFT JOIN ends ON d.k = ends.k
 """,
 }
