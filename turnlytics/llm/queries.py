@@ -217,17 +217,19 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id)
 QUALIFY row_number() OVER w <= 5
 """,
     "op12_repeated_bytes": r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
-windows AS (SELECT k, s, md5(substr(h, 2 * s + 1, 400)) AS part FROM d, LATERAL (SELECT unnest(range(0, length(h) // 2 - 199)) AS s) AS r WHERE length(h) >= 400),
-twice AS (SELECT part FROM windows GROUP BY part HAVING count(*) > 1),
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS h FROM documents),
+windows AS (
+  SELECT k, w.s AS s, w.part AS part
+  FROM (SELECT k, unnest(list_transform(range(0, octet_length(h) - 199), lambda s: {'s': s, 'part': md5(array_slice(h, s + 1, s + 200))})) AS w FROM d WHERE octet_length(h) >= 200)
+), twice AS (SELECT part FROM windows GROUP BY part HAVING count(*) > 1),
 found AS (SELECT w.k, s FROM windows w JOIN twice t ON w.part = t.part),
-gaps AS (SELECT k, s, s > max(s + 200) OVER (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM found),
-numbered AS (SELECT k, s, sum(CASE WHEN coalesce(gap, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s) AS run FROM gaps),
+gaps AS (SELECT k, s, coalesce(s > lag(s) OVER (PARTITION BY k ORDER BY s) + 200, TRUE) AS gap FROM found),
+numbered AS (SELECT k, s, sum(gap::INTEGER) OVER (PARTITION BY k ORDER BY s) AS run FROM gaps),
 spans AS (SELECT k, run, min(s) AS a, max(s) + 200 AS z FROM numbered GROUP BY k, run),
 ends AS (SELECT k, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(CASE WHEN a IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(0, len(a) + 1),
-    lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE z[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE z[i] END)))), '')) END) AS kept_sha256
+SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN h ELSE list_reduce(list_transform(range(0, len(a) + 1),
+    lambda i: array_slice(h, CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END, CASE WHEN i = len(a) THEN octet_length(h) ELSE a[i + 1] END)), lambda x, y: x || y) END) AS kept_sha256
 FROM d LEFT JOIN ends ON d.k = ends.k
 """,
 }
