@@ -51,13 +51,27 @@ def csv_turns(x: Chat, *columns: str) -> DataFrame:
     return chats.read_turn_rows(x.spark, path)
 
 
+def arriving(x: Chat, parts: int = 9) -> DataFrame:
+    """Message rows without an order column, in the order of turns over several files of unequal sizes."""
+    rows = x.table("conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    file = F.when(F.col("turn") >= parts, F.lit(parts)).otherwise(F.col("turn")).cast("int")
+    return rows.repartitionByRange(parts + 1, file).sortWithinPartitions("turn", "conv_id").drop("turn")
+
+
 def arrived(x: Chat) -> DataFrame:
-    """Message rows without an order column, written in order into one file."""
     path = shared_folder(x.spark, "arrival")
-    x.table("conversations").select("conv_id", "turn", "role", F.col("text").alias("content")).repartition(1).sortWithinPartitions("turn", "conv_id").drop("turn").write.csv(path, header=True, escape='"', quote='"', quoteAll=True)
+    arriving(x).write.csv(path, header=True, escape='"', quote='"', quoteAll=True)
     return chats.read_turn_rows(x.spark, path)
 
 
+def many_files(x: Chat) -> DataFrame:
+    """The same as JSON lines, which tasks may split, with rows of another role that name a model."""
+    path = shared_folder(x.spark, "arrival-lines")
+    model = F.when(F.col("role") == "assistant", F.concat(F.lit("m"), F.col("conv_id") % 3)).when(F.col("role") == "system", "sysmodel")
+    arriving(x).withColumn("model", model).withColumn("role", F.when(F.col("role") == "assistant", "AI").otherwise(F.col("role"))).write.json(path)
+    return chats.turn_rows(x.spark.read.schema("conv_id STRING, role STRING, content STRING, model STRING").json(path))
+
+
 def facts(x: Chat) -> DataFrame:
     """Facts per conversation of a log, from messages within the row."""
     m = F.struct("idx", "role", "content", F.nullif("responder", F.lit("")).alias("responder"))
@@ -205,6 +219,7 @@ QUERIES = {
     "chat_objects_without_ids": chat_query(nameless),
     "turn_rows_csv": chat_query(lambda x: flat(csv_turns(x, "turn"))),
     "turn_rows_arrival": chat_query(lambda x: flat(arrived(x))),
+    "turn_rows_many_files": chat_query(lambda x: flat(many_files(x))),
     "log_facts": chat_query(facts),
     "otlp_traces": chat_query(lambda x: flat(trace_files(x))),
     "chat_export_thread": chat_query(lambda x: flat(export_files(x))),
@@ -239,8 +254,10 @@ _NO_TIME, _NONE = "NULL::TIMESTAMP", "NULL::VARCHAR"
 _HOUR = f"{_START} + to_hours(conv_id::INTEGER)"
 _OBJECTS = f"(SELECT *, CASE WHEN conv_id % 3 <> 0 THEN {_HOUR} ELSE {_HOUR} + to_minutes((min(turn) FILTER (turn > 0 AND role IN ('user', 'assistant')) OVER (PARTITION BY conv_id))::INTEGER) END AS moment FROM conversations)"
 _OBJECT = {"user": "CASE WHEN conv_id % 5 <> 0 THEN concat('u', conv_id % 7) END", "model": "CASE WHEN conv_id % 4 <> 0 THEN 'm1' END", "version": "concat('r', conv_id % 2)", "ts": "moment", "source": _OBJECTS}
-# message rows bring the earliest time, and the user where any row names one
-_CSV_TIME = f"(SELECT *, min({_HOUR} - to_seconds(turn)) FILTER (turn % 2 = 1) OVER (PARTITION BY conv_id) AS moment, CASE WHEN max(turn) OVER (PARTITION BY conv_id) > 0 THEN concat('u', conv_id) END AS person FROM conversations)"
+# message rows bring the earliest time, and the user where any spoken row names one
+_SPOKEN = "role IN ('user', 'assistant')"
+_CSV_TIME = f"(SELECT *, min({_HOUR} - to_seconds(turn)) FILTER (turn % 2 = 1 AND {_SPOKEN}) OVER (PARTITION BY conv_id) AS moment, CASE WHEN max(turn) FILTER ({_SPOKEN}) OVER (PARTITION BY conv_id) > 0 THEN concat('u', conv_id) END AS person FROM conversations)"
+_REPLY_MODEL = "(SELECT *, CASE WHEN bool_or(role = 'assistant') OVER (PARTITION BY conv_id) THEN concat('m', conv_id % 3) END AS named FROM conversations)"
 _SPANS = f"""calls AS (
  SELECT conv_id, turn, k, asked, text FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations WHERE role IN ('user', 'assistant')), (VALUES (0), (1)) AS c(k)
  WHERE role = 'assistant' AND (k = 0 OR turn % 3 = 0)
@@ -304,6 +321,8 @@ ORACLE_SQL = {
 FROM (SELECT count(*)::BIGINT AS conversations, avg((conv_id % 5 <> 0)::INT) AS user_coverage, avg((moment IS NOT NULL)::INT) AS ts_coverage, avg((conv_id % 4 <> 0)::INT) AS model_coverage FROM (SELECT DISTINCT conv_id, moment FROM {_OBJECTS}))""",
     "turn_rows_csv": _M.format(user="person", ts="moment", model=_NONE, version=_NONE, responder=_NONE, source=_CSV_TIME),
     "turn_rows_arrival": _M.format(user=_NONE, ts=_NO_TIME, model=_NONE, version=_NONE, responder=_NONE, source="conversations"),
+    # a reply without responder column is named after its model
+    "turn_rows_many_files": _M.format(user=_NONE, ts=_NO_TIME, model="named", version=_NONE, responder="CASE WHEN role = 'assistant' THEN concat('m', conv_id % 3) END", source=_REPLY_MODEL),
     "log_facts": _chat_sql("""SELECT conv_id::VARCHAR AS id, CASE WHEN conv_id % 4 <> 0 THEN concat('u', conv_id % 7) ELSE concat('conv:', conv_id) END AS user, n_turns AS turns, repeated_request AS repeat, correction_followup AS correction, one_and_done AS one_turn FROM c"""),
     "otlp_traces": f"WITH {_SPANS} SELECT conv_id::VARCHAR AS conv_id, concat('u', conv_id % 7) AS user, {_HOUR} + to_seconds((min(turn) OVER (PARTITION BY conv_id))::INTEGER) AS ts, 'm1' AS model, NULL::VARCHAR AS version, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, part))::BIGINT AS idx, role, content, responder FROM said",
     "chat_export_thread": _M.format(user="'you'", ts=_HOUR, model="'m1'", version=_NONE, responder="'m1'", source="conversations"),

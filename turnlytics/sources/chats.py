@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from turnlytics.functions import rules as R
 from turnlytics.schema import ONE_AND_DONE_CHARS
+from turnlytics.sources.order import numbered, placed
 
 # Names under which logs keep the same thing, the first one that is there and not empty counts.
 MESSAGE_KEYS = ["conversation", "messages", "turns", "chat", "dialog", "history", "chat_messages"]
@@ -57,7 +58,8 @@ def utc(ts: Column) -> Column:
 def chat_objects(rows: DataFrame) -> DataFrame:
     """One object per conversation; which names it uses shows from its columns.
 
-    An object without id is a conversation of its own: it is named after its place in the scan.  User and version may stand in the
+    An object without id is a conversation of its own: it is named after its number among all rows, file by file, which is the same
+    however the files are packed into tasks; rows are counted only where an object may lack its id.  User and version may stand in the
     first message instead; without a time, the first spoken message that has one gives it; without a model, the
     first reply's responder is the model.
     """
@@ -66,11 +68,17 @@ def chat_objects(rows: DataFrame) -> DataFrame:
     first = F.try_element_at(F.col(key), F.lit(1))
     pick = lambda names: first_present(names, rows.schema)
     of_first = lambda names: first_present(names, fields, first)
+    known = {f.name for f in rows.schema.fields} & set(ID_KEYS)
+    place, number = "__place", "__row"
+    if not known or not placed(rows, place).where(pick(ID_KEYS).isNull()).isEmpty():
+        rows = numbered(placed(rows, place), number, place)
+    else:
+        rows = rows.withColumn(number, F.lit(None).cast("long"))
     plain = rows.withColumn("__m", keep_spoken(F.transform(key, lambda x: message_struct(x, fields))))
     timed = F.filter(F.transform(key, lambda x: F.struct(R.role_name(first_present(ROLE_KEYS, fields, x)).alias("role"), R.any_timestamp(first_present(TIME_KEYS, fields, x)).alias("ts"))), lambda x: x["role"].isin("user", "assistant") & x["ts"].isNotNull())
     replier = F.try_element_at(F.filter("__m", lambda x: (x["role"] == "assistant") & x["responder"].isNotNull()), F.lit(1))["responder"]
     return plain.select(
-        F.coalesce(pick(ID_KEYS), F.concat(F.lit("row:"), F.monotonically_increasing_id())).alias("id"), F.coalesce(pick(USER_KEYS), of_first(USER_KEYS)).alias("user"),
+        F.coalesce(pick(ID_KEYS), F.concat(F.lit("row:"), F.col(number))).alias("id"), F.coalesce(pick(USER_KEYS), of_first(USER_KEYS)).alias("user"),
         utc(F.coalesce(R.any_timestamp(pick(TIME_KEYS)), F.try_element_at(timed, F.lit(1))["ts"])).alias("ts"),
         F.coalesce(pick(MODEL_KEYS), replier).alias("model"), F.coalesce(pick(VERSION_KEYS), of_first(VERSION_KEYS)).alias("version"), F.col("__m").alias("messages"),
     )
@@ -80,24 +88,33 @@ def read_chat_objects(spark: SparkSession, path: str) -> DataFrame:
     return chat_objects(spark.read.json(path))
 
 
-def turn_rows(rows: DataFrame, order: Sequence[str] = tuple(ORDER_KEYS)) -> DataFrame:
+def turn_rows(rows: DataFrame, order: Sequence[str] = tuple(ORDER_KEYS), seed: bool = False) -> DataFrame:
     """One row per message.  The first order column with a value puts a conversation's messages in order; messages
-    without one, and ties, follow as they arrive.  Rows that other roles spoke count for user, time and version only.
+    without one, and ties, follow as they arrive: file by file in the order of paths, line by line, whatever tasks read them.
 
-    User, model and version are the first that arrive, time is the earliest.
+    Only rows that user or assistant spoke count.  User and version are the first that arrive, the model is the first that a reply
+    names, time is the earliest.  With ``seed``, the row that arrives first names user, time and model, if it does, whoever spoke it.
     """
     ident, fields = first_present(ID_KEYS, rows.schema), rows.schema
     given = first_present([c for c in order if c in rows.columns], fields)
-    arrival = F.monotonically_increasing_id()
-    # a value that is no number counts as the place of arrival
-    at = F.when(given.isNull(), 0.0).otherwise(F.coalesce(given.try_cast("double"), F.col("arrival").cast("double")))
-    plain = rows.withColumn("arrival", arrival).select(
-        ident.alias("id"), "arrival", at.alias("at"), R.role_name(first_present(ROLE_KEYS, fields)).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields), F.lit("")).alias("content"), first_present(RESPONDER_KEYS, fields).alias("responder"),
-        first_present(USER_KEYS, fields).alias("user"), R.any_timestamp(first_present(TIME_KEYS, fields)).alias("ts"), first_present(MODEL_KEYS, fields).alias("model"), first_present(VERSION_KEYS, fields).alias("version"),
+    arrival = "__arrival"
+    rows = placed(rows, arrival)
+    number = given.try_cast("double")
+    if any(c in rows.columns for c in order) and not rows.where(given.isNotNull() & number.isNull()).isEmpty():
+        rows = numbered(rows, "__row", arrival)  # a value that is no number counts as the number of the row
+        number = F.coalesce(number, F.col("__row").cast("double"))
+    plain = rows.select(
+        ident.alias("id"), F.col(arrival).alias("arrival"), F.when(given.isNull(), 0.0).otherwise(number).alias("at"), R.role_name(first_present(ROLE_KEYS, fields)).alias("role"), F.coalesce(first_present(CONTENT_KEYS, fields), F.lit("")).alias("content"),
+        first_present(RESPONDER_KEYS, fields).alias("responder"), first_present(USER_KEYS, fields).alias("user"), R.any_timestamp(first_present(TIME_KEYS, fields)).alias("ts"), first_present(MODEL_KEYS, fields).alias("model"), first_present(VERSION_KEYS, fields).alias("version"),
+    )
+    spoke, replied = F.col("role").isin("user", "assistant"), F.col("role") == "assistant"
+    first = lambda c, when: F.min_by(F.when(when, F.col(c)), F.when(when & F.col(c).isNotNull(), F.col("arrival")))
+    opening = lambda c: F.min_by(c, "arrival") if seed else F.lit(None)
+    spoken = F.when(spoke, F.struct("at", "arrival", "role", "content", "responder"))
+    out = plain.where("id IS NOT NULL").groupBy("id").agg(
+        F.coalesce(opening("user"), first("user", spoke)).alias("user"), F.least(opening("ts"), F.min(F.when(spoke, F.col("ts")))).alias("ts") if seed else F.min(F.when(spoke, F.col("ts"))).alias("ts"),
+        F.coalesce(opening("model"), first("model", replied)).alias("model"), first("version", spoke).alias("version"), F.array_sort(F.collect_list(spoken)).alias("m"),
     )
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c)
-    spoken = F.when(F.col("role").isin("user", "assistant"), F.struct("at", "arrival", "role", "content", "responder"))
-    out = plain.where("id IS NOT NULL").groupBy("id").agg(first("user"), F.min("ts").alias("ts"), first("model"), first("version"), F.array_sort(F.collect_list(spoken)).alias("m"))
     messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["responder"].alias("responder")))
     return out.select("id", "user", utc(F.col("ts")).alias("ts"), "model", "version", messages.alias("messages"))
 
