@@ -123,12 +123,6 @@ def test_metric_tables_are_free_of_content(conversations, turns):
     assert content_free(M.friction_weekly(conversations)) and content_free(M.friction_by_responder(turns, conversations, 1)) and not content_free(conversations)
 
 
-def test_flat_tables_replace_only_their_shards(spark, conversations, tmp_path):
-    path = f"file://{tmp_path}/flat"
-    shards.write_flat(conversations, path)
-    shards.write_flat(conversations.where("conv_id < 3").withColumn("shard", F.lit("s1")), path)
-    shards.write_flat(conversations.where("conv_id = 1").withColumn("shard", F.lit("s1")), path)
-    got = spark.read.parquet(path)
-    assert {(r["shard"], r["count"]) for r in got.groupBy("shard").count().collect()} == {("s0", 6), ("s1", 1)}
-    assert shards.unfinished(conversations, got).count() == 0
+def test_shards_are_chosen_by_position(conversations):
+    assert shards.unfinished(conversations, conversations.where("conv_id = 1")).count() == 0
     assert shards.chosen_shards("0-1,3", list("dcba")) == ["a", "b", "d"] and shards.chosen_shards("all", ["b", "a"]) == ["a", "b"]

@@ -16,7 +16,7 @@ from turnlytics.operators import metrics as M
 from turnlytics.operators import publish as P
 from turnlytics.operators import turns as T
 from turnlytics import schema
-from turnlytics.sources import chats, shards
+from turnlytics.sources import chats, shards, store
 from turnlytics.sources.files import shared_folder
 from turnlytics.streaming import ingest
 
@@ -136,7 +136,38 @@ def ingested(x: Chat) -> DataFrame:
     raw.write.parquet(f"{path}/raw")
     for _ in range(2):
         ingest.ingest_shards(x.spark, f"{path}/raw", f"{path}/flat", f"{path}/checkpoint", raw.schema)
-    return x.spark.read.parquet(f"{path}/flat/conversations").groupBy("week").agg(F.count(F.lit(1)).alias("conversations"), F.sum(F.col("n_turns").cast("long")).alias("turns"))
+    rows = store.flat_store(x.spark, f"{path}/flat").table("conversations")
+    return rows.groupBy("week").agg(F.count(F.lit(1)).alias("conversations"), F.sum(F.col("n_turns").cast("long")).alias("turns"))
+
+
+def same_names(x: Chat) -> DataFrame:
+    """Two folders with files of the same names, flattened in two calls, the second after more files came; a third finds nothing."""
+    path = shared_folder(x.spark, "same-names")
+    raw = x.raw.drop("shard").withColumns({"conversation_hash": F.lit(None).cast("string"), "toxic": F.lit(False)})
+    half = F.col("conversation")[0]["turn_identifier"] % 2
+    flat = store.flat_store(x.spark, f"{path}/flat")
+    for k in range(2):
+        part = raw.where(half == k).repartition(3)
+        part.write.parquet(f"{path}/written-{k}")
+        files = [r["path"] for r in store.source_files(x.spark, f"{path}/written-{k}").orderBy("path").select("path").collect()]  # three
+        for n, file in enumerate(files):
+            x.spark.read.schema(raw.schema).parquet(file).coalesce(1).write.mode("append").parquet(f"{path}/raw/{'ab'[k]}")
+            _renamed(x, f"{path}/raw/{'ab'[k]}", f"part-{n}.parquet")
+        store.flatten_new(flat, f"{path}/raw", raw.schema)
+    if store.flatten_new(flat, f"{path}/raw", raw.schema):
+        raise RuntimeError("files were flattened twice")
+    conversations, turns = flat.table("conversations"), flat.table("turns")
+    per = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if("is_correction").alias("corrections"))
+    rows = conversations.join(per, "conv_id").groupBy(F.substring_index("shard", "/", 1).alias("folder"))
+    return rows.agg(F.count(F.lit(1)).alias("conversations"), F.sum("turns").alias("turns"), F.sum("corrections").alias("corrections"), F.count_distinct("shard").alias("files"))
+
+
+def _renamed(x: Chat, folder: str, name: str) -> None:
+    """Gives the file that was just written a fixed name."""
+    at = x.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(x.spark._jsc.hadoopConfiguration())
+    new = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-0000"))
+    fs.rename(new, x.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
 
 
 def exported_cases(x: Chat) -> DataFrame:
@@ -245,6 +276,7 @@ QUERIES = {
     "weekly_change": chat_query(weekly_change),
     "nested_json_access": chat_query(nested_access),
     "incremental_ingest": chat_query(ingested),
+    "ingest_same_names": chat_query(same_names),
     "events_stream_weekly": chat_query(streamed_weeks),
 }
 
@@ -354,6 +386,8 @@ FROM (SELECT {FAMILY.format(x="attributed_to")} AS responder FROM turns JOIN c U
     "weekly_change": _chat_sql("SELECT week, n, percent, CASE WHEN percent > 0 THEN 'up' WHEN percent < 0 THEN 'down' WHEN percent = 0 THEN 'flat' END AS direction FROM (SELECT week, n, round(100 * (n::DOUBLE / lag(n) OVER (ORDER BY week) - 1), 1) AS percent FROM (SELECT week, count(*)::BIGINT AS n FROM c GROUP BY 1))"),
     "nested_json_access": "SELECT event_id, json_extract_string(props, '$') AS whole, len(json_keys(props))::BIGINT AS n_keys, (props->>'$.k')::BIGINT AS k, event_type, round(value)::BIGINT AS rounded, NULL::VARCHAR AS gone FROM events",
     "incremental_ingest": _chat_sql(f"SELECT week, {N}, sum(n_turns)::BIGINT AS turns FROM c GROUP BY week"),
+    "ingest_same_names": _chat_sql("""SELECT CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE 'b' END AS folder, count(*)::BIGINT AS conversations, sum(n)::BIGINT AS turns, sum(k)::BIGINT AS corrections, 3::BIGINT AS files
+FROM c JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (is_correction) AS k FROM turns GROUP BY 1) USING (conv_id) GROUP BY 1"""),
     "events_stream_weekly": "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY 1, 2",
 }
 

@@ -1,4 +1,4 @@
-"""Raw shards and flat tables: scanning, choosing shards, writing, coverage."""
+"""Raw shards and flat tables: scanning, choosing shards, coverage."""
 
 from __future__ import annotations
 
@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shard_label(path: Column) -> Column:
-    """A file's name without folder and extension."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+def root_of(spark: SparkSession, path: str) -> str:
+    """The folder part of a path as file addresses hold it, with a slash at its end."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getRawPath().rstrip("/") + "/"
+
+
+def shard_label(path: Column, root: str = "") -> Column:
+    """A file's path below the source folder (its whole path elsewhere), without extension: files of one name in two folders differ."""
+    at = F.instr(path, root) if root else F.lit(0)
+    below = F.when(at > 0, F.substr(path, at + len(root))).otherwise(path)
+    return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
 def read_shards(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """All shard files below a path, each row with its shard's label; columns are pruned down into nested fields."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path).withColumn("shard", shard_label(F.col("_metadata.file_path")))
+    return reader.option("recursiveFileLookup", True).parquet(path).withColumn("shard", shard_label(F.col("_metadata.file_path"), root_of(spark, path)))
 
 
 def chosen_shards(spec: str, available: list[str]) -> list[str]:
@@ -29,14 +36,9 @@ def chosen_shards(spec: str, available: list[str]) -> list[str]:
     return [labels[i] for i in dict.fromkeys(at) if i < len(labels)]
 
 
-def write_flat(rows: DataFrame, path: str) -> None:
-    """Partitioned by shard; only the shards at hand are replaced, and a shard appears whole or not at all."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
-
-
 def unfinished(rows: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of shards that the flat table does not hold yet."""
-    return rows.join(F.broadcast(done.select("shard").distinct()), "shard", "left_anti")  # a row per shard file
+    return rows.join(done.select("shard").distinct(), "shard", "left_anti")
 
 
 def with_missing(rows: DataFrame, columns: dict[str, str]) -> DataFrame:

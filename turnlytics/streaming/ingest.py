@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlytics.operators import turns as T
-from turnlytics.sources.shards import shard_label, write_flat
+from turnlytics.sources.shards import root_of, shard_label
+from turnlytics.sources.store import flat_store, flatten
 
 
 def ingest_shards(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str) -> int:
-    """Flattens the shard files that no earlier call has seen; returns how many batches ran.
+    """Flattens the shard files that no earlier call has seen into conversations and turns; returns how many batches ran.
 
-    The checkpoint records files, so a repeated call does nothing, and a call that failed is made up for: a batch replaces the
-    shards that it holds, so doing it twice leaves the same tables.
+    The checkpoint records files and numbers batches, the store commits both tables of a batch at once under that number.  So a repeated
+    call does nothing, and a call that failed is made up for without a trace of the failed one.  Read the tables through the store.
     """
-    stream = spark.readStream.schema(schema).parquet(source).withColumn("shard", shard_label(F.col("_metadata.file_path")))
+    store, root = flat_store(spark, target), root_of(spark, source)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source)
+    stream = stream.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
+    stream = stream.withColumn("shard", shard_label(F.col("path"), root))
 
-    def flatten(batch: DataFrame, _: int) -> None:
-        write_flat(T.nested_roll_up(batch), f"{target}/conversations")
+    def commit(batch: DataFrame, number: int) -> None:
+        store.write(number, batch.select("path", "size", "modified", "shard").distinct(), flatten(batch))
 
-    query = stream.writeStream.foreachBatch(flatten).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return len(query.recentProgress)
 
