@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 MIN_MATCHED = 30
 
-#: Cumulative probabilities of a Poisson(1) variable: a uniform number counts as often as entries it reaches.
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k)) for k in range(1, 11)]
+#: Up to this many equal values, Poisson draws come from cumulative probabilities; beyond, from a corrected normal one.
+POISSON_TABLE = 64
+DECIMALS = 12
 
 
 def hash_index(key: Column, n: Column) -> Column:
@@ -42,24 +43,56 @@ def matched_gap(users: DataFrame, keys: Sequence[str]) -> DataFrame:
     return users.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched_users"), F.avg("ra").alias("matched_a"), F.avg("rb").alias("matched_b"), F.avg("diff").alias("matched_gap"))
 
 
-def bootstrap(values: DataFrame, keys: Sequence[str], ident: str, value: str, reps: int = 400, out: tuple[str, str] = ("ci_low", "ci_high")) -> DataFrame:
-    """Percentile interval of the mean by resampling.
+def histogram(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, x, code, m: how often each value occurs; values are told apart to twelve decimals."""
+    code = F.round(F.col(value) * 10.0**DECIMALS).cast("long")
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, code.alias("code")).agg(F.count(F.lit(1)).alias("m"))
+    return counts.withColumn("x", F.col("code") / 10.0**DECIMALS)
 
-    In each repetition a value counts as often as a Poisson(1) draw says, which is what drawing with replacement comes to for more
-    than a few values.  Draws follow hashes of (id, rep), so a rerun gives the same interval, and no value needs a number:
-    one pass with partial sums per key and repetition, however the values are spread.
+
+def poisson_table(m: Column) -> Column:
+    """Cumulative probabilities of a Poisson(m) variable from 0 on, up to where hardly anything is left."""
+    start = F.struct(F.exp(-m.cast("double")).alias("p"), F.exp(-m.cast("double")).alias("sum"), F.array().cast("array<double>").alias("all"))
+    most = (m + 10 * F.ceil(F.sqrt(m)) + 10).cast("int")
+    step = lambda s, k: F.struct((s["p"] * m / k).alias("p"), (s["sum"] + s["p"] * m / k).alias("sum"), F.array_append(s["all"], s["sum"]).alias("all"))
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)["all"]
+
+
+def uniform(text: Column, start: int = 1) -> Column:
+    """A number from 0 on below 1 that follows from a text."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), start, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def resampled_means(values: DataFrame, keys: Sequence[str], value: str, reps: int) -> DataFrame:
+    """keys, rep, m: the mean of each repetition of a bootstrap.
+
+    A value that occurs m times counts as often as a Poisson(m) draw says, which is what m values that count Poisson(1) times come to,
+    and in the mean what drawing with replacement comes to for more than a few values.  So a repetition makes a draw for each
+    distinct value, not for each value.  Draws follow hashes of (keys, value, repetition), so a rerun gives the same.
     """
-    draws = values.select(*keys, F.col(value).alias("x"), F.col(ident).alias("id")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = hash_index(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("rep")), F.lit(1 << 32)) / float(1 << 32)
-    weight = F.lit(0)
-    for least in POISSON:
-        weight = weight + (u >= least).cast("int")
-    means = draws.withColumn("w", weight).groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias(out[0]), F.percentile("m", 0.975).alias(out[1]))  # a row per repetition
+    table = F.when(F.col("m") <= POISSON_TABLE, poisson_table(F.least("m", F.lit(POISSON_TABLE))))
+    rows = histogram(values, keys, value).withColumn("table", table).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    rows = rows.withColumn("text", F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.col("code").cast("string"), F.col("rep").cast("string")))
+    u, v = uniform(F.col("text")), uniform(F.col("text"), 9)
+    z = F.sqrt(-2 * F.log(u + 2.0**-33)) * F.cos(2 * math.pi * v)
+    far = F.greatest(F.floor(F.col("m") + F.sqrt("m") * z + (z * z - 1) / 6 + 0.5), F.lit(0))
+    weight = F.when(F.col("m") <= POISSON_TABLE, F.size(F.filter("table", lambda p: p <= u))).otherwise(far)
+    rows = rows.withColumn("w", weight.cast("double"))
+    return rows.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+
+
+def interval(means: DataFrame, keys: Sequence[str], value: str = "m", out: tuple[str, str] = ("ci_low", "ci_high")) -> DataFrame:
+    """The middle 95 % of the repetitions; a row per repetition comes in."""
+    return means.groupBy(*keys).agg(F.percentile(value, 0.025).alias(out[0]), F.percentile(value, 0.975).alias(out[1]))
+
+
+def bootstrap(values: DataFrame, keys: Sequence[str], value: str, reps: int = 4000, out: tuple[str, str] = ("ci_low", "ci_high")) -> DataFrame:
+    """Percentile interval of the mean by resampling."""
+    return interval(resampled_means(values, keys, value, reps), keys, out=out)
 
 
 def exact_bootstrap(values: DataFrame, keys: Sequence[str], order: str, value: str, reps: int, out: tuple[str, str] = ("ci_low", "ci_high"), salt: str = "") -> DataFrame:
-    """The same by drawing as many values as there are, with replacement; draws follow hashes of (rep, slot).
+    """The interval by drawing as many values as there are, with replacement; draws follow hashes of (rep, slot).
 
     For some thousands of values per key: it numbers a key's values in one task and makes values times reps slots.
     """
@@ -98,12 +131,6 @@ def version_changes(rows: DataFrame) -> DataFrame:
     return first.withColumn("previous", F.lag("version").over(line)).where("previous IS NOT NULL").select("version", "previous", "at")
 
 
-def before_after(rows: DataFrame, at: Column, metric: Column, user: str = "pseudo_user") -> DataFrame:
-    """Side a is from ``at`` on, side b before it."""
-    tagged = rows.withColumn("side", F.when(F.col("ts") >= at, "a").otherwise("b"))
-    return tagged.withColumn("metric", metric)
-
-
 def change_verdict(rows: DataFrame, lower_is_better: bool = True) -> DataFrame:
     """Adds the least detectable effect (in points) and none, real, worse, trend (a placebo shows the same shift) or overlap."""
     clear = excludes_zero(F.col("ci_low"), F.col("ci_high"))

@@ -15,7 +15,8 @@ from turnlytics.operators import turns as T
 from .core import ERAS_SQL, FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, _HAVING, chat_query
 from .fixtures import chat
 
-REPS = 400
+REPS = 4000
+EXACT_REPS = 400  # drawing value by value is for a few values
 PERSONAL_REPLIES = 30
 ROUTE_MIN = 60  # cells of the fixture are smaller than those of a real corpus
 
@@ -67,7 +68,7 @@ def pair_comparison(x: Chat) -> DataFrame:
     users = K.per_user(tagged, keys, "pseudo_user", F.col("hit"))
     share = lambda s: F.avg(F.when(F.col("side") == s, F.col("multi_turn").cast("int")))
     measurable = tagged.groupBy(*keys).agg((F.least(share("a"), share("b")) >= 0.05).alias("measurable"))
-    rows = naive.join(K.matched_gap(users, keys), keys, "left").join(K.bootstrap(users, keys, "pseudo_user", "diff", REPS), keys, "left").join(measurable, keys)
+    rows = naive.join(K.matched_gap(users, keys), keys, "left").join(K.bootstrap(users, keys, "diff", REPS), keys, "left").join(measurable, keys)
     return K.pair_verdict(K.model_verdict(rows))
 
 
@@ -82,19 +83,19 @@ def change(x: Chat, at: str = "2024-06-17") -> DataFrame:
     placebo = before.crossJoin(F.broadcast(middle)).select("pseudo_user", "ts", "hit", F.lit("placebo").alias("run"), F.when(F.col("ts") >= F.col("middle"), "a").otherwise("b").alias("side"))  # one row
     every = tagged.unionByName(placebo)
     users = K.per_user(every, ["run"], "pseudo_user", F.col("hit"))
-    out = K.naive_gap(every, ["run"], F.col("hit")).join(K.matched_gap(users, ["run"]), "run").join(K.bootstrap(users, ["run"], "pseudo_user", "diff", REPS), "run")
+    out = K.naive_gap(every, ["run"], F.col("hit")).join(K.matched_gap(users, ["run"]), "run").join(K.bootstrap(users, ["run"], "diff", REPS), "run")
     p = out.where("run = 'placebo'").select(F.col("matched_gap").alias("placebo_gap"), F.col("ci_low").alias("placebo_low"), F.col("ci_high").alias("placebo_high"))
     return K.change_verdict(out.where("run = 'change'").drop("run").join(F.broadcast(p), F.lit(True), "left"))
 
 
 def unpaired_change(x: Chat, at: str = "2024-06-17") -> DataFrame:
-    """One history: conversations before and after, each side resampled on its own."""
-    rows = x.labelled.where("NOT has_empty_user_input AND intent = 'translation'")
-    tagged = rows.select("conv_id", F.col("correction_followup").cast("int").alias("v"), F.when(F.col("ts") >= F.lit(at).cast("timestamp_ntz"), "a").otherwise("b").alias("side"))
-    ranges = K.bootstrap(tagged, ["side"], "conv_id", "v", REPS)
-    a, b = (ranges.where(F.col("side") == s).select(F.col("ci_low").alias(f"{s}_low"), F.col("ci_high").alias(f"{s}_high")) for s in "ab")
-    naive = K.naive_gap(tagged.withColumn("one", F.lit(1)), ["one"], F.col("v")).drop("one")
-    return naive.join(F.broadcast(a), F.lit(True)).join(F.broadcast(b), F.lit(True))  # one row each
+    """One history: conversations before and after, each side resampled on its own, and the difference of the two."""
+    rows = x.labelled.where("NOT has_empty_user_input")
+    tagged = rows.select(F.col("correction_followup").cast("int").alias("v"), F.when(F.col("ts") >= F.lit(at).cast("timestamp_ntz"), "a").otherwise("b").alias("side"), F.lit(1).alias("one"))
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
+    means = K.resampled_means(tagged, ["side"], "v", REPS).groupBy("rep").agg(of("a").alias("a"), of("b").alias("b"))  # a row per repetition
+    quantiles = [F.percentile(c, q).alias(f"{n}_{e}") for n, c in (("a", F.col("a")), ("b", F.col("b")), ("gap", F.col("a") - F.col("b"))) for e, q in (("low", 0.025), ("high", 0.975))]
+    return K.naive_gap(tagged, ["one"], F.col("v")).drop("one").join(F.broadcast(means.agg(*quantiles)), F.lit(True))  # one row each
 
 
 def model_intent(x: Chat) -> DataFrame:
@@ -141,8 +142,8 @@ QUERIES = {
     "naive_gap": chat_query(lambda x: K.naive_gap(pair_sides(x), KEYS, F.col("one_and_done"))),
     "matched_gap": chat_query(lambda x: K.matched_gap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("one_and_done")), KEYS)),
     "pair_comparison": chat_query(pair_comparison),
-    "exact_bootstrap": chat_query(lambda x: K.exact_bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("one_and_done")), KEYS, "pseudo_user", "diff", REPS)),
-    "poisson_bootstrap": chat_query(lambda x: K.bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("friction")), KEYS, "pseudo_user", "diff", REPS)),
+    "exact_bootstrap": chat_query(lambda x: K.exact_bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("one_and_done")), KEYS, "pseudo_user", "diff", EXACT_REPS)),
+    "poisson_bootstrap": chat_query(lambda x: K.bootstrap(K.per_user(pair_sides(x), KEYS, "pseudo_user", F.col("friction")), KEYS, "diff", REPS)),
     "version_changes": chat_query(lambda x: K.version_changes(x.conversations)),
     "before_after": chat_query(change),
     "unpaired_change": chat_query(unpaired_change),
@@ -180,16 +181,27 @@ def _exact_boot(keys: str, order: str = "pseudo_user", value: str = "ra - rb", t
     on = " AND ".join(f"s.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
     by = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
     return f"""{name}_v AS (SELECT {keys}, {value} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {table}),
-{name}_s AS (SELECT {keys}, n, rep, unnest(range(n)) AS slot FROM (SELECT {keys}, max(n) AS n FROM {name}_v GROUP BY ALL), (SELECT unnest(range({REPS})) AS rep)),
+{name}_s AS (SELECT {keys}, n, rep, unnest(range(n)) AS slot FROM (SELECT {keys}, max(n) AS n FROM {name}_v GROUP BY ALL), (SELECT unnest(range({EXACT_REPS})) AS rep)),
 {name}_m AS (SELECT {by}, rep, avg(x) AS m FROM {name}_s s JOIN {name}_v v ON {on} AND v.i = ('0x' || substr(md5(concat(rep, ':', slot)), 1, 8))::BIGINT % s.n GROUP BY ALL),
 {name} AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {name}_m GROUP BY ALL)"""
 
 
-def _boot(keys: str, ident: str = "pseudo_user", value: str = "ra - rb", table: str = "users", name: str = "boot") -> str:
-    """The same with Poisson weights, looked up in the list of cumulative probabilities."""
-    table_of = "[" + ", ".join(f"{p!r}::DOUBLE" for p in K.POISSON) + "]"
-    return f"""{name}_u AS (SELECT {keys}, rep, {value} AS x, ('0x' || substr(md5(concat({ident}, ':', rep)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {table}, (SELECT unnest(range({REPS})) AS rep)),
-{name}_m AS (SELECT {keys}, rep, sum(w * x) / nullif(sum(w), 0) AS m FROM (SELECT *, len(list_filter({table_of}, lambda p: p <= u)) AS w FROM {name}_u) GROUP BY ALL),
+def _means(keys: str, value: str = "ra - rb", table: str = "users", name: str = "boot") -> str:
+    """CTEs that end in ``name``_m: keys, rep, m; Poisson draws for the values of a histogram."""
+    parts = ", ".join(f"{k.strip()}::VARCHAR" for k in keys.split(","))
+    uniform = lambda at: f"('0x' || substr(md5(t), {at}, 8))::BIGINT / 4294967296.0::DOUBLE"
+    probability = "exp(k * ln(m::DOUBLE) - m - lgamma(k + 1.0::DOUBLE))"
+    return f"""{name}_h AS (SELECT {keys}, code, count(*) AS m FROM (SELECT {keys}, round(({value})::DOUBLE * 1e12::DOUBLE)::BIGINT AS code FROM {table} WHERE ({value}) IS NOT NULL) GROUP BY ALL),
+{name}_p AS (SELECT m, list(p ORDER BY k) AS p FROM (SELECT m, k, sum({probability}) OVER (PARTITION BY m ORDER BY k) AS p FROM (SELECT m, unnest(range((m + 10 * ceil(sqrt(m)) + 10)::BIGINT)) AS k FROM (SELECT DISTINCT m FROM {name}_h WHERE m <= {K.POISSON_TABLE}))) GROUP BY m),
+{name}_t AS (SELECT h.*, p.p, rep, code / 1e12::DOUBLE AS x, concat_ws(':', {parts}, code::VARCHAR, rep::VARCHAR) AS t FROM {name}_h h LEFT JOIN {name}_p p ON h.m = p.m, (SELECT unnest(range({REPS})) AS rep)),
+{name}_u AS (SELECT *, {uniform(1)} AS u, {uniform(9)} AS v FROM {name}_t),
+{name}_z AS (SELECT *, sqrt(-2 * ln(u + 1 / 8589934592.0::DOUBLE)) * cos(2 * pi() * v) AS z FROM {name}_u),
+{name}_w AS (SELECT *, CASE WHEN m <= {K.POISSON_TABLE} THEN len(list_filter(p, lambda q: q <= u))::DOUBLE ELSE greatest(floor(m + sqrt(m) * z + (z * z - 1) / 6 + 0.5), 0)::DOUBLE END AS w FROM {name}_z),
+{name}_m AS (SELECT {keys}, rep, sum(w * x) / nullif(sum(w), 0) AS m FROM {name}_w GROUP BY ALL)"""
+
+
+def _boot(keys: str, value: str = "ra - rb", table: str = "users", name: str = "boot") -> str:
+    return f"""{_means(keys, value, table, name)},
 {name} AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {name}_m GROUP BY ALL)"""
 
 
@@ -213,7 +225,7 @@ def _mix(keys: str, source: str) -> str:
     return f"SELECT {k}intent, sum(n)::BIGINT AS conversations, sum(n) / sum(sum(n)) OVER ({part}) AS weight FROM ({source}) GROUP BY {k}intent"
 
 
-_TRANSLATION = "tagged AS (SELECT conv_id, correction_followup::INT AS v, CASE WHEN ts >= TIMESTAMP '2024-06-17' THEN 'a' ELSE 'b' END AS side FROM c WHERE NOT has_empty_user_input AND intent = 'translation')"
+_HISTORY = "tagged AS (SELECT correction_followup::INT AS v, CASE WHEN ts >= TIMESTAMP '2024-06-17' THEN 'a' ELSE 'b' END AS side FROM c WHERE NOT has_empty_user_input)"
 
 ORACLE_SQL = {
     "first_failures": _chat_sql("SELECT * EXCLUDE (similarity) FROM failures", _FAILURE),
@@ -268,6 +280,6 @@ FROM (SELECT era, policy, sum(n)::BIGINT AS conversations, sum(n * one_and_done_
  CASE WHEN naive_a = 0 AND naive_b = 0 THEN 'none' WHEN matched_users < 30 THEN 'overlap' WHEN NOT (ci_low > 0 OR ci_high < 0) THEN 'none'
   WHEN coalesce((placebo_low > 0 OR placebo_high < 0) AND sign(placebo_gap) = sign(matched_gap), false) THEN 'trend' WHEN matched_gap > 0 THEN 'worse' ELSE 'real' END AS verdict
 FROM (SELECT r.*, p.matched_gap AS placebo_gap, p.ci_low AS placebo_low, p.ci_high AS placebo_high FROM result r LEFT JOIN result p ON p.run = 'placebo' WHERE r.run = 'change')""", _CHANGE),
-    "unpaired_change": _chat_sql(f"SELECT n.*, a.ci_low AS a_low, a.ci_high AS a_high, b.ci_low AS b_low, b.ci_high AS b_high FROM (SELECT {_NAIVE.format(m='v')} FROM tagged) n, (SELECT * FROM boot WHERE side = 'a') a, (SELECT * FROM boot WHERE side = 'b') b",
-        _TRANSLATION, _boot("side", "conv_id", "v", "tagged")),
+    "unpaired_change": _chat_sql(f"""SELECT n.*, quantile_cont(a, 0.025) AS a_low, quantile_cont(a, 0.975) AS a_high, quantile_cont(b, 0.025) AS b_low, quantile_cont(b, 0.975) AS b_high, quantile_cont(a - b, 0.025) AS gap_low, quantile_cont(a - b, 0.975) AS gap_high
+FROM (SELECT {_NAIVE.format(m='v')} FROM tagged) n, (SELECT rep, max(m) FILTER (side = 'a') AS a, max(m) FILTER (side = 'b') AS b FROM boot_m GROUP BY rep) GROUP BY ALL""", _HISTORY, _means("side", "v", "tagged")),
 }

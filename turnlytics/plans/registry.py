@@ -18,7 +18,7 @@ ROUNDED = {
     "before_after": ["matched_a", "matched_b", "matched_gap", "ci_low", "ci_high", "placebo_gap", "placebo_low", "placebo_high", "mde_points"],
     "poisson_bootstrap": ["ci_low", "ci_high"],
     "exact_bootstrap": ["ci_low", "ci_high"],
-    "unpaired_change": ["a_low", "a_high", "b_low", "b_high"],
+    "unpaired_change": ["a_low", "a_high", "b_low", "b_high", "gap_low", "gap_high"],
     "weighted_score": ["usage_weighted_score", "unweighted_mean", "covered_weight"],
     "weighted_intents": ["mean"],
     "routing_policies": ["one_and_done_rate", "refusal_rate", "correction_rate", "repeat_rate", "cost_per_1k", "one_and_done_change", "cost_change"],
