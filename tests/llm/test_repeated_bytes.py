@@ -106,8 +106,8 @@ def test_triggers_depend_on_the_bytes_alone():
     places = []
     for before in (0, 33, 250):
         data = np.concatenate([rng.integers(97, 105, before).astype(np.uint8), shared])
-        _, t, low, high, core = repeated_bytes.parse(data, np.array([0, len(data)]), 200)
-        places.append({int(p - d) - before: (int(p) - before, int(c)) for p, a, z, c in zip(t, low, high, core, strict=True) for d in range(a, z + 1) if p - d >= before})
+        _, t, low, high = repeated_bytes.parse(data, np.array([0, len(data)]), 200)
+        places.append({int(p - d) - before: int(p) - before for p, a, z in zip(t, low, high, strict=True) for d in range(a, z + 1) if p - d >= before})
         assert high.max() < repeated_bytes.REACH
     assert places[0] == places[1] == places[2]
 

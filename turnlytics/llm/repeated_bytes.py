@@ -11,10 +11,10 @@ follows the trigger.  For each suffix length, the pair (group in the dictionary,
 are equal where neighbours share both: common bytes before the trigger and after it make up ``length``.  Equal contexts (phrase and
 following bytes) are one entry, so copies cost one comparison, however many there are.
 
-Only phrases that can matter are sorted.  The bytes from a trigger on that lie in all its windows (its core) must stand twice in the corpus; cores
-are first counted by 64-bit hash, one for about 32 bytes, and the other triggers fall away.  Entries are dealt by core, and a task
-sorts the entries of many cores at once.  A core with more than ``crowded`` entries is not sorted in one task: its windows are
-counted one by one by an exchange.  Texts that stand several times are parsed once.
+Only phrases that can matter are sorted.  The bytes from a trigger on that lie in all its windows (its core) must stand twice in the corpus.
+A first parse with sparser triggers, one for about 60 bytes, counts cores by 64-bit hash, and windows whose core stands once
+fall away.  Entries are dealt by core, and a task sorts the entries of many cores at once.  A core that stands more than ``crowded``
+times is not sorted in one task: its windows are counted one by one by an exchange.  Texts that stand several times are parsed once.
 
 Defined results: null texts are empty.  Each row is a document; rows that repeat a text, whatever their ids, hold it several times.
 Windows never span two documents; texts under ``length`` bytes have none.  Empty tables give empty results.  Very long texts are
@@ -47,33 +47,61 @@ def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(before - starts, counts)
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of joined texts: each trigger's text, place in ``data``, least and greatest distance of its windows' starts, and core hash."""
+def sketch_reach(length: int) -> int:
+    """The reach of the sparser triggers that choose what is parsed."""
+    return max(REACH, length * 5 // 8)
+
+
+def parse(data: np.ndarray, offsets: np.ndarray, length: int, reach: int = REACH, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Of joined texts: each trigger's text, place in ``data``, and least and greatest distance of its windows' starts.
+
+    With ``wanted`` (cores for each text), only windows count whose core under the sparser triggers is one of their text's.
+    """
     if len(data) <= SEGMENT or len(offsets) > 2:
-        return _parse(data, offsets, length)
+        return _parse(data, offsets, length, reach, wanted)
     parts = []
     for at in range(0, len(data) - length + 1, SEGMENT):
         piece = data[at : at + SEGMENT + length - 1]
-        text, t, *rest = _parse(piece, np.array([0, len(piece)]), length)
+        text, t, *rest = _parse(piece, np.array([0, len(piece)]), length, reach, wanted)
         parts.append((text, t + at, *rest))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _parse(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _parse(data: np.ndarray, offsets: np.ndarray, length: int, reach: int, wanted: list[np.ndarray] | None) -> tuple[np.ndarray, ...]:
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     start = runs(offsets[:-1], windows)
     if not len(start):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     text = np.repeat(np.arange(len(windows)), windows)
     every = np.arange(len(data) - GRAM + 1)
-    hashes = hash_words(data, every, every + GRAM)
-    least = sliding_min((hashes & np.uint64(0xFFFFFFFF00000000)) | every.astype(np.uint64), REACH)
-    trigger = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.append(True, (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
+    placed = (hash_words(data, every, every + GRAM) & np.uint64(0xFFFFFFFF00000000)) | every.astype(np.uint64)
+    nearest = lambda n: (sliding_min(placed, n)[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if wanted is not None:
+        trigger = nearest(sketch_reach(length))
+        first, last = _ranges(text, trigger, start)
+        core, owner = as_long(cores_of(data, trigger[first], length)), text[first]
+        edge = np.searchsorted(owner, np.arange(len(windows) + 1)).tolist()
+        due = np.concatenate([np.isin(core[a:z], w) for a, z, w in zip(edge, edge[1:], wanted, strict=False)])
+        keep = np.repeat(due, last - first + 1)
+        start, text = start[keep], text[keep]
+        if not len(start):
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+    trigger = nearest(reach)
+    first, last = _ranges(text, trigger, start)
     t = trigger[first]
-    return text[first], t, t - start[last], t - start[first], hash_words(data, t, t + length - REACH + 1)
+    return text[first], t, t - start[last], t - start[first]
+
+
+def _ranges(text: np.ndarray, trigger: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the windows in a row that belong to one trigger."""
+    new = np.append(True, (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1))
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(start)) - 1
+
+
+def cores_of(data: np.ndarray, trigger: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the bytes from sparse triggers on that stand in all their windows."""
+    return hash_words(data, trigger, trigger + length - sketch_reach(length) + 1)
 
 
 def _sketch(docs: DataFrame, length: int) -> DataFrame:
@@ -83,7 +111,8 @@ def _sketch(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for b in text_chunks(batch, "text"):
                 data, offsets = text_buffer(b.column("text"))
-                text, _, _, _, core = parse(data, offsets, length)
+                text, trigger, _, _ = parse(data, offsets, length, sketch_reach(length))
+                core = cores_of(data, trigger, length)
                 order = np.lexsort((core, text))
                 text, core = text[order], core[order]
                 new = np.append(True, (text[1:] != text[:-1]) | (core[1:] != core[:-1]))[: len(text)]
@@ -106,22 +135,41 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for b in text_chunks(batch, "text"):
                 data, offsets = text_buffer(b.column("text"))
-                text, t, low, high, core = parse(data, offsets, length)
-                wanted, edge = b.column("cores"), np.searchsorted(text, np.arange(b.num_rows + 1))
-                core = as_long(core)
-                at = np.concatenate([np.flatnonzero(np.isin(core[a:z], wanted[i].values.to_numpy())) + a for i, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))])
+                text, t, low, high = parse(data, offsets, length, REACH, [w.values.to_numpy() for w in b.column("cores")])
                 raw, rows = data.tobytes(), [[], [], []]
-                for p, x, y in zip(t[at].tolist(), low[at].tolist(), high[at].tolist(), strict=True):
-                    own = xxhash.xxh3_128_digest(raw[p : p + size])
+                for p, x, y in zip(t.tolist(), low.tolist(), high.tolist(), strict=True):
+                    core = xxhash.xxh3_128_digest(raw[p : p + size])
                     context = bytes((x, y)) + raw[p - y : p] + raw[p + size : p + length - x]
-                    for column, value in zip(rows, (xxhash.xxh3_128_digest(own + context), own, context), strict=True):
+                    for column, value in zip(rows, (xxhash.xxh3_128_digest(core + context), core, context), strict=True):
                         column.append(value)
-                numbers = b.column("number").take(pa.array(text[at]))
-                yield pa.RecordBatch.from_arrays([numbers, pa.array(t[at] - offsets[text[at]]), *(pa.array(c, pa.binary()) for c in rows)], ["number", "trigger", "key", "core", "context"])
+                numbers = b.column("number").take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([numbers, pa.array(t - offsets[text]), *(pa.array(c, pa.binary()) for c in rows)], ["number", "trigger", "key", "core", "context"])
 
     return texts.mapInArrow(run, "number long, trigger long, key binary, core binary, context binary")
 
 
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal contexts of a task as one entry with their number, so that copies are not shuffled one by one."""
+
+    def out(held: dict) -> pa.RecordBatch:
+        columns = zip(*((core, key, context, n) for key, (core, context, n) in held.items()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["core", "key", "context", "n"])
+
+    held: dict[bytes, list] = {}
+    for batch in batches:
+        for core, key, context in zip(*(batch.column(c).to_pylist() for c in ("core", "key", "context")), strict=True):
+            known = held.get(key)
+            if known is None:
+                held[key] = [core, context, 1]
+            else:
+                known[2] += 1
+        if len(held) >= AT_ONCE:
+            yield out(held)
+            held = {}
+    if held:
+        yield out(held)
+
+
 def neighbours(rows: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of byte rows within their cores, and how many bytes each shares with the one before (-1: another core)."""
     wide = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
@@ -166,12 +214,16 @@ def repeated_windows(core: np.ndarray, contexts: list[bytes], many: np.ndarray)
 
 
 def _sort_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by core: key and mask of those that hold a repeated window."""
+    """Entries sorted by core: key and mask of those that hold a repeated window; entries that several tasks sent are one."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
+        number = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+        _, first, place = np.unique(number, return_index=True, return_inverse=True)
+        many = np.bincount(place, t.column("n").to_numpy()) > 1
+        t = t.take(pa.array(first))
         core = t.column("core").combine_chunks().dictionary_encode().indices.to_numpy()
-        masks = repeated_windows(core, t.column("context").to_pylist(), t.column("n").to_numpy() > 1)
+        masks = repeated_windows(core, t.column("context").to_pylist(), many)
         some = np.flatnonzero(masks)
         return pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(some)), pa.array(as_long(masks[some]))], ["key", "mask"])
 
@@ -261,9 +313,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, crowded: int = CROWDED, i
         texts = chosen.withColumn("k", F.row_number().over(same_row)).where("k = 1").select("digest", "text", "cores")
         texts = inner.table(texts.withColumn("number", F.monotonically_increasing_id()), "texts")
         contexts = inner.table(_contexts(texts.select("number", "text", "cores"), length), "contexts")
-        entries = inner.table(contexts.groupBy("core", "key", "context").agg(F.count("*").alias("n")), "entries")
-        sizes = inner.table(entries.groupBy("core").agg(F.count("*").alias("entries"), F.sum("n").alias("n")).where("n > 1"), "sizes")
-        masks = inner.table(_masks(entries, sizes, crowded, inner), "masks")
+        masks = inner.table(_masks(contexts, crowded, inner), "masks")
         found = contexts.select("number", "trigger", "key").join(masks, "key").groupBy("number").agg(F.collect_list(F.struct("trigger", "mask")).alias("found"))  # at most a text's own triggers
         cut = _cut(texts.select("number", "digest", "text").join(found, "number").select("digest", "text", "found"), length)
         whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
@@ -272,13 +322,16 @@ def repeated_bytes(docs: DataFrame, length: int = 200, crowded: int = CROWDED, i
     return narrow.select("doc_id", "digest", "n_bytes", "text"), changed
 
 
-def _masks(entries: DataFrame, sizes: DataFrame, crowded: int, scratch: Scratch) -> DataFrame:
-    """key, mask of the entries that hold repeated windows."""
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = entries.join(sizes.where(F.col("entries") <= crowded).select("core"), "core").repartition(parts, "core").sortWithinPartitions("core")
-    sorted_part = few.select("core", "key", "context", "n").mapInArrow(_sort_entries, "key binary, mask long")
-    windows = entries.join(sizes.where(F.col("entries") > crowded).select("core"), "core").select("core", "key", "context", "n").mapInArrow(_list_windows, "window binary, key binary, bit int, n long")
-    windows = scratch.table(windows, "windows")
+def _masks(contexts: DataFrame, crowded: int, scratch: Scratch) -> DataFrame:
+    """key, mask of the contexts that hold repeated windows."""
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = contexts.select("core", "key", "context").mapInArrow(_combine, "core binary, key binary, context binary, n long")
+    hot = scratch.table(contexts.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("core"), "hot-cores")
+    some = not hot.isEmpty()
+    few = entries.join(hot, "core", "left_anti") if some else entries
+    masks = few.repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_sort_entries, "key binary, mask long")
+    if not some:
+        return masks
+    windows = scratch.table(entries.join(hot, "core").select("core", "key", "context", "n").mapInArrow(_list_windows, "window binary, key binary, bit int, n long"), "windows")
     twice = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    counted = windows.join(twice, "window").groupBy("key").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
-    return sorted_part.unionByName(counted)
+    return masks.unionByName(windows.join(twice, "window").groupBy("key").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")))
