@@ -106,3 +106,13 @@ def test_catalogue_lists_tables_with_columns(spark):
 
     got = checks.catalogue({"b": spark.range(1), "a": spark.sql("SELECT 1 x, 'y' z")}, spark).collect()
     assert [tuple(r) for r in got] == [("a", "x, z"), ("b", "id")]
+
+
+def test_release_suffixes_go_however_many_there_are(spark):
+    assert evaluate(spark, ["m-2024-01-01-0613-preview", "m-preview-0613-2024-01-01-0125", "preview", "0613-m"], R.model_family) == ["m", "m", "preview", "0613-m"]
+
+
+def test_reasons_know_the_white_space_of_unicode(spark):
+    frame = spark.createDataFrame([("repeat", "\u3000I'm sorry, but I can't help with that.", "x", "y"), ("correction", "fine", "\u2003no, that\u00a0is wrong", None)], "failure string, bad string, said string, before string")
+    got = [r[0] for r in frame.select(reasons.reason_of(F.col("failure"), F.col("bad"), F.col("said"), F.col("before"))).collect()]
+    assert got[0] == "refused" and frame.select(R.is_refusal(F.col("bad"))).first()[0]

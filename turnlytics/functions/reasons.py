@@ -53,14 +53,17 @@ LONG_REQUEST = 40
 
 
 def reason_of(failure: Column, bad_reply: Column, feedback: Column, previous: Column) -> Column:
-    """The reason's id.  In a repeat, words that already stood in the (long) request before are no complaint."""
+    """The reason's id.  In a repeat, words that already stood in the (long) request before are no complaint.  White space and
+    digits are those of Unicode, as in the rules for turns."""
+    matches = lambda text, p: text.rlike(compile_pattern(p, "(?iuU)"))
+    bare = lambda text: F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     reply, said, before = (F.coalesce(c, F.lit("")) for c in (bad_reply, feedback, previous))
-    resaid = (failure == "repeat") & (before != "") & (F.length(F.trim(said)) > LONG_REQUEST)
+    resaid = (failure == "repeat") & (before != "") & (F.length(bare(said)) > LONG_REQUEST)
     found = []
     for name, _, replies, feedbacks in REASONS:
-        found += [F.when(reply.rlike(compile_pattern(p)), name) for p in replies]
+        found += [F.when(matches(reply, p), name) for p in replies]
         if feedbacks:
-            hits = [said.rlike(compile_pattern(p)) & ~(resaid & before.rlike(compile_pattern(p))) for p in feedbacks]
+            hits = [matches(said, p) & ~(resaid & matches(before, p)) for p in feedbacks]
             some = hits[0]
             for h in hits[1:]:
                 some = some | h
@@ -83,7 +86,3 @@ def reason_sql(failure: str, bad_reply: str, feedback: str, previous: str, simil
         steps.append(f"WHEN {failure} = '{kind}' AND coalesce({similarity}, 0) >= {least} THEN '{name}'")
     return "CASE " + " ".join(steps) + f" ELSE '{FALLBACKS[-1][0]}' END"
 
-
-def reason_labels(spark):
-    """id and label of all reasons, as a small frame."""
-    return spark.createDataFrame([(r[0], r[1]) for r in REASONS] + [(f[0], f[1]) for f in FALLBACKS], "reason string, label string")

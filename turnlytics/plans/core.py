@@ -122,7 +122,7 @@ def sql_prefix(*steps: str) -> str:
 
 _correction, _refusal = (R.portable_pattern(p).replace("'", "''") for p in (R.CORRECTION, R.REFUSAL))
 _words = lambda x: rf"list_distinct(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w)))"
-FAMILY = r"regexp_replace({x}, '(-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|preview)){{1,2}}$', '')"
+FAMILY = r"regexp_replace({x}, '(-(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|preview))+$', '')"
 SIMILARITY = "CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))) ELSE 0 END"
 
 TURNS_SQL = f"""seen_turns AS (
