@@ -8,9 +8,9 @@ compared by their original vectors in double precision.  A pair that meets in se
 The substring length follows the logarithm of the largest label, and the number of tables follows from it: a pair at the
 threshold is to meet with probability ``recall``.  A first plan takes the angle's share of differing bits; then sample vectors
 and partners at the threshold are encoded, and tables are added (past ``MOST_TABLES``, substrings shortened) until enough
-pairs meet, as centring widens angles where vectors share a mean.  Buckets are cut into blocks of
-``block`` vectors, and a task compares one pair of blocks at a time; it returns a count per vector and links that span what
-is connected, never all pairs.  Equal vectors are one class with a multiplicity.
+pairs meet, as centring widens angles where vectors share a mean.  Crowded buckets are cut into blocks of
+about ``block`` vectors that all tables share, and a task compares one pair of blocks at a time, once for all tables; it returns a
+count per vector and links that span what is connected, never all pairs.  Equal vectors are one class with a multiplicity.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without label, link with nothing.
 Vectors of different lengths link with nothing either.  Repeated rows (same id, label and vector) count once.  A null id is
@@ -35,6 +35,7 @@ from .components import connected_components
 SAMPLE_ROWS = 20_000
 PROBES = 8_000
 MOST_TABLES = 128
+PAIRS = 1 << 16  # pairs whose keys are compared at once
 
 
 def fit_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +185,11 @@ def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall
     entries = coded.select("id", "label", F.posexplode("key_list").alias("tab", "key"))
     entries = entries.select("id", F.xxhash64("label", "tab", "key").alias("bucket"), "tab")
     crowded = scratch.table(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
-    placed = entries.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("n") / block))
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    placed = scratch.table(placed.select("id", "tab", "bucket", low.alias("low"), high.alias("high"), (F.col("mine") == low).alias("left")), "places")
-    whole = placed.join(coded.drop("key_list"), "id")
+    members = scratch.table(entries.join(crowded, "bucket"), "members")
+    cells, homes = hot_cells(members.where(F.col("n") > 2 * block), block, scratch)
+    small = members.where(F.col("n") <= 2 * block).select("id", "tab", "bucket", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(True).alias("left"))
+    placed = scratch.table(small.unionByName(cells), "places")
+    whole = placed.join(coded.drop("key_list").join(homes.select("id", "hot"), "id", "left"), "id")
     cell = ["bucket", "low", "high"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     whole = whole.repartition(parts, *cell).sortWithinPartitions(*cell, "id")
@@ -208,10 +208,28 @@ def _compare_dim(spark, classes, scratch, dim, largest, total, threshold, recall
             held.append(batch.slice(start))
         yield from _compare_cells(held, dim, length, tables, threshold, kind)
 
-    columns = ["id", "tab", *cell, "left", "label", "copies", "bits", "vector"]
+    columns = ["id", "tab", *cell, "left", "label", "copies", "bits", "vector", "hot"]
     return whole.select(*columns).mapInArrow(pairs, "a long, b long, n long")
 
 
+def hot_cells(hot: DataFrame, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Cells of the crowded buckets, and per vector in such buckets their tables (``hot``).
+
+    A group of near copies fills a crowded bucket in nearly every table.  So its vectors get a home, the largest bucket that they are
+    in, and a block there; the tables only say which two blocks have members in one bucket, and such a pair of blocks is one cell,
+    however many tables say so.  A vector travels once for each block that its own is due with, not once for each of them and table.
+    """
+    homes = hot.groupBy("id").agg(F.collect_set("tab").alias("hot"), F.max(F.struct("n", "bucket")).alias("home"))  # at most a tab per table
+    homes = scratch.table(homes.select("id", "hot", F.col("home.bucket").alias("home")), "homes")
+    sizes = scratch.table(homes.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks")), "home-sizes")
+    homes = scratch.table(homes.join(sizes, "home").select("id", "hot", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")), "blocks")
+    present = scratch.table(hot.select("id", "bucket").join(homes.select("id", "block"), "id").select("bucket", "block").distinct(), "present")
+    other = present.select("bucket", F.col("block").alias("high"))
+    due = scratch.table(present.withColumnRenamed("block", "low").join(other, "bucket").where("low <= high").select("low", "high").distinct(), "due")
+    of = lambda side, when: homes.select("id", F.col("block").alias(side)).join(due.where(when), side).select("id", F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("bucket"), "low", "high", F.lit(side == "low").alias("left"))
+    return of("low", "true").unionByName(of("high", "low < high")), homes
+
+
 def _cells(b) -> np.ndarray:
     return np.stack([b.column(c).to_numpy() for c in ("bucket", "low", "high", "tab")], axis=1)
 
@@ -238,6 +256,9 @@ def _compare_cells(batches: list[pa.RecordBatch], dim: int, length: int, tables:
     keys = table_keys(np.unpackbits(bits, axis=1, count=tables * length).reshape(len(ids), tables, length))
     units = unit_vectors(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(-1, dim).astype(np.float64))
     table = cells[:, 3]
+    hot = np.zeros((len(ids), tables), bool)
+    lists = t.column("hot").combine_chunks()
+    hot[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
     size = np.diff(np.append(edge, len(ids)))
     counts, a, b = np.zeros(len(ids), np.int64), [], []
     # cells of a few vectors all at once: each row against the rows a step, two steps ... further on
@@ -250,7 +271,7 @@ def _compare_cells(batches: list[pa.RecordBatch], dim: int, length: int, tables:
             break
         y = x + step
         x, y = (v[(diagonal[x] | (left[x] != left[y])) & (labels[x] == labels[y])] for v in (x, y))
-        ok = (np.einsum("ij,ij->i", units[x], units[y]) >= threshold) & ~_earlier(keys[x], keys[y], table[x])
+        ok = (np.einsum("ij,ij->i", units[x], units[y]) >= threshold) & _counts_here(keys[x], keys[y], table[x], hot[x])
         np.add.at(counts, x[ok], copies[y[ok]])
         np.add.at(counts, y[ok], copies[x[ok]])
         a.append(ids[x[ok]])
@@ -263,7 +284,9 @@ def _compare_cells(batches: list[pa.RecordBatch], dim: int, length: int, tables:
         np.fill_diagonal(ok, False)
         found = ok.copy()
         x, y = np.nonzero(ok)
-        ok[x, y] = ~_earlier(keys[rows[x]], keys[rows[y]], table[s])
+        for k in range(0, len(x), PAIRS):
+            i, j = x[k : k + PAIRS], y[k : k + PAIRS]
+            ok[i, j] = _counts_here(keys[rows[i]], keys[rows[j]], table[s], hot[rows[i]])
         counts[rows] += ok @ copies[rows]
         root = np.arange(n)
         while True:
@@ -279,9 +302,13 @@ def _compare_cells(batches: list[pa.RecordBatch], dim: int, length: int, tables:
     yield _result(a, b, np.zeros(len(a), np.int64))
 
 
-def _earlier(x: np.ndarray, y: np.ndarray, table) -> np.ndarray:
-    """Do the rows agree in a table before their own?"""
-    return (np.argmax(x == y, axis=1) < table) if len(x) else np.zeros(0, bool)
+def _counts_here(x: np.ndarray, y: np.ndarray, table, hot: np.ndarray) -> np.ndarray:
+    """A pair that shares a crowded bucket counts in the cell of its blocks (table -1), any other one in its first table."""
+    if not len(x):
+        return np.zeros(0, bool)
+    same = x == y
+    crowded = (same & hot).any(axis=1)
+    return np.where(np.asarray(table) < 0, crowded, ~crowded & (np.argmax(same, axis=1) == table))
 
 
 def _result(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
