@@ -1,5 +1,12 @@
 """The intent classifier's features."""
 
+import math
+import re
+from collections import Counter
+
+import numpy as np
+
+from turnlytics.functions import text_features as X
 from turnlytics.operators import intent
 
 
@@ -20,17 +27,111 @@ def test_character_terms_are_n_grams_within_padded_words(spark):
     assert got == sorted([" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "])
 
 
+def brute_terms(text):
+    text = (text or "").lower()
+    words = re.findall(r"\w{2,}", text)
+    out = Counter(("word", w) for w in words)
+    out.update(("word", f"{a} {b}") for a, b in zip(words, words[1:], strict=False))
+    for w in text.split():
+        p = f" {w} "
+        for n in (2, 3, 4):
+            out.update(("char", p[i : i + n]) for i in range(len(p) - n + 1))
+    return out
+
+
+TEXTS = ["Ab c ab", None, "", " ", "日本 日本 東京", "one two one two x_1 é9", "The river. The RIVER! the river bank", "a" * 500 + " b"] + [f"word{k % 7} other{k % 3} the end {k}" for k in range(60)]
+
+
+def test_codes_name_the_terms_of_texts():
+    t = X.Terms(TEXTS)
+    for i, text in enumerate(TEXTS):
+        mine = t.row == i
+        got = dict(zip(t.codes[t.term[mine]].tolist(), t.count[mine].tolist(), strict=True))
+        assert got == {X.term_code(*k): n for k, n in brute_terms(text).items()}
+    names = X.named(TEXTS, t.codes)
+    assert set(names.values()) == {k for text in TEXTS for k in brute_terms(text)} and all(X.term_code(*v) == c for c, v in names.items())
+    few = np.sort(t.codes[::3])
+    part = X.Terms(TEXTS, few)
+    whole = {(int(r), int(c)): int(n) for r, c, n in zip(t.row, t.codes[t.term], t.count, strict=True)}
+    assert {(int(r), int(c)): int(n) for r, c, n in zip(part.row, few[part.term], part.count, strict=True)} == {k: n for k, n in whole.items() if k[1] in set(few.tolist())}
+
+
+def test_counts_beyond_a_packed_number():
+    assert [x.tolist() for x in X._summed(np.array([1, 0, 1]), np.array([2, 0, 2]), np.array([1 << 21, 3, 5]), 3)] == [[0, 1], [0, 2], [3, (1 << 21) + 5]]
+
+
+def test_vocabulary_and_features_are_sublinear_tfidf(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string").repartition(3)
+    codes, block, idf = intent.vocabulary(frame)
+    df = Counter(k for t in TEXTS for k in brute_terms(t))
+    kept = {k for k, n in df.items() if n >= 2}
+    assert set(codes.tolist()) == {X.term_code(*k) for k in kept}
+    place = {X.term_code(*k): k for k in kept}
+    for c, b, w in zip(codes.tolist(), block.tolist(), idf.tolist(), strict=True):
+        assert (X.BLOCKS[b], round(w, 9)) == (place[c][0], round(math.log((1 + len(TEXTS)) / (1 + df[place[c]])) + 1, 9))
+    for r in intent.features(frame, codes, block, idf).collect():
+        want = {}
+        for name in X.BLOCKS:
+            x = {k: (1 + math.log(n)) * (math.log((1 + len(TEXTS)) / (1 + df[k])) + 1) for k, n in brute_terms(TEXTS[r["id"]]).items() if k in kept and k[0] == name}
+            length = math.sqrt(sum(v * v for v in x.values()))
+            want |= {k: v / length for k, v in x.items()}
+        got = {place[int(codes[i])]: v for i, v in zip(r["indices"], r["values"], strict=True)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(intent.vocabulary(frame, word_features=5, character_features=9)[0]) == 14
+
+
+def test_fit_reaches_the_optimum(spark):
+    """The loss of the fitted weights is no higher than that of plain gradient descent on the same features."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice([f"{c}{k}" for k in range(9)], 6)), c) for i, c in enumerate(rng.choice(["alpha", "beta", "gamma"], 120))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    model = intent.fit_sample(frame, "doc_id", 10_000)
+    x = np.zeros((len(rows), len(model.codes)))
+    for r in intent.features(frame.select("doc_id", "text"), model.codes, model.block, model.idf).collect():
+        x[r["doc_id"], r["indices"]] = r["values"]
+    y = np.array([model.classes.index(r[2]) for r in rows])
+
+    def loss(w, b):
+        z = x @ w + b
+        z = z - z.max(axis=1, keepdims=True)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        return -np.log(p[np.arange(len(y)), y]).sum() + (w * w).sum() / (2 * 4.0), p
+
+    w, b = np.zeros_like(model.weights), np.zeros(3)
+    for _ in range(3000):
+        _, p = loss(w, b)
+        p[np.arange(len(y)), y] -= 1
+        w -= 0.02 * (x.T @ p + w / 4.0)
+        b -= 0.02 * p.sum(axis=0)
+    assert loss(model.weights, model.intercepts)[0] <= loss(w, b)[0] * 1.01
+    assert (x @ model.weights + model.intercepts).argmax(axis=1).tolist() == y.tolist()
+
+
 def test_exported_weights_predict_like_the_model(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang AS label")
     rows = given.unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "ab", None), (10**6 + 2, "zzzzzz qqqqqq", None)], given.schema))
-    model = intent.fit_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "doc_id", 1000)
-    weights, classes, intercepts = intent.export_weights(model)
-    got = {r["doc_id"]: r for r in intent.softmax_scores(rows, weights, classes, intercepts).collect()}
-    assert len(got) == rows.count()
-    want = model.transform(rows.na.fill("", ["text"]).na.fill(classes[0], ["label"])).select("doc_id", "prediction", "probability").collect()
-    for r in want:
-        if r["doc_id"] in (10**6, 10**6 + 1):
-            assert (got[r["doc_id"]]["pred"], got[r["doc_id"]]["proba_max"]) == (None, 0.0)
-        else:
-            assert abs(got[r["doc_id"]]["proba_max"] - max(r["probability"])) < 1e-5
-            assert got[r["doc_id"]]["pred"] == classes[int(r["prediction"])]
+    usable = rows.where("label IS NOT NULL AND text IS NOT NULL")
+    model = intent.fit_sample(usable, "doc_id", 1000, word_features=3000, character_features=3000)
+    by = lambda frame: {r["doc_id"]: (r["pred"], round(r["proba_max"], 5)) for r in frame.collect()}
+    want = by(intent.predict(rows.drop("label"), model))
+    table = model.table(usable)
+    assert table.count() == len(model.codes) == 6000
+    assert by(intent.softmax_scores(rows, table, model.classes, model.intercepts.tolist())) == want
+    assert by(intent.softmax_scores(rows, table, model.classes, model.intercepts.tolist(), part_bytes=100_000)) == want  # several parts of the model
+    assert want[10**6] == want[10**6 + 1] == (None, 0.0) and len(want) == rows.count()
+    assert by(intent.predict(rows.drop("label").limit(0), model)) == {}
+
+
+def test_prediction_exchanges_no_terms(spark):
+    rows = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    model = intent.IntentModel(np.array([5], np.uint64), np.array([0]), np.array([1.0]), np.array([[1.0, 2.0]]), ["a", "b"], np.array([0.0, 0.5]))
+    assert "Exchange" not in intent.predict(rows, model)._jdf.queryExecution().executedPlan().toString()
+    one = intent.IntentModel(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)), ["only"], np.array([0.0]))
+    assert [r["pred"] for r in intent.predict(rows, one).collect()] == ["only"]
+
+
+def test_shards_keep_their_names_and_empty_inputs_get_no_intent(spark):
+    rows = spark.createDataFrame([(1, "s1", "write the code please", False), (2, "s1", "write the code please", True), (3, "s2", None, False)], "conv_id long, shard string, intent_text string, has_empty_user_input boolean")
+    model = intent.IntentModel.read(spark.createDataFrame([("word", "code", 1.0, [1.0, -1.0])], "block string, term string, idf double, weights array<double>"), ["coding", "other"], [0.0, 0.0])
+    got = {r["conv_id"]: (r["intent"], round(r["proba_max"], 4), r["shard"]) for r in intent.predict_shards(rows, model).collect()}
+    assert got == {1: ("coding", round(math.exp(1) / (math.exp(1) + math.exp(-1)), 4), "s1"), 2: (None, 0.0, "s1"), 3: (None, 0.0, "s2")}

@@ -1,14 +1,31 @@
-"""Text features and the intent classifier."""
+"""Text features and the intent classifier.
+
+Terms are named by codes (functions/text_features.py).  Fitting reads the texts of a bounded sample twice: once to choose the
+vocabulary, once to write features as sparse vectors; the solver reads only these.  A fitted model is two sorted arrays of codes and a
+weight per term and class; it is sent to tasks in parts of bounded size, and a text is scored within its row: no term is exchanged.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IDFModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnlytics.functions import text_features as X
+from turnlytics.sources.files import shared_folder
+
+SAMPLE_ROWS = 20_000
+WORD_FEATURES, CHARACTER_FEATURES = 300_000, 400_000
+TEXTS_AT_ONCE = 200
+TEXT_CHARS = 1 << 20
+PART_BYTES = 128 << 20  # of a model, sent to the tasks at once
+
 
 def word_terms(rows: DataFrame, ident: str, text: str) -> DataFrame:
     """One row per occurrence of a word of two or more characters, and of two neighbouring ones."""
@@ -42,73 +59,193 @@ def tfidf(terms: DataFrame, ident: str, least_documents: int = 2) -> DataFrame:
     return rows.select(ident, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(ident)))).alias("weight"))
 
 
-def pipeline(n_rows: int, c: float = 4.0, word_features: int = 300_000, character_features: int = 400_000, rounds: int = 60) -> Pipeline:
-    """Words and pairs, and characters, each with inverse document frequencies and unit length; multinomial regression."""
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
-    pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    terms = SQLTransformer(statement=f"SELECT *, concat(words, pairs) AS word, {character_grams('text')} AS char FROM __THIS__")
-    blocks, steps = [], [words, pairs, terms]
-    for name, features in (("word", word_features), ("char", character_features)):
-        steps += [CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=features, minDF=2), IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_unit")]
-        blocks.append(f"{name}_unit")
-    steps += [VectorAssembler(inputCols=blocks, outputCol="features"), StringIndexer(inputCol="label", outputCol="label_index", handleInvalid="skip")]
-    return Pipeline(stages=[*steps, LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", regParam=1.0 / (c * max(n_rows, 1)), standardization=False, maxIter=rounds)])
-
-
-def fit_sample(rows: DataFrame, ident: str, sample_rows: int) -> PipelineModel:
-    """The classifier, fitted on at most about ``sample_rows`` rows with a label, chosen by a hash of the id."""
-    n = rows.count()
-    steps = 1 << 30
-    sample = rows.where(F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.lit(steps)) < min(steps, steps * sample_rows // max(n, 1)))
-    return pipeline(min(n, sample_rows)).fit(sample)
-
-
-def train_and_predict(rows: DataFrame, ident: str = "doc_id", sample_rows: int = 20_000, least: int = 5) -> DataFrame:
-    """Trains on at most about ``sample_rows`` rows of the 80 % side of a hash split and predicts all: id, label, pred, proba_max, is_test.
-
-    Texts that are null or shorter than ``least`` get no prediction (null, 0.0).
-    """
-    rows = rows.withColumns({"is_test": F.pmod(F.xxhash64(ident), F.lit(5)) == 0, "text": F.coalesce("text", F.lit(""))})
-    model = fit_sample(rows.where("NOT is_test AND label IS NOT NULL"), ident, sample_rows)
-    names = model.stages[-2].labels
-    out = model.transform(rows.withColumn("kept_label", F.col("label")).withColumn("label", F.lit(names[0])))
-    short = F.length("text") < least
-    pred = F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int"))
-    return out.select(ident, F.col("kept_label").alias("label"), F.when(~short, pred).alias("pred"), F.when(short, 0.0).otherwise(F.array_max(vector_to_array("probability"))).cast("float").alias("proba_max"), "is_test")
-
-
-def export_weights(model: PipelineModel) -> tuple[DataFrame, list[str], list[float]]:
-    """The fitted classifier as a table (block, term, idf, a weight per class), the classes and their intercepts.
-
-    A row per term of the vocabularies, whose sizes the pipeline bounds.
-    """
-    spark = SparkSession.active()
-    counts = {s.getInputCol(): s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel)}
-    idf = {s.getInputCol().removesuffix("_tf"): s.idf.toArray() for s in model.stages if isinstance(s, IDFModel)}
-    last, rows, at = model.stages[-1], [], 0
-    weights = last.coefficientMatrix.toArray()
-    for block in ("word", "char"):
-        for i, term in enumerate(counts[block]):
-            rows.append((block, term, float(idf[block][i]), weights[:, at + i].tolist()))
-        at += len(counts[block])
-    return spark.createDataFrame(rows, "block string, term string, idf double, weights array<double>"), list(model.stages[-2].labels), last.interceptVector.toArray().tolist()
-
-
-def softmax_scores(rows: DataFrame, weights: DataFrame, classes: list[str], intercepts: list[float], ident: str = "doc_id", text: str = "text", least: int = 5) -> DataFrame:
-    """Predictions from exported weights, with joins and sums only: id, pred, proba_max.
-
-    Per block, the terms' counts times idf are scaled to unit length; their weighted sums and the intercepts give the classes' scores.
-    Texts that are null or shorter than ``least`` get no prediction (null, 0.0).
+@dataclass
+class IntentModel:
+    """``codes`` are sorted; ``weights`` has a row per code and a column per class."""
+
+    codes: np.ndarray
+    block: np.ndarray
+    idf: np.ndarray
+    weights: np.ndarray
+    classes: list[str]
+    intercepts: np.ndarray
+
+    def parts(self, most_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(codes, block, idf, weights) by ranges of codes, each of at most so many bytes."""
+        per = 8 + 1 + 8 + 8 * len(self.classes)
+        step = max(1, most_bytes // per)
+        return [(self.codes[a : a + step], self.block[a : a + step], self.idf[a : a + step], self.weights[a : a + step]) for a in range(0, max(len(self.codes), 1), step)]
+
+    def table(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """block, term, idf, weights: the terms by name, as found in the texts that the model was fitted on."""
+        codes, spark = self.codes, rows.sparkSession
+
+        def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for texts, _ in _text_chunks(batches, text):
+                found = X.named(texts, codes)
+                block, term = zip(*found.values(), strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([np.uint64(c).astype(np.int64) for c in found], pa.int64()), pa.array(block, pa.string()), pa.array(term, pa.string())], ["code", "block", "term"])
+
+        named = rows.select(text).mapInArrow(names, "code long, block string, term string").dropDuplicates(["code"])
+        values = pa.table({"code": codes.view(np.int64), "idf": self.idf, "weights": pa.array(self.weights.tolist(), pa.list_(pa.float64()))})  # a row per term of a bounded vocabulary
+        return named.join(spark.createDataFrame(values), "code").select("block", "term", "idf", "weights")
+
+    @classmethod
+    def read(cls, weights: DataFrame, classes: list[str], intercepts: list[float]) -> IntentModel:
+        """The model of a table (block, term, idf, weights); its size is that of the vocabulary."""
+        t = weights.select("block", "term", "idf", "weights").toArrow()
+        block = t.column("block").to_pylist()
+        codes = np.array([X.term_code(b, term) for b, term in zip(block, t.column("term").to_pylist(), strict=True)], np.uint64)
+        order = np.argsort(codes)
+        table = np.array(t.column("weights").to_pylist(), float).reshape(len(codes), len(classes))
+        number = np.array([X.BLOCKS.index(b) for b in block], np.int64)
+        return cls(codes[order], number[order], t.column("idf").to_numpy()[order], table[order], list(classes), np.array(intercepts, float))
+
+
+def _text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list, pa.RecordBatch]]:
+    """Texts a few at a time, with the rows that they are of."""
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            texts, size = [], 0
+            while start + len(texts) < batch.num_rows and len(texts) < TEXTS_AT_ONCE and size < TEXT_CHARS:
+                texts.append(batch.column(text)[start + len(texts)].as_py())
+                size += len(texts[-1] or "")
+            yield texts, batch.slice(start, len(texts))
+            start += len(texts)
+
+
+def vocabulary(sample: DataFrame, text: str = "text", word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES, least_documents: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, blocks and idf of the terms of two texts or more; of each block the most frequent ones (ties by code)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, _ in _text_chunks(batches, text):
+            t = X.Terms(texts)
+            n = len(t.codes)
+            yield pa.RecordBatch.from_arrays([pa.array(t.codes.view(np.int64)), pa.array(t.block.astype(np.int32)), pa.array(np.bincount(t.term, minlength=n)), pa.array(np.bincount(t.term, t.count, n).astype(np.int64))], ["code", "block", "df", "tf"])
+
+    found = sample.select(text).mapInArrow(count, "code long, block int, df long, tf long").groupBy("code", "block").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least_documents)
+    path = shared_folder(sample.sparkSession, "terms")
+    found.write.parquet(path)
+    found, n = sample.sparkSession.read.parquet(path), sample.count()
+    kept = [found.where(F.col("block") == b).orderBy(F.desc("tf"), "code").limit(k) for b, k in ((X.WORD, word_features), (X.CHARACTERS, character_features))]
+    t = kept[0].unionAll(kept[1]).toArrow()  # at most the two vocabularies
+    codes = t.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], t.column("block").to_numpy().astype(np.int64)[order], np.log((1 + n) / (1 + t.column("df").to_numpy()))[order] + 1
+
+
+def unit_values(t: X.Terms, block: np.ndarray, idf: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(1 + ln count) * idf of each (row, term), and the sums of squares per row and block."""
+    value = (1 + np.log(t.count)) * idf[t.term]
+    squares = np.stack([np.bincount(t.row, value * value * (block[t.term] == b), n_rows) for b in range(len(X.BLOCKS))]).astype(float)
+    return value, squares
+
+
+def features(rows: DataFrame, codes: np.ndarray, block: np.ndarray, idf: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows with ``indices`` and ``values``: the weights 1 + ln tf times idf, each block of unit length."""
+    sent = rows.sparkSession.sparkContext.broadcast((codes, block, idf))  # of the vocabularies' sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, block, idf = sent.value
+        for texts, batch in _text_chunks(batches, text):
+            t = X.Terms(texts, codes)
+            value, squares = unit_values(t, block, idf, len(texts))
+            value = value / np.sqrt(squares)[block[t.term], t.row]
+            offsets = pa.array(np.searchsorted(t.row, np.arange(len(texts) + 1)).astype(np.int32))
+            kept = [batch.column(c) for c in batch.schema.names if c != text]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, pa.array(t.term.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value))], [*(c for c in batch.schema.names if c != text), "indices", "values"])
+
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text]
+    return rows.mapInArrow(run, ", ".join([*names, "indices array<int>", "values array<double>"]))
+
+
+def sampled(rows: DataFrame, ident: str, sample_rows: int) -> DataFrame:
+    """At most about ``sample_rows`` of the rows, chosen by a hash of the id."""
+    n, steps = rows.count(), 1 << 30
+    return rows.where(F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.lit(steps)) < min(steps, steps * sample_rows // max(n, 1)))
+
+
+def fit_sample(rows: DataFrame, ident: str, sample_rows: int = SAMPLE_ROWS, c: float = 4.0, rounds: int = 300, word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES) -> IntentModel:
+    """Multinomial regression with a penalty of 1 / c, fitted on at most about ``sample_rows`` rows with a label (columns label, text)."""
+    spark = rows.sparkSession
+    sample = sampled(rows.select(ident, "label", "text"), ident, sample_rows).select("label", "text")
+    codes, block, idf = vocabulary(sample, "text", word_features, character_features)
+    classes = sorted(r["label"] for r in sample.select("label").distinct().collect())  # a row per class
+    label = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("double") - 1
+    size = max(len(codes), 1)
+    sparse = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())  # for the sample's rows only
+    path = shared_folder(spark, "features")
+    features(sample, codes, block, idf).select(label.alias("label"), sparse("indices", "values").alias("features")).write.parquet(path)
+    n = spark.read.parquet(path).count()
+    if len(classes) < 2:
+        return IntentModel(codes, block, idf, np.zeros((len(codes), len(classes))), classes, np.zeros(len(classes)))
+    solver = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds, tol=1e-5)
+    fitted = solver.fit(spark.read.parquet(path))
+    weights = fitted.coefficientMatrix.toArray().T[: len(codes)]
+    return IntentModel(codes, block, idf, weights, classes, fitted.interceptVector.toArray())
+
+
+def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: str = "text", least: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows without their text, with pred and proba_max.  Texts that are null or shorter than ``least`` get none (null, 0.0).
+
+    Models beyond ``part_bytes`` are sent in several parts; then the parts' sums meet by ``ident``, which names a row.
     """
-    terms = word_terms(rows, ident, text).withColumn("block", F.lit("word")).unionByName(character_terms(rows, ident, text).withColumn("block", F.lit("char")))
-    tf = terms.groupBy(ident, "block", "term").agg(F.count(F.lit(1)).alias("n")).join(weights, ["block", "term"])
-    x = F.col("n") * F.col("idf")
-    names = [f"s{i}" for i in range(len(classes))]
-    sums = tf.groupBy(ident, "block").agg(F.sqrt(F.sum(x * x)).alias("length"), *(F.sum(x * F.col("weights")[i]).alias(n) for i, n in enumerate(names)))
-    scores = sums.groupBy(ident).agg(*(F.sum(F.try_divide(n, "length")).alias(n) for n in names))
-    all_rows = rows.select(ident, (F.length(F.coalesce(text, F.lit(""))) < least).alias("short")).join(scores, ident, "left")
-    score = F.array(*(F.coalesce(n, F.lit(0.0)) + b for n, b in zip(names, intercepts)))
-    out = all_rows.withColumn("score", score).withColumn("top", F.array_max("score"))
-    total = F.aggregate(F.transform("score", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
-    pred = F.element_at(F.array(*map(F.lit, classes)), F.array_position("score", F.col("top")).cast("int"))
-    return out.select(ident, F.when(~F.col("short"), pred).alias("pred"), F.when(F.col("short"), 0.0).otherwise(1 / total).cast("float").alias("proba_max"))
+    spark, parts, k = rows.sparkSession, model.parts(part_bytes), len(model.classes)
+    if not k:
+        return rows.drop(text).withColumns({"pred": F.lit(None).cast("string"), "proba_max": F.lit(0.0).cast("float")})
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text]
+
+    def partial(sent, kept: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, block, idf, weights = sent.value
+            for texts, batch in _text_chunks(batches, text):
+                t, n = X.Terms(texts, codes), len(texts)
+                value, squares = unit_values(t, block, idf, n)
+                edge = np.searchsorted(t.row, np.arange(n))
+                sums = np.zeros((len(X.BLOCKS), n, k))
+                some = np.flatnonzero(np.bincount(t.row, minlength=n)) if n else np.zeros(0, int)
+                for b in range(len(X.BLOCKS)):
+                    if len(some):
+                        sums[b, some] = np.add.reduceat((value * (block[t.term] == b))[:, None] * weights[t.term], edge[some], axis=0)
+                lists = [pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * w).astype(np.int32)), pa.array(x.reshape(-1))) for x, w in ((squares.T, len(X.BLOCKS)), (sums.transpose(1, 0, 2), len(X.BLOCKS) * k))]
+                short = pa.array([len(x or "") < least for x in texts])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), short, *lists], [*kept, "__short", "__squares", "__sums"])
+
+        return run
+
+    kept = [f.name for f in rows.schema.fields if f.name != text]
+    added = ["__short boolean", "__squares array<double>", "__sums array<double>"]
+    frames = [rows.mapInArrow(partial(spark.sparkContext.broadcast(p), kept), ", ".join([*others, *added])) for p in parts]
+    out = frames[0]
+    if len(frames) > 1:
+        add = lambda c: F.transform(F.sequence(F.lit(0), F.size(F.first(c)) - 1), lambda i: F.aggregate(F.collect_list(c), F.lit(0.0), lambda s, x: s + F.get(x, i)))  # noqa: E731  a list per part
+        every = frames[0].select(ident, "__squares", "__sums")
+        for f in frames[1:]:
+            every = every.unionAll(f.select(ident, "__squares", "__sums"))
+        out = frames[0].drop("__squares", "__sums").join(every.groupBy(ident).agg(add("__squares").alias("__squares"), add("__sums").alias("__sums")), ident)
+    blocks = range(len(X.BLOCKS))
+    score = F.array(*(F.lit(float(b)) + sum((F.coalesce(F.try_divide(F.get("__sums", F.lit(j * k + i)), F.sqrt(F.get("__squares", F.lit(j)))), F.lit(0.0)) for j in blocks), F.lit(0.0)) for i, b in enumerate(model.intercepts)))
+    out = out.withColumn("__score", score).withColumn("__top", F.array_max("__score"))
+    total = F.aggregate(F.transform("__score", lambda v: F.exp(v - F.col("__top"))), F.lit(0.0), lambda a, v: a + v)
+    pred = F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("__score", F.col("__top")).cast("int"))
+    return out.select(*(f"`{c}`" for c in kept), F.when(~F.col("__short"), pred).alias("pred"), F.when(F.col("__short"), 0.0).otherwise(1 / total).cast("float").alias("proba_max"))
+
+
+def train_and_predict(rows: DataFrame, ident: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least: int = 5, **options) -> DataFrame:
+    """Trains on at most about ``sample_rows`` rows of the 80 % side of a hash split and predicts all: id, label, pred, proba_max, is_test."""
+    rows = rows.select(ident, "label", "text").withColumn("is_test", F.pmod(F.xxhash64(ident), F.lit(5)) == 0)
+    model = fit_sample(rows.where("NOT is_test AND label IS NOT NULL"), ident, sample_rows, **options)
+    return predict(rows, model, ident, least=least).select(ident, "label", "pred", "proba_max", "is_test")
+
+
+def predict_shards(conversations: DataFrame, model: IntentModel) -> DataFrame:
+    """INTENT rows (conv_id, intent, proba_max, shard) of conversations; those with an empty input or hardly a text get none."""
+    usable = F.when(~F.col("has_empty_user_input"), F.col("intent_text"))
+    rows = conversations.select("conv_id", "shard", usable.alias("text"))
+    return predict(rows, model, "conv_id").select("conv_id", F.col("pred").alias("intent"), "proba_max", "shard")
+
+
+def softmax_scores(rows: DataFrame, weights: DataFrame, classes: list[str], intercepts: list[float], ident: str = "doc_id", text: str = "text", least: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Predictions from exported weights (block, term, idf, a weight per class): id, pred, proba_max."""
+    return predict(rows.select(ident, F.col(text).alias("text")), IntentModel.read(weights, classes, intercepts), ident, "text", least, part_bytes)

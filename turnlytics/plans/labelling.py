@@ -73,6 +73,33 @@ def survey(x: Chat) -> tuple[DataFrame, DataFrame]:
     return results, votes
 
 
+def softmax(rows: DataFrame) -> DataFrame:
+    """Predictions from the exported weights of a fitted classifier."""
+    usable = rows.where("label IS NOT NULL AND text IS NOT NULL")
+    model = I.fit_sample(usable, "doc_id")
+    return I.softmax_scores(rows, model.table(I.sampled(usable, "doc_id", I.SAMPLE_ROWS)), model.classes, model.intercepts.tolist())
+
+
+# A small table of weights (block, term, idf, one weight per class) for texts of three languages.
+FIXED_CLASSES, FIXED_INTERCEPTS = ["de", "en", "fr"], [0.1, 0.3, -0.2]
+FIXED_WEIGHTS = [
+    ("word", "the", 1.2, [-2.0, 3.0, -1.0]), ("word", "and", 1.3, [-1.5, 2.5, -1.0]), ("word", "of the", 2.0, [-0.5, 1.5, -0.5]), ("word", "les", 1.7, [-1.0, -1.0, 2.5]), ("word", "der", 1.9, [2.5, -1.0, -0.5]),
+    ("char", " th", 1.1, [-1.0, 2.0, -1.0]), ("char", "ée", 1.4, [-1.0, -1.5, 2.5]), ("char", "ch", 1.2, [1.5, -0.5, 0.2]), ("char", "eau", 2.2, [-1.0, -1.0, 2.0]), ("char", "ing ", 1.6, [-0.5, 2.0, -1.0]), ("char", " le ", 1.8, [-1.0, -1.0, 2.0]),
+]
+
+
+def fixed_softmax(x: Chat) -> DataFrame:
+    weights = x.spark.createDataFrame(FIXED_WEIGHTS, "block string, term string, idf double, weights array<double>")
+    return I.softmax_scores(x.table("documents").select("doc_id", "text"), weights, FIXED_CLASSES, FIXED_INTERCEPTS).withColumn("proba_max", F.round(F.col("proba_max").cast("double"), 5))
+
+
+def predicted_shards(x: Chat) -> DataFrame:
+    """Intents of all conversations, by a classifier fitted on the labelled ones; a row per shard."""
+    rows = x.written(x.labelled.select("conv_id", "shard", "intent_text", "has_empty_user_input", "intent"), "labelled")
+    model = I.fit_sample(rows.where("intent IS NOT NULL").select("conv_id", F.col("intent").alias("label"), F.col("intent_text").alias("text")), "conv_id")
+    return I.predict_shards(rows, model)
+
+
 QUERIES = {
     "sample_strata": chat_query(lambda x: P.strata(x.conversations).groupBy(*P.STRATUM).agg(F.count(F.lit(1)).alias("size"))),
     "sample_allocation": chat_query(lambda x: allocation(P.strata(x.conversations))),
@@ -98,16 +125,13 @@ QUERIES = {
     "label_sample_export": chat_query(lambda x: P.labelling_export(x.turns)),
     "tfidf_words": lambda spark, sf: I.tfidf(I.word_terms(Chat(spark, sf).table("documents").select("doc_id", "text"), "doc_id", "text"), "doc_id"),
     "tfidf_characters": chat_query(lambda x: I.tfidf(I.character_terms(x.table("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", "text"), "id")),
+    "intent_softmax_fixed": chat_query(fixed_softmax),
+    "intent_by_shard": chat_query(predicted_shards),
     "intent_softmax": lambda spark, sf: softmax(Chat(spark, sf).table("documents").select("doc_id", "text", F.col("lang").alias("label"))),
     "intent_predict": lambda spark, sf: I.train_and_predict(Chat(spark, sf).table("documents").select("doc_id", "text", F.col("lang").alias("label"))),
 }
 
 
-def softmax(rows: DataFrame) -> DataFrame:
-    """Predictions from the weights of a fitted classifier."""
-    return I.softmax_scores(rows, *I.export_weights(I.fit_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "doc_id", 20_000)))
-
-
 def _rule_answer(request: str) -> str:
     """A labeller by rule, in place of a model."""
     return '{"intent": "coding", "confidence": "low"}' if "code" in request.lower() else '{"intent": "other", "confidence": "low"}'
@@ -157,6 +181,25 @@ w AS (SELECT id, term, (1 + ln(n)) * (ln((1 + docs) / (1 + df)) + 1) AS x FROM t
 SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM w"""
 
 
+def _fixed_softmax_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    table = ", ".join(f"({quoted(b)}, {quoted(t)}, {idf}::DOUBLE, [{', '.join(f'{w}::DOUBLE' for w in ws)}])" for b, t, idf, ws in FIXED_WEIGHTS)
+    classes = range(len(FIXED_CLASSES))
+    return rf"""WITH weights(block, term, idf, w) AS (VALUES {table}),
+t AS (SELECT doc_id, lower(coalesce(text, '')) AS s, length(coalesce(text, '')) < 5 AS short FROM documents),
+v AS (SELECT doc_id, regexp_extract_all(s, '[\p{{L}}\p{{N}}_]{{2,}}') AS v FROM t),
+occurrences AS (
+ SELECT doc_id, 'word' AS block, unnest(v) AS term FROM v
+ UNION ALL SELECT doc_id, 'word', v[i] || ' ' || v[i + 1] FROM v, LATERAL (SELECT unnest(range(1, len(v))) AS i) AS r
+ UNION ALL SELECT doc_id, 'char', substr(w, i, n) FROM (SELECT doc_id, concat(' ', unnest(regexp_extract_all(s, '[^\s]+')), ' ') AS w FROM t), (VALUES (2), (3), (4)) AS g(n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i) AS r
+), tf AS (SELECT doc_id, block, term, count(*) AS n FROM occurrences GROUP BY ALL),
+x AS (SELECT doc_id, w.block, (1 + ln(n)) * idf AS x, w FROM tf JOIN weights w ON tf.block = w.block AND tf.term = w.term),
+b AS (SELECT doc_id, block, sqrt(sum(x * x)) AS l, {", ".join(f"sum(x * w[{k + 1}]) AS a{k}" for k in classes)} FROM x GROUP BY ALL),
+z AS (SELECT doc_id, {", ".join(f"sum(a{k} / l) AS z{k}" for k in classes)} FROM b GROUP BY doc_id),
+scored AS (SELECT t.doc_id, short, [{", ".join(f"{FIXED_INTERCEPTS[k]}::DOUBLE + coalesce(z{k}, 0)" for k in classes)}] AS s FROM t LEFT JOIN z ON t.doc_id = z.doc_id)
+SELECT doc_id, CASE WHEN NOT short THEN ({FIXED_CLASSES})[list_position(s, list_max(s))] END AS pred, round(CASE WHEN short THEN 0 ELSE 1 / list_sum(list_transform(s, lambda y: exp(y - list_max(s)))) END, 5) AS proba_max FROM scored"""
+
+
 ORACLE_SQL = {
     "sample_strata": _chat_sql("SELECT * FROM sizes", _STRATA),
     "sample_allocation": _chat_sql("SELECT * FROM allocation", _STRATA, _ALLOCATED),
@@ -187,4 +230,5 @@ ORACLE_SQL = {
 WHERE n_turns BETWEEN 1 AND 6 AND NOT bad ORDER BY md5(concat(conv_id, ':7')) LIMIT 300"""),
     "tfidf_words": "WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS v FROM documents),\n" + tfidf_sql("SELECT id, unnest(v) AS term FROM t UNION ALL SELECT id, v[i] || ' ' || v[i + 1] FROM t, LATERAL (SELECT unnest(range(1, len(v))) AS i) AS r").replace("SELECT id, term, x", "SELECT id AS doc_id, term, x"),
     "tfidf_characters": "WITH u AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[^\\s]+')) AS word FROM conversations WHERE role = 'user'), p AS (SELECT id, concat(' ', word, ' ') AS w FROM u),\n" + tfidf_sql("SELECT id, substr(w, i, n) AS term FROM p, (VALUES (2), (3), (4)) AS s(n), LATERAL (SELECT unnest(range(1, greatest(length(w) - n, 0) + 2)) AS i) AS r WHERE n = 2 OR length(w) > n - 1 AND NOT (length(w) < n)"),
+    "intent_softmax_fixed": _fixed_softmax_sql(),
 }
