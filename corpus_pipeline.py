@@ -70,8 +70,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which no benchmark item stands; an item under four words, which may well be common speech, removes a document only if it
+    is half of it."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"), short_words=4, short_share=0.5)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import byte_class, hash_runs, hash_words, small_batches, spans, text_buffer, text_chunks
 from .license_scan import NOT_WORD
@@ -189,6 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, bl
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind, item_kind = narrow.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     parts = []
     for rows in item_blocks(benchmark, item_id, item_text, block_words):
         sent = spark.sparkContext.broadcast(Items(rows, max_error))
@@ -200,7 +202,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, bl
                     found = [(x[0], items.ids[x[1]], *x[2:]) for x in _leaks(items, b.column("text"))[0] for _ in range(items.times[x[1]])]
                     if found:
                         doc, item, distance, start, end, size = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item), *(pa.array(x, pa.int64()) for x in (distance, start, end, size))], ["doc_id", "item_id", "distance", "first_word", "end_word", "item_words"])
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (distance, start, end, size))], ["doc_id", "item_id", "distance", "first_word", "end_word", "item_words"])
 
         parts.append(narrow.mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, distance long, first_word long, end_word long, item_words long"))
     whole = parts[0]
@@ -224,9 +226,9 @@ def _leaks(items: Items, texts: pa.Array) -> tuple[list[tuple[int, int, int, int
     return out, np.diff(first)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, short_words: int = 4, short_share: float = 0.5, block_words: int = 2_000_000, text_column: str = "text") -> DataFrame:
-    """The documents, all columns unchanged, in which no item stands (short items: of which they are no great part).
-    Documents are not moved between tasks."""
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, short_words: int = 0, short_share: float = 0.5, block_words: int = 2_000_000, text_column: str = "text") -> DataFrame:
+    """The documents, all columns unchanged, in which no item stands.  With ``short_words``, items of fewer words remove a document
+    only if they are ``short_share`` of it.  Documents are not moved between tasks."""
     for rows in item_blocks(benchmark, "item_id", "text", block_words):
         sent = docs.sparkSession.sparkContext.broadcast(Items(rows, max_error))
 

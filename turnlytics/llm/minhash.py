@@ -147,13 +147,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     return connected_components(links.unionAll(more), scratch)
 
 
-def outlier_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, rows: int = 50_000, columns: int = 200_000) -> DataFrame:
+def outlier_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, rows: int = 50_000, columns: int = 200_000, row_members: int = 2_000, column_members: int = 8_000) -> DataFrame:
     """Links between different parts of a bucket; members: bucket, id, n (set size), part.
 
     Of each bucket's largest part no two members need comparing, so outliers (all other members) meet all members.  A shingle
     that no other member of such buckets has is in no intersection, which bounds what a document can share; outliers
     that this keeps below the threshold for every size in their bucket fall away.  The rest is compared in cells inside tasks, which
-    return at most one link per outlier and part.  A cell holds outliers with about ``rows`` shingles and members with about ``columns``.
+    return at most one link per outlier and part.  A cell holds outliers with about ``rows`` shingles and members with about ``columns``, and about
+    ``row_members`` and ``column_members`` of them at most.
     """
     sized = members.groupBy("bucket", "part").agg(F.count("*").alias("size"))
     largest = sized.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
@@ -168,15 +169,17 @@ def outlier_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     # percent times both sizes together is at most 100 + percent times what the two share; in whole numbers, as ties count
     members = members.join(alone, "id", "left").withColumn("can_share", F.col("n") - F.coalesce("alone", F.lit(0)))
     members = scratch.table(members.withColumn("reach", (100 + percent) * F.col("can_share") - percent * F.col("n")).select("bucket", "id", "n", "part", "can_share", "reach", (F.col("part") != F.col("main")).alias("outlier")), "reaches")
-    limits = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("reach").alias("farthest"), F.sum("n").alias("crowd"))
+    limits = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("reach").alias("farthest"), F.sum("n").alias("crowd"), F.count("*").alias("crowd_members"))
     outliers = members.where("outlier").join(scratch.table(limits, "limits"), "bucket").where(f"reach >= {percent} * least AND {percent} * n <= farthest")
-    outliers = scratch.table(outliers.select("bucket", "id", "n", "part", "can_share", "crowd"), "outliers")
-    crowds = scratch.table(outliers.groupBy("bucket").agg(F.sum("n").alias("few"), F.max("crowd").alias("crowd")), "crowds")
-    place = lambda count, size: F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col(count) / size))
-    every = lambda count, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(count) / size) - 1))
+    outliers = scratch.table(outliers.select("bucket", "id", "n", "part", "can_share", "crowd", "crowd_members"), "outliers")
+    counts = outliers.groupBy("bucket").agg(F.sum("n").alias("items"), F.count("*").alias("members"), F.max("crowd").alias("crowd_items"), F.max("crowd_members").alias("crowd_members"))
+    blocks = lambda items, size, members, most: F.greatest(F.ceil(F.col(items) / size), F.ceil(F.col(members) / most))
+    crowds = scratch.table(counts.select("bucket", blocks("items", rows, "members", row_members).alias("few"), blocks("crowd_items", columns, "crowd_members", column_members).alias("crowd")), "crowds")
+    place = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     kept = ["bucket", "id", "part", "can_share"]
-    left = outliers.drop("crowd").join(crowds, "bucket").select(*kept, F.lit(True).alias("outlier"), place("few", rows).alias("row"), every("crowd", columns).alias("col"))
-    right = members.join(crowds, "bucket").select(*kept, F.lit(False).alias("outlier"), place("crowd", columns).alias("col"), every("few", rows).alias("row"))
+    left = outliers.drop("crowd", "crowd_members").join(crowds, "bucket").select(*kept, F.lit(True).alias("outlier"), place("few").alias("row"), every("crowd").alias("col"))
+    right = members.join(crowds, "bucket").select(*kept, F.lit(False).alias("outlier"), place("crowd").alias("col"), every("few").alias("row"))
     cells = scratch.table(left.unionByName(right), "cells")
     whole = cells.join(sets, "id").repartition("bucket", "row", "col").sortWithinPartitions("bucket", "row", "col", "id")
 
@@ -213,10 +216,15 @@ def _compare_cell(batches: list[pa.RecordBatch], percent: int) -> pa.RecordBatch
     width = int((times > 1).sum())
     x, y = np.flatnonzero(outlier), np.flatnonzero(~outlier)
     a, b = [], []
-    share = np.minimum(can[x][:, None], can[y][None, :])
-    open_pairs = (part[x][:, None] != part[y][None, :]) & (100 * share >= percent * (sizes[x][:, None] + sizes[y][None, :] - share))
-    x, y = x[open_pairs.any(axis=1)], y[open_pairs.any(axis=0)]
-    step = max(1, (1 << 22) // max(width, 1))
+    may_x, may_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    for at in range(0, len(x), 256):
+        some = x[at : at + 256]
+        share = np.minimum(can[some][:, None], can[y][None, :])
+        open_pairs = (part[some][:, None] != part[y][None, :]) & (100 * share >= percent * (sizes[some][:, None] + sizes[y][None, :] - share))
+        may_x[at : at + 256] = open_pairs.any(axis=1)
+        may_y |= open_pairs.any(axis=0)
+    x, y = x[may_x], y[may_y]
+    step = min(max(1, (1 << 22) // max(width, 1)), 1024)
     for at in range(0, len(x), step):
         some = _indicators(x[at : at + step], owner, code, width, len(ids))
         for to in range(0, len(y), step):

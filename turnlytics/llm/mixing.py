@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 
@@ -94,6 +95,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), tot
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
+def hashable(value: Column, kind: T.DataType) -> Column:
+    """The value with each map, at any depth, as its entries in order, as Spark hashes no maps."""
+    if not _holds_map(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(hashable(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    entry = lambda e: F.struct(hashable(e["key"], kind.keyType).alias("key"), hashable(e["value"], kind.valueType).alias("value"))
+    return F.array_sort(F.transform(F.map_entries(value), entry))
+
+
 def draw_copies(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), total: float = 1.0, most: float = 3.0, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", number: str = "copy") -> DataFrame:
     """The mix itself: a row per copy, with all columns of the documents and the copy's number from 1.
 
@@ -104,7 +123,8 @@ def draw_copies(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), tot
     # a row is found again by two hashes of all that it holds; rows that share them are equal, so one of them takes the copies of all
     cells = [F.col(f"`{c}`") for c in docs.columns]
     nulls = F.concat(*(c.isNull().cast("int").cast("string") for c in cells))  # hashes pass over nulls
-    key = [F.xxhash64(nulls, *cells).alias("key_1"), F.xxhash64(F.lit(1), nulls, *cells).alias("key_2")]
+    held = [hashable(c, f.dataType) for c, f in zip(cells, docs.schema.fields, strict=True)]
+    key = [F.xxhash64(nulls, *held).alias("key_1"), F.xxhash64(F.lit(1), nulls, *held).alias("key_2")]
     drawn = _drawn(docs, weights, total, most, seed, id_column, text_column, source_column, key)
     wanted = drawn.groupBy("key_1", "key_2").agg(F.sum("copies").alias("copies"), F.count("*").alias("equal")).where("copies > 0")
     rows = docs.select(F.struct(*cells).alias("row"), *key)
