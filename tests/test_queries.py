@@ -16,6 +16,7 @@ CHOSEN = [
     "failure_reasons", "backlog_themes", "routing_policies", "weighted_score", "pair_comparison", "before_after", "rate_gaps", "overview_tiles", "recent_vs_prior", "orders_zero_filled",
     "sample_draw", "label_parse", "proxy_precision", "classification_report", "tfidf_words", "otlp_traces", "chat_export_thread", "turn_rows_csv", "incremental_ingest", "events_stream_weekly",
     "chat_objects", "chat_objects_without_ids", "chat_objects_coverage", "turn_rows_arrival", "log_facts", "consistency_checks", "published_tables", "label_prompts", "eval_case_export", "poisson_bootstrap",
+    "turn_rows_many_files", "ingest_same_names", "live_friction_weekly", "unpaired_change", "intent_softmax_fixed", "turn_attribution", "conversation_roll_up",
 ]
 
 
@@ -50,6 +51,11 @@ def test_gaps_are_there_to_be_compared(spark):
     assert entry.queries()["rate_gaps"](spark, SF).count() > 0
 
 
+def test_reconciliation_reads_cells_only(spark):
+    text = plan(entry.queries()["consistency_checks"](spark, SF))
+    assert "chat-conversations" not in text and "chat-turns" not in text and "chat-messages" not in text
+
+
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(registry.queries()) > 100
@@ -71,7 +77,7 @@ def plan(frame):
 
 
 def test_turn_windows_and_roll_up_share_one_exchange(spark):
-    text = plain(plan(core.T.roll_up(core.Chat(spark, SF).turns)))
+    text = plain(plan(core.T.roll_up(core.Chat(spark, SF).attributed())))
     assert text.count("Exchange hashpartitioning(conv_id") == 1
 
 

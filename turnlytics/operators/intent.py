@@ -1,7 +1,8 @@
 """Text features and the intent classifier.
 
 Terms are named by codes (functions/text_features.py).  Fitting reads the texts of a bounded sample twice: once to choose the
-vocabulary, once to write features as sparse vectors; the solver reads only these.  A fitted model is two sorted arrays of codes and a
+vocabulary, once to write features as sparse rows; the solver reads only these.  As the sample is bounded (``sample_rows``), it runs
+in one task: a round of a solver spread over tasks would move a gradient of the vocabulary's size for each of them.  A fitted model is two sorted arrays of codes and a
 weight per term and class; it is sent to tasks in parts of bounded size, and a text is scored within its row: no term is exchanged.
 """
 
@@ -12,8 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,24 +165,107 @@ def sampled(rows: DataFrame, ident: str, sample_rows: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.lit(steps)) < min(steps, steps * sample_rows // max(n, 1)))
 
 
-def fit_sample(rows: DataFrame, ident: str, sample_rows: int = SAMPLE_ROWS, c: float = 4.0, rounds: int = 300, word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES) -> IntentModel:
+class Softmax:
+    """Multinomial regression over sparse rows: loss and gradient of the weights (a row per feature, the last one the intercepts)."""
+
+    def __init__(self, sizes: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, features: int, classes: int, c: float):
+        self.label, self.features, self.classes, self.c = label, features, classes, c
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(index, kind="stable")
+        self.by_row = index, value.astype(np.float32), row
+        self.by_feature = row[order], value[order].astype(np.float32), index[order]
+
+    @staticmethod
+    def _sums(where: np.ndarray, value: np.ndarray, group: np.ndarray, of: np.ndarray, n: int, step: int = 1 << 20) -> np.ndarray:
+        """Sums of value * of[where] per group; groups come in order."""
+        out = np.zeros((n, of.shape[1]))
+        for a in range(0, len(where), step):
+            g = group[a : a + step]
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            out[g[first]] += np.add.reduceat(value[a : a + step, None] * of[where[a : a + step]], first, axis=0)
+        return out
+
+    def __call__(self, flat: np.ndarray) -> tuple[float, np.ndarray]:
+        w = flat.reshape(self.features + 1, self.classes)
+        z = self._sums(*self.by_row, w[:-1].astype(np.float32), len(self.label)) + w[-1]
+        z -= z.max(axis=1, keepdims=True)
+        total = np.log(np.exp(z).sum(axis=1, keepdims=True))
+        at = np.arange(len(self.label))
+        loss = (total[:, 0] - z[at, self.label]).sum() + (w[:-1] ** 2).sum() / (2 * self.c)
+        p = np.exp(z - total)
+        p[at, self.label] -= 1
+        gradient = np.concatenate([self._sums(*self.by_feature, p.astype(np.float32), self.features) + w[:-1] / self.c, p.sum(axis=0, keepdims=True)])
+        return float(loss), gradient.ravel()
+
+
+def minimise(loss, start: np.ndarray, rounds: int, tolerance: float, memory: int = 6) -> np.ndarray:
+    """Limited-memory BFGS with backtracking, until the loss falls by less than ``tolerance`` of itself."""
+    x, (f, g) = start, loss(start)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, saved = -g, []
+        for s, y, r in reversed(steps):
+            saved.append(r * (s @ d))
+            d = d - saved[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            d = d / (r * (y @ y))
+        for (s, y, r), a in zip(steps, reversed(saved), strict=True):
+            d = d + (a - r * (y @ d)) * s
+        slope = g @ d
+        if slope >= 0:
+            d, slope, steps = -g, -(g @ g), []
+        size = 1.0 if steps else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
+        while True:
+            new = x + size * d
+            f_new, g_new = loss(new)
+            if f_new <= f + 1e-4 * size * slope or size < 1e-12:
+                break
+            size /= 2
+        done = f - f_new <= tolerance * abs(f_new)
+        s, y = new - x, g_new - g
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1.0 / (s @ y))] if memory > 1 else [(s, y, 1.0 / (s @ y))]
+        x, f, g = new, f_new, g_new
+        if done:
+            break
+    return x
+
+
+def solve(rows: DataFrame, features: int, classes: int, c: float, rounds: int, tolerance: float) -> np.ndarray:
+    """Weights (a row per feature, the last one the intercepts) for rows (label number, indices, values) of a bounded sample, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("label", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])).combine_chunks()
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in t.column("indices").chunks)])
+        flat = lambda name: np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in t.column(name).chunks)])
+        problem = Softmax(sizes, flat("indices").astype(np.int64), flat("values"), t.column("label").to_numpy().astype(np.int64), features, classes, c)
+        w = minimise(problem, np.zeros((features + 1) * classes), rounds, tolerance).reshape(features + 1, classes)
+        for a in range(0, len(w), 10_000):
+            part = w[a : a + 10_000]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * classes), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), lists], ["feature", "weights"])
+
+    found = rows.select("label", "indices", "values").coalesce(1).mapInArrow(run, "feature long, weights array<double>").toArrow()
+    w = np.zeros((features + 1, classes))
+    w[found.column("feature").to_numpy()] = found.column("weights").combine_chunks().flatten().to_numpy().reshape(-1, classes)
+    return w
+
+
+def fit_sample(rows: DataFrame, ident: str, sample_rows: int = SAMPLE_ROWS, c: float = 4.0, rounds: int = 3000, tolerance: float = 1e-5, word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES) -> IntentModel:
     """Multinomial regression with a penalty of 1 / c, fitted on at most about ``sample_rows`` rows with a label (columns label, text)."""
     spark = rows.sparkSession
-    sample = sampled(rows.select(ident, "label", "text"), ident, sample_rows).select("label", "text")
+    path = shared_folder(spark, "sample")
+    sampled(rows.select(ident, "label", "text"), ident, sample_rows).select("label", "text").write.parquet(f"{path}/texts")
+    sample = spark.read.parquet(f"{path}/texts")
     codes, block, idf = vocabulary(sample, "text", word_features, character_features)
     classes = sorted(r["label"] for r in sample.select("label").distinct().collect())  # a row per class
-    label = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("double") - 1
-    size = max(len(codes), 1)
-    sparse = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())  # for the sample's rows only
-    path = shared_folder(spark, "features")
-    features(sample, codes, block, idf).select(label.alias("label"), sparse("indices", "values").alias("features")).write.parquet(path)
-    n = spark.read.parquet(path).count()
     if len(classes) < 2:
         return IntentModel(codes, block, idf, np.zeros((len(codes), len(classes))), classes, np.zeros(len(classes)))
-    solver = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds, tol=1e-5)
-    fitted = solver.fit(spark.read.parquet(path))
-    weights = fitted.coefficientMatrix.toArray().T[: len(codes)]
-    return IntentModel(codes, block, idf, weights, classes, fitted.interceptVector.toArray())
+    label = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("int") - 1
+    features(sample, codes, block, idf).withColumn("label", label).write.parquet(f"{path}/features")
+    w = solve(spark.read.parquet(f"{path}/features"), len(codes), len(classes), c, rounds, tolerance)
+    return IntentModel(codes, block, idf, w[:-1], classes, w[-1])
 
 
 def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: str = "text", least: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -108,8 +108,7 @@ def written_cases(x: Chat) -> DataFrame:
 
 
 def themes(x: Chat) -> DataFrame:
-    """Turns and failed cases are worked out once and read by counts, reasons and examples."""
-    x.turns = x.written(x.turns, "turns")
+    """Failed cases are worked out once and read by counts, reasons and examples."""
     failed = x.written(cases(x).select("conv_id", "failure", "reason", "intent", "attributed_to"), "cases")
     return D.backlog(failed, x.turns, x.intent.withColumn("intent", F.coalesce("intent", F.lit("unlabelled"))), D.opening_asks(x.turns)).withColumn("examples", F.array_join("examples", " | "))
 

@@ -30,8 +30,8 @@ class Chat:
     def messages(self) -> DataFrame:
         return chat.written(self.spark, self.sf_dir, "messages", lambda: chat.messages(self.spark, self.sf_dir))
 
-    @cached_property
-    def turns(self) -> DataFrame:
+    def attributed(self) -> DataFrame:
+        """The turns, worked out from messages."""
         rows = self.messages
         for name, rule in chat.ATTRIBUTES:
             if name in ("usr", "d", "model"):
@@ -44,9 +44,18 @@ class Chat:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    @cached_property
+    def turns(self) -> DataFrame:
+        """The flat table of turns, written once like the messages: metrics read it as they would read ingested data."""
+        return chat.written(self.spark, self.sf_dir, "turns", self.attributed)
+
     @cached_property
     def conversations(self) -> DataFrame:
-        rows = chat.with_attributes(T.roll_up(self.turns), self.spark, self.sf_dir)
+        return chat.written(self.spark, self.sf_dir, "conversations", lambda: self.rolled_up(self.turns))
+
+    def rolled_up(self, turns: DataFrame) -> DataFrame:
+        """The conversations, worked out from turns."""
+        rows = chat.with_attributes(T.roll_up(turns), self.spark, self.sf_dir)
         return rows.withColumns({"week": R.monday(F.col("ts")), "model_family": R.model_family(F.col("model"))})
 
     @cached_property
@@ -90,8 +99,8 @@ TURN_COLUMNS = ["conv_id", "idx", "role", "attributed_to", "content_len", "is_em
 QUERIES = {
     "flatten_conversations": chat_query(lambda x: T.nested_roll_up(x.raw).select(*NESTED_COLUMNS)),
     "flatten_turns": chat_query(lambda x: T.nested_turns(x.raw).select(*TURN_COLUMNS)),
-    "turn_attribution": chat_query(lambda x: x.turns.select("conv_id", "idx", "role", "attributed_to", "prev_user", "repeats_prev_user", "is_correction", "is_refusal")),
-    "conversation_roll_up": chat_query(lambda x: x.conversations.select(*CONVERSATION_COLUMNS)),
+    "turn_attribution": chat_query(lambda x: x.attributed().select("conv_id", "idx", "role", "attributed_to", "prev_user", "repeats_prev_user", "is_correction", "is_refusal")),
+    "conversation_roll_up": chat_query(lambda x: x.rolled_up(x.attributed()).select(*CONVERSATION_COLUMNS)),
     "responder_charges": chat_query(lambda x: T.responder_charges(x.turns)),
     "volume_daily_model": chat_query(lambda x: M.volume_daily_model(x.conversations)),
     "volume_weekly_country": chat_query(lambda x: M.volume_weekly_country(x.conversations, MIN_CELL)),

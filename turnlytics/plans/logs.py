@@ -18,13 +18,13 @@ from turnlytics.operators import turns as T
 from turnlytics import schema
 from turnlytics.sources import chats, shards, store
 from turnlytics.sources.files import shared_folder
-from turnlytics.streaming import ingest
+from turnlytics.streaming import ingest, live
 
 from .analysis import _CASES, _FAILURE, themes
 from .analysis import ORACLE_SQL as ANALYSIS_SQL
 from .core import FAMILY, MIN_CELL, N, RATES, Chat, _chat_sql, chat_query, sql_prefix
 from .core import ORACLE_SQL as METRIC_SQL
-from .fixtures import log_files
+from .fixtures import chat, log_files
 from .labelling import _PRED, _REPORT, predictions
 
 def flat(chats_frame: DataFrame) -> DataFrame:
@@ -101,11 +101,7 @@ def sender_files(x: Chat) -> DataFrame:
 
 
 def metric_tables(x: Chat) -> dict[str, DataFrame]:
-    """All metric tables.  Turns and conversations are written once and read by each of them."""
-    path = shared_folder(x.spark, "flat")
-    x.turns.drop("content").write.parquet(f"{path}/turns")
-    x.conversations.write.parquet(f"{path}/conversations")
-    x.turns, x.conversations = x.spark.read.parquet(f"{path}/turns"), x.spark.read.parquet(f"{path}/conversations")
+    """All metric tables, from the flat tables of turns and conversations."""
     c, i, t = x.conversations, x.intent, x.turns
     return {
         "volume_daily_model": M.volume_daily_model(c), "depth_by_model": M.depth_by_model(c), "volume_weekly_country": M.volume_weekly_country(c, MIN_CELL), "volume_weekly_language": M.volume_weekly_language(c, MIN_CELL),
@@ -117,11 +113,12 @@ def metric_tables(x: Chat) -> dict[str, DataFrame]:
 
 
 def consistency(x: Chat) -> DataFrame:
-    """The tables against each other.  Cells of all sizes, so that cuts add up."""
+    """The tables against each other, each worked out and written once.  Cells of all sizes, so that cuts add up."""
     tables = metric_tables(x)
     tables |= {"friction_weekly_model": M.friction_weekly_model(x.conversations, 1), "data_quality_weekly_model": M.data_quality_weekly_model(x.conversations, 1)}
     total = x.conversations.agg(F.count(F.lit(1)).alias("conversations"), F.count(F.when(~F.col("has_empty_user_input"), F.col("label"))).alias("labelled"))
-    return C.reconcile(tables, total)
+    tables = {name: x.written(rows.coalesce(1), f"metric-{name}") for name, rows in tables.items()}  # cells, not rows of data
+    return C.reconcile(tables, x.written(total, "totals"))
 
 
 def declared_checks(x: Chat) -> DataFrame:
@@ -204,6 +201,16 @@ def streamed_weeks(x: Chat) -> DataFrame:
     return ingest.stream_to_table(ingest.weekly_volume(stream), ["week", "event_type"], f"{folder}/table", f"{folder}/checkpoint")
 
 
+def live_weeks(x: Chat) -> DataFrame:
+    """Weekly friction from a stream of messages; a conversation's messages are spread over files and batches in any order."""
+    path = shared_folder(x.spark, "live")
+    rows = chat.with_attributes(x.messages, x.spark, x.sf_dir).select("conv_id", F.to_timestamp_ltz(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))).alias("ts"), F.col("idx").cast("int").alias("idx"), "role", "content", "responder", "model")
+    rows.repartition(6, F.md5(F.concat_ws(":", "conv_id", "idx").cast("binary"))).write.parquet(f"{path}/messages")
+    stream = x.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/messages")
+    live.run_live(live.live_conversations(stream, delay_ms=400 * 86_400_000), f"{path}/facts", f"{path}/checkpoint")
+    return M.friction_weekly(live.latest_conversations(x.spark, f"{path}/facts"))
+
+
 def published(x: Chat) -> DataFrame:
     path = shared_folder(x.spark, "published")
     tables = metric_tables(x)
@@ -278,6 +285,7 @@ QUERIES = {
     "incremental_ingest": chat_query(ingested),
     "ingest_same_names": chat_query(same_names),
     "events_stream_weekly": chat_query(streamed_weeks),
+    "live_friction_weekly": chat_query(live_weeks),
 }
 
 _M = "SELECT conv_id::VARCHAR AS conv_id, {user} AS user, {ts} AS ts, {model} AS model, {version} AS version, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS idx, role, text AS content, {responder} AS responder FROM {source} WHERE role IN ('user', 'assistant')"
@@ -386,6 +394,7 @@ FROM (SELECT {FAMILY.format(x="attributed_to")} AS responder FROM turns JOIN c U
     "weekly_change": _chat_sql("SELECT week, n, percent, CASE WHEN percent > 0 THEN 'up' WHEN percent < 0 THEN 'down' WHEN percent = 0 THEN 'flat' END AS direction FROM (SELECT week, n, round(100 * (n::DOUBLE / lag(n) OVER (ORDER BY week) - 1), 1) AS percent FROM (SELECT week, count(*)::BIGINT AS n FROM c GROUP BY 1))"),
     "nested_json_access": "SELECT event_id, json_extract_string(props, '$') AS whole, len(json_keys(props))::BIGINT AS n_keys, (props->>'$.k')::BIGINT AS k, event_type, round(value)::BIGINT AS rounded, NULL::VARCHAR AS gone FROM events",
     "incremental_ingest": _chat_sql(f"SELECT week, {N}, sum(n_turns)::BIGINT AS turns FROM c GROUP BY week"),
+    "live_friction_weekly": METRIC_SQL["friction_weekly"],
     "ingest_same_names": _chat_sql("""SELECT CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE 'b' END AS folder, count(*)::BIGINT AS conversations, sum(n)::BIGINT AS turns, sum(k)::BIGINT AS corrections, 3::BIGINT AS files
 FROM c JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (is_correction) AS k FROM turns GROUP BY 1) USING (conv_id) GROUP BY 1"""),
     "events_stream_weekly": "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY 1, 2",
