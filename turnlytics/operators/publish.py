@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +41,38 @@ def percent_change(now, before):
     """Change in percent and its direction; null where there is nothing to compare with."""
     change = F.round(100 * (F.try_divide(now, before) - 1), 1)
     return change, F.when(change > 0, "up").when(change < 0, "down").when(change == 0, "flat")
+
+
+#: What the columns of the published tables mean; a column has one meaning in all of them.
+COLUMNS = {
+    "week": "Monday of the week", "date": "day", "quarter": "first day of the quarter", "era": "name of the period", "era_start": "first day of the period", "era_end": "last day of the period",
+    "model": "model family", "country": "country; small cells and unknown ones in rows of their own", "language": "language; small cells and unknown ones in rows of their own", "intent": "class of the request", "responder": "who answers for the turn", "depth_bucket": "range of user turns",
+    "conversations": "number of conversations", "turns": "number of user turns", "prompt_tokens": "tokens sent", "completion_tokens": "tokens received", "conversations_with_tokens": "conversations whose tokens are known", "pseudo_users": "distinct people",
+    "convs_per_user_p50": "median of conversations per person", "convs_per_user_p90": "ninth decile of conversations per person", "top10_share": "share of conversations by the most active tenth of people", "next_week_present": "whether the next week has data",
+    "return_rate": "share of people who come back in the next week", "avg_weeks_active": "mean number of active weeks per person", "share_multi_week": "share of people active in two weeks or more", "median_turns": "median of user turns",
+    "repeat_rate": "share with a repeated request", "one_and_done_rate": "share that ended after one short exchange", "correction_rate": "share with a push-back", "refusal_rate": "share with a refusal",
+    "assistant_turns": "number of replies", "corrections": "push-backs against replies", "repeats": "repeats after replies", "redacted_rate": "share of redacted conversations", "empty_input_rate": "share with an empty input", "token_usage_coverage": "share with known tokens",
+}
+
+
+def register_published(spark: SparkSession, path: str, names: Sequence[str]) -> None:
+    """The published tables below a path as views of their names, each column with its meaning as comment."""
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}")
+        rows.select(*(F.col(c).alias(c, metadata={"comment": COLUMNS[c]}) for c in rows.columns)).createOrReplaceTempView(name)
+
+
+def published_catalogue(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """table_name, column_name, data_type, comment of the registered tables."""
+    rows = [(n, f.name, f.dataType.simpleString(), f.metadata.get("comment")) for n in sorted(names) for f in spark.table(n).schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, comment string")
+
+
+def published_query(spark: SparkSession, path: str, statement: str) -> DataFrame:
+    """A user's query over the published tables and nothing else: commands do not parse, and files outside ``path`` are refused."""
+    rows = spark.sql(f"SELECT * FROM (\n{statement}\n)")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    foreign = [f for f in rows.inputFiles() if spark._jvm.org.apache.hadoop.fs.Path(f).toUri().getPath().find(root) != 0]
+    if foreign:
+        raise ValueError(f"only published tables may be read, not {foreign[0]}")
+    return rows

@@ -48,7 +48,7 @@ CONTENT = """CASE
  WHEN role = 'user' AND seen AND (cid * 31 + turn * 7 + k) % 5 = 0 THEN concat(pu, ' please')
  WHEN role = 'user' AND seen AND (cid * 31 + turn * 7 + k) % 5 = 1 AND (v2 = 0 OR {h:concat('x', conv_id):4} = 0) THEN concat(
    CASE (cid + turn + k) % 6 WHEN 0 THEN 'No, that is wrong. ' WHEN 1 THEN 'not what I asked. ' WHEN 2 THEN 'I meant something else: '
-     WHEN 3 THEN '不对，' WHEN 4 THEN 'нет, ' ELSE 'try again ' END, substr(text, 1, 40))
+     WHEN 3 THEN '不对，' WHEN 4 THEN 'нет, ' ELSE 'try again ' END, text)
  WHEN role = 'user' AND NOT seen AND (cid + k) % 23 = 0 THEN ''
  WHEN role = 'assistant' AND (cid * 13 + turn + k) % 11 = 0 THEN 'I''m sorry, but I can''t help with that.'
  WHEN role = 'assistant' AND (cid * 13 + turn + k) % 11 IN (1, 2) THEN 'Sure, here you go.'

@@ -222,6 +222,24 @@ def published(x: Chat) -> DataFrame:
     return P.published_size(x.spark, path).join(rows, "table_name")
 
 
+def published_views(x: Chat) -> tuple[str, list[str]]:
+    path = shared_folder(x.spark, "published")
+    tables = metric_tables(x)
+    P.write_metrics(tables, path)
+    P.register_published(x.spark, path, list(tables))
+    return path, list(tables)
+
+
+# Fixed value: a question over three published tables.
+PUBLISHED_QUESTION = """SELECT i.week, i.conversations, i.pseudo_users, f.correction_rate, q.redacted_rate, i.conversations / i.pseudo_users AS per_user
+FROM intensity_weekly i JOIN friction_weekly f ON i.week = f.week JOIN data_quality_weekly q ON i.week = q.week WHERE i.next_week_present"""
+
+
+def published_answer(x: Chat) -> DataFrame:
+    path, _ = published_views(x)
+    return P.published_query(x.spark, path, PUBLISHED_QUESTION)
+
+
 def nested_access(x: Chat) -> DataFrame:
     """Fields of JSON by paths of one and of several steps."""
     whole = F.to_json(F.struct(F.struct(F.struct("event_type", F.round("value").cast("long").alias("rounded")).alias("policies")).alias("B")))
@@ -279,6 +297,8 @@ QUERIES = {
     "story_numbers": chat_query(story),
     "ad_hoc_sql": chat_query(ad_hoc),
     "published_tables": chat_query(published),
+    "published_catalogue": chat_query(lambda x: P.published_catalogue(x.spark, published_views(x)[1])),
+    "published_sql": chat_query(published_answer),
     "responder_split": chat_query(lambda x: P.responder_split(M.friction_by_responder(x.turns, x.conversations, MIN_CELL), M.volume_daily_model(x.conversations))),
     "weekly_change": chat_query(weekly_change),
     "nested_json_access": chat_query(nested_access),
@@ -351,6 +371,13 @@ def _expectations() -> list[tuple[str, str, str, float]]:
 
 _METRIC_STEPS = [f"{n} AS MATERIALIZED ({_on_chat(n)})" for n in _TABLES]
 
+def _catalogue_sql() -> str:
+    kinds = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(column_type) END"
+    meanings = ", ".join("('{}', '{}')".format(c, t.replace("'", "''")) for c, t in P.COLUMNS.items())
+    each = " UNION ALL ".join(f"SELECT '{n}' AS table_name, column_name, {kinds} AS data_type FROM (DESCRIBE {METRIC_SQL[n]})" for n in _TABLES)
+    return f"SELECT table_name, column_name, data_type, meaning AS comment FROM ({each}) JOIN (VALUES {meanings}) AS m(name, meaning) ON column_name = name"
+
+
 ORACLE_SQL = {
     "consistency_checks": _chat_sql(
         "SELECT label, got, want, abs(got - want) <= tolerance AS ok FROM (" + " UNION ALL ".join(f"SELECT '{label.replace(chr(39), chr(39) * 2)}' AS label, coalesce(({got})::DOUBLE, 0) AS got, coalesce(({want})::DOUBLE, 0) AS want, {tolerance} AS tolerance" for label, got, want, tolerance in _expectations()) + ")", *_METRIC_STEPS
@@ -389,6 +416,8 @@ UNION ALL SELECT 'models', count(DISTINCT model_family)::DOUBLE, count(DISTINCT
  (SELECT {RATES} FROM c WHERE NOT has_empty_user_input) b"""),
     "ad_hoc_sql": _chat_sql("SELECT model_family AS model, count(*) FILTER (corr)::BIGINT AS corrections, count(*) FILTER (refused)::BIGINT AS refusals FROM (SELECT conv_id, " + "regexp_matches(content, '{c}') AS corr, regexp_matches(content, '{r}') AS refused FROM messages) JOIN c USING (conv_id) GROUP BY 1"),
     "published_tables": _chat_sql(" UNION ALL ".join(f"SELECT '{n}' AS table_name, 1::BIGINT AS files, true AS within_budget, count(*)::BIGINT AS cells FROM {n}" for n in _TABLES), *_METRIC_STEPS),
+    "published_catalogue": _catalogue_sql(),
+    "published_sql": _chat_sql(PUBLISHED_QUESTION, *_METRIC_STEPS),
     "responder_split": _chat_sql(f"""SELECT count(*)::BIGINT AS responders, count(*) FILTER (responder NOT IN (SELECT model_family FROM c))::BIGINT AS no_models, count(*) FILTER (responder NOT IN (SELECT model_family FROM c)) > 0 AS show_split
 FROM (SELECT {FAMILY.format(x="attributed_to")} AS responder FROM turns JOIN c USING (conv_id) WHERE NOT has_empty_user_input AND role <> 'user' GROUP BY 1 HAVING count(*) >= {MIN_CELL})"""),
     "weekly_change": _chat_sql("SELECT week, n, percent, CASE WHEN percent > 0 THEN 'up' WHEN percent < 0 THEN 'down' WHEN percent = 0 THEN 'flat' END AS direction FROM (SELECT week, n, round(100 * (n::DOUBLE / lag(n) OVER (ORDER BY week) - 1), 1) AS percent FROM (SELECT week, count(*)::BIGINT AS n FROM c GROUP BY 1))"),
