@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlytics.functions import rules as R
+from turnlytics.operators import activity as A
 from turnlytics.operators import metrics as M
 from turnlytics.operators import series as S
 
 from .core import FAMILY, MIN_CELL, N, Chat, _chat_sql, chat_query, intensity_sql, persistence_sql
+from .core import ORACLE_SQL as METRIC_SQL
 
 RECENT = 6  # the fixture has 18 active weeks
 BREAK = "2024-05-06"
@@ -51,7 +53,16 @@ def usual_weeks(x: Chat) -> DataFrame:
     return rates.withColumn("usual", usual).where("conversations >= usual").drop("usual")
 
 
+def activity_bits(x: Chat) -> DataFrame:
+    """Week bitmaps of users, shard by shard as they would come in; the last batch holds a shard again."""
+    parts = [x.written(A.week_bits(x.conversations.where(F.col("shard").isin(*names))), "bits") for names in (["shard-0"], ["shard-1", "shard-2"], ["shard-3", "shard-0"])]
+    return A.merged(A.merged(parts[0], parts[1]), parts[2])
+
+
 QUERIES = {
+    "activity_weekly": chat_query(lambda x: A.weekly_return(activity_bits(x))),
+    "activity_persistence": chat_query(lambda x: A.persistence(activity_bits(x))),
+    "activity_spans": chat_query(lambda x: A.spans(activity_bits(x)).withColumnRenamed("user", "pseudo_user")),
     "complete_weeks": chat_query(lambda x: S.span(x.conversations)),
     "events_complete_weeks": chat_query(lambda x: S.span(events(x))),
     "orders_complete_weeks": chat_query(lambda x: S.span(orders(x))),
@@ -118,6 +129,9 @@ _o, _of = intensity_sql("o", "")
 _FRICTION = "f AS (SELECT model, week, correction_rate FROM (SELECT model_family AS model, week, count(*) AS n, avg(count(*)) OVER (PARTITION BY model_family) AS usual, avg(correction_followup::INT) AS correction_rate FROM c WHERE NOT has_empty_user_input GROUP BY 1, 2) WHERE n >= usual)"
 
 ORACLE_SQL = {
+    "activity_weekly": f"SELECT week, pseudo_users, next_week_present, return_rate FROM (\n{METRIC_SQL['intensity_weekly']}\n)",
+    "activity_persistence": METRIC_SQL["persistence_quarterly"],
+    "activity_spans": _chat_sql("SELECT pseudo_user, min(week) AS first_week, max(week) AS last_week, count(DISTINCT week)::BIGINT AS weeks FROM c GROUP BY pseudo_user"),
     "median_weekly_return": _chat_sql(f"SELECT count(*)::BIGINT AS weeks, list_sort(list(return_rate))[count(*) // 2 + 1] AS median_return FROM ({_if}) WHERE return_rate IS NOT NULL", _i),
     "complete_weeks": _chat_sql(span_sql("c")),
     "events_complete_weeks": f"WITH {_EVENTS} {span_sql('e')}",
