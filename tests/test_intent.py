@@ -135,3 +135,13 @@ def test_shards_keep_their_names_and_empty_inputs_get_no_intent(spark):
     model = intent.IntentModel.read(spark.createDataFrame([("word", "code", 1.0, [1.0, -1.0])], "block string, term string, idf double, weights array<double>"), ["coding", "other"], [0.0, 0.0])
     got = {r["conv_id"]: (r["intent"], round(r["proba_max"], 4), r["shard"]) for r in intent.predict_shards(rows, model).collect()}
     assert got == {1: ("coding", round(math.exp(1) / (math.exp(1) + math.exp(-1)), 4), "s1"), 2: (None, 0.0, "s1"), 3: (None, 0.0, "s2")}
+
+
+def test_probabilities_are_not_rounded_to_floats(spark):
+    """A float in between would turn the fifth decimal of some."""
+    rows = spark.createDataFrame([(1, "code"), (2, "x"), (3, "other words")], "doc_id long, text string")
+    low = math.log(1 / 0.7000050001 - 1)  # 0.7000050001 rounds up; the nearest float lies below 0.700005
+    weights = spark.createDataFrame([("word", "code", 1.0, [-low, 0.0])], "block string, term string, idf double, weights array<double>")
+    got = {r["doc_id"]: r["proba_max"] for r in intent.softmax_scores(rows, weights, ["a", "b"], [0.0, 0.0], least=2).collect()}
+    assert abs(got[1] - 0.7000050001) < 1e-12 and got[2] == 0.0 and got[3] == 0.5
+    assert round(got[1], 5) != round(float(np.float32(got[1])), 5)

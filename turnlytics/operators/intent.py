@@ -270,12 +270,13 @@ def fit_sample(rows: DataFrame, ident: str, sample_rows: int = SAMPLE_ROWS, c: f
 
 def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: str = "text", least: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows without their text, with pred and proba_max.  Texts that are null or shorter than ``least`` get none (null, 0.0).
+    proba_max is a double: a float in between would turn some roundings.
 
     Models beyond ``part_bytes`` are sent in several parts; then the parts' sums meet by ``ident``, which names a row.
     """
     spark, parts, k = rows.sparkSession, model.parts(part_bytes), len(model.classes)
     if not k:
-        return rows.drop(text).withColumns({"pred": F.lit(None).cast("string"), "proba_max": F.lit(0.0).cast("float")})
+        return rows.drop(text).withColumns({"pred": F.lit(None).cast("string"), "proba_max": F.lit(0.0)})
     others = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text]
 
     def partial(sent, kept: list[str]):
@@ -311,21 +312,21 @@ def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: st
     out = out.withColumn("__score", score).withColumn("__top", F.array_max("__score"))
     total = F.aggregate(F.transform("__score", lambda v: F.exp(v - F.col("__top"))), F.lit(0.0), lambda a, v: a + v)
     pred = F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("__score", F.col("__top")).cast("int"))
-    return out.select(*(f"`{c}`" for c in kept), F.when(~F.col("__short"), pred).alias("pred"), F.when(F.col("__short"), 0.0).otherwise(1 / total).cast("float").alias("proba_max"))
+    return out.select(*(f"`{c}`" for c in kept), F.when(~F.col("__short"), pred).alias("pred"), F.when(F.col("__short"), 0.0).otherwise(1 / total).alias("proba_max"))
 
 
 def train_and_predict(rows: DataFrame, ident: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least: int = 5, **options) -> DataFrame:
     """Trains on at most about ``sample_rows`` rows of the 80 % side of a hash split and predicts all: id, label, pred, proba_max, is_test."""
     rows = rows.select(ident, "label", "text").withColumn("is_test", F.pmod(F.xxhash64(ident), F.lit(5)) == 0)
     model = fit_sample(rows.where("NOT is_test AND label IS NOT NULL"), ident, sample_rows, **options)
-    return predict(rows, model, ident, least=least).select(ident, "label", "pred", "proba_max", "is_test")
+    return predict(rows, model, ident, least=least).select(ident, "label", "pred", F.col("proba_max").cast("float").alias("proba_max"), "is_test")
 
 
 def predict_shards(conversations: DataFrame, model: IntentModel) -> DataFrame:
     """INTENT rows (conv_id, intent, proba_max, shard) of conversations; those with an empty input or hardly a text get none."""
     usable = F.when(~F.col("has_empty_user_input"), F.col("intent_text"))
     rows = conversations.select("conv_id", "shard", usable.alias("text"))
-    return predict(rows, model, "conv_id").select("conv_id", F.col("pred").alias("intent"), "proba_max", "shard")
+    return predict(rows, model, "conv_id").select("conv_id", F.col("pred").alias("intent"), F.col("proba_max").cast("float").alias("proba_max"), "shard")
 
 
 def softmax_scores(rows: DataFrame, weights: DataFrame, classes: list[str], intercepts: list[float], ident: str = "doc_id", text: str = "text", least: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
