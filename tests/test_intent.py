@@ -145,3 +145,24 @@ def test_probabilities_are_not_rounded_to_floats(spark):
     got = {r["doc_id"]: r["proba_max"] for r in intent.softmax_scores(rows, weights, ["a", "b"], [0.0, 0.0], least=2).collect()}
     assert abs(got[1] - 0.7000050001) < 1e-12 and got[2] == 0.0 and got[3] == 0.5
     assert round(got[1], 5) != round(float(np.float32(got[1])), 5)
+
+
+def test_tfidf_moves_terms_per_chunk_not_per_document(spark, monkeypatch):
+    """Repeated and null ids, texts without terms; only chunks of texts and their distinct terms are exchanged."""
+    rows = [(k % 50, f"the river {k % 7} bank {k % 3} word{k}") for k in range(60)] + [(None, "the river"), (70, None), (71, ""), (72, "x")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(intent, "CHUNK_CHARS", 200)
+    out = intent.tfidf(frame, "id", "text", intent.word_list)
+    got = {(r["id"], r["term"]): r["weight"] for r in out.collect()}
+    tf = Counter()
+    for ident, text in rows:
+        words = re.findall(r"\w{2,}", (text or "").lower())
+        tf.update((ident, t) for t in [*words, *map(" ".join, zip(words, words[1:], strict=False))])
+    df, docs = Counter(t for _, t in tf), len({i for i, _ in tf})
+    x = {(i, t): (1 + math.log(n)) * (math.log((1 + docs) / (1 + df[t])) + 1) for (i, t), n in tf.items() if df[t] > 1}
+    norm = Counter()
+    for (i, _), v in x.items():
+        norm[i] += v * v
+    assert got.keys() == x.keys() and all(abs(got[k] - v / math.sqrt(norm[k[0]])) < 1e-9 for k, v in x.items())
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text and "Window" not in text and "Exchange hashpartitioning(id" not in text

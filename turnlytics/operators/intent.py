@@ -8,12 +8,13 @@ weight per term and class; it is sent to tasks in parts of bounded size, and a t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlytics.functions import text_features as X
@@ -23,39 +24,87 @@ SAMPLE_ROWS = 20_000
 WORD_FEATURES, CHARACTER_FEATURES = 300_000, 400_000
 TEXTS_AT_ONCE = 200
 TEXT_CHARS = 1 << 20
+CHUNK_CHARS = 8 << 20  # of texts whose terms are counted at once
 PART_BYTES = 128 << 20  # of a model, sent to the tasks at once
 
 
-def word_terms(rows: DataFrame, ident: str, text: str) -> DataFrame:
-    """One row per occurrence of a word of two or more characters, and of two neighbouring ones."""
-    words = rows.select(ident, F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1).alias("v"))
-    pairs = F.when(F.size("v") > 1, F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return words.select(ident, F.explode(F.concat("v", pairs)).alias("term"))
+def word_list(text: Column) -> Column:
+    """The words of two or more characters, and pairs of neighbouring ones."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    pairs = lambda v: F.when(F.size(v) > 1, F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(words), lambda v: F.concat(v, pairs(v))), F.lit(0))
 
 
-def character_terms(rows: DataFrame, ident: str, text: str, low: int = 2, high: int = 4) -> DataFrame:
-    """One row per occurrence of a character n-gram within a word that has a space on either side.
+def character_list(text: Column, low: int = 2, high: int = 4) -> Column:
+    """The character n-grams within a word that has a space on either side.
 
     A word shorter than n gives itself once, with its spaces, and no longer n-grams.
     """
-    return rows.select(ident, F.explode(F.expr(character_grams(text, low, high))).alias("term"))
+    grams = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    of_word = lambda x: F.flatten(F.transform(F.array(F.concat(F.lit(" "), x, F.lit(" "))), lambda w: F.concat(*(grams(w, n) for n in range(low, high + 1)))))
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\S+)"), 1), of_word))
 
 
-def character_grams(text: str, low: int = 2, high: int = 4) -> str:
-    """SQL for the array of these n-grams of a column."""
-    grams = ", ".join(f"CASE WHEN length(w) >= {n} THEN transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})) ELSE CAST(array() AS array<string>) END" for n in range(low, high + 1))
-    return rf"flatten(transform(regexp_extract_all(lower({text}), '(\\S+)', 1), x -> flatten(transform(array(concat(' ', x, ' ')), w -> concat({grams})))))"
+def word_terms(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """One row per occurrence of a word or pair."""
+    return rows.select(ident, F.explode(word_list(F.col(text))).alias("term"))
 
 
-def tfidf(terms: DataFrame, ident: str, least_documents: int = 2) -> DataFrame:
-    """Weights (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document."""
-    tf = terms.groupBy(ident, "term").agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_documents)
-    total = tf.agg(F.count_distinct(ident).alias("docs"))
-    rows = tf.join(df, "term").join(F.broadcast(total))  # one row
-    x = (1 + F.log("n")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
-    rows = rows.withColumn("x", x)
-    return rows.select(ident, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(ident)))).alias("weight"))
+def character_terms(rows: DataFrame, ident: str, text: str, low: int = 2, high: int = 4) -> DataFrame:
+    """One row per occurrence of a character n-gram."""
+    return rows.select(ident, F.explode(character_list(F.col(text), low, high)).alias("term"))
+
+
+def _counts(table: pa.Table, ident: str, known: pa.Array | None = None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (ident, terms): the ids, the terms, and (place of the id, place of the term, count) of each pair; ``known``: other terms are left out."""
+    ids = table.column(ident).combine_chunks().dictionary_encode(null_encoding="encode")
+    lists = [c for c in table.column("terms").chunks if len(c)]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in lists)])
+    values = pa.chunked_array([c.flatten() for c in lists], pa.string())
+    if known is None:
+        coded = values.combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        known, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    else:
+        at = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy().astype(np.int64)
+    row = np.repeat(ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes.astype(np.int64))
+    pair, n = np.unique((row * max(len(known), 1) + at)[at >= 0], return_counts=True)
+    return ids.dictionary, known, pair // max(len(known), 1), pair % max(len(known), 1), n
+
+
+def tfidf(rows: DataFrame, ident: str, text: str, terms: Callable[[Column], Column], least_documents: int = 2) -> DataFrame:
+    """id, term, weight: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document; ``terms`` gives a text's list of them.
+
+    Texts are dealt by id into chunks of bounded size, the only time that they move.  A chunk sends each of its terms once to be counted, and gets
+    those of enough documents back with their counts; weights and lengths are worked out within the chunk, so no (document, term) pair moves.
+    """
+    size = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    chunks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // CHUNK_CHARS))
+    dealt = rows.where(F.col(text).isNotNull()).select(F.pmod(F.xxhash64(ident), F.lit(chunks)).alias("chunk"), ident, text).repartition(chunks, "chunk").sortWithinPartitions("chunk")
+    listed = dealt.select("chunk", ident, terms(F.col(text)).alias("terms"))
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, names, row, term, _ = _counts(table, ident)
+        n, used = np.bincount(term, minlength=len(names)), len(np.unique(row))
+        chunk = pa.array(np.full(len(names) + 1, table.column("chunk")[0].as_py(), np.int64))
+        return pa.table([chunk, pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array(np.append(n, used).astype(np.int64))], names=["chunk", "term", "n"])  # null: documents with a term
+
+    found = listed.groupBy("chunk").applyInArrow(count, "chunk long, term string, n long")
+    path = shared_folder(rows.sparkSession, "chunk-terms")
+    found.write.option("compression", "zstd").parquet(path)
+    found = rows.sparkSession.read.schema("chunk long, term string, n long").parquet(path)
+    total = found.where("term IS NULL").agg(F.sum("n").alias("docs"))
+    df = found.where("term IS NOT NULL").repartition(chunks, "term").groupBy("term").agg(F.sum("n").alias("df"), F.collect_list("chunk").alias("chunks")).where(F.col("df") >= least_documents)
+    idf = df.join(F.broadcast(total)).select(F.explode("chunks").alias("chunk"), "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+
+    def weigh(table: pa.Table, known: pa.Table) -> pa.Table:
+        ids, names, row, term, n = _counts(table, ident, known.column("term").combine_chunks())
+        x = (1 + np.log(n)) * known.column("idf").to_numpy()[term] if len(n) else np.zeros(0)
+        weight = x / np.sqrt(np.bincount(row, x * x, len(ids)))[row] if len(n) else x
+        return pa.table([ids.take(pa.array(row)), names.take(pa.array(term)), pa.array(weight)], names=[ident, "term", "weight"])
+
+    kind = rows.schema[ident].dataType.simpleString()
+    return listed.groupBy("chunk").cogroup(idf.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(weigh, f"`{ident}` {kind}, term string, weight double")
 
 
 @dataclass
