@@ -1,5 +1,6 @@
 """Friction of a stream: equal to the batch operators, whatever the order of messages and batches; late messages are counted."""
 
+import json
 import random
 
 import pytest
@@ -66,3 +67,10 @@ def test_late_messages_are_counted_and_change_nothing(spark, tmp_path):
     assert got[2]["n_turns"] == 2 and got[2]["correction_followup"] and str(got[2]["week"]) == "2024-06-03"
     assert len(got) == 4
     assert [tuple(r) for r in live.late_rows(spark, f"file://{tmp_path}/out").collect()] == [(1, 2)]
+
+
+def test_a_conversation_crosses_to_python_as_one_text(spark):
+    """Every column of a frame costs time for each conversation; a message is one text, nulls and all."""
+    got = live.said(frame(spark, [(1, "2024-03-04 10:00:00", 1, "user", None, None, None)]))
+    assert got.columns == ["conv_id", "ts", "at", "message"] and len(live.STATE.split(", ")) == 2
+    assert json.loads(got.first()["message"]) == {"idx": 1, "user": True, "words": "", "flags": live.BLANK, "length": 0, "responder": None}

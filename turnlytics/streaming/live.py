@@ -8,6 +8,7 @@ state; a message that comes for it later is not mixed into a half-known conversa
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ from turnlytics.functions import rules as R
 from turnlytics.schema import ONE_AND_DONE_CHARS
 from turnlytics.sources.chats import utc
 
-STATE = "idx array<int>, user array<boolean>, words array<string>, flags array<int>, length array<int>, responder array<string>, at bigint"
+STATE = "messages string, at bigint"
 FACTS = (
     "conv_id bigint, kind string, at bigint, n_turns int, has_empty_user_input boolean, repeated_request boolean, correction_followup boolean, assistant_refusal boolean, "
     "one_and_done boolean, responders array<string>, replies array<int>, corrections array<int>, repeats array<int>, late_rows int"
@@ -33,10 +34,9 @@ def said(messages: DataFrame) -> DataFrame:
     user = F.col("role") == "user"
     bit = lambda when, value: F.when(when, value).otherwise(0)
     flags = bit(user & R.is_correction(F.col("content")), CORRECTION) + bit(~user & R.is_refusal(F.col("content")), REFUSAL) + bit(user & R.is_blank(F.col("content")), BLANK)
-    return messages.select(
-        "conv_id", "ts", F.unix_millis("ts").alias("at"), "idx", user.alias("user"), F.when(user, F.array_join(R.tokens(F.col("content")), " ")).otherwise("").alias("words"), flags.alias("flags"),
-        F.coalesce(F.length("content"), F.lit(0)).alias("length"), F.when(~user, F.coalesce(F.nullif("responder", F.lit("")), "model")).alias("responder"),
-    )
+    words = F.when(user, F.array_join(R.tokens(F.col("content")), " ")).otherwise("")
+    message = F.struct("idx", user.alias("user"), words.alias("words"), flags.alias("flags"), F.coalesce(F.length("content"), F.lit(0)).alias("length"), F.when(~user, F.coalesce(F.nullif("responder", F.lit("")), "model")).alias("responder"))
+    return messages.select("conv_id", "ts", F.unix_millis("ts").alias("at"), F.to_json(message, {"ignoreNullFields": "false"}).alias("message"))
 
 
 def facts(conv_id: int, messages: list[tuple], at: int, threshold: float = R.REPEAT_THRESHOLD, one_turn_chars: int = ONE_AND_DONE_CHARS) -> dict:
@@ -80,25 +80,31 @@ def live_conversations(messages: DataFrame, delay_ms: int = 86_400_000, horizon_
         if state.hasTimedOut:
             state.remove()
             return
-        fresh = pd.concat(list(frames))  # one conversation's new messages
-        moments = fresh["at"].tolist()
+        moments, fresh = [], []
+        for frame in frames:  # one conversation's new messages
+            moments += frame["at"].tolist()
+            fresh += frame["message"].tolist()
         watermark = state.getCurrentWatermarkMs()
         clock = watermark + GRACE_MS if watermark > 0 else 0
         if not state.exists and max(moments) + horizon_ms < clock:
-            yield pd.DataFrame([dict.fromkeys(columns) | {"conv_id": key[0], "kind": "late", "at": max(moments), "late_rows": len(fresh)}])
+            yield row(dict.fromkeys(columns) | {"conv_id": int(key[0]), "kind": "late", "at": max(moments), "late_rows": len(fresh)})
             return
-        *held, at = state.get if state.exists else ([], [], [], [], [], [], 0)
-        known = {m[0]: m for m in zip(*held, strict=True)}
-        for m in zip(fresh["idx"], fresh["user"], fresh["words"], fresh["flags"], fresh["length"], fresh["responder"], strict=True):
-            known.setdefault(int(m[0]), (int(m[0]), bool(m[1]), m[2], int(m[3]), int(m[4]), m[5]))
-        first = min([*moments, at]) if state.exists else min(moments)
-        state.update((*(list(c) for c in zip(*known.values(), strict=True)), first))
+        held, at = state.get if state.exists else ("[]", min(moments))
+        known = {m[0]: m for m in json.loads(held)}
+        for text in fresh:
+            m = list(json.loads(text).values())
+            known.setdefault(m[0], m)
+        first = min([*moments, at])
+        state.update((json.dumps(list(known.values())), first))
         state.setTimeoutTimestamp(max(max(moments) + horizon_ms - GRACE_MS, watermark + horizon_ms, 1))
-        yield pd.DataFrame([facts(key[0], list(known.values()), first)])[columns]
+        yield row(facts(int(key[0]), list(known.values()), first))
 
+    # what a conversation sends, holds and gives is one text each: every column of a frame costs time for each conversation
+    row = lambda values: pd.DataFrame({"fact": [json.dumps(values)]})
     columns = [c.split()[0] for c in FACTS.split(", ")]
     rows = said(messages).withWatermark("ts", f"{delay_ms + GRACE_MS} milliseconds")
-    return rows.groupBy("conv_id").applyInPandasWithState(update, FACTS, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("conv_id").applyInPandasWithState(update, "fact string", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("fact", FACTS).alias("fact")).select("fact.*")
 
 
 def run_live(conversations: DataFrame, path: str, checkpoint: str) -> None:
