@@ -51,3 +51,13 @@ def test_nulls_and_empty_values(spark):
     got = {r["k"]: (r["ci_low"], r["ci_high"]) for r in K.bootstrap(rows, ["k"], "v", 200).collect()}
     assert got == {"b": (1.0, 1.0)}
     assert K.bootstrap(rows.where("false"), ["k"], "v", 200).count() == 0
+
+
+def test_repetitions_are_dealt_over_tasks_and_hashed_once(spark):
+    values = spark.range(300).select((F.col("id") % 3).cast("double").alias("v"), F.lit("k").alias("k"))
+    means = K.resampled_means(values, ["k"], "v", 4000)
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(") < plan.index("RepartitionByExpression [k")  # the draws come after the exchange
+    draws = next(line for line in plan.splitlines() if "filter(table" in line)
+    assert "md5" not in draws  # not once per entry of the table
+    assert sorted(r["rep"] for r in means.collect()) == list(range(4000))
