@@ -116,3 +116,9 @@ def test_reasons_know_the_white_space_of_unicode(spark):
     frame = spark.createDataFrame([("repeat", "\u3000I'm sorry, but I can't help with that.", "x", "y"), ("correction", "fine", "\u2003no, that\u00a0is wrong", None)], "failure string, bad string, said string, before string")
     got = [r[0] for r in frame.select(reasons.reason_of(F.col("failure"), F.col("bad"), F.col("said"), F.col("before"))).collect()]
     assert got[0] == "refused" and frame.select(R.is_refusal(F.col("bad"))).first()[0]
+
+
+def test_each_text_is_cut_into_words_once(spark):
+    frame = spark.createDataFrame([("one two", "two one")], "a string, b string").select(R.is_repeat(F.col("a"), F.col("b")).alias("r"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+    assert frame.first()["r"]
