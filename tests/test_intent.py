@@ -166,3 +166,38 @@ def test_tfidf_moves_terms_per_chunk_not_per_document(spark, monkeypatch):
     assert got.keys() == x.keys() and all(abs(got[k] - v / math.sqrt(norm[k[0]])) < 1e-9 for k, v in x.items())
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in text and "Window" not in text and "Exchange hashpartitioning(id" not in text
+
+
+def test_solver_keeps_equal_rows_once_and_ends_soon():
+    """Loss and gradient equal those of all rows in a dense matrix; labels that hardly follow from the rows, and features of unlike
+    frequency, take few steps."""
+    rng = np.random.default_rng(5)
+    n, features, classes = 400, 300, 3
+    chance = np.geomspace(0.004, 0.9, features)
+    distinct = (rng.random((50, features)) < chance) * rng.uniform(0.5, 5, features)
+    distinct /= np.maximum(np.linalg.norm(distinct, axis=1, keepdims=True), 1e-9)
+    x, label = distinct[rng.integers(0, 50, n)], rng.integers(0, classes, n)
+    row, index = np.nonzero(x)
+    problem = intent.Softmax(np.bincount(row, minlength=n), index, x[row, index], label, features, classes, 4.0)
+    assert len(problem.seen) == 50 and problem.seen.sum() == n and 0 < len(problem.often) < features
+    w = rng.normal(size=(features + 1, classes))
+    z = x @ w[:-1] + w[-1]
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    error = p - np.eye(classes)[label]
+    loss, gradient = problem(w.ravel())
+    assert abs(loss - (-np.log(p[np.arange(n), label]).sum() + (w[:-1] ** 2).sum() / 8)) < 1e-3
+    assert np.abs(gradient - np.concatenate([x.T @ error + w[:-1] / 4, error.sum(axis=0, keepdims=True)]).ravel()).max() < 1e-3
+    far = problem(intent.minimise(problem, np.zeros(w.size), 3000, 1e-9))[0]
+    steps = []
+    problem.__class__ = type("Counted", (intent.Softmax,), {"__call__": lambda self, y: steps.append(1) or intent.Softmax.__call__(self, y)})
+    found = problem.fitted(3000, 1e-5)
+    assert len(steps) < 60 and problem(found.ravel())[0] <= far * (1 + 1e-3)
+
+
+def test_repeated_texts_are_scored_alike(spark):
+    texts = ["alpha alpha beta", "gamma delta", None, "abc", "alpha delta x"]
+    rows = [(i, texts[i * 7 % 5]) for i in range(450)]
+    model = intent.IntentModel.read(spark.createDataFrame([("word", "alpha", 1.5, [1.0, -1.0]), ("word", "delta", 1.0, [-2.0, 2.0]), ("char", " d", 1.0, [-0.5, 0.5])], "block string, term string, idf double, weights array<double>"), ["a", "d"], [0.1, -0.1])
+    got = {r["doc_id"]: (r["pred"], r["proba_max"]) for r in intent.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    alone = {t: next((r["pred"], r["proba_max"]) for r in intent.predict(spark.createDataFrame([(0, t)], "doc_id long, text string"), model).collect()) for t in texts}
+    assert got == {i: alone[t] for i, t in rows} and alone[None] == (None, 0.0) == alone["abc"] and alone[texts[0]][0] == "a" and alone[texts[1]][0] == "d"

@@ -8,12 +8,14 @@ weight per term and class; it is sent to tasks in parts of bounded size, and a t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ TEXTS_AT_ONCE = 200
 TEXT_CHARS = 1 << 20
 CHUNK_CHARS = 8 << 20  # of texts whose terms are counted at once
 PART_BYTES = 128 << 20  # of a model, sent to the tasks at once
+DENSE_BYTES, DENSE_SHARE = 256 << 20, 0.02  # of the solver's matrix; features of a larger share of the rows may be in it
 
 
 def word_list(text: Column) -> Column:
@@ -215,36 +218,81 @@ def sampled(rows: DataFrame, ident: str, sample_rows: int) -> DataFrame:
 
 
 class Softmax:
-    """Multinomial regression over sparse rows: loss and gradient of the weights (a row per feature, the last one the intercepts)."""
+    """Multinomial regression over sparse rows: loss and gradient of the weights (a row per feature, the last one the intercepts).
+
+    Equal rows are kept once, with how many of each label there are.  Features that stand in many rows form a dense matrix of bounded
+    size; the others' products are summed class by class, as sums of contiguous numbers.
+    """
 
     def __init__(self, sizes: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, features: int, classes: int, c: float):
-        self.label, self.features, self.classes, self.c = label, features, classes, c
-        row = np.repeat(np.arange(len(sizes)), sizes)
+        self.features, self.classes, self.c = features, classes, c
+        edge = np.append(0, np.cumsum(sizes)).tolist()
+        place: dict[bytes, int] = {}
+        same = np.array([place.setdefault(xxhash.xxh3_128_digest(index[a:z].tobytes() + value[a:z].tobytes()), len(place)) for a, z in itertools.pairwise(edge)], np.int64)
+        once = np.unique(same, return_index=True)[1]
+        self.seen = np.zeros((len(once), classes))  # rows by label
+        np.add.at(self.seen, (same, label), 1)
+        self.times = self.seen.sum(axis=1, keepdims=True)
+        kept = np.zeros(len(sizes), bool)
+        kept[once] = True
+        there = np.repeat(kept, sizes)
+        row, index, value = np.repeat(same[kept], sizes[kept]), index[there], value[there].astype(np.float32)
+        self.curvature = np.append(np.bincount(index, value.astype(float) ** 2 * self.times[row, 0], features), len(sizes)) * (classes - 1) / classes**2 + np.append(np.full(features, 1 / c), 0)
+        found = np.bincount(index, minlength=features)
+        often = np.argsort(-found, kind="stable")[: DENSE_BYTES // (4 * max(len(once), 1))]
+        self.often = often[found[often] > DENSE_SHARE * len(once)]
+        column = np.full(features, -1)
+        column[self.often] = np.arange(len(self.often))
+        dense = column[index] >= 0
+        self.matrix = np.zeros((len(once), len(self.often)), np.float32)
+        self.matrix[row[dense], column[index[dense]]] = value[dense]
+        row, index, value = row[~dense], index[~dense], value[~dense]
         order = np.argsort(index, kind="stable")
-        self.by_row = index, value.astype(np.float32), row
-        self.by_feature = row[order], value[order].astype(np.float32), index[order]
+        self.by_row = self._pieces(index, value, row)
+        self.by_feature = self._pieces(row[order], value[order], index[order])
 
     @staticmethod
-    def _sums(where: np.ndarray, value: np.ndarray, group: np.ndarray, of: np.ndarray, n: int, step: int = 1 << 20) -> np.ndarray:
-        """Sums of value * of[where] per group; groups come in order."""
-        out = np.zeros((n, of.shape[1]))
+    def _pieces(where: np.ndarray, value: np.ndarray, group: np.ndarray, step: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(where, value, the groups, where each begins) of so many entries at once; groups come in order."""
+        out = []
         for a in range(0, len(where), step):
             g = group[a : a + step]
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            out[g[first]] += np.add.reduceat(value[a : a + step, None] * of[where[a : a + step]], first, axis=0)
+            out.append((where[a : a + step], value[a : a + step], g[first], first))
+        return out
+
+    @staticmethod
+    def _sums(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], of: np.ndarray, n: int) -> np.ndarray:
+        """Sums of value * of[where] per group."""
+        out = np.zeros((n, of.shape[1]))
+        for k in range(of.shape[1]):
+            column = np.ascontiguousarray(of[:, k])
+            for where, value, group, first in pieces:
+                out[group, k] += np.add.reduceat(value * column[where], first)
         return out
 
     def __call__(self, flat: np.ndarray) -> tuple[float, np.ndarray]:
         w = flat.reshape(self.features + 1, self.classes)
-        z = self._sums(*self.by_row, w[:-1].astype(np.float32), len(self.label)) + w[-1]
+        narrow = w[:-1].astype(np.float32)
+        z = self._sums(self.by_row, narrow, len(self.seen)) + self.matrix @ narrow[self.often] + w[-1]
         z -= z.max(axis=1, keepdims=True)
         total = np.log(np.exp(z).sum(axis=1, keepdims=True))
-        at = np.arange(len(self.label))
-        loss = (total[:, 0] - z[at, self.label]).sum() + (w[:-1] ** 2).sum() / (2 * self.c)
-        p = np.exp(z - total)
-        p[at, self.label] -= 1
-        gradient = np.concatenate([self._sums(*self.by_feature, p.astype(np.float32), self.features) + w[:-1] / self.c, p.sum(axis=0, keepdims=True)])
-        return float(loss), gradient.ravel()
+        loss = (self.times * total).sum() - (self.seen * z).sum() + (w[:-1] ** 2).sum() / (2 * self.c)
+        p = self.times * np.exp(z - total) - self.seen
+        narrow = p.astype(np.float32)
+        of_features = self._sums(self.by_feature, narrow, self.features)
+        of_features[self.often] = self.matrix.T @ narrow
+        return float(loss), np.concatenate([of_features + w[:-1] / self.c, p.sum(axis=0, keepdims=True)]).ravel()
+
+    def fitted(self, rounds: int, tolerance: float) -> np.ndarray:
+        """The weights of least loss, found in steps scaled by each weight's curvature at the start: frequent and rare features move alike."""
+        scale = np.repeat(1 / np.sqrt(self.curvature), self.classes)
+
+        def scaled(x: np.ndarray) -> tuple[float, np.ndarray]:
+            loss, gradient = self(x * scale)
+            return loss, gradient * scale
+
+        return (minimise(scaled, np.zeros(len(scale)), rounds, tolerance) * scale).reshape(self.features + 1, self.classes)
 
 
 def minimise(loss, start: np.ndarray, rounds: int, tolerance: float, memory: int = 6) -> np.ndarray:
@@ -289,7 +337,7 @@ def solve(rows: DataFrame, features: int, classes: int, c: float, rounds: int, t
         sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in t.column("indices").chunks)])
         flat = lambda name: np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in t.column(name).chunks)])
         problem = Softmax(sizes, flat("indices").astype(np.int64), flat("values"), t.column("label").to_numpy().astype(np.int64), features, classes, c)
-        w = minimise(problem, np.zeros((features + 1) * classes), rounds, tolerance).reshape(features + 1, classes)
+        w = problem.fitted(rounds, tolerance)
         for a in range(0, len(w), 10_000):
             part = w[a : a + 10_000]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * classes), pa.array(part.ravel()))
@@ -332,7 +380,9 @@ def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, block, idf, weights = sent.value
             for texts, batch in _text_chunks(batches, text):
-                t, n = X.Terms(texts, codes), len(texts)
+                place: dict[str | None, int] = {}
+                same = np.array([place.setdefault(x, len(place)) for x in texts], np.int64)  # repeated texts are scored once
+                t, n = X.Terms(list(place), codes), len(place)
                 value, squares = unit_values(t, block, idf, n)
                 edge = np.searchsorted(t.row, np.arange(n))
                 sums = np.zeros((len(X.BLOCKS), n, k))
@@ -340,6 +390,7 @@ def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: st
                 for b in range(len(X.BLOCKS)):
                     if len(some):
                         sums[b, some] = np.add.reduceat((value * (block[t.term] == b))[:, None] * weights[t.term], edge[some], axis=0)
+                n, squares, sums = len(texts), squares[:, same], sums[:, same]
                 lists = [pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * w).astype(np.int32)), pa.array(x.reshape(-1))) for x, w in ((squares.T, len(X.BLOCKS)), (sums.transpose(1, 0, 2), len(X.BLOCKS) * k))]
                 short = pa.array([len(x or "") < least for x in texts])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), short, *lists], [*kept, "__short", "__squares", "__sums"])
