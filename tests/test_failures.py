@@ -51,3 +51,19 @@ def test_failures_exchange_no_texts(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(lines) == 2  # the join with intents, of rows without texts
+
+
+def test_context_of_the_row_equals_that_of_turns(spark):
+    nested, turns = chats(spark)
+    messages = nested.select(F.col("conversation")[0]["turn_identifier"].alias("conv_id"), F.posexplode("conversation").alias("pos", "m")).select("conv_id", (F.col("pos") + 1).alias("idx"), "m.role", "m.content")
+    got, want = T.nested_context(nested), T.case_context(messages, T.first_failures(turns))
+    assert key(got) == key(want) and got.count() == 4
+    assert {r["conv_id"]: [m["idx"] for m in r["context"]] for r in got.collect()} == {1: [1], 3: [], 4: [1, 2, 3, 4, 5], 7: [1]}
+
+
+def test_context_broadcasts_no_messages(spark):
+    """Files of repeated texts are small; taken by their size, all messages went to every executor."""
+    text = plan(analysis.QUERIES["case_context"](spark, SF))
+    assert "Exchange hashpartitioning" not in text and text.count("BroadcastExchange") <= 1  # the nations of the attributes
+    x = core.Chat(spark, SF)
+    assert "SortMergeJoin" in plan(T.case_context(x.messages, x.failures))
