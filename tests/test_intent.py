@@ -201,3 +201,34 @@ def test_repeated_texts_are_scored_alike(spark):
     got = {r["doc_id"]: (r["pred"], r["proba_max"]) for r in intent.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     alone = {t: next((r["pred"], r["proba_max"]) for r in intent.predict(spark.createDataFrame([(0, t)], "doc_id long, text string"), model).collect()) for t in texts}
     assert got == {i: alone[t] for i, t in rows} and alone[None] == (None, 0.0) == alone["abc"] and alone[texts[0]][0] == "a" and alone[texts[1]][0] == "d"
+
+
+def test_all_rows_are_fitted_equal_texts_once(spark, monkeypatch):
+    """The fit is that of every row: loss and weights equal those of all rows in a dense matrix, over several blocks and slices."""
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(rng.choice([f"{c}{k}" for k in range(9)], 3)) if i % 4 else "same words again", str(rng.choice([c, "alpha"]))) for i, c in enumerate(rng.choice(["alpha", "beta", "gamma"], 300))] + [(None, "beta"), ("", "beta"), ("x", None)]
+    frame = spark.createDataFrame(rows, "text string, label string").repartition(3)
+    for name, value in (("BLOCK_TEXTS", 40), ("SLICE", 100), ("BLOCK_SHARE", 0.1)):
+        monkeypatch.setattr(intent, name, value)
+    model = intent.fit(frame, tolerance=1e-9)
+    kept = [(t, k) for t, k in rows if k]
+    codes, block, idf = intent.vocabulary(spark.createDataFrame(kept, "text string, label string"))
+    assert model.classes == ["alpha", "beta", "gamma"] and (model.codes == codes).all() and np.allclose(model.idf, idf)
+    x = np.zeros((len(kept), len(codes)))
+    for r in intent.features(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(kept)], "i long, text string"), codes, block, idf).collect():
+        x[r["i"], r["indices"]] = r["values"]
+    label = np.array([model.classes.index(k) for _, k in kept])
+    row, index = np.nonzero(x)
+    problem = intent.Softmax(np.bincount(row, minlength=len(x)), index, x[row, index], label, len(codes), 3, 4.0)
+    whole, mine = problem.fitted(3000, 1e-9), np.vstack([model.weights, model.intercepts])
+    assert abs(problem(mine.ravel())[0] / problem(whole.ravel())[0] - 1) < 1e-5 and np.abs((x @ (mine - whole)[:-1])).max() < 0.02
+
+
+def test_shards_are_predicted_without_a_sample(spark, monkeypatch):
+    from turnlytics.plans import labelling
+
+    def never(*args):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(intent, "sampled", never)
+    assert labelling.QUERIES["intent_by_shard"](spark, "/root/testdata/sf0.001").count() == 800

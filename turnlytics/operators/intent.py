@@ -1,8 +1,9 @@
 """Text features and the intent classifier.
 
-Terms are named by codes (functions/text_features.py).  Fitting reads the texts of a bounded sample twice: once to choose the
-vocabulary, once to write features as sparse rows; the solver reads only these.  As the sample is bounded (``sample_rows``), it runs
-in one task: a round of a solver spread over tasks would move a gradient of the vocabulary's size for each of them.  A fitted model is two sorted arrays of codes and a
+Terms are named by codes (functions/text_features.py).  ``fit`` reads all rows: equal texts are kept once, with how many of each label
+there are; a first pass chooses the vocabulary, a second writes features as blocks, and the solver reads only these.  Each of its rounds
+sends the weights to the tasks and adds up a gradient per task, both of the vocabulary's size, however many rows there are.  ``fit_sample``
+fits on a sample of stated size (``sample_rows``), in one task.  A fitted model is two sorted arrays of codes and a
 weight per term and class; it is sent to tasks in parts of bounded size, and a text is scored within its row: no term is exchanged.
 """
 
@@ -24,11 +25,13 @@ from turnlytics.sources.files import shared_folder
 
 SAMPLE_ROWS = 20_000
 WORD_FEATURES, CHARACTER_FEATURES = 300_000, 400_000
-TEXTS_AT_ONCE = 200
+TEXTS_AT_ONCE, BLOCK_TEXTS = 200, 1000
 TEXT_CHARS = 1 << 20
 CHUNK_CHARS = 8 << 20  # of texts whose terms are counted at once
 PART_BYTES = 128 << 20  # of a model, sent to the tasks at once
 DENSE_BYTES, DENSE_SHARE = 256 << 20, 0.02  # of the solver's matrix; features of a larger share of the rows may be in it
+BLOCK_SHARE = 0.25  # features of a larger share of a block's rows are in its matrix
+BLOCKS_AT_ONCE, SLICE = 8, 1 << 18  # blocks sent to a task at once; numbers of a gradient that are added up together
 
 
 def word_list(text: Column) -> Column:
@@ -153,32 +156,34 @@ class IntentModel:
         return cls(codes[order], number[order], t.column("idf").to_numpy()[order], table[order], list(classes), np.array(intercepts, float))
 
 
-def _text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list, pa.RecordBatch]]:
+def _text_chunks(batches: Iterator[pa.RecordBatch], text: str, at_once: int = TEXTS_AT_ONCE) -> Iterator[tuple[list, pa.RecordBatch]]:
     """Texts a few at a time, with the rows that they are of."""
     for batch in batches:
         start = 0
         while start < batch.num_rows:
             texts, size = [], 0
-            while start + len(texts) < batch.num_rows and len(texts) < TEXTS_AT_ONCE and size < TEXT_CHARS:
+            while start + len(texts) < batch.num_rows and len(texts) < at_once and size < TEXT_CHARS:
                 texts.append(batch.column(text)[start + len(texts)].as_py())
                 size += len(texts[-1] or "")
             yield texts, batch.slice(start, len(texts))
             start += len(texts)
 
 
-def vocabulary(sample: DataFrame, text: str = "text", word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES, least_documents: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, blocks and idf of the terms of two texts or more; of each block the most frequent ones (ties by code)."""
+def vocabulary(sample: DataFrame, text: str = "text", word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES, least_documents: int = 2, times: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, blocks and idf of the terms of two texts or more; of each block the most frequent ones (ties by code).  ``times``: a column
+    that says how many texts a row stands for."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, _ in _text_chunks(batches, text):
+        for texts, batch in _text_chunks(batches, text, BLOCK_TEXTS):
             t = X.Terms(texts)
-            n = len(t.codes)
-            yield pa.RecordBatch.from_arrays([pa.array(t.codes.view(np.int64)), pa.array(t.block.astype(np.int32)), pa.array(np.bincount(t.term, minlength=n)), pa.array(np.bincount(t.term, t.count, n).astype(np.int64))], ["code", "block", "df", "tf"])
+            n, of = len(t.codes), np.ones(len(texts)) if times is None else batch.column(times).to_numpy(zero_copy_only=False).astype(float)
+            df, tf = (np.bincount(t.term, x, n).astype(np.int64) for x in (of[t.row], of[t.row] * t.count))
+            yield pa.RecordBatch.from_arrays([pa.array(t.codes.view(np.int64)), pa.array(t.block.astype(np.int32)), pa.array(df), pa.array(tf)], ["code", "block", "df", "tf"])
 
-    found = sample.select(text).mapInArrow(count, "code long, block int, df long, tf long").groupBy("code", "block").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least_documents)
+    found = sample.select(text, *([times] if times else [])).mapInArrow(count, "code long, block int, df long, tf long").groupBy("code", "block").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least_documents)
     path = shared_folder(sample.sparkSession, "terms")
     found.write.parquet(path)
-    found, n = sample.sparkSession.read.parquet(path), sample.count()
+    found, n = sample.sparkSession.read.parquet(path), sample.agg(F.sum(times) if times else F.count(F.lit(1))).first()[0] or 0
     kept = [found.where(F.col("block") == b).orderBy(F.desc("tf"), "code").limit(k) for b, k in ((X.WORD, word_features), (X.CHARACTERS, character_features))]
     t = kept[0].unionAll(kept[1]).toArrow()  # at most the two vocabularies
     codes = t.column("code").to_numpy().view(np.uint64)
@@ -319,7 +324,7 @@ def minimise(loss, start: np.ndarray, rounds: int, tolerance: float, memory: int
             if f_new <= f + 1e-4 * size * slope or size < 1e-12:
                 break
             size /= 2
-        done = f - f_new <= tolerance * abs(f_new)
+        done = f - f_new <= tolerance * abs(f_new) and (bool(steps) or size < 1e-12 or not g.any())  # the first step is a short one, whatever the loss
         s, y = new - x, g_new - g
         if s @ y > 1e-12:
             steps = [*steps[1 - memory :], (s, y, 1.0 / (s @ y))] if memory > 1 else [(s, y, 1.0 / (s @ y))]
@@ -365,6 +370,134 @@ def fit_sample(rows: DataFrame, ident: str, sample_rows: int = SAMPLE_ROWS, c: f
     return IntentModel(codes, block, idf, w[:-1], classes, w[-1])
 
 
+BLOCK_COLUMNS = ["sizes", "feature", "place", "value", "often", "matrix", "seen"]
+
+
+def feature_blocks(texts: DataFrame, codes: np.ndarray, block: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """The features of rows (text, seen), a row per block of texts, as bytes.
+
+    Features that stand in many texts of a block (``often``) form a ``matrix``; the others are entries (``place`` among the block's
+    ``feature`` numbers, ``value``), ``sizes`` of them per text.  ``seen``: how many of each label there are.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((codes, block, idf))  # of the vocabularies' sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, block, idf = sent.value
+        for some, batch in _text_chunks(batches, "text", BLOCK_TEXTS):
+            t = X.Terms(some, codes)
+            value, squares = unit_values(t, block, idf, len(some))
+            value = (value / np.sqrt(squares)[block[t.term], t.row]).astype(np.float32)
+            feature, place, n = np.unique(t.term, return_inverse=True, return_counts=True)
+            many = n > BLOCK_SHARE * len(some)
+            number = np.where(many, np.cumsum(many), np.cumsum(~many)) - 1
+            dense, at = many[place], number[place]
+            matrix = np.zeros((len(some), many.sum()), np.float32)
+            matrix[t.row[dense], at[dense]] = value[dense]
+            seen = np.array(batch.column("seen").to_pylist(), float)
+            at = at[~dense].astype(np.uint16 if (~many).sum() <= 1 << 16 else np.int32)
+            out = (np.bincount(t.row[~dense], minlength=len(some)).astype(np.int32), feature[~many].astype(np.int32), at, value[~dense], feature[many].astype(np.int32), matrix, seen)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], BLOCK_COLUMNS)
+
+    return texts.select("text", "seen").mapInArrow(run, ", ".join(f"`{c}` binary" for c in BLOCK_COLUMNS))
+
+
+class Block:
+    """A row of ``feature_blocks``."""
+
+    def __init__(self, cells: list[bytes], classes: int):
+        short = np.uint16 if 2 * len(cells[2]) == len(cells[3]) else np.int32
+        sizes, self.feature, place, self.value, self.often, matrix, seen = (np.frombuffer(x, t) for x, t in zip(cells, (np.int32, np.int32, short, np.float32, np.int32, np.float32, float), strict=True))
+        self.row, self.place = np.repeat(np.arange(len(sizes)), sizes), place.astype(np.int64)
+        self.seen = seen.reshape(-1, classes)
+        self.matrix = matrix.reshape(len(self.seen), len(self.often))
+        self.times = self.seen.sum(axis=1, keepdims=True)
+
+    def curvature(self, out: np.ndarray) -> None:
+        """Adds each feature's squares, those of the intercepts, and how many of each label there are."""
+        out[self.feature] += np.bincount(self.place, self.value.astype(float) ** 2 * self.times[self.row, 0], len(self.feature))
+        out[self.often] += (self.matrix**2 * self.times).sum(axis=0)
+        classes = self.seen.shape[1]
+        out[-classes - 1] += self.times.sum()
+        out[-classes:] += self.seen.sum(axis=0)
+
+    def loss(self, w: np.ndarray, out: np.ndarray) -> float:
+        """The loss of weights (a row per feature, the last one the intercepts); adds the gradient."""
+        z, own = self.matrix @ w[self.often] + w[-1].astype(float), w[self.feature]
+        for k in range(z.shape[1]):
+            z[:, k] += np.bincount(self.row, self.value * np.ascontiguousarray(own[:, k])[self.place], len(z))
+        z -= z.max(axis=1, keepdims=True)
+        total = np.log(np.exp(z).sum(axis=1, keepdims=True))
+        p = self.times * np.exp(z - total) - self.seen
+        narrow = p.astype(np.float32)
+        out[self.often] += self.matrix.T @ narrow
+        out[self.feature] += np.stack([np.bincount(self.place, self.value * np.ascontiguousarray(narrow[:, k])[self.row], len(self.feature)) for k in range(z.shape[1])], axis=1)
+        out[-1] += p.sum(axis=0)
+        return float((self.times * total).sum() - (self.seen * z).sum())
+
+
+def _added_up(blocks: DataFrame, classes: int, shape: tuple[int, ...], visit: Callable[[Block, np.ndarray], float]) -> tuple[float, np.ndarray]:
+    """What ``visit`` gives and adds to an array of the shape, over all blocks.  A task sends one array, cut into slices that are added up apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, total, some = np.zeros(shape), 0.0, False
+        for batch in batches:
+            for cells in zip(*(batch.column(c).to_pylist() for c in BLOCK_COLUMNS), strict=True):
+                total, some = total + visit(Block(cells, classes), out), True
+        flat = out.ravel()
+        for k, a in enumerate(range(0, len(flat) if some else 0, SLICE)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total if not k else 0.0]), pa.array([flat[a : a + SLICE].astype(np.float32).tobytes()], pa.binary())], ["slice", "total", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("total").to_pylist(), table.column("sums").to_pylist(), strict=True))  # sums of floats hang on their order
+        sums = sum(np.frombuffer(x, np.float32).astype(float) for _, x in rows)
+        return pa.table({"slice": table.column("slice")[:1], "total": pa.array([sum(t for t, _ in rows)]), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    kinds = "slice int, total double, sums binary"
+    found = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, kinds).groupBy("slice").applyInArrow(add, kinds).toArrow().sort_by("slice")  # an array of the vocabulary's size
+    sums = [np.frombuffer(x) for x in found.column("sums").to_pylist()]
+    return sum(found.column("total").to_pylist()), np.concatenate(sums).reshape(shape) if sums else np.zeros(shape)
+
+
+def solve_blocks(blocks: DataFrame, features: int, classes: int, c: float, rounds: int, tolerance: float) -> np.ndarray:
+    """The weights of least loss (a row per feature, the last one the intercepts) over all blocks, in steps scaled by each weight's curvature at the start."""
+    spark, n = blocks.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(n)
+    spark.conf.set(n, str(BLOCKS_AT_ONCE))
+    try:
+        squares, labels = np.split(_added_up(blocks, classes, (features + 1 + classes,), lambda b, out: b.curvature(out) or 0.0)[1], [features + 1])
+        start = np.vstack([np.zeros((features, classes)), np.log(labels / labels.sum())])  # without features, the least loss
+        scale = np.repeat(1 / np.sqrt(squares * (classes - 1) / classes**2 + np.append(np.full(features, 1 / c), 0)), classes)
+
+        def scaled(x: np.ndarray) -> tuple[float, np.ndarray]:
+            w = (x * scale).reshape(features + 1, classes)
+            sent = spark.sparkContext.broadcast(w.astype(np.float32))  # of the vocabulary's size
+            loss, gradient = _added_up(blocks, classes, w.shape, lambda b, out: b.loss(sent.value, out))
+            sent.destroy()
+            gradient[:-1] += w[:-1] / c
+            return loss + (w[:-1] ** 2).sum() / (2 * c), gradient.ravel() * scale
+
+        return (minimise(scaled, start.ravel() / scale, rounds, tolerance) * scale).reshape(features + 1, classes)
+    finally:
+        spark.conf.set(n, before)
+
+
+def fit(rows: DataFrame, c: float = 4.0, rounds: int = 3000, tolerance: float = 1e-5, word_features: int = WORD_FEATURES, character_features: int = CHARACTER_FEATURES) -> IntentModel:
+    """Multinomial regression with a penalty of 1 / c, fitted on all rows with a label (columns label, text)."""
+    spark = rows.sparkSession
+    path = shared_folder(spark, "fit")
+    rows = rows.where("label IS NOT NULL")
+    classes = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row per class
+    seen = [F.count_if(F.col("label") == k) for k in classes]
+    rows.groupBy("text").agg(F.array(*seen).cast("array<double>").alias("seen"), F.count(F.lit(1)).alias("times")).write.parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    codes, block, idf = vocabulary(texts, "text", word_features, character_features, times="times")
+    if len(classes) < 2:
+        return IntentModel(codes, block, idf, np.zeros((len(codes), len(classes))), classes, np.zeros(len(classes)))
+    feature_blocks(texts, codes, block, idf).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    w = solve_blocks(spark.read.parquet(f"{path}/blocks"), len(codes), len(classes), c, rounds, tolerance)
+    return IntentModel(codes, block, idf, w[:-1], classes, w[-1])
+
+
 def predict(rows: DataFrame, model: IntentModel, ident: str = "doc_id", text: str = "text", least: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows without their text, with pred and proba_max.  Texts that are null or shorter than ``least`` get none (null, 0.0).
     proba_max is a double: a float in between would turn some roundings.
