@@ -74,3 +74,21 @@ def test_a_conversation_crosses_to_python_as_one_text(spark):
     got = live.said(frame(spark, [(1, "2024-03-04 10:00:00", 1, "user", None, None, None)]))
     assert got.columns == ["conv_id", "ts", "at", "message"] and len(live.STATE.split(", ")) == 2
     assert json.loads(got.first()["message"]) == {"idx": 1, "user": True, "words": "", "flags": live.BLANK, "length": 0, "responder": None}
+
+
+def test_conversations_of_a_bucket_keep_their_own_times(spark, tmp_path):
+    """Few buckets give what many give: one conversation leaves its bucket while another goes on, and a bucket without news is cleared."""
+    at = lambda day, c, i, text: (c, f"2024-{day} 10:00:00", i, "user", text, None, "m")
+    batches = [[at("03-04", 1, 1, "a poem"), at("03-04", 2, 1, "fine")], [at("06-04", 2, 2, "no, wrong"), at("03-03", 2, 0, "a")], [at("06-05", 3, 1, "x")], [at("06-05", 2, 3, "try again")], [at("03-04", 1, 2, "no, that is wrong"), at("06-06", 2, 4, "thanks")]]
+    for buckets in (1, 2048):
+        path = tmp_path / str(buckets)
+        got = {r["conv_id"]: (r["n_turns"], r["correction_followup"]) for r in run(spark, path, batches, delay_ms=3_600_000, buckets=buckets).collect()}
+        assert got == {1: (1, False), 2: (5, True), 3: (1, False)}
+        assert [tuple(r) for r in live.late_rows(spark, f"file://{path}/out").collect()] == [(1, 1)]
+
+
+def test_states_are_fewer_than_conversations(spark, tmp_path):
+    rows = [(c, "2024-03-04 10:00:00", 1, "user", "fine", None, "m") for c in range(500)]
+    assert run(spark, tmp_path, [rows], buckets=8).count() == 500
+    states = spark.read.format("statestore").load(f"file://{tmp_path}/checkpoint").count()
+    assert states <= 8

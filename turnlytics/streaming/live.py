@@ -1,17 +1,20 @@
-"""Friction of conversations that are still going on: a stream of messages with state per conversation.
+"""Friction of conversations that are still going on: a stream of messages with state for each conversation.
 
 Whatever a message says by itself (words, push-back, refusal) is worked out by built-in expressions before the state; the state holds, per
 conversation, a few numbers and the words of each message, so repeats and attribution cross batches and messages may arrive
-in any order.  Each batch emits the conversations that it changed.  A conversation that has been silent for the horizon leaves the
+in any order.  Conversations are held in buckets, as Spark's cost of a state is far greater than that of a conversation's few messages; each
+keeps its own times within its bucket.  Each batch emits the conversations that it changed.  A conversation that has been silent for the horizon leaves the
 state; a message that comes for it later is not mixed into a half-known conversation but kept and counted as late.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,7 +23,8 @@ from turnlytics.functions import rules as R
 from turnlytics.schema import ONE_AND_DONE_CHARS
 from turnlytics.sources.chats import utc
 
-STATE = "messages string, at bigint"
+STATE = "conversations binary, size bigint"
+BUCKETS = 2048
 FACTS = (
     "conv_id bigint, kind string, at bigint, n_turns int, has_empty_user_input boolean, repeated_request boolean, correction_followup boolean, assistant_refusal boolean, "
     "one_and_done boolean, responders array<string>, replies array<int>, corrections array<int>, repeats array<int>, late_rows int"
@@ -69,41 +73,57 @@ def facts(conv_id: int, messages: list[tuple], at: int, threshold: float = R.REP
     }
 
 
-def live_conversations(messages: DataFrame, delay_ms: int = 86_400_000, horizon_ms: int = 7 * 86_400_000) -> DataFrame:
+def packed(held: dict) -> tuple[bytes, int]:
+    data = pickle.dumps(held)
+    return pa.compress(data, "zstd", asbytes=True), len(data)
+
+
+def unpacked(data: bytes, size: int) -> dict:
+    return pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
+
+
+def live_conversations(messages: DataFrame, delay_ms: int = 86_400_000, horizon_ms: int = 7 * 86_400_000, buckets: int = BUCKETS) -> DataFrame:
     """A row per conversation and batch that changed it (kind "facts"), and per conversation whose messages came too late (kind "late").
 
     The clock is the latest ``ts`` (a timestamp) less ``delay_ms``; it moves between batches.  A conversation leaves the state once the clock is
     ``horizon_ms`` past its last message, and a message that old, of a conversation not in the state, is late.  A message repeated at the same place counts once.
+    A task holds one of the ``buckets`` at a time; more of them, once and for all, for more conversations that go on at once.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        moments, fresh = [], []
-        for frame in frames:  # one conversation's new messages
-            moments += frame["at"].tolist()
-            fresh += frame["message"].tolist()
         watermark = state.getCurrentWatermarkMs()
         clock = watermark + GRACE_MS if watermark > 0 else 0
-        if not state.exists and max(moments) + horizon_ms < clock:
-            yield row(dict.fromkeys(columns) | {"conv_id": int(key[0]), "kind": "late", "at": max(moments), "late_rows": len(fresh)})
-            return
-        held, at = state.get if state.exists else ("[]", min(moments))
-        known = {m[0]: m for m in json.loads(held)}
-        for text in fresh:
-            m = list(json.loads(text).values())
-            known.setdefault(m[0], m)
-        first = min([*moments, at])
-        state.update((json.dumps(list(known.values())), first))
-        state.setTimeoutTimestamp(max(max(moments) + horizon_ms - GRACE_MS, watermark + horizon_ms, 1))
-        yield row(facts(int(key[0]), list(known.values()), first))
-
-    # what a conversation sends, holds and gives is one text each: every column of a frame costs time for each conversation
-    row = lambda values: pd.DataFrame({"fact": [json.dumps(values)]})
+        held = unpacked(*state.get) if state.exists else {}
+        fresh: dict[int, tuple[list[int], list[str]]] = {}
+        for frame in frames:  # new messages of a bucket's conversations
+            for conv_id, at, text in zip(frame["conv_id"].tolist(), frame["at"].tolist(), frame["message"].tolist(), strict=True):
+                moments, texts = fresh.setdefault(conv_id, ([], []))
+                moments.append(at)
+                texts.append(text)
+        out = []
+        for conv_id, (moments, texts) in fresh.items():
+            if conv_id not in held and max(moments) + horizon_ms < clock:
+                out.append(json.dumps(dict.fromkeys(columns) | {"conv_id": conv_id, "kind": "late", "at": max(moments), "late_rows": len(texts)}))
+                continue
+            known, first, until = held.get(conv_id, ({}, min(moments), 1))
+            for text in texts:
+                m = list(json.loads(text).values())
+                known.setdefault(m[0], m)
+            first = min([*moments, first])
+            held[conv_id] = known, first, max(until, max(moments) + horizon_ms - GRACE_MS, watermark + horizon_ms)
+            out.append(json.dumps(facts(conv_id, list(known.values()), first)))
+        held = {c: v for c, v in held.items() if v[2] >= watermark or c in fresh}
+        if held:
+            state.update(packed(held))
+            state.setTimeoutTimestamp(max(min(until for _, _, until in held.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"fact": out})
+
     columns = [c.split()[0] for c in FACTS.split(", ")]
     rows = said(messages).withWatermark("ts", f"{delay_ms + GRACE_MS} milliseconds")
-    found = rows.groupBy("conv_id").applyInPandasWithState(update, "fact string", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    found = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(update, "fact string", STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return found.select(F.from_json("fact", FACTS).alias("fact")).select("fact.*")
 
 
