@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from turnlytics.functions import text_features as X
 from turnlytics.operators import intent
@@ -232,3 +233,21 @@ def test_shards_are_predicted_without_a_sample(spark, monkeypatch):
 
     monkeypatch.setattr(intent, "sampled", never)
     assert labelling.QUERIES["intent_by_shard"](spark, "/root/testdata/sf0.001").count() == 800
+
+
+def test_tfidf_moves_codes_not_terms(spark, monkeypatch):
+    """No term is exchanged or written on the way, and a chunk gives the same order of codes whatever the order of its terms."""
+
+    def never(*args):
+        raise AssertionError("terms were written")
+
+    monkeypatch.setattr(intent, "shared_folder", never)
+    monkeypatch.setattr(intent, "CHUNK_CHARS", 300)
+    frame = spark.createDataFrame([(k, f"the river {k % 7} bank {k % 3} word{k}") for k in range(60)], "id long, text string")
+    out = intent.tfidf(frame, "id", "text", intent.word_list)
+    assert "hashpartitioning(term" not in out._jdf.queryExecution().executedPlan().toString() and out.where("term = 'the river'").count() == 60
+    names = pa.array([f"word{k}" for k in range(200)])
+    order, codes, edge = intent._coded(names, 7)
+    mixed = np.random.default_rng(1).permutation(200)
+    again, same, edges = intent._coded(names.take(pa.array(mixed)), 7)
+    assert (codes == same).all() and (edge == edges).all() and (mixed[again] == order).all() and edge[0] == 0 and edge[-1] == 200

@@ -61,56 +61,79 @@ def character_terms(rows: DataFrame, ident: str, text: str, low: int = 2, high:
     return rows.select(ident, F.explode(character_list(F.col(text), low, high)).alias("term"))
 
 
-def _counts(table: pa.Table, ident: str, known: pa.Array | None = None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (ident, terms): the ids, the terms, and (place of the id, place of the term, count) of each pair; ``known``: other terms are left out."""
+def _counts(table: pa.Table, ident: str) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (ident, terms): the ids, the terms, and (place of the id, place of the term, count) of each pair."""
     ids = table.column(ident).combine_chunks().dictionary_encode(null_encoding="encode")
     lists = [c for c in table.column("terms").chunks if len(c)]
     sizes = np.concatenate([np.zeros(0, np.int64), *(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in lists)])
-    values = pa.chunked_array([c.flatten() for c in lists], pa.string())
-    if known is None:
-        coded = values.combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        known, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    else:
-        at = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy().astype(np.int64)
+    coded = pa.chunked_array([c.flatten() for c in lists], pa.string()).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes.astype(np.int64))
-    pair, n = np.unique((row * max(len(known), 1) + at)[at >= 0], return_counts=True)
-    return ids.dictionary, known, pair // max(len(known), 1), pair % max(len(known), 1), n
+    pair, n = np.unique(row * max(len(names), 1) + at, return_counts=True)
+    return ids.dictionary, names, pair // max(len(names), 1), pair % max(len(names), 1), n
+
+
+def _coded(names: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of terms by bucket and 64-bit code, two halves of a 128-bit hash; the codes in that order, and where each bucket begins."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names.to_pylist())), np.uint64).reshape(-1, 2)
+    bucket = halves[:, 0] % np.uint64(buckets)
+    order = np.lexsort((halves[:, 1], bucket))
+    return order, halves[order, 1], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _small(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype(np.uint32).tobytes(), "zstd", asbytes=True)
 
 
 def tfidf(rows: DataFrame, ident: str, text: str, terms: Callable[[Column], Column], least_documents: int = 2) -> DataFrame:
     """id, term, weight: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit length per document; ``terms`` gives a text's list of them.
 
-    Texts are dealt by id into chunks of bounded size, the only time that they move.  A chunk sends each of its terms once to be counted, and gets
-    those of enough documents back with their counts; weights and lengths are worked out within the chunk, so no (document, term) pair moves.
+    Texts are dealt by id into chunks of bounded size, the only time that they move.  A chunk sends each of its distinct terms once, as a code in the
+    order of codes, to be counted, and gets the counts back in that order; it finds its terms again, so neither they nor any (document, term) pair moves.
+    Two terms would be taken for one only if 64 bits of their hashes and their bucket agree.
     """
     size = rows.agg(F.sum(F.length(text))).first()[0] or 0
     chunks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // CHUNK_CHARS))
     dealt = rows.where(F.col(text).isNotNull()).select(F.pmod(F.xxhash64(ident), F.lit(chunks)).alias("chunk"), ident, text).repartition(chunks, "chunk").sortWithinPartitions("chunk")
     listed = dealt.select("chunk", ident, terms(F.col(text)).alias("terms"))
 
+    def send(table: pa.Table) -> pa.Table:
+        _, names, row, term, _ = _counts(table, ident)
+        order, codes, edge = _coded(names, chunks)
+        n, each = np.bincount(term, minlength=len(names))[order], list(itertools.pairwise(edge.tolist()))
+        return pa.table({
+            "bucket": pa.array(range(chunks), pa.int64()), "chunk": pa.array([table.column("chunk")[0].as_py()] * chunks, pa.int64()), "docs": pa.array([len(np.unique(row))] * chunks, pa.int64()),
+            "codes": pa.array([codes[a:z].tobytes() for a, z in each], pa.binary()), "n": pa.array([_small(n[a:z]) for a, z in each], pa.binary()),
+        })
+
     def count(table: pa.Table) -> pa.Table:
-        ids, names, row, term, _ = _counts(table, ident)
-        n, used = np.bincount(term, minlength=len(names)), len(np.unique(row))
-        chunk = pa.array(np.full(len(names) + 1, table.column("chunk")[0].as_py(), np.int64))
-        return pa.table([chunk, pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array(np.append(n, used).astype(np.int64))], names=["chunk", "term", "n"])  # null: documents with a term
-
-    found = listed.groupBy("chunk").applyInArrow(count, "chunk long, term string, n long")
-    path = shared_folder(rows.sparkSession, "chunk-terms")
-    found.write.option("compression", "zstd").parquet(path)
-    found = rows.sparkSession.read.schema("chunk long, term string, n long").parquet(path)
-    total = found.where("term IS NULL").agg(F.sum("n").alias("docs"))
-    df = found.where("term IS NOT NULL").repartition(chunks, "term").groupBy("term").agg(F.sum("n").alias("df"), F.collect_list("chunk").alias("chunks")).where(F.col("df") >= least_documents)
-    idf = df.join(F.broadcast(total)).select(F.explode("chunks").alias("chunk"), "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-
-    def weigh(table: pa.Table, known: pa.Table) -> pa.Table:
-        ids, names, row, term, n = _counts(table, ident, known.column("term").combine_chunks())
-        x = (1 + np.log(n)) * known.column("idf").to_numpy()[term] if len(n) else np.zeros(0)
+        codes = [np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]
+        n = [np.frombuffer(pa.decompress(x, 4 * len(c), "zstd"), np.uint32) for x, c in zip(table.column("n").to_pylist(), codes, strict=True)]
+        _, place = np.unique(np.concatenate(codes), return_inverse=True)
+        df = np.bincount(place, np.concatenate(n))
+        df = np.split(np.where(df < least_documents, 0, df)[place], np.cumsum([len(c) for c in codes])[:-1])
+        docs = sum(table.column("docs").to_pylist())  # every chunk sends to every bucket
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "docs": pa.array([docs] * len(df), pa.int64()), "df": pa.array([_small(x) for x in df], pa.binary())})
+
+    sent = listed.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, docs long, codes binary, n binary")
+    counted = sent.repartition(chunks, "bucket").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, docs long, df binary")
+
+    def weigh(table: pa.Table, counted: pa.Table) -> pa.Table:
+        ids, names, row, term, n = _counts(table, ident)
+        order, _, edge = _coded(names, chunks)
+        counted = counted.sort_by("bucket")
+        df = np.zeros(len(names))
+        df[order] = np.concatenate([np.frombuffer(pa.decompress(x, 4 * k, "zstd"), np.uint32) for x, k in zip(counted.column("df").to_pylist(), np.diff(edge).tolist(), strict=True)])
+        kept = df[term] > 0
+        row, term, n = row[kept], term[kept], n[kept]
+        x = (1 + np.log(n)) * (np.log((1 + counted.column("docs")[0].as_py()) / (1 + df[term])) + 1)
         weight = x / np.sqrt(np.bincount(row, x * x, len(ids)))[row] if len(n) else x
-        return pa.table([ids.take(pa.array(row)), names.take(pa.array(term)), pa.array(weight)], names=[ident, "term", "weight"])
+        by = np.argsort(term, kind="stable")  # files name a term that stands together once
+        return pa.table([ids.take(pa.array(row[by])), names.take(pa.array(term[by])), pa.array(weight[by])], names=[ident, "term", "weight"])
 
     kind = rows.schema[ident].dataType.simpleString()
-    return listed.groupBy("chunk").cogroup(idf.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(weigh, f"`{ident}` {kind}, term string, weight double")
+    return listed.groupBy("chunk").cogroup(counted.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(weigh, f"`{ident}` {kind}, term string, weight double")
 
 
 @dataclass
